@@ -22,8 +22,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = (
     ("too_few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbol_heavy", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("symbol_heavy", "10 * n_symbols > n_words"),
+    ("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     ("shouting", "10 * n_upper > 5 * n_letters AND n_letters > 0"),
     ("exclaiming", "10 * n_bangs > 3 * n_words"),
