@@ -1,0 +1,23 @@
+"""Connected components of a graph of links, by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, component (the least id reachable) of each end of links (a, b). Each round is cut from its lineage."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(both.distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = written(lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        labels = moved.select("id", "label")
+        if moved.where("old <> label").isEmpty():
+            return labels.select("id", F.col("label").alias("component"))

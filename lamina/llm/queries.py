@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, substring_dedup
+from . import byte_bpe, near_dedup, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_near_dedup": near_dedup.ORACLE_SQL,
         "op7_substring_dedup": substring_dedup.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
     }
