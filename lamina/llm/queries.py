@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, near_dedup, quality_rules, substring_dedup
+from . import byte_bpe, decontamination, near_dedup, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
