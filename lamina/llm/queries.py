@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, near_dedup, quality_rules, substring_dedup, toxicity
+from . import byte_bpe, decontamination, licences, near_dedup, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op5_licences": licences.op5_licences,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_licences": licences.ORACLE_SQL,
         "op6_near_dedup": near_dedup.ORACLE_SQL,
         "op7_substring_dedup": substring_dedup.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
