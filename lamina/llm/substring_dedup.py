@@ -132,13 +132,14 @@ def _flat(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeats(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """did, th, spans: the windows to remove of each document that has some, as runs (pos, n)."""
     found = _occurrences(keyed, length, seed)
-    shared = found.groupBy("a").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("a")
+    # Least ids are written before they are joined: both sides of the joins are then plain exchanges, whose hot keys Spark splits.
+    shared = written(found.groupBy("a").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("a"), "shared")
     seeds = written(found.join(shared, "a"), "seeds")
-    region = seeds.groupBy("a", "b").agg(F.min("did").alias("least"))
-    kinds = region.groupBy("a").agg(F.count("*").alias("kinds"))
-    both = seeds.join(region.join(kinds, "a"), ["a", "b"])
+    mixed = written(seeds.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).select("a", F.expr("lo < hi").alias("mixed")), "mixed")
+    region = written(seeds.groupBy("a", "b").agg(F.min("did").alias("least")), "least")
+    both = seeds.join(region, ["a", "b"]).join(mixed, "a")
     whole = both.where("did > least").select("did", "th", "pos", "n")
-    apart = both.where("did = least AND kinds > 1").groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    apart = both.where("did = least AND mixed").groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     windows = written(_window_hashes(keyed.select("did", "th", "text").join(apart, ["did", "th"]), length), "windows")
     first = windows.groupBy("wh").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most")
     single = windows.join(first, "wh").where("did > least").select("did", "th", "pos", F.lit(1).alias("n"))
