@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, kneser_ney, licences, near_dedup, quality_rules, substring_dedup, toxicity
+from . import byte_bpe, context_mixing, decontamination, kneser_ney, licences, near_dedup, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_licences": licences.op5_licences,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_context_mixing": context_mixing.op8_context_mixing,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
