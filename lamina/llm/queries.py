@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, context_mixing, decontamination, kneser_ney, licences, near_dedup, quality_rules, substring_dedup, toxicity
+from . import byte_bpe, context_mixing, decontamination, kneser_ney, licences, near_dedup, quality_rules, substring_dedup, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_token_shards": token_shards.op3_token_shards,
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_licences": licences.op5_licences,
         "op6_near_dedup": near_dedup.op6_near_dedup,
