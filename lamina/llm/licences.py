@@ -3,7 +3,7 @@
 The parts of a text are its lines, its paragraphs and the whole of it. Both sides are normalised: ASCII letters are lower-cased
 and all but ASCII letters and digits separates words. For sets of bigrams A and B, Dice is 2 |A & B| / (|A| + |B|), so a template
 of size s can reach t only with parts of sizes from s t / (2 - t) to s (2 - t) / t. The admissible (size, template) rows are a
-small fixed table, and an equi-join on the size prunes the candidates before any bigram is compared.
+small fixed table, and an equi-join on the size prunes the candidates before any bigram is compared. Before that, parts without any of a few words, of which each match needs one, are left out.
 
 Only DataFrame functions are used; no row is shuffled but the findings.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .store import documents
 
 THRESHOLD = 0.8
+#: Words that say little about a text; they are no signals.
+_COMMON = set("a and any as be by for from in is it of on or that the this to with you".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -80,11 +82,31 @@ def size_bounds(n: int, threshold: float = THRESHOLD) -> range:
     return range(max(1, least), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+def signals(threshold: float = THRESHOLD) -> list[str]:
+    """Words of which a part must have one to reach the threshold with any template: at most a share of
+    (2 - 2 t) / (2 - t) of a template's bigrams may be missing, and more than that have one of these words."""
+    open_ = [template_bigrams(t) for _, t in TEMPLATES]
+    may_miss = [math.floor(len(g) * (2 - 2 * threshold) / (2 - threshold) + 1e-9) for g in open_]
+    chosen: list[str] = []
+    while True:
+        gains: dict[str, int] = {}
+        for g, m in zip(open_, may_miss, strict=True):
+            rest = {x for x in g if not set(x.split()) & set(chosen)}
+            if len(g) - len(rest) <= m:
+                for word in {w for x in rest for w in x.split() if w not in _COMMON}:
+                    gains[word] = gains.get(word, 0) + 1
+        if not gains:
+            return chosen
+        chosen.append(min(gains, key=lambda w: (-min(len(w), 7), -gains[w], w)))  # long words are rare in other texts
+
+
 def parts(docs: DataFrame) -> DataFrame:
     """doc_id, bigrams: the distinct bigrams of each part that has some."""
     text = F.col("text").cast("string")
-    units = docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(text), F.split(text, "\n\\s*\n"), F.split(text, "\n")))).alias("part"))
-    words = f"split(trim(BOTH ' ' FROM regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ')), ' ')"
+    signal = " OR ".join(f"contains(lower({{0}}), '{w}')" for w in signals())
+    likely = docs.where(F.expr(signal.format("CAST(text AS STRING)")))
+    units = likely.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(text), F.split(text, "\n\\s*\n"), F.split(text, "\n")))).alias("part")).where(F.expr(signal.format("part")))
+    words = "split(trim(BOTH ' ' FROM lower(regexp_replace(part, '[^A-Za-z0-9]+', ' '))), ' ')"
     # The words are bound to a variable first: written out in the inner function they would be split anew for each bigram.
     pairs = f"transform(array({words}), w -> array_distinct(transform(sequence(0, greatest(size(w) - 2, 0)), i -> concat(w[i], ' ', get(w, i + 1)))))[0]"
     return units.select("doc_id", F.expr(pairs).alias("bigrams")).where("bigrams[0] IS NOT NULL")
