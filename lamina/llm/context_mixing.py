@@ -5,7 +5,8 @@ each choice several predictors, one for each order in ORDERS, look up counts of
 the word; their log odds are combined by weights that are gated by how much each predictor has seen and by the longest context
 that has seen anything, and an adaptive map refines the result for each choice and log odds. That gives the probability of
 any spelling. Words learnt as a whole are counted too: with absolute discounting, the mass that the discount frees goes to
-the spelling model, so every text has a probability, and -log2 of it over its bytes is its bits per byte.
+the spelling model, so every text has a probability, and -log2 of it over its bytes is its bits per byte. Where a run of words repeats one
+of another, training text, the words that followed there are foretold, with a trust that adapts to how often that was right so far.
 
 Learning is spread over the cluster: word counts are summed over all training texts; each task counts the choices of
 TYPES_A_TASK words in tables of fixed size, which are summed; the weights are learnt online, batch by batch, in each task,
@@ -27,24 +28,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import documents, written
 from .tables import Table
-from .text import Words, blocks, column, per_document
+from .text import Words, blocks, column, grams_by_doc
 
 ORDERS = (1, 2, 3, 4, 6)
 #: Slots of each order's table, as powers of two.
 SLOTS = (16, 18, 20, 21, 21)
 TYPES_A_TASK, KNOWN_ROWS, BLOCK = 500_000, 6_000_000, 1 << 22
+#: Words of an anchor, one run in so many that is one, words that are kept after it, and anchors that are kept at most.
+SEED, EVERY, FOLLOW, ANCHORS = 6, 16, 64, 400_000
+_ID = "coalesce(doc_id, 9223372036854775807)"
 HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 7) = 2, false)"
 
-_DELTA, _CONF, _GATES, _BINS, _TOP = 0.4, 8, len(ORDERS) + 1, 33, 65_535
+_DELTA, _CONF, _GATES, _BINS, _TOP = 0.4, 8, len(ORDERS) + 1, 33, 255
 _SPACE, _END = 32, 10
 _AT = np.append(0, np.cumsum([1 << s for s in SLOTS]))
 _LOG = np.log(np.arange(_TOP + 1) + _DELTA).astype(np.float32)
-_BUCKET = np.minimum(_CONF - 1, np.log2(np.arange(_TOP + 1) + 1)).astype(np.uint8)
+_BUCKET = np.minimum(_CONF - 1, np.log2(np.arange(2 * _TOP + 1) + 1)).astype(np.int32)
 _rng = np.random.RandomState(9_091)
 _MUL = (_rng.randint(0, 2**31, max(ORDERS) + 1).astype(np.uint32) << 1) | np.uint32(1)
 
@@ -100,17 +105,19 @@ class Choices:
 
     def inputs(self, table: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor, and the places of their weights. table: zeros and ones in pairs."""
-        odds, place = np.empty((len(ORDERS), len(self.node)), np.float32), np.empty((len(ORDERS), len(self.node)), np.int64)
-        gate = np.zeros(len(self.node), np.int64)
+        odds, place = np.empty((len(ORDERS), len(self.node)), np.float32), np.empty((len(ORDERS), len(self.node)), np.int32)
+        gate = np.zeros(len(self.node), np.int32)
+        zero, one = (self.turn == 0).astype(np.int16), self.turn.astype(np.int16)
         for i, s in enumerate(self.slots):
-            n0, n1 = table[s, 0].astype(np.int64), table[s, 1].astype(np.int64)
+            both = table[s]
+            n0, n1 = both[:, 0].astype(np.int16), both[:, 1].astype(np.int16)
             if leave_out:
-                n0, n1 = np.maximum(n0 - (self.turn == 0), 0), np.maximum(n1 - (self.turn == 1), 0)
+                n0, n1 = np.maximum(n0 - zero, 0), np.maximum(n1 - one, 0)
             odds[i] = _LOG[n1] - _LOG[n0]
-            n = np.minimum(n0 + n1, _TOP)
+            n = n0 + n1
             place[i] = _BUCKET[n] + i * _CONF
             gate[n > 0] = i + 1
-        return odds, place + gate * (len(ORDERS) * _CONF)
+        return odds, place + gate * np.int32(len(ORDERS) * _CONF)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -118,10 +125,14 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Speller:
-    """Code, counts, weights and adaptive map; all of fixed size."""
+    """Code, counts, weights and adaptive map; all of fixed size. The counts are sent to the executors once, by themselves."""
 
-    def __init__(self, code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
-        self.code, self.table, self.weights, self.refine = code, table, weights, refine
+    def __init__(self, code: Code, sent: Broadcast, weights: np.ndarray, refine: np.ndarray):
+        self.code, self.sent, self.weights, self.refine = code, sent, weights, refine
+
+    @property
+    def table(self) -> np.ndarray:
+        return self.sent.value
 
     def mixed(self, c: Choices, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         odds, place = c.inputs(self.table, leave_out)
@@ -212,7 +223,7 @@ def _over(types: DataFrame, kernel: Callable[[Iterator[tuple[np.ndarray, np.ndar
 _CHUNK = 1 << 16
 
 
-def learn(types: DataFrame, passes: int = 2) -> Speller:
+def learn(types: DataFrame, passes: int = 1) -> Speller:
     """A speller from the words of types. Bytes and tables come to the driver as sums over tasks, of fixed size."""
     spark = types.sparkSession
 
@@ -224,15 +235,14 @@ def learn(types: DataFrame, passes: int = 2) -> Speller:
     for r in _over(types, histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         counts[r.b] = r.n
     code = Code(counts)
-    empty = np.zeros((_AT[-1], 2), np.uint16)
+    empty = np.zeros((_AT[-1], 2), np.uint8)
     start = np.zeros(_GATES * len(ORDERS) * _CONF, np.float32)
     for g in range(_GATES):  # trust the longest context that has seen something
         start.reshape(_GATES, len(ORDERS), _CONF)[g, max(g - 1, 0)] = 0.6
         start.reshape(_GATES, len(ORDERS), _CONF)[g, max(g - 2, 0)] += 0.3
     flat = squash(np.tile(np.linspace(-8, 8, _BINS), (256, 1))).astype(np.float32)
-    speller = Speller(code, empty, start, flat)
     if not counts.any():
-        return Speller(code, empty, start * 0, flat)
+        return Speller(code, spark.sparkContext.broadcast(empty), start * 0, flat)
 
     def tally(parts: Iterator) -> list:
         zeros, ones = np.zeros(_AT[-1], np.int32), np.zeros(_AT[-1], np.int32)
@@ -246,16 +256,16 @@ def learn(types: DataFrame, passes: int = 2) -> Speller:
     def summed(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts")).reshape(-1, 2)
         over = np.maximum(1.0, total.sum(axis=1) / _TOP)[:, None]
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([(total / over).astype(np.uint16).tobytes()], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([(total / over).astype(np.uint8).tobytes()], pa.binary())})
 
     schema = "chunk long, counts binary"
-    table = np.zeros((_AT[-1], 2), np.uint16)
+    table = np.zeros((_AT[-1], 2), np.uint8)
     for r in _over(types, tally, schema).groupBy("chunk").applyInArrow(summed, schema).toLocalIterator():
-        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint16).reshape(-1, 2)
-    speller = Speller(code, table, start, flat)
+        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8).reshape(-1, 2)
+    sent = spark.sparkContext.broadcast(table)
+    speller = Speller(code, sent, start, flat)
 
-    def online(parts: Iterator, sent, rate: float) -> list:
-        own: Speller = sent.value
+    def online(parts: Iterator, own: Speller, rate: float) -> list:
         w, square, seen = own.weights.copy(), np.full(len(own.weights), 1e-3), 0
         for body, size in parts:
             for a, b in batches_of(size, 1 << 12):
@@ -269,15 +279,11 @@ def learn(types: DataFrame, passes: int = 2) -> Speller:
         return [[w.tobytes()], [seen]]
 
     for i in range(passes):
-        sent = spark.sparkContext.broadcast(speller)
-        rows = _over(types, lambda parts, sent=sent, i=i: online(parts, sent, 0.02 / (i + 1)), "w binary, n long").collect()
+        rows = _over(types, lambda parts, own=speller, i=i: online(parts, own, 0.02 / (i + 1)), "w binary, n long").collect()
         total = sum(r.n for r in rows)
-        speller = Speller(code, table, (sum(np.frombuffer(r.w, np.float32) * (r.n / total) for r in rows)).astype(np.float32), flat)
-
-    sent = spark.sparkContext.broadcast(speller)
+        speller = Speller(code, sent, (sum(np.frombuffer(r.w, np.float32) * (r.n / total) for r in rows)).astype(np.float32), flat)
 
-    def outcomes(parts: Iterator) -> list:
-        own: Speller = sent.value
+    def outcomes(parts: Iterator, own: Speller = speller) -> list:
         seen, ones = np.zeros(256 * _BINS), np.zeros(256 * _BINS)
         for body, size in parts:
             for a, b in batches_of(size):
@@ -292,16 +298,27 @@ def learn(types: DataFrame, passes: int = 2) -> Speller:
     rows = _over(types, outcomes, "seen binary, ones binary").collect()
     seen, ones = (sum(np.frombuffer(r[i], np.float64) for r in rows).reshape(256, _BINS) for i in (0, 1))
     refine = (ones + 8 * flat) / (seen + 8)
-    return Speller(code, table, speller.weights, refine.astype(np.float32))
+    return Speller(code, sent, speller.weights, refine.astype(np.float32))
 
 
 class Scorer:
     """Known words by hash; other words are spelled, and were seen once if their text was learnt from."""
 
-    def __init__(self, speller: Speller, discount: float, total: int, distinct: int, hashes: np.ndarray, c: np.ndarray, log10: np.ndarray):
-        self.speller, self.discount, self.total, self.distinct = speller, discount, total, distinct
-        self.c, self.log10 = c, log10
-        self.table = Table(hashes, np.arange(len(hashes), dtype=np.int32))
+    def __init__(self, discount: float, total: int, distinct: int, end_c: int, end_log10: float, hashes: np.ndarray, c: np.ndarray, log10: np.ndarray):
+        self.discount, self.total, self.distinct, self.end_c, self.end_log10 = discount, total, distinct, end_c, end_log10
+        self.hashes, self.c, self.log10 = hashes, c.astype(np.int32), log10.astype(np.float32)
+        self._table: Table | None = None
+
+    @property
+    def table(self) -> Table:
+        if self._table is None:
+            self._table = Table(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+        return self._table
+
+    def rated(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, hit = self.table.get(h)
+        none = not len(self.c)
+        return np.where(hit, 0 if none else self.c[at], 0), np.where(hit, 0.0 if none else self.log10[at].astype(np.float64), 0.0), hit
 
     def word(self, c: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         return whole_word(c, spelling, self.discount, self.total, self.distinct)
@@ -315,37 +332,145 @@ def whole_word(c: np.ndarray, spelling: np.ndarray, discount: float, total: int,
     return np.log10(whole + discount * distinct / total * 10.0**spelling + 1e-300)
 
 
-def _kernel(sent) -> Callable[[np.ndarray, np.ndarray, np.ndarray], list]:
-    def kernel(data: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> list:
-        m: Scorer = sent.value
-        w = Words(data, offsets, lower=True)
-        h, doc = w.hashes().view(np.int64), w.doc()
-        at, hit = m.table.get(h)
-        c, log10 = np.where(hit, m.c[at] if len(m.c) else 0, 0), np.where(hit, m.log10[at] if len(m.c) else 0, 0.0)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[first]
-            lens = (w.ends - w.starts)[one]
-            body = w.data[np.arange(int(lens.sum())) + np.repeat(w.starts[one] - (np.cumsum(lens) - lens), lens)]
-            spelling = m.speller.log10(*close(body, lens))[back]
-            c[miss] = ~held[doc[miss]]
-            log10[miss] = m.word(c[miss], spelling)
-        n = len(offsets) - 1
-        end_at, end_hit = m.table.get(_hash_of_end())
-        end_c, end_p = (int(m.c[end_at[0]]), float(m.log10[end_at[0]])) if end_hit[0] else (0, 0.0)
-        if not end_hit[0]:
-            end_p = float(m.word(np.zeros(1), m.speller.log10(np.array([_END], np.uint8), np.array([1])))[0])
-        base = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(end_c + 1.0) - (w.counts + 1) * np.log10(m.total + m.distinct + 1.0)
-        return [w.counts + 1, np.bincount(doc, c > 0, n).astype(np.int64) + (end_c > 0), base, np.bincount(doc, log10, n) + end_p, np.diff(offsets)]
-
-    return kernel
+def _kernel(rated: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], m: Scorer, speller: Speller, echo: Echo, data: np.ndarray, offsets: np.ndarray, held: np.ndarray, ids: np.ndarray) -> list:
+    """The fields of each document of a block. rated: counts and log10 of words by their hashes, and which of them it knows."""
+    w = Words(data, offsets, lower=True)
+    h, doc, n = w.hashes().view(np.int64), w.doc(), len(offsets) - 1
+    c, log10, hit = rated(h)
+    miss = np.flatnonzero(~hit)
+    if len(miss):
+        _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        one = miss[first]
+        lens = (w.ends - w.starts)[one]
+        body = w.data[np.arange(int(lens.sum())) + np.repeat(w.starts[one] - (np.cumsum(lens) - lens), lens)]
+        c[miss] = ~held[doc[miss]]
+        log10[miss] = m.word(c[miss], speller.log10(*close(body, lens))[back])
+    base = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(m.end_c + 1.0) - (w.counts + 1) * np.log10(m.total + m.distinct + 1.0)
+    known = np.bincount(doc, c > 0, n).astype(np.int64) + (m.end_c > 0)
+    score = np.bincount(doc, log10, n) + m.end_log10
+    slot, gain = echo.gains(h, w.first, ids, log10, m.end_log10)
+    return [w.counts + 1, known, base, score + np.bincount(slot, gain, n), np.diff(offsets)]
+
+
+def anchors(h: np.ndarray, first: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in `every`."""
+    place, g, n = grams_by_doc(h.view(np.uint64), first, SEED)
+    ok = np.flatnonzero(g % np.uint64(every) == 0)
+    return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok].view(np.int64)
+
+
+class Echo:
+    """What has followed known runs of words: for each anchor the document it is taken from, and the hashes of the words that
+    came next there, up to the end of the next anchor."""
+
+    def __init__(self, every: int, keys: np.ndarray, source: np.ndarray, first: np.ndarray, words: np.ndarray):
+        self.every, self.keys, self.source, self.first, self.words = every, keys, source, first, words
+        self._table: Table | None = None
+
+    def gains(self, h: np.ndarray, first: np.ndarray, ids: np.ndarray, log10: np.ndarray, end_log10: float) -> tuple[np.ndarray, np.ndarray]:
+        """Document of each word that is foretold, and what foretelling adds to its log10.
+
+        A run goes on foretelling until it is wrong. How far it is trusted follows from how often that was right so far in the
+        document; the rest of the probability is the model's without it. A document isn't foretold from itself."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0)
+        if self._table is None:
+            self._table = Table(self.keys, np.arange(len(self.keys), dtype=np.int32))
+        doc, place, a = anchors(h, first, self.every)
+        at, hit = self._table.get(a)
+        ok = hit & (self.source[at] != ids[doc])
+        doc, place, at = doc[ok], place[ok], at[ok]
+        n = np.minimum(self.first[at + 1] - self.first[at], first[doc + 1] + 1 - (place + SEED))
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        target, of = np.repeat(place + SEED, n) + step, np.repeat(doc, n)
+        told = self.words[np.repeat(self.first[at], n) + step]
+        end = target == first[of + 1]
+        real = np.where(end, _END_HASH, h[np.where(end, 0, target)] if len(h) else 0).astype(np.int64)
+        right = told == (real & 0xFFFFFFFF).astype(np.uint32)
+        wrong = np.cumsum(~right)
+        before = wrong - ~right
+        begin = np.repeat(np.cumsum(n) - n, n)
+        alive = before - (before[begin] if len(begin) else 0) == 0
+        slot = target + of  # a place for each word and each end
+        slot, right, of, end, target = slot[alive], right[alive], of[alive], end[alive], target[alive]
+        order = np.argsort(slot, kind="stable")
+        slot, right, of, end, target = (x[order] for x in (slot, right, of, end, target))
+        last = np.append(slot[1:] != slot[:-1], True) if len(slot) else np.zeros(0, bool)  # of several, the anchor nearest to the word
+        right, of, end, target = right[last], of[last], end[last], target[last]
+        hits = np.cumsum(right) - right
+        start = np.searchsorted(of, of)
+        trust = (hits - (hits[start] if len(start) else 0) + 1.6) / (np.arange(len(of)) - start + 2)
+        without = np.where(end, end_log10, log10[np.where(end, 0, target)] if len(log10) else 0.0)
+        return of, np.log10(trust * right + (1 - trust) * 10.0**without + 1e-300) - without
+
+
+def learn_echo(docs: DataFrame, most: int) -> Echo:
+    """The anchors that some training text shares with another text. Their table has at most `most` rows: beyond, fewer runs are
+    anchors, by their hash."""
+    spark = docs.sparkSession
+    marked = docs.select(F.expr(_ID).cast("long").alias("id"), F.expr(HELD_OUT).alias("held"), F.col("text").cast("string").alias("text"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
+                w = Words(data, offsets, lower=True)
+                doc, _, a = anchors(w.hashes(), w.first, EVERY)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[lo:hi][doc]), pa.array(~held[lo:hi][doc])], names=["a", "id", "taught"])
+
+    seen = marked.mapInArrow(places, "a long, id long, taught boolean")
+    least = F.min(F.when(F.col("taught"), F.col("id")))
+    shared = written(seen.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), least.alias("source")).where("lo < hi AND source IS NOT NULL").select("a", "source"), "anchors")
+    every, kept = EVERY, shared
+    while kept.count() > most:
+        every *= 2
+        kept = shared.where(F.expr(f"pmod(a + CASE WHEN a < 0 THEN {2**64 % every} ELSE 0 END, {every}) = 0"))
+    table = kept.toArrow()
+    keys, source = (table.column(c).to_numpy() for c in ("a", "source"))
+    if not len(keys):
+        return Echo(every, keys, source, np.zeros(1, np.int64), np.zeros(0, np.uint32))
+    sent = spark.sparkContext.broadcast((keys, source))
+    made: dict[str, Table] = {}
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, source = sent.value
+        if not made:
+            made["table"] = Table(keys, np.arange(len(keys), dtype=np.int32))
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, _, data, offsets in blocks(column(batch, "text", pa.string())):
+                w = Words(data, offsets, lower=True)
+                h = w.hashes().view(np.int64)
+                doc, place, a = anchors(h, w.first, every)
+                at, hit = made["table"].get(a)
+                ok = hit & (source[at] == ids[lo + doc])
+                doc, place, a = doc[ok], place[ok], a[ok]
+                low = np.append((h & 0xFFFFFFFF).astype(np.uint32), np.uint32(0))
+                rows = []
+                for i, (d, p) in enumerate(zip(doc.tolist(), place.tolist(), strict=True)):
+                    stop, limit = int(w.first[d + 1]), p + SEED + FOLLOW
+                    if i + 1 < len(doc) and doc[i + 1] == d:
+                        limit = min(limit, int(place[i + 1]) + SEED)
+                    words = low[p + SEED : min(stop, limit)]
+                    rows.append((np.append(words, _END_LOW) if limit > stop else words).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(rows, pa.binary())], names=["a", "words"])
+
+    rows = marked.mapInArrow(follow, "a long, words binary").groupBy("a").agg(F.min("words").alias("words")).toArrow()
+    words = rows.column("words").combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+    order = {k: i for i, k in enumerate(rows.column("a").to_pylist())}
+    found = np.array([order.get(k, -1) for k in keys.tolist()])
+    keys, source, found = keys[found >= 0], source[found >= 0], found[found >= 0]
+    texts = [words[int(i)].as_py() for i in found]
+    first = np.append(0, np.cumsum([len(t) // 4 for t in texts])).astype(np.int64)
+    return Echo(every, keys, source, first, np.frombuffer(b"".join(texts), np.uint32))
 
 
 def _hash_of_end() -> np.ndarray:
     return Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes().view(np.int64)
 
 
+_END_HASH = int(_hash_of_end()[0])
+_END_LOW = np.uint32(_END_HASH & 0xFFFFFFFF)
 _FIELDS = "n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
@@ -358,38 +483,41 @@ def score(docs: DataFrame, known_rows: int = KNOWN_ROWS) -> DataFrame:
     discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
     taught = words.where("c > 0").select("w")
     types = written(taught.repartition(max(1, -(-distinct // TYPES_A_TASK)), F.xxhash64("w")).sortWithinPartitions(F.xxhash64("w", F.lit(1))), "types")
-    speller = spark.sparkContext.broadcast(learn(types))
+    speller = learn(types)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 w, c = column(b, "w", pa.string()), column(b, "c", pa.int64()).to_numpy()
                 body, size = spelled(w)
-                raw, lens = body, size
                 hashes = _hashes(w)
-                p = whole_word(c, speller.value.log10(raw, lens), discount, total, distinct)
+                p = whole_word(c, speller.log10(body, size), discount, total, distinct)
                 yield pa.RecordBatch.from_arrays([w, pa.array(hashes), pa.array(c), pa.array(p)], names=["w", "h", "c", "p"])
 
     def rated(some: DataFrame) -> DataFrame:
         return some.select("w", "c").mapInArrow(evaluate, "w string, h long, c long, p double")
 
-    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    if frequent <= known_rows:
-        known = rated(words.where("n > 1")).select("h", "c", F.col("p")).toArrow()
-        h, c, p = (known.column(x).to_numpy() for x in ("h", "c", "p"))
-        sent = spark.sparkContext.broadcast(Scorer(speller.value, discount, total, distinct, h, c, p))
-        kernel = _kernel(sent)
+    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    echo = spark.sparkContext.broadcast(learn_echo(docs, ANCHORS))
+    end = words.where("w = '\n'").select("c").first()
+    end_c = int(end.c) if end else 0
+    end_log10 = float(whole_word(np.array([end_c]), speller.log10(np.array([_END], np.uint8), np.array([1])), discount, total, distinct)[0])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, {_FIELDS}"
+    names = ["doc_id", "held_out", *(f.split()[0] for f in _FIELDS.split(", "))]
+    few = frequent <= known_rows
+    known = rated(words.where("n > 1")).select("h", "c", "p").toArrow() if few else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
+    sent = spark.sparkContext.broadcast(Scorer(discount, total, distinct, end_c, end_log10, *(known.column(x).to_numpy() for x in ("h", "c", "p"))))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held = batch.column(1).to_numpy(zero_copy_only=False)
-                for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x) for x in kernel(data, offsets, held[lo:hi]))], names=["doc_id", "held_out", *(f.split()[0] for f in _FIELDS.split(", "))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string()), 1 << 20 if few else 0):
+                look = sent.value.rated if few else _own_words(batch, lo)
+                made = _kernel(look, sent.value, speller, echo.value, data, offsets, held[lo:hi], ids[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x) for x in made)], names=names)
 
-        done = marked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, {_FIELDS}")
-    else:
-        done = _joined(marked, rated(words), total, distinct)
-    return done.withColumn("train_tokens", F.lit(total).cast("long"))
+    rows = marked if few else _with_words(marked, rated(words))
+    return rows.mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -400,22 +528,32 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return Words(data, offsets - offsets[0], is_word=np.ones(256, bool)).hashes().view(np.int64)
 
 
-def _joined(marked: DataFrame, rated: DataFrame, total: int, distinct: int) -> DataFrame:
-    """score() by a join of the documents' words, each once a document, with all rated words."""
+def _with_words(marked: DataFrame, rated: DataFrame) -> DataFrame:
+    """marked, and hashes, counts and log10 of each row's words, by a join of the words, each once a row, with all rated words."""
     keyed = written(marked.withColumn("_key", F.expr("uuid()")), "keyed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
                 w = Words(data, offsets, lower=True)
-                pair, n = np.unique(np.stack([w.doc(), w.hashes().view(np.int64)], 1), axis=0, return_counts=True) if len(w) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                doc, h = np.append(pair[:, 0], np.arange(hi - lo)), np.append(pair[:, 1], np.repeat(_hash_of_end(), hi - lo))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(h), pa.array(np.append(n, np.ones(hi - lo, np.int64)))], names=["_key", "h", "n"])
-
-    counted = keyed.select("_key", "text").mapInArrow(run, "_key string, h long, n long")
-    both = counted.join(rated.select("h", "c", "p"), "h")
-    sums = both.groupBy("_key").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.expr(f"n * (log10(c + 1D) - log10({total + distinct + 1}D))")).alias("base_score"), F.sum(F.expr("n * p")).alias("score"))
-    return keyed.select("_key", "doc_id", "held_out", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(sums, "_key").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")
+                pair = np.unique(np.stack([w.doc(), w.hashes().view(np.int64)], 1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["_key", "h"])
+
+    pairs = keyed.select("_key", "text").mapInArrow(run, "_key string, h long").join(rated.select("h", "c", "p"), "h")
+    lists = pairs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("h", "c", "p"))).alias("words"))
+    return keyed.join(lists, "_key", "left").drop("_key")
+
+
+def _own_words(batch: pa.RecordBatch, row: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Looks words up in the list that comes with the row."""
+    found = batch.column(batch.schema.names.index("words"))[row].values
+    keys, c, p = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3)) if found is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def rated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.searchsorted(keys, h)
+        return c[at], p[at], np.ones(len(h), bool)
+
+    return rated
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

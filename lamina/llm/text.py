@@ -21,10 +21,9 @@ IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.RandomState(20_240_501)
-_BYTE = _rng.randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
 
 
 def column(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
@@ -49,18 +48,6 @@ def blocks(text: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def _powers(n: int, base: np.uint64 = _BASE, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    have = _kept.get(int(base))
-    if have is None or len(have) < n:
-        size = max(64, 1 << int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 16:
-            _kept[int(base)] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ (h >> np.uint64(32))
@@ -101,14 +88,25 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
+        """A 64-bit hash of each word's bytes, eight bytes at a time."""
+        n = len(self)
         lens = self.ends - self.starts
-        body = self.data[self.mask]
-        at = np.cumsum(lens) - lens
-        place = np.arange(len(body)) - np.repeat(at, lens)
-        return mix(np.add.reduceat(_BYTE[body] * _powers(int(lens.max()))[place], at) + lens.astype(np.uint64))
+        wide = np.zeros(len(self.data) + 8, np.uint8)
+        wide[:-8] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", wide, strides=(1,))  # the eight bytes from each place on
+        h = mix(lens.astype(np.uint64) * _BASE + np.uint64(1))
+        at, left = np.arange(n), lens
+        done = 0
+        while len(at):
+            some = left[at] - done if done else left
+            part = eight[self.starts[at] + done]
+            short = some < 8
+            part[short] &= _MASKS[some[short]]
+            h[at] = mix(h[at] * _GRAM + part * _BASE)
+            done += 8
+            at = np.flatnonzero(lens > done) if done == 8 else at[lens[at] > done]
+            left = lens
+        return h
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
