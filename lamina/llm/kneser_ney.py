@@ -151,18 +151,18 @@ def perplexity(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], most_ro
 
 def _joined(docs: DataFrame, model: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """perplexity() by joins of the documents' counted grams with the model's shards."""
-    ids = written(docs.select(*keep, F.expr("uuid()").alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "texts")
+    ids = written(docs.select(*keep, F.expr("uuid()").alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(batch.schema.names.index("_key"))
-            for lo, _, data, offsets in blocks(column(batch, "text", pa.string())):
+            for lo, _, data, offsets in blocks(column(batch, "_text", pa.string())):
                 whole = codes(data, offsets)
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                     g, n = np.unique(whole[a:b], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([key[lo + i].as_py()] * len(g), pa.string()), pa.array(g), pa.array(n.astype(np.int64))], names=["_key", "g", "n"])
 
-    left = ids.select("_key", "text").mapInArrow(run, "_key string, g long, n long").withColumn("ln", F.lit(0.0))
+    left = ids.select("_key", "_text").mapInArrow(run, "_key string, g long, n long").withColumn("ln", F.lit(0.0))
     done = []
     for k in range(ORDER, 0, -1):
         p = model.where(f"kind = 'p' AND k = {k}").select("g", F.col("v").alias("p"))
@@ -176,7 +176,7 @@ def _joined(docs: DataFrame, model: DataFrame, keep: tuple[str, ...]) -> DataFra
     for x in done[1:]:
         whole = whole.union(x)
     sums = whole.groupBy("_key").agg(F.sum("x").alias("ln_p"))
-    return ids.join(sums, "_key", "left").select(*keep, F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("ln_p", F.lit(0.0)).alias("ln_p"))
+    return ids.join(sums, "_key", "left").select(*keep, F.octet_length("_text").cast("long").alias("n_bytes"), F.coalesce("ln_p", F.lit(0.0)).alias("ln_p"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

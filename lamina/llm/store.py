@@ -1,51 +1,12 @@
-"""Tables cut from their lineage, in the folder that all executors share."""
+"""Tables of documents, and those that are cut from their lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this process."""
-    sc = spark.sparkContext
-    set_ = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not set_:
-        set_ = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        sc.setCheckpointDir(set_)
-    return set_.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(clean)
-    _made.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read back: a lost executor costs no recomputation of what is before."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..store import new_path, shared_dir, written
 
-def clean() -> None:
-    """Removes what this process has written, if the session still runs."""
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            return
-    _made.clear()
+__all__ = ["documents", "new_path", "shared_dir", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
