@@ -107,21 +107,25 @@ def weighted_degree(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return one.unionByName(turned).groupBy(*keys, "src", "dst").agg(F.max("w").alias("w"))
 
 
-def adversarial(features: DataFrame, edges: DataFrame, names: list[str], eps: float = 0.5, steps: int = 3, norm: str = "linf") -> DataFrame:
-    """node and names, pushed away from their neighbours' mean: z-scores take `steps` steps of eps / steps along the graph's
+def adversarial(features: DataFrame, edges: DataFrame, names: list[str], eps: float = 0.5, steps: int = 3, norm: str = "linf", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node and names, pushed away from their neighbours' mean: z-scores take `steps` steps of eps / steps along the graph's
     Laplacian (its sign, or its direction for any other norm) and are clipped to -3..3, which also clips what was beyond before.
 
     Each step is two joins of the edges with the nodes; lineage is cut after each."""
-    stats = features.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
-    start = features.crossJoin(stats).select("node", *[((F.col(n) - F.col(f"m_{n}")) / (F.col(f"s_{n}") + 1e-6)).alias(n) for n in names])
-    z = written(start.select("node", *[F.when(F.isnan(n) | F.col(n).isNull(), 0.0).otherwise(F.col(n)).alias(n) for n in names]), "z")
-    w = written(weighted_degree(edges), "weights")
+    stats = features.groupBy(*keys).agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
+
+    def beside(df: DataFrame) -> DataFrame:
+        return df.join(stats, list(keys)) if keys else df.crossJoin(stats)  # without keys, stats is one row
+
+    start = beside(features).select(*keys, "node", *[((F.col(n) - F.col(f"m_{n}")) / (F.col(f"s_{n}") + 1e-6)).alias(n) for n in names])
+    z = written(start.select(*keys, "node", *[F.when(F.isnan(n) | F.col(n).isNull(), 0.0).otherwise(F.col(n)).alias(n) for n in names]), "z")
+    w = written(weighted_degree(edges, keys), "weights")
     alpha = eps / max(1, steps)
     for _ in range(max(1, steps)):
-        sums = w.join(z.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_deg"), *[F.sum(F.col("w") * F.col(n)).alias(f"_{n}") for n in names])
-        both = z.join(sums, "node", "left")
+        sums = w.join(z.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("_deg"), *[F.sum(F.col("w") * F.col(n)).alias(f"_{n}") for n in names])
+        both = z.join(sums, [*keys, "node"], "left")
         lap = {n: F.coalesce(F.round(F.col("_deg") * F.col(n) - F.col(f"_{n}"), 9), F.lit(0.0)) for n in names}
         length = F.sqrt(sum((v * v for v in lap.values()), F.lit(0.0))) + 1e-6
         move = {n: F.signum(v) * alpha if norm == "linf" else v / length * alpha for n, v in lap.items()}
-        z = written(both.select("node", *[F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col(n) + move[n])).alias(n) for n in names]), "z")
-    return z.crossJoin(stats).select("node", *[(F.col(n) * (F.col(f"s_{n}") + 1e-6) + F.col(f"m_{n}")).alias(n) for n in names])
+        z = written(both.select(*keys, "node", *[F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col(n) + move[n])).alias(n) for n in names]), "z")
+    return beside(z).select(*keys, "node", *[(F.col(n) * (F.col(f"s_{n}") + 1e-6) + F.col(f"m_{n}")).alias(n) for n in names])
