@@ -6,10 +6,10 @@ the first `depth` minima share a region. Depth adapts to the region: where more
 to the next, deeper forest, which has as many more trees as a pair at the threshold needs to be found as surely as before.
 
 In a region, neighbours in its order, and in small regions all, are compared by their signatures, and pairs that may reach the
-threshold become candidates. They are confirmed on the full sets of shingles. What is then left apart is looked at again:
-in each region, every pair of different components that may reach the threshold is confirmed as well. So no pair that
-shares a region is lost unless it is connected already, and a group of copies costs a few comparisons for each member, not
-one for each pair. A pair at 0.75 shares a region in some tree but for one time in 500,000.
+threshold become candidates. They are confirmed on the full sets of shingles. What is then left apart is looked at twice
+more in each region: first each document with the likest one of another component, then every pair of different components
+that may reach the threshold. So no pair that shares a region is lost unless it is connected already, and a group of copies
+costs a few confirmations for each member, not one for each pair. A pair at 0.75 shares a region in some tree but for one time in 900,000.
 
 Equal sequences of words are one node from the start. Rows that share a doc_id count as one document.
 
@@ -19,26 +19,31 @@ with a null component; an empty table gives an empty result; other columns are c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .store import documents, written
-from .text import Words, blocks, carried, column, grams_by_doc, mix, per_document, restored, segments, sequence_hashes, signed
+from .text import Words, blocks, carried, column, grams_by_doc, mix, per_document, release, restored, segments, sequence_hashes, signed
 
-SHINGLE, PERCENT, HASHES = 5, 75, 128
-#: Depth and trees of each forest: (1 - 0.75 ** depth) ** trees < 3e-6.
-FORESTS = ((3, 24), (6, 66), (10, 230))
+SHINGLE, PERCENT, HASHES = 5, 75, 256
+#: Depth and trees of each forest: (1 - 0.75 ** depth) ** trees < 1.2e-6.
+FORESTS = ((4, 36), (7, 100), (11, 320))
 #: Documents of a region that are compared in one task; a larger region is looked up at the next depth.
 REGION = 2048
 #: Regions up to this size are compared at once, larger ones by neighbours first.
 SMALL = 12
-#: Equal bytes of two sketches that a pair at the threshold has but for one time in a million (96 on average, 5 deviations).
-AGREE = 72
+#: Equal minima that a pair at the threshold has but for one time in 30,000 (192 on average, 4 deviations).
+AGREE = 164
+#: The same for the last look, at all pairs of a region that are still apart (once in 1,400; documents that are likest have been
+#: confirmed before).
+AGREE_LAST = 170
+#: Hash buckets of ids by which texts are left out early.
+BUCKETS = 1 << 20
 
 _rng = np.random.RandomState(77_001)
 _MUL = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) << 1) | np.uint32(1)
@@ -79,27 +84,32 @@ def distinct_by_doc(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray) -> list:
-    """d1, d2, number of distinct shingles and signature (HASHES 16-bit numbers) of each document of a block."""
+    """d1, d2, number of distinct shingles and signature (HASHES minima, a byte of each) of each document of a block."""
     g, n, d1, d2 = shingles(data, offsets)
     g, n = distinct_by_doc(g, n)
     low = (g >> np.uint64(32)).astype(np.uint32)
-    sig = np.empty((len(n), HASHES), np.uint16)
+    sig = np.empty((len(n), HASHES), np.uint8)
     for i in range(HASHES):
         least = segments(low * _MUL[i] + _ADD[i], n, np.minimum, np.uint32(0))
-        sig[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        sig[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return [signed(d1), signed(d2), n.astype(np.int64), [x.tobytes() for x in sig]]
 
 
-def _trees(sigs: DataFrame, depth: int, trees: int) -> DataFrame:
-    """key, id: the region of each document (id, sig) in each tree."""
+def _orders(depth: int, trees: int) -> np.ndarray:
+    """The minima by which each tree is sorted, as far as its depth."""
     rng = np.random.RandomState(1_000 * depth + trees)
-    orders = np.array([rng.permutation(HASHES)[:depth] for _ in range(trees)])
+    return np.array([rng.permutation(HASHES)[:depth] for _ in range(trees)])
+
+
+def _trees(sigs: DataFrame, depth: int, trees: int) -> DataFrame:
+    """key, id, tree: the region of each document (id, sig) in each tree."""
+    orders = _orders(depth, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = _matrix(column(part, "sig", pa.binary()), np.uint16)
+                sig = _matrix(column(part, "sig", pa.binary()))
                 ids = column(part, "id", pa.int64()).to_numpy()
                 keys = np.empty((trees, len(ids)), np.uint64)
                 for t, order in enumerate(orders):
@@ -107,27 +117,29 @@ def _trees(sigs: DataFrame, depth: int, trees: int) -> DataFrame:
                     for i in order:
                         k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
                     keys[t] = k
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.tile(ids, trees))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.tile(ids, trees)), pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(ids)))], names=["key", "id", "tree"])
+        release()
 
-    return sigs.select("id", "sig").mapInArrow(run, "key long, id long")
+    return sigs.select("id", "sig").mapInArrow(run, "key long, id long, tree int")
 
 
-def _matrix(arr: pa.Array, kind: type) -> np.ndarray:
-    width = HASHES * 2
+def _matrix(arr: pa.Array) -> np.ndarray:
     offset = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1 + arr.offset)[arr.offset]
-    return np.frombuffer(arr.buffers()[2], np.uint8, len(arr) * width, offset).view(kind).reshape(len(arr), -1)
+    return np.frombuffer(arr.buffers()[2], np.uint8, len(arr) * HASHES, offset).reshape(len(arr), HASHES)
 
 
 def _regions(sigs: DataFrame) -> DataFrame:
-    """key, m, id: the regions with 2 to REGION documents, and their number m."""
+    """key, m, id, tree: the regions with 2 to REGION documents, and their number m. tree is -1 unless all regions of the first
+    forest are among them."""
     out, nodes = [], sigs
     for level, (depth, trees) in enumerate(FORESTS):
         keys = _trees(nodes, depth, trees)
-        crowded = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1")
+        crowded = written(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1"), "sizes")
         rows = written(keys.join(crowded, "key"), "regions")
-        out.append(rows.where(f"m <= {REGION}").select("key", "m", "id"))
         large = rows.where(f"m > {REGION}")
-        if large.isEmpty():
+        whole = level == 0 and large.isEmpty()
+        out.append(rows.where(f"m <= {REGION}").select("key", "m", "id", F.col("tree") if whole else F.lit(-1).alias("tree")))
+        if whole or large.isEmpty():
             break
         if level + 1 < len(FORESTS):
             nodes = written(sigs.join(large.select("id").distinct(), "id"), "crowded")
@@ -149,11 +161,13 @@ def _dealt(large: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("m") / F.lit(REGION // 2)).cast("long")
     mine = large.where("id <> leader").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("key"), "id")
     first = large.where("id = leader").select("key", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    return mine.unionByName(first.select(F.xxhash64("key", "part").alias("key"), "id")).select("key", F.lit(REGION).cast("long").alias("m"), "id")
+    return mine.unionByName(first.select(F.xxhash64("key", "part").alias("key"), "id")).select("key", F.lit(REGION).cast("long").alias("m"), "id", F.lit(-1).alias("tree"))
 
 
 def _by_region(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "sig")
+    """rows, each region whole in one partition. The partitions are dealt by a hash of the key and not by the key itself: Spark
+    drops a repartition by what a join below it has dealt by, and may then split that join's partitions."""
+    return rows.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "sig")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,63 +188,101 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return column(batch, "id", pa.int64()).to_numpy(), column(batch, "n", pa.int64()).to_numpy(), _matrix(column(batch, "sig", pa.binary()), np.uint8)[:, ::2]
+    return column(batch, "id", pa.int64()).to_numpy(), column(batch, "n", pa.int64()).to_numpy(), _matrix(column(batch, "sig", pa.binary()))
 
 
 def _may_link(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)
 
 
-def _pair_batch(a: list, b: list) -> pa.RecordBatch:
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+_PAIR = "a long, b long, same int"
+
+
+def _pair_batch(a: list, b: list, same: list) -> pa.RecordBatch:
+    """Pairs, and how much of their sketches agrees; more than all of it marks pairs that are confirmed in any case."""
+    x, y, z = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, same))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(z.astype(np.int32))], names=["a", "b", "same"])
+
+
+def _chosen(pairs: DataFrame) -> DataFrame:
+    """a, b: of pairs found in any tree, the marked ones, and for each document the one that agrees most."""
+    pairs = written(pairs.where("a < b").groupBy("a", "b").agg(F.max("same").alias("same")), "found")
+    ends = pairs.select("a", "b", "same", F.explode(F.array("a", "b")).alias("id"))
+    best = ends.groupBy("id").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("same"), F.col("a"), F.col("b"))).alias("p")).select("p.a", "p.b")
+    return written(pairs.where(f"same > {HASHES}").select("a", "b").unionByName(best).distinct(), "pairs")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _groups(batches):
         key, m = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "m"))
         ids, n, sketch = _sketch(batch)
-        a, b = [], []
+        a, b, agree = [], [], []
         for lag in range(1, SMALL):
             i = np.flatnonzero((key[lag:] == key[:-lag]) & ((m[lag:] <= SMALL) | (lag == 1)))
             i = i[_may_link(n[i], n[i + lag])]
             for at in range(0, len(i), 8192):
                 j = i[at : at + 8192]
-                j = j[(sketch[j] == sketch[j + lag]).sum(axis=1) >= AGREE]
+                same = (sketch[j] == sketch[j + lag]).sum(axis=1)
+                j, same = j[same >= AGREE], same[same >= AGREE]
                 a.append(ids[j])
                 b.append(ids[j + lag])
-        yield _pair_batch(a, b)
+                agree.append(np.where(m[j] <= SMALL, HASHES + 1, same))
+        yield _pair_batch(a, b, agree)
+    release()
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each region. The largest component of a region is not compared with itself."""
-    for batch in _groups(batches):
-        key, component = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "component"))
-        ids, n, sketch = _sketch(batch)
-        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            of = component[lo:hi]
-            names, inverse, many = np.unique(of, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            order = np.argsort(inverse == np.argmax(many), kind="stable")  # the largest component last
-            few = (hi - lo) - int(many.max())
-            x, y, of = sketch[lo:hi][order], n[lo:hi][order], of[order]
-            who = ids[lo:hi][order]
-            for at in range(0, few, 16):
-                end = min(at + 16, few)
-                ok = (of[at:end, None] != of[None]) & _may_link(y[at:end, None], y[None]) & (np.arange(len(x))[None] > np.arange(at, end)[:, None])
-                i, j = np.nonzero(ok)
-                good = (x[i + at] == x[j]).sum(axis=1) >= AGREE if len(i) else np.zeros(0, bool)
-                a.append(who[i[good] + at])
-                b.append(who[j[good]])
-        yield _pair_batch(a, b)
+def _apart(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components in each region: of each document the likest one (best), or all that may reach the
+    threshold. The largest component of a region is not compared with itself."""
+
+    orders = _orders(*FORESTS[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            key, component, tree = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "component", "tree"))
+            ids, n, sketch = _sketch(batch)
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            a, b, agree = [], [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                names, inverse, many = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                order = np.argsort(inverse == np.argmax(many), kind="stable")  # the largest component last
+                few = (hi - lo) - int(many.max())
+                x, y, of, who = sketch[lo:hi][order], n[lo:hi][order], inverse[order], ids[lo:hi][order]
+                for at in range(0, few, 16):
+                    end = min(at + 16, few)
+                    ok = (of[at:end, None] != of[None]) & _may_link(y[at:end, None], y[None])
+                    if not best:
+                        ok &= np.arange(len(x))[None] > np.arange(at, end)[:, None]
+                    i, j = np.nonzero(ok)
+                    same = (x[i + at] == x[j]).sum(axis=1) if len(i) else np.zeros(0, np.int64)
+                    i, j, same = (v[same >= (AGREE if best else AGREE_LAST)] for v in (i, j, same))
+                    for order_of in orders[: max(0, tree[lo])] if not best and len(i) else ():  # found in an earlier tree
+                        new = (x[i + at][:, order_of] != x[j][:, order_of]).any(axis=1)
+                        i, j, same = i[new], j[new], same[new]
+                    if best:
+                        top = np.lexsort((who[j], -same, i))
+                        top = top[np.append(True, i[top][1:] != i[top][:-1])] if len(top) else top
+                        i, j, same = i[top], j[top], same[top]
+                    a.append(who[i + at])
+                    b.append(who[j])
+                    agree.append(same if best else np.full(len(same), HASHES + 1))
+            yield _pair_batch(a, b, agree)
+        release()
+
+    return run
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles: the sorted distinct shingles of the documents with these ids, as 64-bit hashes."""
-    wanted = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id")
+    """id, shingles: the sorted distinct shingles of the documents with these ids, as 64-bit hashes.
+
+    Before texts are shuffled to the ids, those whose id falls into none of the ids' BUCKETS are left out: that list is
+    broadcast, and has at most BUCKETS rows however many ids there are."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket)
+    likely = texts.join(F.broadcast(ids.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+    wanted = likely.select("id", "text").join(ids, "id")
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list:
         g, n = distinct_by_doc(*shingles(data, offsets)[:2])
@@ -256,6 +308,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 ok[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(ok))
+        release()
 
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -270,23 +323,35 @@ def classes(docs: DataFrame) -> DataFrame:
     sigs = known.join(first.where("id IS NOT NULL"), ["d1", "d2"]).where("doc_id = id").select("id", "n", "sig").dropDuplicates(["id"])
     sigs = written(sigs, "nodes")
     rows = _regions(sigs).join(sigs, "id")
-    near = _by_region(rows.select("key", "m", "id", "n", "sig")).mapInArrow(_neighbours, "a long, b long")
-    pairs = written(near.where("a < b").distinct(), "pairs")
-    links = written(_confirmed(docs, pairs), "links")
-    found = components(links)
-
-    labelled = rows.where(f"m > {SMALL}").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    again = _by_region(labelled.join(split, "key").select("key", "id", "n", "sig", "component")).mapInArrow(_apart, "a long, b long")
-    more = written(again.where("a < b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
+    near = _by_region(rows.select("key", "m", "id", "n", "sig")).mapInArrow(_neighbours, _PAIR)
+    pairs = _chosen(near)
+    found = components(written(_confirmed(docs, pairs), "links"))
+
+    for best in (True, False):
+        labelled = rows.where(f"m > {SMALL}").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        again = _by_region(labelled.join(split, "key").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(best), _PAIR)
+        more = written(_chosen(again).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        pairs = pairs.unionByName(more)
         new = written(_confirmed(docs, more), "links")
         if not new.isEmpty():
-            found = components(links.unionByName(new))
+            found = _joined_up(found, new)
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
     return thin.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _joined_up(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more links: only links between components are followed."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    between = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    ids = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left_anti").withColumn("component", F.col("id")))
+    return written(ids.join(between, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "components")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir).select("doc_id", "text"))
 
