@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as _hash
 
 from .store import documents
-from .text import carried, column
+from .text import carried, column, release
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers in each of two generations, and the longest that it remembers, in characters.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,6 +156,7 @@ def _mapped(docs: DataFrame, fields: str, row: Callable[[Codec, str], tuple], vo
         for batch, texts in _texts(batches):
             made = list(zip(*(row(use, t) for t in texts), strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, _ARROW[f.split()[1]]) for v, f in zip(made, fields.split(", "), strict=True))], names=[*batch.schema.names, *names])
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -177,6 +178,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = publ
         for batch in batches:
             ids = batch.column(batch.schema.names.index("ids"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([use.decode(x.as_py() or b"") for x in ids], pa.binary())], names=[*batch.schema.names, "decoded"])
+        release()
 
     return encoded.mapInArrow(run, schema)
 

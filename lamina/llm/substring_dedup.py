@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import documents, written
-from .text import Words, blocks, carried, column, grams, mix, restored, signed
+from .text import Words, blocks, carried, column, grams, mix, release, restored, signed
 
 LENGTH, SEED = 50, 10
 #: Windows that a kernel handles at once, and the bits of an anchor's place among them.
@@ -100,6 +100,7 @@ def _occurrences(keyed: DataFrame, length: int, seed: int) -> DataFrame:
                 doc, pos, n, a, b = regions(w.hashes(), w.first, length, seed)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(a), signed(b), did[lo:hi][doc], th[lo:hi][doc], pos.astype(np.int32), n.astype(np.int32))], names=["a", "b", "did", "th", "pos", "n"])
+        release()
 
     return keyed.select("did", "th", "text").mapInArrow(run, "a long, b long, did long, th int, pos int, n int")
 
@@ -117,6 +118,7 @@ def _window_hashes(docs: DataFrame, length: int) -> DataFrame:
                 g = grams(w.hashes(), length)
                 doc, at = np.repeat(doc, n), np.arange(int(n.sum())) + np.repeat(pos - (np.cumsum(n) - n), n)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(g[w.first[doc] + at])), pa.array(did[lo:hi][doc]), pa.array(th[lo:hi][doc]), pa.array(at.astype(np.int32))], names=["wh", "did", "th", "pos"])
+        release()
 
     return docs.select("did", "th", "text", "spans").mapInArrow(run, "wh long, did long, th int, pos int")
 
@@ -187,6 +189,7 @@ def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
                 n, gone, text = _without(data, offsets, runs.slice(lo, hi - lo), length)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(3)] + [pa.array(n), pa.array(gone), text], names=["_row", "doc_id", "text", "n_words", "n_removed", "kept_text"])
+        release()
 
     return joined.mapInArrow(run, fields.add("n_words", "long").add("n_removed", "long").add("kept_text", "string"))
 

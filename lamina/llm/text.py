@@ -5,6 +5,8 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D; UTF-8 never uses those in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .store import small_batches
+
 #: Bytes of text handled at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 IS_WORD = np.ones(256, bool)
@@ -172,12 +176,14 @@ def per_document(docs: DataFrame, fields: list[tuple[str, str]], kernel: Callabl
             for lo, hi, data, offsets in blocks(text):
                 made = [pa.array(v, f.type) for v, f in zip(kernel(data, offsets), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(keep))] + made, names=[*keep, *(f.name for f in arrow)])
+        release()
 
     return kept.mapInArrow(run, schema)
 
 
 def carried(docs: DataFrame) -> DataFrame:
     """text, and the other columns in a struct _row, so that no name can clash with an operator's own."""
+    small_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     return docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("string").alias("text"), F.col("doc_id"))
 
@@ -187,5 +193,12 @@ def restored(df: DataFrame, names: list[str], text: str = "text") -> DataFrame:
     return df.select(*[F.col(text).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: a worker process waits for further tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
