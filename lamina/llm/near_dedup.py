@@ -207,7 +207,7 @@ def _pair_batch(a: list, b: list, same: list) -> pa.RecordBatch:
 def _chosen(pairs: DataFrame) -> DataFrame:
     """a, b: of pairs found in any tree, the marked ones, and for each document the one that agrees most."""
     pairs = written(pairs.where("a < b").groupBy("a", "b").agg(F.max("same").alias("same")), "found")
-    ends = pairs.select("a", "b", "same", F.explode(F.array("a", "b")).alias("id"))
+    ends = pairs.where(f"same <= {HASHES}").select("a", "b", "same", F.explode(F.array("a", "b")).alias("id"))
     best = ends.groupBy("id").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("same"), F.col("a"), F.col("b"))).alias("p")).select("p.a", "p.b")
     return written(pairs.where(f"same > {HASHES}").select("a", "b").unionByName(best).distinct(), "pairs")
 
