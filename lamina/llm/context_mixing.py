@@ -14,7 +14,8 @@ from predictions that leave the word at hand out of the counts, and averaged aft
 happened after each prediction.
 
 Words that occur once in the whole corpus are spelled where they stand; the others are looked up. Their table is sent to the
-executors if it has at most KNOWN_ROWS rows; beyond, the documents' words are joined with it.
+executors if it has at most KNOWN_ROWS rows; beyond, the documents' words are joined with it. Likewise the anchors that texts
+share are sent if they are ANCHORS at most, and joined beyond; one run in EVERY is an anchor at any size.
 
 Defined cases: a null or empty text has one token, its end; a null doc_id belongs to the training rows; without training rows
 the counts are 0 and the spelling model is uniform; rows that repeat count and are scored one by one; an empty table gives an
@@ -40,8 +41,8 @@ ORDERS = (1, 2, 3, 4, 6)
 #: Slots of each order's table, as powers of two.
 SLOTS = (16, 18, 20, 21, 21)
 TYPES_A_TASK, KNOWN_ROWS, BLOCK = 500_000, 6_000_000, 1 << 22
-#: Words of an anchor, one run in so many that is one, words that are kept after it, and anchors that are kept at most.
-SEED, EVERY, FOLLOW, ANCHORS = 6, 16, 64, 400_000
+#: Words of an anchor, one run in so many that is one, and the anchors that are sent whole at most.
+SEED, EVERY, ANCHORS = 6, 16, 400_000
 _ID = "coalesce(doc_id, 9223372036854775807)"
 HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 7) = 2, false)"
 
@@ -352,10 +353,10 @@ def _kernel(rated: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarr
     return [w.counts + 1, known, base, score + np.bincount(slot, gain, n), np.diff(offsets)]
 
 
-def anchors(h: np.ndarray, first: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in `every`."""
+def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in EVERY."""
     place, g, n = grams_by_doc(h.view(np.uint64), first, SEED)
-    ok = np.flatnonzero(g % np.uint64(every) == 0)
+    ok = np.flatnonzero(g % np.uint64(EVERY) == 0)
     return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok].view(np.int64)
 
 
@@ -363,8 +364,8 @@ class Echo:
     """What has followed known runs of words: for each anchor the document it is taken from, and the hashes of the words that
     came next there, up to the end of the next anchor."""
 
-    def __init__(self, every: int, keys: np.ndarray, source: np.ndarray, first: np.ndarray, words: np.ndarray):
-        self.every, self.keys, self.source, self.first, self.words = every, keys, source, first, words
+    def __init__(self, keys: np.ndarray, source: np.ndarray, first: np.ndarray, words: np.ndarray):
+        self.keys, self.source, self.first, self.words = keys, source, first, words
         self._table: Table | None = None
 
     def gains(self, h: np.ndarray, first: np.ndarray, ids: np.ndarray, log10: np.ndarray, end_log10: float) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +377,7 @@ class Echo:
             return np.zeros(0, np.int64), np.zeros(0)
         if self._table is None:
             self._table = Table(self.keys, np.arange(len(self.keys), dtype=np.int32))
-        doc, place, a = anchors(h, first, self.every)
+        doc, place, a = anchors(h, first)
         at, hit = self._table.get(a)
         ok = hit & (self.source[at] != ids[doc])
         doc, place, at = doc[ok], place[ok], at[ok]
@@ -404,65 +405,66 @@ class Echo:
         return of, np.log10(trust * right + (1 - trust) * 10.0**without + 1e-300) - without
 
 
-def learn_echo(docs: DataFrame, most: int) -> Echo:
-    """The anchors that some training text shares with another text. Their table has at most `most` rows: beyond, fewer runs are
-    anchors, by their hash."""
-    spark = docs.sparkSession
+def learn_echo(docs: DataFrame) -> DataFrame:
+    """a, source, words: the anchors that some training text shares with another text, the least such training text, and what came
+    next there, up to the end of its next anchor. A copy that goes on beyond that shares the next anchor, too."""
     marked = docs.select(F.expr(_ID).cast("long").alias("id"), F.expr(HELD_OUT).alias("held"), F.col("text").cast("string").alias("text"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                w = Words(data, offsets, lower=True)
-                doc, _, a = anchors(w.hashes(), w.first, EVERY)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[lo:hi][doc]), pa.array(~held[lo:hi][doc])], names=["a", "id", "taught"])
-
-    seen = marked.mapInArrow(places, "a long, id long, taught boolean")
-    least = F.min(F.when(F.col("taught"), F.col("id")))
-    shared = written(seen.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), least.alias("source")).where("lo < hi AND source IS NOT NULL").select("a", "source"), "anchors")
-    every, kept = EVERY, shared
-    while kept.count() > most:
-        every *= 2
-        kept = shared.where(F.expr(f"pmod(a + CASE WHEN a < 0 THEN {2**64 % every} ELSE 0 END, {every}) = 0"))
-    table = kept.toArrow()
-    keys, source = (table.column(c).to_numpy() for c in ("a", "source"))
-    if not len(keys):
-        return Echo(every, keys, source, np.zeros(1, np.int64), np.zeros(0, np.uint32))
-    sent = spark.sparkContext.broadcast((keys, source))
-    made: dict[str, Table] = {}
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, source = sent.value
-        if not made:
-            made["table"] = Table(keys, np.arange(len(keys), dtype=np.int32))
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, data, offsets in blocks(column(batch, "text", pa.string())):
                 w = Words(data, offsets, lower=True)
                 h = w.hashes().view(np.int64)
-                doc, place, a = anchors(h, w.first, every)
-                at, hit = made["table"].get(a)
-                ok = hit & (source[at] == ids[lo + doc])
-                doc, place, a = doc[ok], place[ok], a[ok]
-                low = np.append((h & 0xFFFFFFFF).astype(np.uint32), np.uint32(0))
-                rows = []
-                for i, (d, p) in enumerate(zip(doc.tolist(), place.tolist(), strict=True)):
-                    stop, limit = int(w.first[d + 1]), p + SEED + FOLLOW
-                    if i + 1 < len(doc) and doc[i + 1] == d:
-                        limit = min(limit, int(place[i + 1]) + SEED)
-                    words = low[p + SEED : min(stop, limit)]
-                    rows.append((np.append(words, _END_LOW) if limit > stop else words).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(rows, pa.binary())], names=["a", "words"])
-
-    rows = marked.mapInArrow(follow, "a long, words binary").groupBy("a").agg(F.min("words").alias("words")).toArrow()
-    words = rows.column("words").combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    order = {k: i for i, k in enumerate(rows.column("a").to_pylist())}
-    found = np.array([order.get(k, -1) for k in keys.tolist()])
-    keys, source, found = keys[found >= 0], source[found >= 0], found[found >= 0]
-    texts = [words[int(i)].as_py() for i in found]
+                doc, place, a = anchors(h, w.first)
+                taught = ~held[lo:hi][doc]
+                low = np.full(len(h) + hi - lo, _END_LOW, np.uint32)  # a place for each word and each end
+                low[np.arange(len(h)) + w.doc()] = (h & 0xFFFFFFFF).astype(np.uint32)
+                stop = w.first[doc + 1] + 1
+                if len(doc):
+                    stop[:-1] = np.where(doc[1:] == doc[:-1], place[1:] + SEED, stop[:-1])
+                n = np.where(taught, stop - place - SEED, 0)
+                at = np.cumsum(n) - n
+                words = low[np.arange(int(n.sum())) + np.repeat(place + SEED + doc - at, n)]
+                told = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * np.append(0, np.cumsum(n))).astype(np.int32)), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[lo:hi][doc]), pa.array(taught), told], names=["a", "id", "taught", "words"])
+
+    seen = marked.mapInArrow(places, "a long, id long, taught boolean, words binary")
+    least = F.min(F.when(F.col("taught"), F.struct("id", "words")))
+    shared = seen.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), least.alias("least")).where("lo < hi AND least IS NOT NULL")
+    return written(shared.select("a", F.col("least.id").alias("source"), F.col("least.words").alias("words")), "anchors")
+
+
+def _echo(keys: pa.Array, source: pa.Array, words: pa.Array) -> Echo:
+    """An Echo of anchors, each of which may occur several times."""
+    a, at = np.unique(keys.to_numpy(), return_index=True)
+    texts = words.take(pa.array(at)).to_pylist()
     first = np.append(0, np.cumsum([len(t) // 4 for t in texts])).astype(np.int64)
-    return Echo(every, keys, source, first, np.frombuffer(b"".join(texts), np.uint32))
+    return Echo(a, source.to_numpy()[at], first, np.frombuffer(b"".join(texts), np.uint32))
+
+
+def _with_echo(marked: DataFrame, shared: DataFrame) -> DataFrame:
+    """marked, and the shared anchors of each row that aren't taken from itself, by a join of the rows' anchors."""
+    keyed = written(marked.withColumn("_key", F.expr("uuid()")), "keyed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
+                w = Words(data, offsets, lower=True)
+                doc, _, a = anchors(w.hashes(), w.first)
+                pair = np.unique(np.stack([doc, a], 1), axis=0)
+                rows = pa.array(pair[:, 0])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 1)), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["_key", "id", "a"])
+
+    pairs = keyed.select("_key", "id", "text").mapInArrow(run, "_key string, id long, a long").join(shared, "a").where("id <> source")
+    lists = pairs.groupBy("_key").agg(F.collect_list(F.struct("a", "source", "words")).alias("told"))
+    return keyed.join(lists, "_key", "left").drop("_key")
+
+
+def _own_echo(batch: pa.RecordBatch, lo: int, hi: int) -> Echo:
+    """Of the anchors that come with these rows."""
+    found = batch.column(batch.schema.names.index("told")).slice(lo, hi - lo).flatten()
+    return _echo(*(found.field(i) for i in range(3)))
 
 
 def _hash_of_end() -> np.ndarray:
@@ -498,7 +500,9 @@ def score(docs: DataFrame, known_rows: int = KNOWN_ROWS) -> DataFrame:
         return some.select("w", "c").mapInArrow(evaluate, "w string, h long, c long, p double")
 
     marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    echo = spark.sparkContext.broadcast(learn_echo(docs, ANCHORS))
+    shared = learn_echo(docs)
+    near = shared.count() <= ANCHORS
+    sent_echo = spark.sparkContext.broadcast(_echo(*shared.toArrow().combine_chunks().columns) if near else None)
     end = words.where("w = '\n'").select("c").first()
     end_c = int(end.c) if end else 0
     end_log10 = float(whole_word(np.array([end_c]), speller.log10(np.array([_END], np.uint8), np.array([1])), discount, total, distinct)[0])
@@ -513,10 +517,12 @@ def score(docs: DataFrame, known_rows: int = KNOWN_ROWS) -> DataFrame:
             held, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string()), 1 << 20 if few else 0):
                 look = sent.value.rated if few else _own_words(batch, lo)
-                made = _kernel(look, sent.value, speller, echo.value, data, offsets, held[lo:hi], ids[lo:hi])
+                echo = sent_echo.value if near else _own_echo(batch, lo, hi)
+                made = _kernel(look, sent.value, speller, echo, data, offsets, held[lo:hi], ids[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x) for x in made)], names=names)
 
-    rows = marked if few else _with_words(marked, rated(words))
+    rows = marked if near else _with_echo(marked, shared)
+    rows = rows if few else _with_words(rows, rated(words))
     return rows.mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
 
 

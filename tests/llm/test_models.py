@@ -178,3 +178,33 @@ def test_a_copy_is_foretold(spark):
     rows = [(next(ids), t) for t in texts] + [(held, texts[7] + " " + texts[8])]
     got = {r.doc_id: r for r in C.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held].score > 0.8 * got[held].base_score
+
+
+def test_anchors_beyond_those_that_are_sent_count_too(spark, docs, monkeypatch):
+    texts = _texts()
+    rows = [(i, f"{t} {texts[(i * 7) % 50]}") for i, t in enumerate(texts)] + [(400 + i, " ".join(texts[i : i + 5])) for i in range(40)]
+    for some in (spark.createDataFrame(rows, "doc_id long, text string"), docs):
+        sent = sorted((str(r.doc_id), r.n_tokens, r.score) for r in C.score(some).collect())
+        for known in (C.KNOWN_ROWS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(C, "ANCHORS", 4)
+                joined = sorted((str(r.doc_id), r.n_tokens, r.score) for r in C.score(some, known).collect())
+            assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4) for a, b in zip(sent, joined, strict=True))
+
+
+def test_continuations_go_on_to_the_next_anchor(spark):
+    """However far that is: of a text in which no anchor follows the first one, all the rest."""
+    w = [f"w{i}" for i in range(20_000)]
+    data = np.frombuffer(" ".join(w).encode(), np.uint8)
+    words = C.Words(data, np.array([0, len(data)]), lower=True)
+    place, g, _ = C.grams_by_doc(words.hashes(), words.first, C.SEED)
+    place = place[g % np.uint64(C.EVERY) == 0]
+    gap = int(np.argmax(np.diff(place)))
+    assert place[gap + 1] - place[gap] > 64 + C.SEED
+    text = " ".join(w[place[gap] : place[gap + 1]])
+    taught = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    got = {r.doc_id: r.score for r in C.score(spark.createDataFrame([(i, text) for i in taught], "doc_id long, text string")).collect()}
+    told = got[taught[1]] - got[taught[0]]  # the first isn't foretold
+    n = place[gap + 1] - place[gap] - C.SEED + 1
+    one = got[taught[0]] / (place[gap + 1] - place[gap] + 1)
+    assert told > -one * n * 0.9
