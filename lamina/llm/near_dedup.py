@@ -3,7 +3,9 @@
 Documents are linked if 100 * |A & B| >= 75 * |A | B| for their sets of five-word shingles. A signature has HASHES minima. The
 trees of the forest are sorted orders of the signatures, each by its own order of the minima; documents whose orders agree on
 the first `depth` minima share a region. Depth adapts to the region: where more than REGION documents meet, all of them go on
-to the next, deeper forest, which has as many more trees as a pair at the threshold needs to be found as surely as before.
+to the next, deeper forest, which has as many more trees as a pair at the threshold needs to be found as surely as before. Regions
+that are still too large in the last one are dealt into parts, and while they hold several components, each part is compared
+with each other part.
 
 In a region, neighbours in its order, and in small regions all, are compared by their signatures, and pairs that may reach the
 threshold become candidates. They are confirmed on the full sets of shingles. What is then left apart is looked at twice
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -128,9 +130,9 @@ def _matrix(arr: pa.Array) -> np.ndarray:
     return np.frombuffer(arr.buffers()[2], np.uint8, len(arr) * HASHES, offset).reshape(len(arr), HASHES)
 
 
-def _regions(sigs: DataFrame) -> DataFrame:
+def _regions(sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """key, m, id, tree: the regions with 2 to REGION documents, and their number m. tree is -1 unless all regions of the first
-    forest are among them."""
+    forest are among them. And key, m, id, leader: the regions of the last forest with more documents, if there are any."""
     out, nodes = [], sigs
     for level, (depth, trees) in enumerate(FORESTS):
         keys = _trees(nodes, depth, trees)
@@ -140,12 +142,10 @@ def _regions(sigs: DataFrame) -> DataFrame:
         whole = level == 0 and large.isEmpty()
         out.append(rows.where(f"m <= {REGION}").select("key", "m", "id", F.col("tree") if whole else F.lit(-1).alias("tree")))
         if whole or large.isEmpty():
-            break
+            return _union(out), None
         if level + 1 < len(FORESTS):
             nodes = written(sigs.join(large.select("id").distinct(), "id"), "crowded")
-        else:
-            out.append(_dealt(large))
-    return out[0] if len(out) == 1 else _union(out)
+    return _union(out), large.select("key", "m", "id", "leader")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -155,15 +155,37 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _dealt(large: DataFrame) -> DataFrame:
-    """What is too large at the greatest depth: such documents agree nearly everywhere, and are dealt into parts that all
-    hold the region's first document."""
+def _parts() -> tuple[Column, Column]:
+    """Into how many parts a large region (key, m, id) is dealt, and the document's own."""
     parts = F.ceil(F.col("m") / F.lit(REGION // 2)).cast("long")
-    mine = large.where("id <> leader").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("key"), "id")
+    return parts, F.pmod(F.xxhash64("id"), parts)
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """The parts of large regions, each with the region's first document, for the first look: it links most copies cheaply."""
+    parts, own = _parts()
+    mine = large.where("id <> leader").select(F.xxhash64("key", own).alias("key"), "id")
     first = large.where("id = leader").select("key", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     return mine.unionByName(first.select(F.xxhash64("key", "part").alias("key"), "id")).select("key", F.lit(REGION).cast("long").alias("m"), "id", F.lit(-1).alias("tree"))
 
 
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Each two parts of large regions (key, m, id, component) as a region: all pairs of documents meet in one."""
+    parts, own = _parts()
+    met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).where("own <> other")
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", F.lit(-1).alias("tree"), "component")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _split(labelled: DataFrame) -> DataFrame:
+    """The regions that hold several components."""
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return labelled.join(several, "key")
+
+
 def _by_region(rows: DataFrame) -> DataFrame:
     """rows, each region whole in one partition. The partitions are dealt by a hash of the key and not by the key itself: Spark
     drops a repartition by what a join below it has dealt by, and may then split that join's partitions."""
@@ -322,15 +344,17 @@ def classes(docs: DataFrame) -> DataFrame:
     thin = made.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2"], "left")
     sigs = known.join(first.where("id IS NOT NULL"), ["d1", "d2"]).where("doc_id = id").select("id", "n", "sig").dropDuplicates(["id"])
     sigs = written(sigs, "nodes")
-    rows = _regions(sigs).join(sigs, "id")
-    near = _by_region(rows.select("key", "m", "id", "n", "sig")).mapInArrow(_neighbours, _PAIR)
+    rows, large = _regions(sigs)
+    first_look = rows if large is None else rows.unionByName(_dealt(large))
+    near = _by_region(first_look.join(sigs, "id").select("key", "m", "id", "n", "sig")).mapInArrow(_neighbours, _PAIR)
     pairs = _chosen(near)
     found = components(written(_confirmed(docs, pairs), "links"))
 
     for best in (True, False):
-        labelled = rows.where(f"m > {SMALL}").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        again = _by_region(labelled.join(split, "key").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(best), _PAIR)
+        apart = _split(_labelled(rows.where(f"m > {SMALL}").select("key", "id", "tree"), found))
+        if large is not None:
+            apart = apart.unionByName(_split(_in_blocks(_split(_labelled(large.select("key", "m", "id"), found)))))
+        again = _by_region(apart.join(sigs, "id").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(best), _PAIR)
         more = written(_chosen(again).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue

@@ -65,6 +65,23 @@ def test_near_dedup_of_crowded_regions(spark, monkeypatch, region):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == near_by_brute_force(rows)
 
 
+def test_near_dedup_compares_all_parts_of_large_regions(spark, monkeypatch):
+    """Texts with one long passage in common meet in regions of the last forest that are too large; each has one near copy."""
+    import random
+
+    monkeypatch.setattr(N, "REGION", 8)
+    monkeypatch.setattr(N, "SMALL", 3)
+    monkeypatch.setattr(N, "FORESTS", ((1, 1),))
+    r = random.Random(9)
+    passage = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        own = [f"o{i}x{r.randint(0, 9999)}" for _ in range(60)]
+        rows += [(i + 1, " ".join([*passage, *own])), (i + 101, " ".join([*passage, *own, "more"]))]
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == near_by_brute_force(rows)
+
+
 def test_near_dedup_stage_keeps_columns_and_one_of_each_group(spark, docs, empty):
     out = N.stage(spark, docs, "")
     assert out.schema.simpleString() == docs.schema.simpleString()
