@@ -10,7 +10,7 @@ with each other part.
 In a region, neighbours in its order, and in small regions all, are compared by their signatures, and pairs that may reach the
 threshold become candidates. They are confirmed on the full sets of shingles. What is then left apart is looked at twice
 more in each region: first each document with the likest one of another component, then every pair of different components
-that may reach the threshold. So no pair that shares a region is lost unless it is connected already, and a group of copies
+that may reach the threshold, the likest ones of each two components first, until none is left. So no pair that shares a region is lost unless it is connected already, and a group of copies
 costs a few confirmations for each member, not one for each pair. A pair at 0.75 shares a region in some tree but for one time in 900,000.
 
 Equal sequences of words are one node from the start. Rows that share a doc_id count as one document.
@@ -41,9 +41,8 @@ REGION = 2048
 SMALL = 12
 #: Equal minima that a pair at the threshold has but for one time in 30,000 (192 on average, 4 deviations).
 AGREE = 164
-#: The same for the last look, at all pairs of a region that are still apart (once in 1,400; documents that are likest have been
-#: confirmed before).
-AGREE_LAST = 170
+#: The last look confirms one pair for each two components of a region, then so many times more as long as some are left.
+MORE = 16
 #: Hash buckets of ids by which texts are left out early.
 BUCKETS = 1 << 20
 
@@ -253,9 +252,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _apart(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components in each region: of each document the likest one (best), or all that may reach the
-    threshold. The largest component of a region is not compared with itself."""
+def _likest(code: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray, most: int) -> np.ndarray:
+    """Of each code the places of the pairs that agree most, `most` of them."""
+    order = np.lexsort((b, a, -same, code))
+    start = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < most]
+
+
+def _apart(best: bool, most: int = 1 << 62) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components in each region: of each document the likest one (best), or the `most` likest that may reach
+    the threshold of each two components. A pair of a document with itself says that there are more. The largest component of a
+    region is not compared with itself."""
 
     orders = _orders(*FORESTS[0])
 
@@ -272,6 +280,7 @@ def _apart(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 order = np.argsort(inverse == np.argmax(many), kind="stable")  # the largest component last
                 few = (hi - lo) - int(many.max())
                 x, y, of, who = sketch[lo:hi][order], n[lo:hi][order], inverse[order], ids[lo:hi][order]
+                left: list[tuple[np.ndarray, ...]] = []
                 for at in range(0, few, 16):
                     end = min(at + 16, few)
                     ok = (of[at:end, None] != of[None]) & _may_link(y[at:end, None], y[None])
@@ -279,7 +288,7 @@ def _apart(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                         ok &= np.arange(len(x))[None] > np.arange(at, end)[:, None]
                     i, j = np.nonzero(ok)
                     same = (x[i + at] == x[j]).sum(axis=1) if len(i) else np.zeros(0, np.int64)
-                    i, j, same = (v[same >= (AGREE if best else AGREE_LAST)] for v in (i, j, same))
+                    i, j, same = (v[same >= AGREE] for v in (i, j, same))
                     for order_of in orders[: max(0, tree[lo])] if not best and len(i) else ():  # found in an earlier tree
                         new = (x[i + at][:, order_of] != x[j][:, order_of]).any(axis=1)
                         i, j, same = i[new], j[new], same[new]
@@ -287,9 +296,19 @@ def _apart(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                         top = np.lexsort((who[j], -same, i))
                         top = top[np.append(True, i[top][1:] != i[top][:-1])] if len(top) else top
                         i, j, same = i[top], j[top], same[top]
-                    a.append(who[i + at])
-                    b.append(who[j])
-                    agree.append(same if best else np.full(len(same), HASHES + 1))
+                    left.append((i + at, j, same))
+                i, j, same = (np.concatenate(v) for v in zip(*left, strict=True))
+                if not best and len(i):
+                    code = np.minimum(of[i], of[j]) * len(names) + np.maximum(of[i], of[j])
+                    top = _likest(code, who[i], who[j], same, most)
+                    if len(top) < len(i):
+                        a.append(who[:1])
+                        b.append(who[:1])
+                        agree.append(np.zeros(1, np.int64))
+                    i, j, same = i[top], j[top], np.full(len(top), HASHES + 1)
+                a.append(who[i])
+                b.append(who[j])
+                agree.append(same)
             yield _pair_batch(a, b, agree)
         release()
 
@@ -350,18 +369,22 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = _chosen(near)
     found = components(written(_confirmed(docs, pairs), "links"))
 
-    for best in (True, False):
+    most = 0  # at first, each document's likest
+    while True:
         apart = _split(_labelled(rows.where(f"m > {SMALL}").select("key", "id", "tree"), found))
         if large is not None:
             apart = apart.unionByName(_split(_in_blocks(_split(_labelled(large.select("key", "m", "id"), found)))))
-        again = _by_region(apart.join(sigs, "id").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(best), _PAIR)
-        more = written(_chosen(again).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        pairs = pairs.unionByName(more)
-        new = written(_confirmed(docs, more), "links")
-        if not new.isEmpty():
-            found = _joined_up(found, new)
+        again = _by_region(apart.join(sigs, "id").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(not most, most), _PAIR)
+        seen = written(again, "looked")
+        more = written(_chosen(seen).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            new = written(_confirmed(docs, more), "links")
+            if not new.isEmpty():
+                found = _joined_up(found, new)
+        if most and seen.where("a = b").isEmpty():
+            break
+        most = max(1, most * MORE)
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
     return thin.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

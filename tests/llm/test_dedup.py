@@ -82,6 +82,32 @@ def test_near_dedup_compares_all_parts_of_large_regions(spark, monkeypatch):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == near_by_brute_force(rows)
 
 
+def _apart_pairs(agree, components, *args):
+    """The pairs that a look finds in one region in which rows 2 k and 2 k + 1 agree in agree[k] minima."""
+    import numpy as np
+    import pyarrow as pa
+
+    sig = np.random.RandomState(3).randint(0, 256, (len(components), N.HASHES)).astype(np.uint8)
+    for k, n in enumerate(agree):
+        sig[2 * k + 1] = sig[2 * k] + 1
+        sig[2 * k + 1, :n] = sig[2 * k, :n]
+    m = len(components)
+    batch = pa.table({"key": [5] * m, "id": list(range(1, m + 1)), "tree": [0] * m, "n": [100] * m, "sig": [x.tobytes() for x in sig], "component": components}).to_batches()[0]
+    return [(a, b) for out in N._apart(*args)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+
+
+def test_last_look_finds_what_may_reach_the_threshold():
+    """166 minima are over AGREE."""
+    assert _apart_pairs([166], list(range(1, 15)), False) == [(1, 2)]
+
+
+def test_last_look_says_if_it_leaves_pairs():
+    two = [1, 2] * 7
+    assert set(_apart_pairs([180, 190], two, False)) == {(1, 2), (3, 4)}
+    some = _apart_pairs([180, 190], two, False, 1)
+    assert (3, 4) in some and (1, 2) not in some and any(a == b for a, b in some)
+
+
 def test_near_dedup_stage_keeps_columns_and_one_of_each_group(spark, docs, empty):
     out = N.stage(spark, docs, "")
     assert out.schema.simpleString() == docs.schema.simpleString()
