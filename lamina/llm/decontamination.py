@@ -8,8 +8,8 @@ pieces are looked up first, and the words around each hit are verified by Myers'
 The items are a stated query set: they go to the executors in blocks of a bounded number of words, each against all documents;
 the documents are never shuffled.
 
-Defined cases: an item with fewer than LEAST_WORDS words, empty or null matches nothing (reported by short_items); a null or
-empty text has no leaks; repeated items and repeated rows are answered one by one; with an empty table of either kind the
+Defined cases: an item with fewer than LEAST_WORDS words (listed by short_items) matches exact runs only; one without words or null
+matches nothing; a null or empty text has no leaks; repeated items and repeated rows are answered one by one; with an empty table of either kind the
 result is empty; other columns are carried, whatever their names.
 """
 
@@ -70,11 +70,12 @@ class Items:
             h = w.hashes()
             self.hashes += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         for i, h in enumerate(self.hashes):
-            n, k = len(h), len(h) * percent // 100
+            n = len(h)
+            k = n * percent // 100 if n >= LEAST_WORDS else 0
             self.budget.append(k)
             self.masks.append(_places(h))
             self.reverse.append(_places(h[::-1]))
-            if n < LEAST_WORDS:
+            if not n:
                 continue
             cuts = [j * n // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -186,7 +187,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = ERROR_PERCENT) -> Da
 
 
 def short_items(items: DataFrame) -> DataFrame:
-    """The items that are too short to be looked for."""
+    """The items that are too short for edits: they are looked for as they are."""
     n = F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\\x{80}-\\x{10FFFF}]+', 0)"))
     return items.where(n < LEAST_WORDS).select("item_id")
 

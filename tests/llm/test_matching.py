@@ -68,6 +68,14 @@ def test_leaks_by_brute_force(spark, planted, docs, empty, monkeypatch):
     assert D.leaks(docs, bench).count() == 0
 
 
+def test_short_items_are_found_verbatim(spark):
+    bench = spark.createDataFrame([(1, "What is the capital?"), (2, "alone"), (3, ""), (4, "..."), (5, None), (6, "one two three four five six seven")], "item_id long, text string")
+    rows = [(1, "Asked: what is THE capital? What is the capital"), (2, "what is a capital"), (3, "left alone"), (4, "one two three five four six seven"), (5, "zero one two three four five six seven"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in found) == [(1, 1, 0), (1, 1, 0), (3, 2, 0), (5, 6, 0)]
+
+
 def test_stage_drops_leaking_documents(spark, planted, table_dir):
     table, bench, rows, _ = planted
     out = D.stage(spark, table, table_dir(benchmark=bench))
