@@ -1,62 +1,81 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
-A text is its words, each spelled as bytes and closed by a space, then an end sign. Bytes are coded as a few binary choices. For
-each choice several predictors, one for each order in ORDERS, look up counts of zeros and ones under a hash of the last bytes of
-the word; their log odds are combined by weights that are gated by how much each predictor has seen and by the longest context
-that has seen anything, and an adaptive map refines the result for each choice and log odds. That gives the probability of
-any spelling. Words learnt as a whole are counted too: with absolute discounting, the mass that the discount frees goes to
-the spelling model, so every text has a probability, and -log2 of it over its bytes is its bits per byte. Where a run of words repeats one
-of another, training text, the words that followed there are foretold, with a trust that adapts to how often that was right so far.
+A text is the bytes of its lower-cased words, each closed by a space, then an end sign. Each byte is coded as a few binary
+choices. For each choice one predictor for each order in ORDERS looks up counts of zeros and ones under a hash of the last bytes,
+across words; another does so under the word so far; the last one follows what came next where another training text had the
+same SEED words. Their log odds are added with weights, which are gated by the longest context that has seen anything, by how long the last
+predictor has been right, and by how much each predictor has seen. An adaptive map refines the sum for each choice. The
+probability of every byte comes from this mixture; -log2 of the text's, over its bytes, is its bits per byte.
 
-Learning is spread over the cluster: word counts are summed over all training texts; each task counts the choices of
-TYPES_A_TASK words in tables of fixed size, which are summed; the weights are learnt online, batch by batch, in each task,
-from predictions that leave the word at hand out of the counts, and averaged after each pass; the adaptive map sums what
-happened after each prediction.
+Learning covers all training texts. Counts are summed over tasks in tables of fixed size. The weights and the map are learnt
+online, window by window, in each task, from predictions that leave the byte at hand out of the counts, and are averaged over
+tasks by how often each was used. Scoring doesn't change them, so a score doesn't depend on which texts share a task.
 
-Words that occur once in the whole corpus are spelled where they stand; the others are looked up. Their table is sent to the
-executors if it has at most KNOWN_ROWS rows; beyond, the documents' words are joined with it. Likewise the anchors that texts
-share are sent if they are ANCHORS at most, and joined beyond; one run in EVERY is an anchor at any size.
+Words' counts and runs of words that training texts share grow with the input and are never sent whole: each block of texts
+lists its distinct words and runs, these are summed by a shuffle, and each block gets its own back. So no key has more rows than there
+are blocks, and every step is the same at any size.
 
 Defined cases: a null or empty text has one token, its end; a null doc_id belongs to the training rows; without training rows
-the counts are 0 and the spelling model is uniform; rows that repeat count and are scored one by one; an empty table gives an
-empty result; other columns are not read.
+all counts are 0 and each choice is even; rows that repeat count and are scored one by one, and are not foretold from rows with their own doc_id;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import documents, written
-from .tables import Table
-from .text import Words, blocks, column, grams_by_doc
+from .text import Words, blocks, column, grams_by_doc, release
 
 ORDERS = (1, 2, 3, 4, 6)
-#: Slots of each order's table, as powers of two.
-SLOTS = (16, 18, 20, 21, 21)
-TYPES_A_TASK, KNOWN_ROWS, BLOCK = 500_000, 6_000_000, 1 << 22
-#: Words of an anchor, one run in so many that is one, and the anchors that are sent whole at most.
-SEED, EVERY, ANCHORS = 6, 16, 400_000
+#: Slots of the tables of ORDERS, and of the word so far, as powers of two.
+SLOTS = (16, 18, 20, 21, 21, 21)
+#: Bytes of text in a block, and for each task that counts.
+BLOCK, TALLY = 4 << 20, 40 << 20
+#: Words of a run that may be followed, and one run in so many that is looked up.
+SEED, EVERY = 6, 16
+#: Bytes that are predicted at once while learning and while scoring, and while counting.
+STEP, WINDOW = 1 << 13, 1 << 20
 _ID = "coalesce(doc_id, 9223372036854775807)"
 HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 7) = 2, false)"
 
-_DELTA, _CONF, _GATES, _BINS, _TOP = 0.4, 8, len(ORDERS) + 1, 33, 255
 _SPACE, _END = 32, 10
+_TABLES = len(SLOTS)
+#: Bytes before a window that its contexts may reach.
+_HALO, _PREFIX = 40, 24
 _AT = np.append(0, np.cumsum([1 << s for s in SLOTS]))
-_LOG = np.log(np.arange(_TOP + 1) + _DELTA).astype(np.float32)
-_BUCKET = np.minimum(_CONF - 1, np.log2(np.arange(2 * _TOP + 1) + 1)).astype(np.int32)
+_RUNS = np.array([1] * 4 + [2] * 12 + [3] * 16 + [4])  # 1 + how long the follower has been right, in four steps
+_DELTA, _CONF, _GATES, _BINS, _TOP = 0.4, 8, (_TABLES + 1) * 5, 33, 255
+_FOLLOW = _GATES * _TABLES * _CONF  # where the follower's weights begin, one for each gate
+_SIZE = _FOLLOW + _GATES
 _rng = np.random.RandomState(9_091)
 _MUL = (_rng.randint(0, 2**31, max(ORDERS) + 1).astype(np.uint32) << 1) | np.uint32(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _evidence() -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and step of confidence of a pair of counts (zeros + 256 * ones); further on, of pairs without a zero, and without a one."""
+    n0, n1 = np.arange(65536) & 255, np.arange(65536) >> 8
+    parts = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+    odds = [np.log(b + _DELTA) - np.log(a + _DELTA) for a, b in parts]
+    seen = [np.where(a + b > 0, np.minimum(_CONF - 1, np.log2(a + b + 1)), 0) for a, b in parts]
+    return np.concatenate(odds).astype(np.float32), np.concatenate(seen).astype(np.uint8)
+
+
+_ODDS, _SEEN = _evidence()
 
 
 class Code:
-    """A prefix code of bytes by their counts: the inner nodes on the way to each byte, and the turns taken there."""
+    """A prefix code of bytes by their counts: for each byte the inner nodes on the way to it, and the turns taken there."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(float(c) + 0.01, i, i) for i, c in enumerate(counts)]
@@ -76,493 +95,587 @@ class Code:
         self.length = np.array([len(w) for w in ways])
         self.first = np.cumsum(self.length) - self.length
         self.node, self.turn = (np.array([s[i] for w in ways for s in w], np.uint8) for i in (0, 1))
+        self.toward = np.zeros((256, 256), np.float32)  # of a byte at a node: 1 and -1 if its way takes that turn there, else 0
+        for b, way in enumerate(ways):
+            for node, turn in way:
+                self.toward[b, node] = 2 * turn - 1
 
 
 class Choices:
-    """The binary choices of spelled words: body holds the words one after another, each of size bytes."""
-
-    def __init__(self, code: Code, body: np.ndarray, size: np.ndarray):
-        n = code.length[body]
-        byte = np.repeat(np.arange(len(body)), n)
-        step = code.first[body][byte] + np.arange(len(byte)) - np.repeat(np.cumsum(n) - n, n)
-        self.node, self.turn, self.of = code.node[step], code.turn[step], np.repeat(np.repeat(np.arange(len(size)), size), n)
-        place = np.arange(len(body)) - np.repeat(np.cumsum(size) - size, size)
-        h, self.slots = np.zeros(len(body), np.uint32), []
+    """The binary choices of the bytes lo to hi of a block's stream, and the slots of their contexts."""
+
+    def __init__(self, code: Code, body: np.ndarray, told: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
+        a = max(0, lo - _HALO)
+        x, skip, count = body[a:hi], lo - a, hi - a
+        doc = np.searchsorted(offsets, a, "right") - 1
+        place = np.arange(a, hi)
+        begins = offsets[doc:]
+        begins = begins[: np.searchsorted(begins, hi)]
+        place -= np.repeat(begins, np.diff(np.append(np.maximum(begins, a), hi)))
+        n = code.length[x[skip:]]
+        self.byte = np.repeat(np.arange(hi - lo, dtype=np.int32), n)
+        step = np.arange(len(self.byte), dtype=np.int32) + np.repeat((code.first[x[skip:]] - np.cumsum(n) + n).astype(np.int32), n)
+        self.node, self.turn = code.node[step], code.turn[step]
+        self.before = np.cumsum(n) - n
+        h, hashes = np.zeros(count, np.uint32), []
         for k in range(1, max(ORDERS) + 1):
-            before = np.zeros(len(body), np.uint32)
-            before[k:] = body[:-k]
-            before[place < k] = 0
-            h = (h ^ (before + np.uint32(k))) * _MUL[k]
+            p = np.zeros(count, np.uint32)
+            p[k:] = x[:-k]
+            p[place < k] = 0
+            h = (h ^ (p + np.uint32(k))) * _MUL[k]
             h ^= h >> np.uint32(15)
             if k in ORDERS:
-                i = ORDERS.index(k)
-                slot = (np.repeat(h, n) + self.node * np.uint32(0x85EBCA6B)) * np.uint32(0x9E3779B1)
-                self.slots.append((slot >> np.uint32(32 - SLOTS[i])).astype(np.int64) + _AT[i])
-
-    def tally(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        for s in self.slots:
-            zeros += np.bincount(s[self.turn == 0], minlength=len(zeros)).astype(np.int32)
-            ones += np.bincount(s[self.turn == 1], minlength=len(ones)).astype(np.int32)
-
-    def inputs(self, table: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each predictor, and the places of their weights. table: zeros and ones in pairs."""
-        odds, place = np.empty((len(ORDERS), len(self.node)), np.float32), np.empty((len(ORDERS), len(self.node)), np.int32)
-        gate = np.zeros(len(self.node), np.int32)
-        zero, one = (self.turn == 0).astype(np.int16), self.turn.astype(np.int16)
+                hashes.append(h[skip:])
+        hashes.append(_word_so_far(x, place)[skip:])
+        salt = self.node * np.uint32(0x85EBCA6B)
+        self.slots = []
+        for i, h in enumerate(hashes):
+            slot = np.repeat(h, n)
+            slot += salt
+            slot *= np.uint32(0x9E3779B1)
+            slot >>= np.uint32(32 - SLOTS[i])
+            self.slots.append(slot)
+        t = told[a:hi]
+        wrong = np.maximum.accumulate(np.where((t == x) & (t > 0), -1, np.arange(count)))
+        right = np.zeros(count, np.int64)
+        right[1:] = np.arange(count - 1) - wrong[:-1]
+        run = np.where(t > 0, _RUNS[np.minimum(right, len(_RUNS) - 1)], 0)[skip:]
+        self.follow, self.run = np.zeros(len(self.byte), np.float32), np.zeros(len(self.byte), np.int32)
+        some = np.flatnonzero(np.repeat(run > 0, n)) if run.any() else np.zeros(0, np.int64)
+        if len(some):
+            of = self.byte[some]
+            self.follow[some] = code.toward[t[skip:][of], self.node[some]]
+            self.run[some] = np.where(self.follow[some] != 0, run[of], 0)
+
+    def tally(self, counts: np.ndarray) -> None:
+        """Adds zeros and ones (in pairs) to counts."""
+        for i, s in enumerate(self.slots):
+            part = counts[2 * _AT[i] : 2 * _AT[i + 1]]
+            part += np.bincount(s * np.uint32(2) + self.turn, minlength=len(part)).astype(np.int32)
+
+    def inputs(self, table: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds of each predictor, places of their weights, and the gate."""
+        odds, place = np.empty((_TABLES, len(self.node)), np.float32), np.empty((_TABLES, len(self.node)), np.int32)
+        longest = np.zeros(len(self.node), np.int32)
+        less = (1 + self.turn.astype(np.int32)) << 16 if leave_out else None
         for i, s in enumerate(self.slots):
-            both = table[s]
-            n0, n1 = both[:, 0].astype(np.int16), both[:, 1].astype(np.int16)
-            if leave_out:
-                n0, n1 = np.maximum(n0 - zero, 0), np.maximum(n1 - one, 0)
-            odds[i] = _LOG[n1] - _LOG[n0]
-            n = n0 + n1
-            place[i] = _BUCKET[n] + i * _CONF
-            gate[n > 0] = i + 1
-        return odds, place + gate * np.int32(len(ORDERS) * _CONF)
+            pair = table[_AT[i] : _AT[i + 1]][s].astype(np.int32)
+            if less is not None:
+                pair += less
+            odds[i] = _ODDS[pair]
+            seen = _SEEN[pair]
+            np.add(seen, np.int32(i * _CONF), out=place[i], casting="unsafe")
+            np.copyto(longest, np.int32(i + 1), where=seen > 0)
+        gate = self.run * np.int32(_TABLES + 1) + longest
+        place += gate * np.int32(_TABLES * _CONF)
+        return odds, place, gate
+
+
+def _word_so_far(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of the bytes since the last space, at each byte; one value from _PREFIX bytes on."""
+    count = len(x)
+    at = np.arange(count)
+    start = place == 0
+    start[1:] |= x[:-1] == _SPACE
+    begin = np.maximum.accumulate(np.where(start, at, 0))
+    power, inverse = _powers(count)
+    sums = np.zeros(count, np.uint64)
+    np.cumsum((x[:-1].astype(np.uint64) + np.uint64(1)) * power[: count - 1], out=sums[1:])
+    h = (sums - sums[begin]) * inverse[begin]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    out = (h >> np.uint64(32)).astype(np.uint32)
+    out[at - begin >= _PREFIX] = 0x5BD1E995
+    return out
+
+
+_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _made or len(_made[0][0]) < count:
+        _made[0] = tuple(np.cumprod(np.append(np.uint64(1), np.full(max(count, WINDOW + _HALO), base, np.uint64))) for base in (_BASE, _INVERSE))
+    return _made[0]
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x.clip(-30, 30)))
 
 
-class Speller:
-    """Code, counts, weights and adaptive map; all of fixed size. The counts are sent to the executors once, by themselves."""
-
-    def __init__(self, code: Code, sent: Broadcast, weights: np.ndarray, refine: np.ndarray):
-        self.code, self.sent, self.weights, self.refine = code, sent, weights, refine
+def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    y = (x.clip(-7.999, 7.999) + 8) * np.float32((_BINS - 1) / 16)
+    lo = y.astype(np.int32)
+    return lo, y - lo
 
-    @property
-    def table(self) -> np.ndarray:
-        return self.sent.value
 
-    def mixed(self, c: Choices, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        odds, place = c.inputs(self.table, leave_out)
-        return (odds * self.weights[place]).sum(axis=0), odds, place
+class Mixer:
+    """Code, pairs of counts, weights and adaptive map; all of fixed size."""
 
-    def refined(self, c: Choices, x: np.ndarray) -> np.ndarray:
-        """The probability of a one: the mixture's, and the map's between its two nearest bins, in equal parts."""
-        lo, part = bins(x)
-        m = self.refine[c.node]
-        r = np.arange(len(x))
-        return 0.5 * squash(x) + 0.5 * (m[r, lo] * (1 - part) + m[r, lo + 1] * part)
+    def __init__(self, code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
+        self.code, self.table, self.weights, self.refine = code, table, weights, refine
 
-    def log10(self, body: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each word's spelling."""
-        out = np.zeros(len(size))
-        for a, b in batches_of(size):
-            lo, hi = size[:a].sum(), size[:b].sum()
-            c = Choices(self.code, body[lo:hi], size[a:b])
-            p = self.refined(c, self.mixed(c, False)[0])
-            out[a:b] = np.bincount(c.of, np.log10(np.where(c.turn == 1, p, 1 - p).clip(1e-12)), b - a)
-        return out
+    def mixed(self, c: Choices, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        odds, place, gate = c.inputs(self.table, leave_out)
+        x = c.follow * self.weights[gate + np.int32(_FOLLOW)]
+        for i in range(_TABLES):
+            x += odds[i] * self.weights[place[i]]
+        return x, odds, place, gate
 
-
-def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    y = (x.clip(-7.999, 7.999) + 8) * ((_BINS - 1) / 16)
-    lo = y.astype(np.int64)
-    return lo, y - lo
+    def log10(self, c: Choices) -> np.ndarray:
+        """log10 of the probability of each byte: the mixture's, and the map's between its two nearest bins, in equal parts."""
+        x = self.mixed(c, False)[0]
+        lo, part = bins(x)
+        at = _row(c) * _BINS + lo
+        m = self.refine.ravel()
+        p = 0.5 * squash(x) + 0.5 * (m[at] * (1 - part) + m[at + 1] * part)
+        return np.add.reduceat(np.log10(np.where(c.turn == 1, p, 1 - p).clip(1e-12)).astype(np.float64), c.before)
+
+
+def _row(c: Choices) -> np.ndarray:
+    """The row of the adaptive map: the node, or how long the follower has been right."""
+    return np.where(c.run > 0, 255 + c.run, c.node).astype(np.int32)
+
+
+_ROWS = 260
+
+
+def _start() -> tuple[np.ndarray, np.ndarray]:
+    """Weights that trust the longest context that has seen something, and the follower; a map that changes nothing."""
+    weights = np.zeros(_SIZE, np.float32)
+    own = weights[:_FOLLOW].reshape(5, _TABLES + 1, _TABLES, _CONF)
+    for g in range(_TABLES + 1):
+        own[:, g, max(g - 1, 0)] += 0.5
+        own[:, g, max(g - 2, 0)] += 0.2
+    weights[_FOLLOW:].reshape(5, -1)[:] = np.array([0, 1.5, 2.5, 3.5, 4.5])[:, None]
+    return weights, squash(np.tile(np.linspace(-8, 8, _BINS), (_ROWS, 1))).astype(np.float32)
+
+
+class Learner:
+    """Learns the weights and the map online, one window after another."""
+
+    def __init__(self, mixer: Mixer, rate: float = 0.03):
+        self.mixer, self.rate = Mixer(mixer.code, mixer.table, mixer.weights.copy(), mixer.refine), rate
+        self.square, self.used = np.full(_SIZE, 1e-4), np.zeros(_SIZE)
+        self.seen, self.ones = np.zeros(_ROWS * _BINS), np.zeros(_ROWS * _BINS)
+
+    def see(self, c: Choices) -> None:
+        m = self.mixer
+        x, odds, place, gate = m.mixed(c, True)
+        error = c.turn - squash(x)
+        follow = gate + np.int32(_FOLLOW)
+        g = np.bincount(follow, c.follow * error, _SIZE)
+        used = np.bincount(follow, c.follow != 0, _SIZE)
+        for i in range(_TABLES):
+            g += np.bincount(place[i], odds[i] * error, _SIZE)
+            used += np.bincount(place[i], minlength=_SIZE)
+        g /= max(1, len(error))
+        self.used += used
+        self.square += g * g
+        m.weights = (m.weights + self.rate * g / np.sqrt(self.square)).astype(np.float32)
+        lo, part = bins(x)
+        at = _row(c) * _BINS + lo
+        for where, weight in ((at, 1 - part), (at + 1, part)):
+            self.seen += np.bincount(where, weight, len(self.seen))
+            self.ones += np.bincount(where, weight * c.turn, len(self.ones))
 
 
-def batches_of(size: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum(size)
-    a = 0
-    while a < len(size):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
+def windows(size: int, step: int) -> Iterator[tuple[int, int]]:
+    for lo in range(0, size, step):
+        yield lo, min(lo + step, size)
 
 
-def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of words, each closed by a space (the end sign stands alone), and their sizes."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1 + words.offset)[words.offset :].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return close(data, np.diff(offsets))
+def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in EVERY."""
+    place, g, n = grams_by_doc(h.view(np.uint64), first, SEED)
+    ok = np.flatnonzero(g % np.uint64(EVERY) == 0)
+    return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok].view(np.int64)
 
 
-def close(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.cumsum(lens) - lens
-    size = lens + (data[first] != _END)
-    out = np.full(int(size.sum()), _SPACE, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.cumsum(size) - size - first, lens)] = data
-    return out, size
+def stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The coded bytes of the words of a block, the offsets of its documents in them, and the places of its words."""
+    lens, doc = w.ends - w.starts, w.doc()
+    sizes = np.bincount(doc, lens + 1, len(w.counts)).astype(np.int64) + 1
+    offsets = np.append(0, np.cumsum(sizes))
+    at = np.cumsum(lens + 1) - lens - 1 + doc
+    body = np.full(int(offsets[-1]), _SPACE, np.uint8)
+    body[offsets[1:] - 1] = _END
+    inside = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    body[np.repeat(at, lens) + inside] = w.data[np.repeat(w.starts, lens) + inside]
+    return body, offsets, at
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """w, c (in training texts), n (in all): the words of all texts, lower-cased, and the end sign."""
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string()), BLOCK):
-                w = Words(data, offsets, lower=True)
-                taught = ~held[lo:hi]
-                _, at, which, n = np.unique(w.hashes(), return_index=True, return_inverse=True, return_counts=True)
-                c = np.bincount(which, taught[w.doc()], len(at)).astype(np.int64)
-                lens = (w.ends - w.starts)[at]
-                body = w.data[np.arange(int(lens.sum())) + np.repeat(w.starts[at] - (np.cumsum(lens) - lens), lens)]
-                words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body)))
-                yield pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(n)], names=["w", "c", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(["\n"]), pa.array([int(taught.sum())]), pa.array([hi - lo])], names=["w", "c", "n"])
 
-    seen = docs.select(F.col("text").cast("string").alias("text"), F.expr(HELD_OUT).alias("held")).mapInArrow(run, "w string, c long, n long")
-    return seen.groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array one after another, and their sizes; none of its nulls."""
+    offsets = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1 + arr.offset)[arr.offset :].astype(np.int64)
+    raw = arr.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _over(types: DataFrame, kernel: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], list], schema: str) -> DataFrame:
-    """kernel on the spelled words of each partition of types (w); its lists are the columns of schema."""
+def _blocked(docs: DataFrame) -> DataFrame:
+    """block, doc_id, held_out, id and text of each row; a block is a stretch of a partition with about BLOCK bytes."""
+    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = kernel(spelled(column(b, "w", pa.string())) for b in batches if b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=[f.split()[0] for f in schema.split(", ")])
-
-    return types.select("w").mapInArrow(run, schema)
+        first, total = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = np.diff(np.frombuffer(batch.column(3).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(3).offset)[batch.column(3).offset :]).astype(np.int64)
+            before = total + np.cumsum(size) - size
+            total += int(size.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(first + before // BLOCK), *batch.columns], names=["block", *batch.schema.names])
+        release()
 
+    return written(marked.mapInArrow(run, f"block long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, id long, text string"), "texts")
 
-_CHUNK = 1 << 16
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches, cut where a new block begins."""
+    for batch in batches:
+        of = column(batch, "block", pa.int64()).to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(of[lo]), batch.slice(lo, hi - lo)
 
-def learn(types: DataFrame, passes: int = 1) -> Speller:
-    """A speller from the words of types. Bytes and tables come to the driver as sums over tasks, of fixed size."""
-    spark = types.sparkSession
 
-    def histogram(parts: Iterator) -> list:
-        n = sum((np.bincount(body, minlength=256) for body, _ in parts), np.zeros(256, np.int64))
-        return [np.arange(256), n]
+_END_HASH = int(Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes().view(np.int64)[0])
 
-    counts = np.zeros(256)
-    for r in _over(types, histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        counts[r.b] = r.n
-    code = Code(counts)
-    empty = np.zeros((_AT[-1], 2), np.uint8)
-    start = np.zeros(_GATES * len(ORDERS) * _CONF, np.float32)
-    for g in range(_GATES):  # trust the longest context that has seen something
-        start.reshape(_GATES, len(ORDERS), _CONF)[g, max(g - 1, 0)] = 0.6
-        start.reshape(_GATES, len(ORDERS), _CONF)[g, max(g - 2, 0)] += 0.3
-    flat = squash(np.tile(np.linspace(-8, 8, _BINS), (256, 1))).astype(np.float32)
-    if not counts.any():
-        return Speller(code, spark.sparkContext.broadcast(empty), start * 0, flat)
-
-    def tally(parts: Iterator) -> list:
-        zeros, ones = np.zeros(_AT[-1], np.int32), np.zeros(_AT[-1], np.int32)
-        for body, size in parts:
-            for a, b in batches_of(size, 1 << 21):
-                Choices(code, body[size[:a].sum() : size[:b].sum()], size[a:b]).tally(zeros, ones)
-        both = np.stack([zeros, ones], 1).reshape(-1, _CHUNK * 2)
-        some = np.flatnonzero(both.any(axis=1))
-        return [some, [both[i].tobytes() for i in some]]
 
-    def summed(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts")).reshape(-1, 2)
-        over = np.maximum(1.0, total.sum(axis=1) / _TOP)[:, None]
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([(total / over).astype(np.uint8).tobytes()], pa.binary())})
+def _words(texts: DataFrame) -> DataFrame:
+    """block, h, c, new: the distinct words of each block, and the end, their counts in all training texts, and one row of each that these have with new = 1."""
 
-    schema = "chunk long, counts binary"
-    table = np.zeros((_AT[-1], 2), np.uint8)
-    for r in _over(types, tally, schema).groupBy("chunk").applyInArrow(summed, schema).toLocalIterator():
-        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8).reshape(-1, 2)
-    sent = spark.sparkContext.broadcast(table)
-    speller = Speller(code, sent, start, flat)
-
-    def online(parts: Iterator, own: Speller, rate: float) -> list:
-        w, square, seen = own.weights.copy(), np.full(len(own.weights), 1e-3), 0
-        for body, size in parts:
-            for a, b in batches_of(size, 1 << 12):
-                c = Choices(code, body[size[:a].sum() : size[:b].sum()], size[a:b])
-                odds, place = c.inputs(own.table, True)
-                error = c.turn - squash((odds * w[place]).sum(axis=0))
-                g = np.bincount(place.ravel(), (odds * error).ravel(), len(w)) / max(1, len(error))
-                square += g * g
-                w = (w + rate * g / np.sqrt(square)).astype(np.float32)
-                seen += len(error)
-        return [[w.tobytes()], [seen]]
-
-    for i in range(passes):
-        rows = _over(types, lambda parts, own=speller, i=i: online(parts, own, 0.02 / (i + 1)), "w binary, n long").collect()
-        total = sum(r.n for r in rows)
-        speller = Speller(code, sent, (sum(np.frombuffer(r.w, np.float32) * (r.n / total) for r in rows)).astype(np.float32), flat)
-
-    def outcomes(parts: Iterator, own: Speller = speller) -> list:
-        seen, ones = np.zeros(256 * _BINS), np.zeros(256 * _BINS)
-        for body, size in parts:
-            for a, b in batches_of(size):
-                c = Choices(code, body[size[:a].sum() : size[:b].sum()], size[a:b])
-                lo, part = bins(own.mixed(c, True)[0])
-                for at, weight in ((lo, 1 - part), (lo + 1, part)):
-                    at = c.node.astype(np.int64) * _BINS + at
-                    seen += np.bincount(at, weight, len(seen))
-                    ones += np.bincount(at, weight * c.turn, len(ones))
-        return [[seen.tobytes()], [ones.tobytes()]]
-
-    rows = _over(types, outcomes, "seen binary, ones binary").collect()
-    seen, ones = (sum(np.frombuffer(r[i], np.float64) for r in rows).reshape(256, _BINS) for i in (0, 1))
-    refine = (ones + 8 * flat) / (seen + 8)
-    return Speller(code, sent, speller.weights, refine.astype(np.float32))
-
-
-class Scorer:
-    """Known words by hash; other words are spelled, and were seen once if their text was learnt from."""
-
-    def __init__(self, discount: float, total: int, distinct: int, end_c: int, end_log10: float, hashes: np.ndarray, c: np.ndarray, log10: np.ndarray):
-        self.discount, self.total, self.distinct, self.end_c, self.end_log10 = discount, total, distinct, end_c, end_log10
-        self.hashes, self.c, self.log10 = hashes, c.astype(np.int32), log10.astype(np.float32)
-        self._table: Table | None = None
-
-    @property
-    def table(self) -> Table:
-        if self._table is None:
-            self._table = Table(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
-        return self._table
-
-    def rated(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, hit = self.table.get(h)
-        none = not len(self.c)
-        return np.where(hit, 0 if none else self.c[at], 0), np.where(hit, 0.0 if none else self.log10[at].astype(np.float64), 0.0), hit
-
-    def word(self, c: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-        return whole_word(c, spelling, self.discount, self.total, self.distinct)
-
-
-def whole_word(c: np.ndarray, spelling: np.ndarray, discount: float, total: int, distinct: int) -> np.ndarray:
-    """log10 of the probability of words seen c times, from log10 of their spelling's."""
-    if not total:
-        return spelling
-    whole = np.maximum(c - discount, 0) / total
-    return np.log10(whole + discount * distinct / total * 10.0**spelling + 1e-300)
-
-
-def _kernel(rated: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], m: Scorer, speller: Speller, echo: Echo, data: np.ndarray, offsets: np.ndarray, held: np.ndarray, ids: np.ndarray) -> list:
-    """The fields of each document of a block. rated: counts and log10 of words by their hashes, and which of them it knows."""
-    w = Words(data, offsets, lower=True)
-    h, doc, n = w.hashes().view(np.int64), w.doc(), len(offsets) - 1
-    c, log10, hit = rated(h)
-    miss = np.flatnonzero(~hit)
-    if len(miss):
-        _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        one = miss[first]
-        lens = (w.ends - w.starts)[one]
-        body = w.data[np.arange(int(lens.sum())) + np.repeat(w.starts[one] - (np.cumsum(lens) - lens), lens)]
-        c[miss] = ~held[doc[miss]]
-        log10[miss] = m.word(c[miss], speller.log10(*close(body, lens))[back])
-    base = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(m.end_c + 1.0) - (w.counts + 1) * np.log10(m.total + m.distinct + 1.0)
-    known = np.bincount(doc, c > 0, n).astype(np.int64) + (m.end_c > 0)
-    score = np.bincount(doc, log10, n) + m.end_log10
-    slot, gain = echo.gains(h, w.first, ids, log10, m.end_log10)
-    return [w.counts + 1, known, base, score + np.bincount(slot, gain, n), np.diff(offsets)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            h, back = np.unique(h, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), now)), pa.array(h), pa.array(np.bincount(back, c, len(h)).astype(np.int64))], names=["block", "h", "n"])
+
+        for block, batch in _by_block(batches):
+            if now != block and parts:
+                yield out()
+            now = block
+            held = column(batch, "held_out", pa.bool_()).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
+                w = Words(data, offsets, lower=True)
+                h, back = np.unique(w.hashes().view(np.int64), return_inverse=True)
+                parts.append((h, np.bincount(back, ~held[lo:hi][w.doc()], len(h))))
+                parts.append((np.array([_END_HASH]), np.array([(~held[lo:hi]).sum()])))
+        if parts:
+            yield out()
+        release()
 
+    seen = texts.select("block", "held_out", "text").mapInArrow(run, "block long, h long, n long")
+    own = Window.partitionBy("h")
+    number = F.row_number().over(own.orderBy("block"))
+    total = F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return seen.select("block", "h", total.alias("c"), ((number == 1) & (total > 0)).cast("int").alias("new"))
 
-def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in EVERY."""
-    place, g, n = grams_by_doc(h.view(np.uint64), first, SEED)
-    ok = np.flatnonzero(g % np.uint64(EVERY) == 0)
-    return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok].view(np.int64)
 
+def _runs(texts: DataFrame) -> DataFrame:
+    """block, a, first, second: for each of a block's runs of words that training texts share with others, what came next in those with
+    the least and with the greatest id, up to the next run that is looked up."""
 
-class Echo:
-    """What has followed known runs of words: for each anchor the document it is taken from, and the hashes of the words that
-    came next there, up to the end of the next anchor."""
-
-    def __init__(self, keys: np.ndarray, source: np.ndarray, first: np.ndarray, words: np.ndarray):
-        self.keys, self.source, self.first, self.words = keys, source, first, words
-        self._table: Table | None = None
-
-    def gains(self, h: np.ndarray, first: np.ndarray, ids: np.ndarray, log10: np.ndarray, end_log10: float) -> tuple[np.ndarray, np.ndarray]:
-        """Document of each word that is foretold, and what foretelling adds to its log10.
-
-        A run goes on foretelling until it is wrong. How far it is trusted follows from how often that was right so far in the
-        document; the rest of the probability is the model's without it. A document isn't foretold from itself."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0)
-        if self._table is None:
-            self._table = Table(self.keys, np.arange(len(self.keys), dtype=np.int32))
-        doc, place, a = anchors(h, first)
-        at, hit = self._table.get(a)
-        ok = hit & (self.source[at] != ids[doc])
-        doc, place, at = doc[ok], place[ok], at[ok]
-        n = np.minimum(self.first[at + 1] - self.first[at], first[doc + 1] + 1 - (place + SEED))
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        target, of = np.repeat(place + SEED, n) + step, np.repeat(doc, n)
-        told = self.words[np.repeat(self.first[at], n) + step]
-        end = target == first[of + 1]
-        real = np.where(end, _END_HASH, h[np.where(end, 0, target)] if len(h) else 0).astype(np.int64)
-        right = told == (real & 0xFFFFFFFF).astype(np.uint32)
-        wrong = np.cumsum(~right)
-        before = wrong - ~right
-        begin = np.repeat(np.cumsum(n) - n, n)
-        alive = before - (before[begin] if len(begin) else 0) == 0
-        slot = target + of  # a place for each word and each end
-        slot, right, of, end, target = slot[alive], right[alive], of[alive], end[alive], target[alive]
-        order = np.argsort(slot, kind="stable")
-        slot, right, of, end, target = (x[order] for x in (slot, right, of, end, target))
-        last = np.append(slot[1:] != slot[:-1], True) if len(slot) else np.zeros(0, bool)  # of several, the anchor nearest to the word
-        right, of, end, target = right[last], of[last], end[last], target[last]
-        hits = np.cumsum(right) - right
-        start = np.searchsorted(of, of)
-        trust = (hits - (hits[start] if len(start) else 0) + 1.6) / (np.arange(len(of)) - start + 2)
-        without = np.where(end, end_log10, log10[np.where(end, 0, target)] if len(log10) else 0.0)
-        return of, np.log10(trust * right + (1 - trust) * 10.0**without + 1e-300) - without
-
-
-def learn_echo(docs: DataFrame) -> DataFrame:
-    """a, source, words: the anchors that some training text shares with another text, the least such training text, and what came
-    next there, up to the end of its next anchor. A copy that goes on beyond that shares the next anchor, too."""
-    marked = docs.select(F.expr(_ID).cast("long").alias("id"), F.expr(HELD_OUT).alias("held"), F.col("text").cast("string").alias("text"))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            a, of = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
+            taught = np.concatenate([p[2] for p in parts])
+            told = pa.concat_arrays([p[3] for p in parts])
+            parts.clear()
+            order = np.lexsort((np.where(taught, of, np.iinfo(np.int64).max), ~taught, a))
+            a, of, taught = a[order], of[order], taught[order]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            last = np.append(first[1:], len(a)) - 1
+            some = np.add.reduceat(taught, first)
+            high = np.where(some > 0, first + some - 1, last)
+            rows = np.add.reduceat(np.append(True, (a[1:] != a[:-1]) | (of[1:] != of[:-1])), first)
+            two = some > 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), now)), pa.array(a[first]), pa.array(rows.astype(np.int64)), pa.array(of[first], mask=~taught[first]), told.take(pa.array(order[first], mask=~taught[first])), pa.array(of[high], mask=~two), told.take(pa.array(order[high], mask=~two))],
+                names=["block", "a", "texts", "i", "x", "j", "y"],
+            )
+
+        for block, batch in _by_block(batches):
+            if now != block and parts:
+                yield out()
+            now = block
+            held, ids = column(batch, "held_out", pa.bool_()).to_numpy(zero_copy_only=False), column(batch, "id", pa.int64()).to_numpy()
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
                 w = Words(data, offsets, lower=True)
-                h = w.hashes().view(np.int64)
-                doc, place, a = anchors(h, w.first)
+                doc, place, a = anchors(w.hashes().view(np.int64), w.first)
+                if not len(a):
+                    continue
+                body, ends, at = stream(w)
+                begin = _after(place, doc, w, ends, at)
+                stop = ends[doc + 1].copy()
+                stop[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], stop[:-1])
                 taught = ~held[lo:hi][doc]
-                low = np.full(len(h) + hi - lo, _END_LOW, np.uint32)  # a place for each word and each end
-                low[np.arange(len(h)) + w.doc()] = (h & 0xFFFFFFFF).astype(np.uint32)
-                stop = w.first[doc + 1] + 1
-                if len(doc):
-                    stop[:-1] = np.where(doc[1:] == doc[:-1], place[1:] + SEED, stop[:-1])
-                n = np.where(taught, stop - place - SEED, 0)
-                at = np.cumsum(n) - n
-                words = low[np.arange(int(n.sum())) + np.repeat(place + SEED + doc - at, n)]
-                told = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * np.append(0, np.cumsum(n))).astype(np.int32)), pa.py_buffer(words)])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[lo:hi][doc]), pa.array(taught), told], names=["a", "id", "taught", "words"])
-
-    seen = marked.mapInArrow(places, "a long, id long, taught boolean, words binary")
-    least = F.min(F.when(F.col("taught"), F.struct("id", "words")))
-    shared = seen.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), least.alias("least")).where("lo < hi AND least IS NOT NULL")
-    return written(shared.select("a", F.col("least.id").alias("source"), F.col("least.words").alias("words")), "anchors")
-
-
-def _echo(keys: pa.Array, source: pa.Array, words: pa.Array) -> Echo:
-    """An Echo of anchors, each of which may occur several times."""
-    a, at = np.unique(keys.to_numpy(), return_index=True)
-    texts = words.take(pa.array(at)).to_pylist()
-    first = np.append(0, np.cumsum([len(t) // 4 for t in texts])).astype(np.int64)
-    return Echo(a, source.to_numpy()[at], first, np.frombuffer(b"".join(texts), np.uint32))
-
-
-def _with_echo(marked: DataFrame, shared: DataFrame) -> DataFrame:
-    """marked, and the shared anchors of each row that aren't taken from itself, by a join of the rows' anchors."""
-    keyed = written(marked.withColumn("_key", F.expr("uuid()")), "keyed")
+                n = np.where(taught, stop - begin, 0)
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                parts.append((a, ids[lo:hi][doc], taught, _binary(body[np.repeat(begin, n) + inside], n)))
+        if parts:
+            yield out()
+        release()
+
+    seen = texts.select("block", "held_out", "id", "text").mapInArrow(run, "block long, a long, texts long, i long, x binary, j long, y binary")
+    own = Window.partitionBy("a")
+    least = F.min(F.when(F.col("i").isNotNull(), F.struct("i", "x"))).over(own)
+    most = F.max(F.when(F.col("i").isNotNull(), F.when(F.col("j").isNotNull(), F.struct(F.col("j").alias("i"), F.col("y").alias("x"))).otherwise(F.struct("i", "x")))).over(own)
+    all_ = seen.select("block", "a", F.sum("texts").over(own).alias("texts"), least.alias("first"), most.alias("second")).where("texts > 1 AND first IS NOT NULL")
+    return all_.select("block", "a", "first", F.when(F.expr("first.i < second.i"), F.col("second")).alias("second"))
+
+
+def _after(place: np.ndarray, doc: np.ndarray, w: Words, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where in the stream the runs at these words end: at the next word, or at the document's end sign."""
+    following = place + SEED
+    return np.where(following < w.first[doc + 1], np.append(at, 0)[following], ends[doc + 1] - 1)
+
+
+class Lookup:
+    """What a block gets back: counts of words, and what followed runs of words."""
+
+    def __init__(self) -> None:
+        self.words: list[pa.RecordBatch] = []
+        self.runs: list[pa.RecordBatch] = []
+        self.new, self._ready = 0, False
+
+    def ready(self) -> None:
+        if self._ready:
+            return
+        self._ready = True
+        h, c = (np.concatenate([column(b, name, pa.int64()).to_numpy() for b in self.words]) for name in ("h", "c"))
+        self.new = sum(int(column(b, "new", pa.int32()).to_numpy().sum()) for b in self.words)
+        self.h, at = np.unique(h, return_index=True)
+        self.c = c[at]
+        if self.runs:
+            whole = pa.Table.from_batches(self.runs).combine_chunks()
+            self.a, at = np.unique(whole.column("h").to_numpy(), return_index=True)
+            whole = whole.take(pa.array(at))
+            self.source, self.told = [], []
+            for i, x in (("i", "x"), ("j", "y")):
+                source, told = (whole.column(n).combine_chunks() for n in (i, x))
+                self.source.append((source.fill_null(0).to_numpy(), source.is_valid().to_numpy(zero_copy_only=False)))
+                data, n = _bytes(told.fill_null(b""))
+                self.told.append((data, np.append(0, np.cumsum(n))))
+        self.words, self.runs = [], [0] if self.runs else []
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return self.c[np.searchsorted(self.h, h)]
+
+    def follow(self, w: Words, h: np.ndarray, ids: np.ndarray, body: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The byte that is foretold at each place of the stream, or 0. A run is followed until it is wrong; of several, the last one."""
+        told = np.zeros(len(body), np.uint8)
+        if not self.runs:
+            return told
+        doc, place, a = anchors(h, w.first)
+        row = np.searchsorted(self.a, a)
+        hit = np.flatnonzero(self.a[np.minimum(row, len(self.a) - 1)] == a)
+        doc, place, row = doc[hit], place[hit], row[hit]
+        own = self.source[0][0][row] == ids[doc]
+        begin = _after(place, doc, w, ends, at)
+        data = np.concatenate([x for x, _ in self.told])
+        first = np.where(own, self.told[1][1][row] + len(self.told[0][0]), self.told[0][1][row])
+        n = np.where(own, np.where(self.source[1][1][row] & (self.source[1][0][row] != ids[doc]), np.diff(self.told[1][1])[row], 0), np.diff(self.told[0][1])[row])
+        n = np.minimum(n, ends[doc + 1] - begin)
+        start = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(start, n)
+        said, target = data[np.repeat(first, n) + inside], np.repeat(begin, n) + inside
+        wrong = np.cumsum(said != body[target])
+        before = wrong - (said != body[target])
+        alive = before == np.repeat(before[np.minimum(start, max(0, len(before) - 1))] if len(before) else start, n)
+        told[target[alive]] = said[alive]
+        return told
+
+
+_FIELDS = "n_tokens long, n_known long, logs double, new long, body binary, told binary"
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    """doc_id, held_out and _FIELDS of each text: its tokens, its words' counts (logs: the sum of log10(c + 1)), stream and foretold bytes.
+    new: words that are counted here and in no other row, of the training texts' distinct ones."""
+    own = texts.schema["doc_id"].dataType.simpleString()
+    columns = {"kind": "int", "h": "long", "c": "long", "new": "int", "i": "long", "x": "binary", "j": "long", "y": "binary", "doc_id": own, "held_out": "boolean", "id": "long", "text": "string"}
+
+    def rows(df: DataFrame, kind: int, **given: str) -> DataFrame:
+        return df.select("block", *[F.lit(kind).alias(c) if c == "kind" else F.expr(given[c] if c in given else "NULL").cast(t).alias(c) for c, t in columns.items()])
+
+    words = rows(_words(texts), 0, h="h", c="c", new="new")
+    runs = rows(_runs(texts), 1, h="a", i="first.i", x="first.x", j="second.i", y="second.x")
+    whole = words.unionByName(runs).unionByName(rows(texts, 2, doc_id="doc_id", held_out="held_out", id="id", text="text"))
+    names = ["doc_id", "held_out", *(f.split()[0] for f in _FIELDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        now, look = None, Lookup()
+        for block, batch in _by_block(batches):
+            if block != now:
+                now, look = block, Lookup()
+            kind = column(batch, "kind", pa.int32()).to_numpy()
+            for k, some in ((0, look.words), (1, look.runs)):
+                a, b = np.searchsorted(kind, [k, k + 1])
+                if a < b:
+                    some.append(batch.slice(a, b - a))
+            batch = batch.slice(int(np.searchsorted(kind, 2)))
+            if not batch.num_rows:
+                continue
+            look.ready()
+            ids = column(batch, "id", pa.int64()).to_numpy()
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
                 w = Words(data, offsets, lower=True)
-                doc, _, a = anchors(w.hashes(), w.first)
-                pair = np.unique(np.stack([doc, a], 1), axis=0)
-                rows = pa.array(pair[:, 0])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 1)), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["_key", "id", "a"])
+                h, n = w.hashes().view(np.int64), hi - lo
+                c, doc = look.count(h), w.doc()
+                end = int(look.count(np.array([_END_HASH]))[0])
+                logs = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(end + 1.0)
+                known = np.bincount(doc, c > 0, n).astype(np.int64) + (end > 0)
+                body, ends, at = stream(w)
+                told = look.follow(w, h, ids[lo:hi], body, ends, at)
+                new = np.zeros(n, np.int64)
+                new[0], look.new = look.new, 0
+                made = [pa.array(w.counts + 1), pa.array(known), pa.array(logs), pa.array(new), _binary(body, np.diff(ends)), _binary(told, np.diff(ends))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(x)).slice(lo, n) for x in ("doc_id", "held_out")), *made], names=names)
+        release()
+
+    sorted_ = whole.repartition("block").sortWithinPartitions("block", "kind")
+    return written(sorted_.mapInArrow(run, f"doc_id {own}, held_out boolean, {_FIELDS}"), "streams")
+
+
+def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, row past the last, bytes, foretold bytes and offsets of blocks of a batch's streams."""
+    told, _ = _bytes(column(batch, "told", pa.binary()))
+    done = 0
+    for lo, hi, body, offsets in blocks(column(batch, "body", pa.binary())):
+        yield lo, hi, body, told[done : done + len(body)], offsets
+        done += len(body)
 
-    pairs = keyed.select("_key", "id", "text").mapInArrow(run, "_key string, id long, a long").join(shared, "a").where("id <> source")
-    lists = pairs.groupBy("_key").agg(F.collect_list(F.struct("a", "source", "words")).alias("told"))
-    return keyed.join(lists, "_key", "left").drop("_key")
 
-
-def _own_echo(batch: pa.RecordBatch, lo: int, hi: int) -> Echo:
-    """Of the anchors that come with these rows."""
-    found = batch.column(batch.schema.names.index("told")).slice(lo, hi - lo).flatten()
-    return _echo(*(found.field(i) for i in range(3)))
+_CHUNK = 1 << 16
 
 
-def _hash_of_end() -> np.ndarray:
-    return Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes().view(np.int64)
+def _packed(counts: np.ndarray) -> bytes:
+    """32-bit numbers, compressed by planes of bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-_END_HASH = int(_hash_of_end()[0])
-_END_LOW = np.uint32(_END_HASH & 0xFFFFFFFF)
-_FIELDS = "n_tokens long, n_known long, base_score double, score double, n_bytes long"
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def score(docs: DataFrame, known_rows: int = KNOWN_ROWS) -> DataFrame:
-    """doc_id, held_out, the fields above and train_tokens of each row of docs, learnt from those that aren't held out."""
-    spark = docs.sparkSession
-    words = written(vocabulary(docs), "words")
-    totals = words.select(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1)), F.count(F.when(F.col("n") > 1, 1))).first()
-    total, distinct, once, twice, frequent = (int(x or 0) for x in totals)
-    discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
-    taught = words.where("c > 0").select("w")
-    types = written(taught.repartition(max(1, -(-distinct // TYPES_A_TASK)), F.xxhash64("w")).sortWithinPartitions(F.xxhash64("w", F.lit(1))), "types")
-    speller = learn(types)
-
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                w, c = column(b, "w", pa.string()), column(b, "c", pa.int64()).to_numpy()
-                body, size = spelled(w)
-                hashes = _hashes(w)
-                p = whole_word(c, speller.log10(body, size), discount, total, distinct)
-                yield pa.RecordBatch.from_arrays([w, pa.array(hashes), pa.array(c), pa.array(p)], names=["w", "h", "c", "p"])
-
-    def rated(some: DataFrame) -> DataFrame:
-        return some.select("w", "c").mapInArrow(evaluate, "w string, h long, c long, p double")
-
-    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    shared = learn_echo(docs)
-    near = shared.count() <= ANCHORS
-    sent_echo = spark.sparkContext.broadcast(_echo(*shared.toArrow().combine_chunks().columns) if near else None)
-    end = words.where("w = '\n'").select("c").first()
-    end_c = int(end.c) if end else 0
-    end_log10 = float(whole_word(np.array([end_c]), speller.log10(np.array([_END], np.uint8), np.array([1])), discount, total, distinct)[0])
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, {_FIELDS}"
-    names = ["doc_id", "held_out", *(f.split()[0] for f in _FIELDS.split(", "))]
-    few = frequent <= known_rows
-    known = rated(words.where("n > 1")).select("h", "c", "p").toArrow() if few else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
-    sent = spark.sparkContext.broadcast(Scorer(discount, total, distinct, end_c, end_log10, *(known.column(x).to_numpy() for x in ("h", "c", "p"))))
+def learn(taught: DataFrame, size: int) -> Mixer:
+    """The mixer, from streams (body, told) of size bytes. Only tables of fixed size come to the driver."""
+    spark = taught.sparkSession
+    counts = np.zeros(256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
         for batch in batches:
-            held, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string()), 1 << 20 if few else 0):
-                look = sent.value.rated if few else _own_words(batch, lo)
-                echo = sent_echo.value if near else _own_echo(batch, lo, hi)
-                made = _kernel(look, sent.value, speller, echo, data, offsets, held[lo:hi], ids[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(x) for x in made)], names=names)
+            n += np.bincount(_bytes(batch.column(0))[0], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], names=["b", "n"])
 
-    rows = marked if near else _with_echo(marked, shared)
-    rows = rows if few else _with_words(rows, rated(words))
-    return rows.mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
-
-
-def _hashes(words: pa.Array) -> np.ndarray:
-    """The hashes that Words gives to these words."""
-    n = len(words)
-    offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1 + words.offset)[words.offset :].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return Words(data, offsets - offsets[0], is_word=np.ones(256, bool)).hashes().view(np.int64)
+    for r in taught.select("body").mapInArrow(histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        counts[r.b] = r.n
+    code = Code(counts)
+    weights, refine = _start()
+    table = np.zeros(_AT[-1], np.uint16)
+    if not counts.any():
+        return Mixer(code, table, weights, refine)
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, parts, held = np.zeros(2 * _AT[-1], np.int32), [], 0
 
-def _with_words(marked: DataFrame, rated: DataFrame) -> DataFrame:
-    """marked, and hashes, counts and log10 of each row's words, by a join of the words, each once a row, with all rated words."""
-    keyed = written(marked.withColumn("_key", F.expr("uuid()")), "keyed")
+        def add() -> None:
+            body, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+            parts.clear()
+            offsets = np.append(0, np.cumsum(sizes))
+            for lo, hi in windows(len(body), WINDOW):
+                Choices(code, body, np.zeros(len(body), np.uint8), offsets, lo, hi).tally(sums)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                w = Words(data, offsets, lower=True)
-                pair = np.unique(np.stack([w.doc(), w.hashes().view(np.int64)], 1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["_key", "h"])
+            parts.append(_bytes(batch.column(0)))
+            held += len(parts[-1][0])
+            if held >= WINDOW:
+                add()
+                held = 0
+        if parts:
+            add()
+        both = sums.reshape(-1, 2 * _CHUNK)
+        some = np.flatnonzero(both.any(axis=1))
+        for i in some:
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([_packed(both[i])], pa.binary())], names=["chunk", "counts"])
+        release()
 
-    pairs = keyed.select("_key", "text").mapInArrow(run, "_key string, h long").join(rated.select("h", "c", "p"), "h")
-    lists = pairs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("h", "c", "p"))).alias("words"))
-    return keyed.join(lists, "_key", "left").drop("_key")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[chunk] = total.get(chunk, 0) + _unpacked(blob.as_py()).astype(np.int64)
+        for chunk, x in total.items():
+            x = x.reshape(-1, 2)
+            x = x / np.maximum(1.0, x.sum(axis=1) / _TOP)[:, None]
+            pairs = x[:, 0].astype(np.uint16) | (x[:, 1].astype(np.uint16) << np.uint16(8))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pairs.tobytes()], pa.binary())], names=["chunk", "counts"])
 
+    schema = "chunk long, counts binary"
+    counted = taught.select("body").coalesce(max(1, -(-size // TALLY))).mapInArrow(tally, schema)
+    for r in counted.repartition("chunk").mapInArrow(summed, schema).toLocalIterator():
+        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint16)
+    sent = spark.sparkContext.broadcast(table)
 
-def _own_words(batch: pa.RecordBatch, row: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Looks words up in the list that comes with the row."""
-    found = batch.column(batch.schema.names.index("words"))[row].values
-    keys, c, p = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3)) if found is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Learner(Mixer(code, sent.value, weights, refine))
+        for batch in batches:
+            for _, _, body, told, offsets in _streams(batch):
+                for lo, hi in windows(len(body), STEP):
+                    own.see(Choices(code, body, told, offsets, lo, hi))
+        k = np.arange(_SIZE + len(own.seen))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.append(own.mixer.weights * own.used, own.ones)), pa.array(np.append(own.used, own.seen))], names=["k", "x", "n"])
+        release()
+
+    learnt = taught.select("body", "told").mapInArrow(online, "k long, x double, n double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    x, n = np.zeros(_SIZE + refine.size), np.zeros(_SIZE + refine.size)
+    for r in learnt.collect():
+        x[r.k], n[r.k] = r.x, r.n
+    weights = np.where(n[:_SIZE] > 0, x[:_SIZE] / np.maximum(n[:_SIZE], 1), weights).astype(np.float32)
+    refine = ((x[_SIZE:].reshape(_ROWS, _BINS) + 8 * refine) / (n[_SIZE:].reshape(_ROWS, _BINS) + 8)).astype(np.float32)
+    return Mixer(code, sent.value, weights, refine)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of each row of docs, learnt from those that aren't held out."""
+    spark = docs.sparkSession
+    met = _met(_blocked(docs))
+    r = met.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("total"), F.sum("new").alias("distinct"), F.sum(F.when(~F.col("held_out"), F.octet_length("body").cast("long"))).alias("size")).first()
+    total, distinct, size = (int(x or 0) for x in (r.total, r.distinct, r["size"]))
+    mixer = learn(met.where("NOT held_out").select("body", "told"), size)
+    sent = spark.sparkContext.broadcast(mixer)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def rated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.searchsorted(keys, h)
-        return c[at], p[at], np.ones(len(h), bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            tokens, logs = column(batch, "n_tokens", pa.int64()).to_numpy(), column(batch, "logs", pa.float64()).to_numpy()
+            p, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for lo, hi, body, told, offsets in _streams(batch):
+                doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
+                for a, b in windows(len(body), STEP):
+                    first, last = doc[a], doc[b - 1] + 1
+                    p[lo + first : lo + last] += np.bincount(doc[a:b] - first, m.log10(Choices(m.code, body, told, offsets, a, b)), last - first)
+                sizes[lo:hi] = np.diff(offsets)
+            base = logs - tokens * np.log10(total + distinct + 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base), pa.array(p), pa.array(sizes)], names=names)
+        release()
 
-    return rated
+    return met.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "body", "told").mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(documents(spark, sf_dir))
-    bits = F.expr("CASE WHEN n_bytes > 0 THEN -score / log10(2D) / n_bytes END").alias("bits_per_byte")
+    bits = F.expr("-score / log10(2D) / n_bytes").alias("bits_per_byte")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits)
