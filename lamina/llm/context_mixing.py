@@ -35,149 +35,261 @@ from pyspark.sql import functions as F
 from .store import documents, written
 from .text import Words, blocks, column, grams_by_doc, release
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (2, 3, 4, 6)
 #: Slots of the tables of ORDERS, and of the word so far, as powers of two.
-SLOTS = (16, 18, 20, 21, 21, 21)
+SLOTS = (18, 20, 21, 21, 21)
 #: Bytes of text in a block, and for each task that counts.
 BLOCK, TALLY = 4 << 20, 40 << 20
 #: Words of a run that may be followed, and one run in so many that is looked up.
 SEED, EVERY = 6, 16
-#: Bytes that are predicted at once while learning and while scoring, and while counting.
-STEP, WINDOW = 1 << 13, 1 << 20
+#: Bytes that are handled together, and of these the different ones that are predicted at once.
+WINDOW, STEP = 1 << 21, 1 << 14
 _ID = "coalesce(doc_id, 9223372036854775807)"
 HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 7) = 2, false)"
 
 _SPACE, _END = 32, 10
 _TABLES = len(SLOTS)
 #: Bytes before a window that its contexts may reach.
-_HALO, _PREFIX = 40, 24
+_HALO, _PREFIX, _PART = 40, 24, 1 << 15
 _AT = np.append(0, np.cumsum([1 << s for s in SLOTS]))
 _RUNS = np.array([1] * 4 + [2] * 12 + [3] * 16 + [4])  # 1 + how long the follower has been right, in four steps
-_DELTA, _CONF, _GATES, _BINS, _TOP = 0.4, 8, (_TABLES + 1) * 5, 33, 255
-_FOLLOW = _GATES * _TABLES * _CONF  # where the follower's weights begin, one for each gate
-_SIZE = _FOLLOW + _GATES
+_DELTA, _BINS, _GATES, _CONF = 0.4, 64, 45, 8
 _rng = np.random.RandomState(9_091)
 _MUL = (_rng.randint(0, 2**31, max(ORDERS) + 1).astype(np.uint32) << 1) | np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
-
-def _evidence() -> tuple[np.ndarray, np.ndarray]:
-    """Log odds and step of confidence of a pair of counts (zeros + 256 * ones); further on, of pairs without a zero, and without a one."""
-    n0, n1 = np.arange(65536) & 255, np.arange(65536) >> 8
-    parts = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
-    odds = [np.log(b + _DELTA) - np.log(a + _DELTA) for a, b in parts]
-    seen = [np.where(a + b > 0, np.minimum(_CONF - 1, np.log2(a + b + 1)), 0) for a, b in parts]
-    return np.concatenate(odds).astype(np.float32), np.concatenate(seen).astype(np.uint8)
-
-
-_ODDS, _SEEN = _evidence()
+#: A slot holds its counts of zeros and ones as one of 256 states: up to EXACT choices exactly, more as one of LEVELS log odds and a size.
+EXACT, LEVELS, SIZES = 13, 50, (20, 50, 200)
+_FEW = (EXACT + 1) * (EXACT + 2) // 2
+_LEVEL = np.linspace(-7, 7, LEVELS)
+
+
+def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The state of each pair of counts."""
+    n = n0 + n1
+    few = n * (n + 1) // 2 + n1
+    odds = np.log(n1 + _DELTA) - np.log(n0 + _DELTA)
+    level = np.rint((odds.clip(-7, 7) + 7) * ((LEVELS - 1) / 14)).astype(np.int64)
+    size = (n >= 30).astype(np.int64) + (n >= 100)
+    return np.where(n <= EXACT, few, _FEW + size * LEVELS + level).astype(np.uint8)
+
+
+def _meaning() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each state its log odds, its number of choices, and the state without a zero and without a one."""
+    n0, n1 = np.zeros(256), np.zeros(256)
+    for n in range(EXACT + 1):
+        for k in range(n + 1):
+            n0[n * (n + 1) // 2 + k], n1[n * (n + 1) // 2 + k] = n - k, k
+    for i, size in enumerate(SIZES):
+        one = np.clip((size + 2 * _DELTA) / (1 + np.exp(-_LEVEL)) - _DELTA, 0, size)
+        n0[_FEW + i * LEVELS : _FEW + (i + 1) * LEVELS], n1[_FEW + i * LEVELS : _FEW + (i + 1) * LEVELS] = size - one, one
+    odds = np.log(n1 + _DELTA) - np.log(n0 + _DELTA)
+    odds[_FEW : _FEW + 3 * LEVELS] = np.tile(_LEVEL, 3)
+    less = []
+    for a, b in ((np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))):
+        few = (a + b + 0.5).astype(np.int64) <= EXACT
+        x = states(np.where(few, np.rint(a), a).astype(np.float64), np.where(few, np.rint(b), b).astype(np.float64))
+        x[_FEW:] = np.where(np.arange(_FEW, 256) < _FEW + 3 * LEVELS, _nearest(a[_FEW:], b[_FEW:], np.arange(_FEW, 256)), 0)
+        less.append(x)
+    return odds.astype(np.float32), n0 + n1, np.concatenate(less).astype(np.uint8)
+
+
+def _nearest(n0: np.ndarray, n1: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The state of the same size with the log odds of these counts."""
+    odds = np.log(n1 + _DELTA) - np.log(n0 + _DELTA)
+    return _FEW + (state - _FEW) // LEVELS * LEVELS + np.rint((odds.clip(-7, 7) + 7) * ((LEVELS - 1) / 14))
+
+
+_ODDS, _COUNT, _LESS = _meaning()
+_SEEN = np.minimum(_CONF - 1, np.log2(_COUNT + 1)).astype(np.int64)
+_SOME = np.minimum(2, np.log2(_COUNT + 1)).astype(np.int64)  # nothing, one or two, more
+_SOMES = 3 * _SOME
 
 
 class Code:
-    """A prefix code of bytes by their counts: for each byte the inner nodes on the way to it, and the turns taken there."""
+    """A prefix code of bytes for each byte before them, by their counts: the inner nodes on the way to each byte, and the turns taken there."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(float(c) + 0.01, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        for node in range(256, 511):
-            (x, _, a), (y, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a], parent[b] = (node, 0), (node, 1)
-            heapq.heappush(heap, (x + y, node, node))
-        ways = []
-        for b in range(256):
-            way, at = [], b
-            while at in parent:
-                at, turn = parent[at]
-                way.append((at - 256, turn))
-            ways.append(way[::-1])
-        self.length = np.array([len(w) for w in ways])
-        self.first = np.cumsum(self.length) - self.length
-        self.node, self.turn = (np.array([s[i] for w in ways for s in w], np.uint8) for i in (0, 1))
-        self.toward = np.zeros((256, 256), np.float32)  # of a byte at a node: 1 and -1 if its way takes that turn there, else 0
-        for b, way in enumerate(ways):
-            for node, turn in way:
-                self.toward[b, node] = 2 * turn - 1
+        """counts: of each byte after each byte."""
+        rows = [counts.sum(axis=0), *(c for c in counts if c.any())]
+        self.own = np.zeros(256, np.int32)
+        self.own[counts.any(axis=1)] = np.arange(1, len(rows))
+        nodes, turns, lengths = [], [], []
+        self.odds = np.zeros(len(rows) * 256, np.float32)
+        for r, row in enumerate(rows):
+            heap = [(float(c) + 0.01, i, i) for i, c in enumerate(row)]
+            heapq.heapify(heap)
+            parent: dict[int, tuple[int, int]] = {}
+            for node in range(256, 511):
+                (x, _, a), (y, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+                parent[a], parent[b] = (node, 0), (node, 1)
+                self.odds[r * 256 + node - 256] = np.log(y + _DELTA) - np.log(x + _DELTA)
+                heapq.heappush(heap, (x + y, node, node))
+            for b in range(256):
+                way, at = [], b
+                while at in parent:
+                    at, turn = parent[at]
+                    way.append((r * 256 + at - 256, turn))
+                lengths.append(len(way))
+                nodes += [n for n, _ in reversed(way)]
+                turns += [t for _, t in reversed(way)]
+        self.length = np.array(lengths, np.int32)
+        self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.node, self.turn = np.array(nodes, np.int32), np.array(turns, np.uint8)
+        self._toward: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_toward": None}
+
+    def toward(self, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """1 and -1 if the way to a byte (row: 256 times its code and the byte) takes that turn at a node, else 0."""
+        if self._toward is None:
+            self._toward = np.zeros((len(self.length), 256), np.int8)
+            self._toward[np.repeat(np.arange(len(self.length)), self.length), self.node % 256] = 2 * self.turn.astype(np.int8) - 1
+        return self._toward[row, node % 256]
+
+
+def contexts(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the contexts of the bytes lo to hi of a block's stream, and the byte before each one (the end sign at first)."""
+    hashes, before = [np.empty(hi - lo, np.uint32) for _ in SLOTS], np.empty(hi - lo, np.uint8)
+    for start in range(lo, hi, _PART):
+        stop = min(start + _PART, hi)
+        a = max(0, start - _HALO)
+        x, skip, own = body[a:stop], start - a, slice(start - lo, stop - lo)
+        begins = offsets[np.searchsorted(offsets, a - max(ORDERS), "right") : np.searchsorted(offsets, stop)] - a
+        begins = np.append(-a, begins) if a < max(ORDERS) else begins
+        wide, h, p = x.astype(np.uint32), np.zeros(len(x), np.uint32), np.empty(len(x), np.uint32)
+        for k in range(1, max(ORDERS) + 1):
+            early = (begins[:, None] + np.arange(k)).ravel()
+            p[k:] = wide[: max(0, len(x) - k)]
+            p[early[(early >= 0) & (early < len(x))]] = 0
+            p += np.uint32(k)
+            h ^= p
+            h *= _MUL[k]
+            h ^= h >> np.uint32(15)
+            if k in ORDERS:
+                hashes[ORDERS.index(k)][own] = h[skip:]
+        begins = begins[(begins >= 0) & (begins < len(x))]
+        hashes[-1][own] = _word_so_far(x, begins)[skip:]
+        last = np.append(np.uint8(_END), x[:-1])
+        last[begins] = _END
+        before[own] = last[skip:]
+    return hashes, before
 
 
-class Choices:
-    """The binary choices of the bytes lo to hi of a block's stream, and the slots of their contexts."""
+def _slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    slot = node.astype(np.uint32)
+    slot *= np.uint32(0x85EBCA6B)
+    slot += hashes
+    slot *= np.uint32(0x9E3779B1)
+    slot >>= np.uint32(32 - bits)
+    return slot
+
+
+class Bytes:
+    """The bytes lo to hi of a block's stream with their contexts. Bytes that are alike in all that predicts them are kept once,
+    many times over; they come in the order of a hash."""
 
     def __init__(self, code: Code, body: np.ndarray, told: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
-        a = max(0, lo - _HALO)
-        x, skip, count = body[a:hi], lo - a, hi - a
-        doc = np.searchsorted(offsets, a, "right") - 1
-        place = np.arange(a, hi)
-        begins = offsets[doc:]
-        begins = begins[: np.searchsorted(begins, hi)]
-        place -= np.repeat(begins, np.diff(np.append(np.maximum(begins, a), hi)))
-        n = code.length[x[skip:]]
-        self.byte = np.repeat(np.arange(hi - lo, dtype=np.int32), n)
-        step = np.arange(len(self.byte), dtype=np.int32) + np.repeat((code.first[x[skip:]] - np.cumsum(n) + n).astype(np.int32), n)
+        hashes, before = contexts(body, offsets, lo, hi)
+        self.code, n = code, hi - lo
+        row = code.own[before] * np.int32(256) + body[lo:hi]
+        run = _run(body, told, lo, hi)
+        key, order = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        low = np.uint64((1 << n.bit_length()) - 1)
+        for a in range(0, n, _PART):
+            part = slice(a, min(a + _PART, n))
+            k = hashes[-2][part].astype(np.uint64)
+            k <<= np.uint64(32)
+            k |= hashes[-1][part]
+            k *= np.uint64(0x9E3779B97F4A7C15)
+            k ^= k >> np.uint64(32)
+            k += row[part].astype(np.uint64)
+            if run is not None:
+                k += (run[part].astype(np.uint64) << np.uint64(40)) + (told[lo:hi][part].astype(np.uint64) << np.uint64(32))
+            k *= np.uint64(0xD6E8FEB86659FD93)
+            key[part] = k
+            k &= ~low
+            k |= np.arange(a, part.stop, dtype=np.uint64)
+            order[part] = k
+        order.sort()
+        order &= low
+        self._order = order.view(np.int64)
+        key = key[self._order]
+        self._new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(self._new)
+        one = self._order[first]
+        self.many = np.diff(np.append(first, n))
+        self.hashes, self.row = [h[one] for h in hashes], row[one]
+        self.told, self.run = (None, None) if run is None else (told[lo:hi][one], run[one])
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Of the different bytes' values those of all bytes, in their order."""
+        out = np.empty(len(self._order))
+        out[self._order] = values[np.cumsum(self._new) - 1]
+        return out
+
+    def choices(self, step: int | None = None) -> Iterator[Choices]:
+        for lo, hi in windows(len(self), step or STEP):
+            yield Choices(self, lo, hi)
+
+
+class Choices:
+    """The binary choices of some of Bytes, the slots of their contexts, and how many times each occurs."""
+
+    def __init__(self, x: Bytes, lo: int, hi: int):
+        code, row = x.code, x.row[lo:hi]
+        n = code.length[row]
+        ends = np.cumsum(n)
+        self.before = ends - n
+        step = np.arange(ends[-1]) + np.repeat(code.first[row] - self.before, n)
         self.node, self.turn = code.node[step], code.turn[step]
-        self.before = np.cumsum(n) - n
-        h, hashes = np.zeros(count, np.uint32), []
-        for k in range(1, max(ORDERS) + 1):
-            p = np.zeros(count, np.uint32)
-            p[k:] = x[:-k]
-            p[place < k] = 0
-            h = (h ^ (p + np.uint32(k))) * _MUL[k]
-            h ^= h >> np.uint32(15)
-            if k in ORDERS:
-                hashes.append(h[skip:])
-        hashes.append(_word_so_far(x, place)[skip:])
-        salt = self.node * np.uint32(0x85EBCA6B)
-        self.slots = []
-        for i, h in enumerate(hashes):
-            slot = np.repeat(h, n)
-            slot += salt
-            slot *= np.uint32(0x9E3779B1)
-            slot >>= np.uint32(32 - SLOTS[i])
-            self.slots.append(slot)
-        t = told[a:hi]
-        wrong = np.maximum.accumulate(np.where((t == x) & (t > 0), -1, np.arange(count)))
-        right = np.zeros(count, np.int64)
-        right[1:] = np.arange(count - 1) - wrong[:-1]
-        run = np.where(t > 0, _RUNS[np.minimum(right, len(_RUNS) - 1)], 0)[skip:]
-        self.follow, self.run = np.zeros(len(self.byte), np.float32), np.zeros(len(self.byte), np.int32)
-        some = np.flatnonzero(np.repeat(run > 0, n)) if run.any() else np.zeros(0, np.int64)
-        if len(some):
-            of = self.byte[some]
-            self.follow[some] = code.toward[t[skip:][of], self.node[some]]
-            self.run[some] = np.where(self.follow[some] != 0, run[of], 0)
-
-    def tally(self, counts: np.ndarray) -> None:
-        """Adds zeros and ones (in pairs) to counts."""
-        for i, s in enumerate(self.slots):
-            part = counts[2 * _AT[i] : 2 * _AT[i + 1]]
-            part += np.bincount(s * np.uint32(2) + self.turn, minlength=len(part)).astype(np.int32)
-
-    def inputs(self, table: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds of each predictor, places of their weights, and the gate."""
-        odds, place = np.empty((_TABLES, len(self.node)), np.float32), np.empty((_TABLES, len(self.node)), np.int32)
-        longest = np.zeros(len(self.node), np.int32)
-        less = (1 + self.turn.astype(np.int32)) << 16 if leave_out else None
-        for i, s in enumerate(self.slots):
-            pair = table[_AT[i] : _AT[i + 1]][s].astype(np.int32)
-            if less is not None:
-                pair += less
-            odds[i] = _ODDS[pair]
-            seen = _SEEN[pair]
-            np.add(seen, np.int32(i * _CONF), out=place[i], casting="unsafe")
-            np.copyto(longest, np.int32(i + 1), where=seen > 0)
-        gate = self.run * np.int32(_TABLES + 1) + longest
-        place += gate * np.int32(_TABLES * _CONF)
-        return odds, place, gate
-
-
-def _word_so_far(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A hash of the bytes since the last space, at each byte; one value from _PREFIX bytes on."""
+        self.odds = code.odds[self.node]
+        self.slots = [_slots(np.repeat(h[lo:hi], n), self.node, bits) for h, bits in zip(x.hashes, SLOTS, strict=True)]
+        self.many = np.repeat(x.many[lo:hi], n)
+        self.follow = self.run = None
+        if x.run is not None and x.run[lo:hi].any():
+            self.follow, self.run = np.zeros(len(step), np.float32), np.zeros(len(step), np.int64)
+            some = np.flatnonzero(np.repeat(x.run[lo:hi] > 0, n))
+            of = np.repeat(np.arange(lo, hi), n)[some]
+            self.follow[some] = code.toward((x.row[of] & ~255) + x.told[of], self.node[some])
+            self.run[some] = np.where(self.follow[some] != 0, x.run[of], 0)
+
+
+def _run(body: np.ndarray, told: np.ndarray, lo: int, hi: int) -> np.ndarray | None:
+    """For each byte that is foretold how long the follower has been right before, in steps from 1 on; else 0. None if none is."""
+    if not told[lo:hi].any():
+        return None
+    a = max(0, lo - _HALO)
+    x, t, count = body[a:hi], told[a:hi], hi - a
+    wrong = np.maximum.accumulate(np.where((t == x) & (t > 0), -1, np.arange(count)))
+    right = np.zeros(count, np.int64)
+    right[1:] = np.arange(count - 1) - wrong[:-1]
+    return np.where(t > 0, _RUNS[np.minimum(right, len(_RUNS) - 1)], 0)[lo - a :]
+
+
+def tally(x: Bytes, counts: np.ndarray) -> None:
+    """Adds the zeros and ones (in pairs) of each slot to counts."""
+    c = Choices(x, 0, len(x))
+    many = c.many.astype(np.int32)
+    for i, s in enumerate(c.slots):
+        part = counts[2 * _AT[i] : 2 * _AT[i + 1]]
+        np.add.at(part, s.astype(np.int64) * 2 + c.turn, many)
+
+
+def _word_so_far(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of the bytes since the last space or beginning of a text, at each byte; one value from _PREFIX bytes on."""
     count = len(x)
-    at = np.arange(count)
-    start = place == 0
+    start = np.zeros(count, bool)
+    start[begins] = True
     start[1:] |= x[:-1] == _SPACE
-    begin = np.maximum.accumulate(np.where(start, at, 0))
+    start = np.flatnonzero(start)
+    size = np.diff(np.concatenate([[0], start, [count]]))
+    begin = np.repeat(np.append(0, start), size)
     power, inverse = _powers(count)
     sums = np.zeros(count, np.uint64)
     np.cumsum((x[:-1].astype(np.uint64) + np.uint64(1)) * power[: count - 1], out=sums[1:])
@@ -185,7 +297,7 @@ def _word_so_far(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)
     out = (h >> np.uint64(32)).astype(np.uint32)
-    out[at - begin >= _PREFIX] = 0x5BD1E995
+    out[np.arange(count) - begin >= _PREFIX] = 0x5BD1E995
     return out
 
 
@@ -194,7 +306,7 @@ _made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     if not _made or len(_made[0][0]) < count:
-        _made[0] = tuple(np.cumprod(np.append(np.uint64(1), np.full(max(count, WINDOW + _HALO), base, np.uint64))) for base in (_BASE, _INVERSE))
+        _made[0] = tuple(np.cumprod(np.append(np.uint64(1), np.full(count, base, np.uint64))) for base in (_BASE, _INVERSE))
     return _made[0]
 
 
@@ -202,52 +314,89 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x.clip(-30, 30)))
 
 
-def bins(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    y = (x.clip(-7.999, 7.999) + 8) * np.float32((_BINS - 1) / 16)
-    lo = y.astype(np.int32)
-    return lo, y - lo
+def bins(x: np.ndarray) -> np.ndarray:
+    return np.rint((x.clip(-8, 8) + 8) * np.float32((_BINS - 1) / 16)).astype(np.int64)
 
 
-class Mixer:
-    """Code, pairs of counts, weights and adaptive map; all of fixed size."""
+class Weights:
+    """Of each gate: those of each table, by how much a slot has seen; of the code's own odds; of the follower."""
 
-    def __init__(self, code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
-        self.code, self.table, self.weights, self.refine = code, table, weights, refine
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat
+        k = _TABLES * _GATES * _CONF
+        self.tables, self.own, self.follow = flat[:k].reshape(_TABLES, _GATES, _CONF), flat[k : k + _GATES], flat[k + _GATES :]
 
-    def mixed(self, c: Choices, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        odds, place, gate = c.inputs(self.table, leave_out)
-        x = c.follow * self.weights[gate + np.int32(_FOLLOW)]
-        for i in range(_TABLES):
-            x += odds[i] * self.weights[place[i]]
-        return x, odds, place, gate
+    def terms(self, gates: int = _GATES) -> np.ndarray:
+        """What each state adds, by table and gate."""
+        return (self.tables[:, :gates, _SEEN] * _ODDS).reshape(_TABLES, -1)
 
-    def log10(self, c: Choices) -> np.ndarray:
-        """log10 of the probability of each byte: the mixture's, and the map's between its two nearest bins, in equal parts."""
-        x = self.mixed(c, False)[0]
-        lo, part = bins(x)
-        at = _row(c) * _BINS + lo
-        m = self.refine.ravel()
-        p = 0.5 * squash(x) + 0.5 * (m[at] * (1 - part) + m[at + 1] * part)
-        return np.add.reduceat(np.log10(np.where(c.turn == 1, p, 1 - p).clip(1e-12)).astype(np.float64), c.before)
 
+_SIZE = _TABLES * _GATES * _CONF + 2 * _GATES
+#: Rows of the adaptive map: log odds of the code's own odds in steps, by gate.
+_ROWS = _GATES * 8
 
-def _row(c: Choices) -> np.ndarray:
-    """The row of the adaptive map: the node, or how long the follower has been right."""
-    return np.where(c.run > 0, 255 + c.run, c.node).astype(np.int32)
 
+class Mixer:
+    """Code, states, weights and adaptive map; all of fixed size."""
 
-_ROWS = 260
+    def __init__(self, code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
+        self.code, self.table, self.weights, self.refine = code, table, weights, refine
+
+    def mixed(self, c: Choices, leave_out: bool, weights: Weights, terms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The sum of the weighted log odds, the places of the terms, and the gates."""
+        seen = [self.table[_AT[i] : _AT[i + 1]][s] for i, s in enumerate(c.slots)]
+        if leave_out:
+            turn = c.turn.astype(np.int32)
+            turn <<= 8
+            seen = [_LESS[turn + s] for s in seen]
+        gate = _SOMES[seen[-2]] + _SOME[seen[-1]]
+        if c.run is not None:
+            gate += c.run * 9
+        x = weights.own[gate] * c.odds
+        if c.run is not None:
+            x += weights.follow[gate] * c.follow
+        base, places = gate << 8, []
+        for s, t in zip(seen, terms, strict=True):
+            at = base + s
+            x += t[at]
+            places.append(at)
+        return x, places, gate
+
+    def ready(self) -> tuple[Weights, np.ndarray]:
+        w = Weights(self.weights)
+        return w, w.terms()
+
+    def log10(self, x: Bytes, step: int | None = None) -> np.ndarray:
+        """log10 of the probability of each byte: half the mixture's, half the map's of that. No choice has less than one in a million."""
+        ready, m, out = self.ready(), self.refine.ravel(), []
+        for c in x.choices(step):
+            y, _, gate = self.mixed(c, False, *ready)
+            p = squash(y)
+            p += m[_row(c, gate) + bins(y)]
+            p *= 0.5
+            p += c.turn
+            p -= 1
+            p = np.abs(p, out=p).clip(1e-6)
+            out.append(np.multiply.reduceat(p.astype(np.float64), c.before))
+        return np.log10(np.concatenate(out)) if out else np.zeros(0)
+
+
+def _row(c: Choices, gate: np.ndarray) -> np.ndarray:
+    """Where the row of the adaptive map begins: one for each gate and step of the code's own odds."""
+    return (gate * 8 + ((c.odds.clip(-3.99, 3.99) + 4)).astype(np.int64)) * _BINS
 
 
 def _start() -> tuple[np.ndarray, np.ndarray]:
     """Weights that trust the longest context that has seen something, and the follower; a map that changes nothing."""
-    weights = np.zeros(_SIZE, np.float32)
-    own = weights[:_FOLLOW].reshape(5, _TABLES + 1, _TABLES, _CONF)
-    for g in range(_TABLES + 1):
-        own[:, g, max(g - 1, 0)] += 0.5
-        own[:, g, max(g - 2, 0)] += 0.2
-    weights[_FOLLOW:].reshape(5, -1)[:] = np.array([0, 1.5, 2.5, 3.5, 4.5])[:, None]
-    return weights, squash(np.tile(np.linspace(-8, 8, _BINS), (_ROWS, 1))).astype(np.float32)
+    flat = np.zeros(_SIZE, np.float32)
+    w = Weights(flat)
+    for gate in range(_GATES):
+        run, order, word = gate // 9, gate // 3 % 3, gate % 3
+        share = np.array([0.1, 0.15, 0.3, 0.3 if order else 0.0, 0.3 if word else 0.0])
+        w.tables[:, gate] = share[:, None]
+        w.own[gate] = 0.1
+        w.follow[gate] = (0, 1.5, 2.5, 3.5, 4.5)[run]
+    return flat, squash(np.tile(np.linspace(-8, 8, _BINS), (_ROWS, 1))).astype(np.float32)
 
 
 class Learner:
@@ -260,23 +409,31 @@ class Learner:
 
     def see(self, c: Choices) -> None:
         m = self.mixer
-        x, odds, place, gate = m.mixed(c, True)
+        w, gates = Weights(m.weights), _GATES if c.run is not None else 9  # the first ones have no follower
+        x, places, gate = m.mixed(c, True, w, w.terms(gates))
+        many = c.many.astype(np.float32)
         error = c.turn - squash(x)
-        follow = gate + np.int32(_FOLLOW)
-        g = np.bincount(follow, c.follow * error, _SIZE)
-        used = np.bincount(follow, c.follow != 0, _SIZE)
-        for i in range(_TABLES):
-            g += np.bincount(place[i], odds[i] * error, _SIZE)
-            used += np.bincount(place[i], minlength=_SIZE)
-        g /= max(1, len(error))
-        self.used += used
-        self.square += g * g
-        m.weights = (m.weights + self.rate * g / np.sqrt(self.square)).astype(np.float32)
-        lo, part = bins(x)
-        at = _row(c) * _BINS + lo
-        for where, weight in ((at, 1 - part), (at + 1, part)):
-            self.seen += np.bincount(where, weight, len(self.seen))
-            self.ones += np.bincount(where, weight * c.turn, len(self.ones))
+        error *= many
+        by_gate = np.bincount(gate, many, _GATES)
+        g, used = Weights(np.zeros(_SIZE)), Weights(self.used)
+        g.own[:] = np.bincount(gate, error * c.odds, _GATES)
+        if c.run is not None:
+            g.follow[:] = np.bincount(gate, error * c.follow, _GATES)
+        used.own += by_gate
+        used.follow += by_gate
+        used.tables += by_gate[None, :, None]
+        error = error.astype(np.float64)
+        for i, at in enumerate(places):
+            g.tables[i, :gates] = (np.bincount(at, error, gates * 256).reshape(gates, 256) * _ODDS) @ _KIND
+        flat = g.flat / by_gate.sum()
+        self.square += flat * flat
+        m.weights = (m.weights + self.rate * flat / np.sqrt(self.square)).astype(np.float32)
+        at = _row(c, gate) + bins(x)
+        self.seen += np.bincount(at, many, len(self.seen))
+        self.ones += np.bincount(at, many * c.turn, len(self.ones))
+
+
+_KIND = (_SEEN[:, None] == np.arange(_CONF)).astype(np.float64)
 
 
 def windows(size: int, step: int) -> Iterator[tuple[int, int]]:
@@ -545,13 +702,25 @@ def _met(texts: DataFrame) -> DataFrame:
     return written(sorted_.mapInArrow(run, f"doc_id {own}, held_out boolean, {_FIELDS}"), "streams")
 
 
-def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, row past the last, bytes, foretold bytes and offsets of blocks of a batch's streams."""
-    told, _ = _bytes(column(batch, "told", pa.binary()))
-    done = 0
-    for lo, hi, body, offsets in blocks(column(batch, "body", pa.binary())):
-        yield lo, hi, body, told[done : done + len(body)], offsets
-        done += len(body)
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches with WINDOW bytes of streams or little more, their bytes, foretold bytes (none, without the column) and offsets."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
+        body, n = (np.concatenate(x) for x in zip(*(_bytes(column(b, "body", pa.binary())) for b in held), strict=True))
+        told = np.concatenate([_bytes(column(b, "told", pa.binary()))[0] for b in held]) if "told" in held[0].schema.names else np.zeros(len(body), np.uint8)
+        return held, body, told, np.append(0, np.cumsum(n))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += len(_bytes(column(batch, "body", pa.binary()))[0])
+        if size >= WINDOW:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 _CHUNK = 1 << 16
@@ -570,43 +739,34 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def learn(taught: DataFrame, size: int) -> Mixer:
     """The mixer, from streams (body, told) of size bytes. Only tables of fixed size come to the driver."""
     spark = taught.sparkSession
-    counts = np.zeros(256)
+    counts = np.zeros(65536)
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(256, np.int64)
+        n = np.zeros(65536, np.int64)
         for batch in batches:
-            n += np.bincount(_bytes(batch.column(0))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], names=["b", "n"])
+            body, sizes = _bytes(batch.column(0))
+            pair = body.astype(np.int32)
+            pair[1:] += body[:-1].astype(np.int32) << 8
+            pair[(np.cumsum(sizes) - sizes)[sizes > 0]] = body[(np.cumsum(sizes) - sizes)[sizes > 0]].astype(np.int32) + (_END << 8)
+            n += np.bincount(pair, minlength=65536)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["b", "n"])
 
     for r in taught.select("body").mapInArrow(histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         counts[r.b] = r.n
-    code = Code(counts)
+    code = Code(counts.reshape(256, 256))
     weights, refine = _start()
-    table = np.zeros(_AT[-1], np.uint16)
+    table = np.zeros(_AT[-1], np.uint8)
     if not counts.any():
         return Mixer(code, table, weights, refine)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, parts, held = np.zeros(2 * _AT[-1], np.int32), [], 0
-
-        def add() -> None:
-            body, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
-            parts.clear()
-            offsets = np.append(0, np.cumsum(sizes))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * _AT[-1], np.int32)
+        for _, body, told, offsets in _streams(batches):
             for lo, hi in windows(len(body), WINDOW):
-                Choices(code, body, np.zeros(len(body), np.uint8), offsets, lo, hi).tally(sums)
-
-        for batch in batches:
-            parts.append(_bytes(batch.column(0)))
-            held += len(parts[-1][0])
-            if held >= WINDOW:
-                add()
-                held = 0
-        if parts:
-            add()
+                tally(Bytes(code, body, told, offsets, lo, hi), sums)
         both = sums.reshape(-1, 2 * _CHUNK)
-        some = np.flatnonzero(both.any(axis=1))
-        for i in some:
+        for i in np.flatnonzero(both.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([_packed(both[i])], pa.binary())], names=["chunk", "counts"])
         release()
 
@@ -616,23 +776,20 @@ def learn(taught: DataFrame, size: int) -> Mixer:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total[chunk] = total.get(chunk, 0) + _unpacked(blob.as_py()).astype(np.int64)
         for chunk, x in total.items():
-            x = x.reshape(-1, 2)
-            x = x / np.maximum(1.0, x.sum(axis=1) / _TOP)[:, None]
-            pairs = x[:, 0].astype(np.uint16) | (x[:, 1].astype(np.uint16) << np.uint16(8))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pairs.tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([states(x[::2], x[1::2]).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk long, counts binary"
-    counted = taught.select("body").coalesce(max(1, -(-size // TALLY))).mapInArrow(tally, schema)
-    for r in counted.repartition("chunk").mapInArrow(summed, schema).toLocalIterator():
-        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint16)
+    parts = taught.select("body").coalesce(max(1, -(-size // TALLY))).mapInArrow(counted, schema)
+    for r in parts.repartition("chunk").mapInArrow(summed, schema).toLocalIterator():
+        table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
     sent = spark.sparkContext.broadcast(table)
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Learner(Mixer(code, sent.value, weights, refine))
-        for batch in batches:
-            for _, _, body, told, offsets in _streams(batch):
-                for lo, hi in windows(len(body), STEP):
-                    own.see(Choices(code, body, told, offsets, lo, hi))
+        for _, body, told, offsets in _streams(batches):
+            for lo, hi in windows(len(body), WINDOW):
+                for c in Bytes(code, body, told, offsets, lo, hi).choices():
+                    own.see(c)
         k = np.arange(_SIZE + len(own.seen))
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.append(own.mixer.weights * own.used, own.ones)), pa.array(np.append(own.used, own.seen))], names=["k", "x", "n"])
         release()
@@ -659,17 +816,18 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
-            tokens, logs = column(batch, "n_tokens", pa.int64()).to_numpy(), column(batch, "logs", pa.float64()).to_numpy()
-            p, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for lo, hi, body, told, offsets in _streams(batch):
-                doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
-                for a, b in windows(len(body), STEP):
-                    first, last = doc[a], doc[b - 1] + 1
-                    p[lo + first : lo + last] += np.bincount(doc[a:b] - first, m.log10(Choices(m.code, body, told, offsets, a, b)), last - first)
-                sizes[lo:hi] = np.diff(offsets)
-            base = logs - tokens * np.log10(total + distinct + 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base), pa.array(p), pa.array(sizes)], names=names)
+        for held, body, told, offsets in _streams(batches):
+            sums = np.zeros(len(offsets) - 1)
+            doc = np.repeat(np.arange(len(sums)), np.diff(offsets))
+            for lo, hi in windows(len(body), WINDOW):
+                x = Bytes(m.code, body, told, offsets, lo, hi)
+                sums[doc[lo] : doc[hi - 1] + 1] += np.bincount(doc[lo:hi] - doc[lo], x.spread(m.log10(x)))
+            done = 0
+            for batch in held:
+                tokens, logs = column(batch, "n_tokens", pa.int64()).to_numpy(), column(batch, "logs", pa.float64()).to_numpy()
+                base, own = logs - tokens * np.log10(total + distinct + 1.0), slice(done, done + batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base), pa.array(sums[own]), pa.array(np.diff(offsets)[own])], names=names)
+                done += batch.num_rows
         release()
 
     return met.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "body", "told").mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))

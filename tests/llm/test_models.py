@@ -168,6 +168,13 @@ def test_language_model_without_training_rows(spark):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in rows] == [(0, 0, 0.0)] * 3 and all(r.score < 0 for r in rows)
 
 
+def way(code, before, byte):
+    """Nodes and turns on the way to a byte after another."""
+    row = int(code.own[before]) * 256 + byte
+    first = int(code.first[row])
+    return [(int(code.node[first + d]), int(code.turn[first + d])) for d in range(code.length[row])]
+
+
 def plain_slots(code, body, i):
     """Node, turn and slots of each choice of byte i of one document's stream."""
     hashes, h = [], 0
@@ -181,79 +188,101 @@ def plain_slots(code, body, i):
     v = sum((b + 1) * C._BASE**j for j, b in enumerate(word)) % 2**64
     v = ((v ^ v >> 29) * 0xD6E8FEB86659FD93) % 2**64
     hashes.append(0x5BD1E995 if len(word) >= C._PREFIX else v >> 32)
-    for d in range(code.length[body[i]]):
-        node, turn = int(code.node[code.first[body[i]] + d]), int(code.turn[code.first[body[i]] + d])
-        yield node, turn, [(((h + node * 0x85EBCA6B) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits) for h, bits in zip(hashes, C.SLOTS, strict=True)]
+    for node, turn in way(code, body[i - 1] if i else 10, body[i]):
+        yield node, turn, [((h + node * 0x85EBCA6B & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits) for h, bits in zip(hashes, C.SLOTS, strict=True)]
 
 
 def plain_log10(m, body, told):
     """log10 of the probability of each byte, choice by choice."""
     out, right = [], 0
+    w = C.Weights(m.weights)
     for i in range(len(body)):
         run = (1 if right < 4 else 2 if right < 16 else 3 if right < 32 else 4) if told[i] else 0
         total = 0.0
         for node, turn, slots in plain_slots(m.code, body, i):
-            way = [(int(m.code.node[m.code.first[told[i]] + d]), int(m.code.turn[m.code.first[told[i]] + d])) for d in range(m.code.length[told[i]])] if told[i] else []
-            follow = next((2 * t - 1 for n, t in way if n == node), 0)
+            follow = next((2 * t - 1 for n, t in way(m.code, body[i - 1] if i else 10, told[i]) if n == node), 0) if told[i] else 0
             r = run if follow else 0
-            pairs = [int(m.table[C._AT[k] + s]) for k, s in enumerate(slots)]
-            zeros, ones = [p & 255 for p in pairs], [p >> 8 for p in pairs]
-            gate = r * (C._TABLES + 1) + max([k + 1 for k in range(C._TABLES) if zeros[k] + ones[k]], default=0)
-            x = follow * m.weights[C._FOLLOW + gate]
-            for k in range(C._TABLES):
-                seen = min(C._CONF - 1, int(math.log2(zeros[k] + ones[k] + 1)))
-                x += m.weights[(gate * C._TABLES + k) * C._CONF + seen] * math.log((ones[k] + C._DELTA) / (zeros[k] + C._DELTA))
-            y = (min(max(x, -7.999), 7.999) + 8) * (C._BINS - 1) / 16
-            row = m.refine[255 + r if r else node]
-            p = 0.5 / (1 + math.exp(-x)) + 0.5 * (row[int(y)] * (1 - y % 1) + row[int(y) + 1] * (y % 1))
-            total += math.log10(p if turn else 1 - p)
+            seen = [int(m.table[C._AT[k] + s]) for k, s in enumerate(slots)]
+            gate = (r * 3 + min(2, int(math.log2(C._COUNT[seen[-2]] + 1)))) * 3 + min(2, int(math.log2(C._COUNT[seen[-1]] + 1)))
+            own = float(m.code.odds[node])
+            x = w.own[gate] * own + w.follow[gate] * follow
+            for k, s in enumerate(seen):
+                x += w.tables[k, gate, min(C._CONF - 1, int(math.log2(C._COUNT[s] + 1)))] * C._ODDS[s]
+            at = round((min(max(x, -8), 8) + 8) * (C._BINS - 1) / 16)
+            p = 0.5 / (1 + math.exp(-x)) + 0.5 * float(m.refine.reshape(-1, C._BINS)[gate * 8 + int(min(max(own, -3.99), 3.99) + 4), at])
+            total += math.log10(max(p if turn else 1 - p, 1e-6))
         out.append(total)
         right = right + 1 if told[i] and told[i] == body[i] else 0
     return out
 
 
-def test_every_byte_comes_from_the_mixer(spark, monkeypatch):
-    """Counts and probabilities against loops over choices; a long word, several documents in a block, windows that cut words."""
-    texts = [*_texts()[:30], "x" * 90 + " y", "é ñ"]
+def test_states_keep_small_counts_and_nearly_keep_large_ones():
+    n0, n1 = (x.ravel() for x in np.meshgrid(np.arange(C.EXACT + 1), np.arange(C.EXACT + 1)))
+    few = n0 + n1 <= C.EXACT
+    s = C.states(n0[few], n1[few])
+    assert len(set(s.tolist())) == few.sum() and np.allclose(C._ODDS[s], np.log((n1[few] + C._DELTA) / (n0[few] + C._DELTA)), atol=1e-6)
+    for turn, (a, b) in enumerate(((n0 - 1, n1), (n0, n1 - 1))):
+        some = few & (a >= 0) & (b >= 0)
+        assert (C._LESS[256 * turn + C.states(n0[some], n1[some]).astype(int)] == C.states(a[some], b[some])).all()
+    big = np.array([20, 500, 10**9]), np.array([3, 900, 5])
+    assert np.allclose(C._ODDS[C.states(*big)], np.log(big[1] / big[0]).clip(-7, 7), atol=0.25)
+    assert C._ODDS[C._LESS[256 + C.states(np.array([19]), np.array([1])).astype(int)]][0] < -3
+
+
+def toy(spark, texts, told=None):
+    """Streams of texts, and the mixer that is learnt from them."""
     streams = [stream_of(t) for t in texts]
-    told = [bytes(b if 20 < i < 90 else b ^ 1 if i == 90 else 0 for i, b in enumerate(s)) for s in streams]
+    told = told or [bytes(len(x)) for x in streams]
     frame = spark.createDataFrame([(bytearray(s), bytearray(t)) for s, t in zip(streams, told, strict=True)], "body binary, told binary")
-    m = C.learn(frame.coalesce(1), 1)
+    return streams, C.learn(frame.coalesce(1), 1)
+
+
+def packed(parts):
+    return np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(x) for x in parts]))
+
+
+def test_every_byte_comes_from_the_mixer(spark, monkeypatch):
+    """Counts and probabilities against loops over choices; a long word, several documents in a block, windows that cut words."""
+    texts = [*_texts()[:30], "x" * 90 + " y", "é ñ", "", "a", _texts()[0]]
+    told = [bytes(b if 20 < i < 90 else b ^ 1 if i == 90 else 0 for i, b in enumerate(stream_of(t))) for t in texts]
+    streams, m = toy(spark, texts, told)
     counts = collections.Counter((k, s, turn) for b in streams for i in range(len(b)) for _, turn, slots in plain_slots(m.code, b, i) for k, s in enumerate(slots))
-    for (k, s), n in collections.Counter({(k, s): 0 for k, s, _ in counts}).items():
-        a, b = counts[k, s, 0], counts[k, s, 1]
-        over = max(1.0, (a + b) / C._TOP)
-        assert m.table[C._AT[k] + s] == int(a / over) | int(b / over) << 8, n
-    body, follow = (np.frombuffer(b"".join(x), np.uint8) for x in (streams, told))
-    offsets = np.append(0, np.cumsum([len(s) for s in streams]))
+    places = sorted({(k, s) for k, s, _ in counts})
+    want = C.states(*(np.array([counts[k, s, turn] for k, s in places]) for turn in (0, 1)))
+    assert (m.table[[C._AT[k] + s for k, s in places]] == want).all() and np.count_nonzero(m.table) == len(places)
+    (body, offsets), (follow, _) = packed(streams), packed(told)
     want = np.concatenate([plain_log10(m, s, t) for s, t in zip(streams, told, strict=True)])
-    for step in (len(body), 101):
-        got = np.concatenate([m.log10(C.Choices(m.code, body, follow, offsets, lo, hi)) for lo, hi in C.windows(len(body), step)])
-        assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
+    for size, step, part in ((len(body), 1 << 14, 1 << 15), (101, 37, 64)):
+        monkeypatch.setattr(C, "_PART", part)
+        windows = [C.Bytes(m.code, body, follow, offsets, lo, hi) for lo, hi in C.windows(len(body), size)]
+        got = np.concatenate([x.spread(m.log10(x, step)) for x in windows])
+        assert got == pytest.approx(want, rel=2e-2, abs=2e-2) and got.sum() == pytest.approx(want.sum(), rel=1e-4)
+        assert sum(x.many.sum() for x in windows) == len(body)
 
 
 def test_bytes_have_a_distribution(spark):
     """Whatever came before and is foretold, the probabilities of all bytes add up to one."""
-    streams = [stream_of(t) for t in _texts()[:40]]
-    m = C.learn(spark.createDataFrame([(bytearray(s), bytearray(len(s))) for s in streams], "body binary, told binary"), 1)
+    _, m = toy(spark, _texts()[:40])
     for before, said in ((b"", 0), (b"kato ri", 0), (b"kato ri", 107), (b"\xff\xfe", 32)):
         total = 0.0
         for b in range(256):
             body = np.frombuffer(before + bytes([b]), np.uint8)
             told = np.zeros(len(body), np.uint8)
             told[-1] = said
-            total += 10 ** float(m.log10(C.Choices(m.code, body, told, np.array([0, len(body)]), len(before), len(body)))[0])
-        assert total == pytest.approx(1.0, abs=1e-3)
+            total += 10 ** float(m.log10(C.Bytes(m.code, body, told, np.array([0, len(body)]), len(before), len(body)))[0])
+        assert total == pytest.approx(1.0, abs=2e-3)
 
 
 def test_learning_lowers_the_cost(spark):
-    streams = [stream_of(t) for t in _texts()]
-    body, offsets = np.frombuffer(b"".join(streams), np.uint8), np.append(0, np.cumsum([len(s) for s in streams]))
-    told = np.zeros(len(body), np.uint8)
-    m = C.learn(spark.createDataFrame([(bytearray(s), bytearray(len(s))) for s in streams], "body binary, told binary"), 1)
+    streams, m = toy(spark, _texts())
+    body, offsets = packed(streams)
     start = C.Mixer(m.code, m.table, *C._start())
-    c = C.Choices(m.code, body, told, offsets, 0, len(body))
-    cost = lambda x: -float(np.log(np.where(c.turn == 1, C.squash(x.mixed(c, True)[0]), 1 - C.squash(x.mixed(c, True)[0]))).sum())
+    c = C.Choices(C.Bytes(m.code, body, np.zeros(len(body), np.uint8), offsets, 0, len(body)), 0, 1 << 20)
+
+    def cost(x):
+        p = C.squash(x.mixed(c, True, *x.ready())[0])
+        return -float((c.many * np.log(np.where(c.turn == 1, p, 1 - p))).sum())
+
     assert cost(m) < cost(start)
 
 
