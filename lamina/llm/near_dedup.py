@@ -2,26 +2,30 @@
 
 Documents are linked if 100 * |A & B| >= 75 * |A | B| for their sets of five-word shingles. A signature has HASHES minima. The
 trees of the forest are sorted orders of the signatures, each by its own order of the minima; documents whose orders agree on
-the first `depth` minima share a region. Depth adapts to the region: where more than REGION documents meet, all of them go on
-to the next, deeper forest, which has as many more trees as a pair at the threshold needs to be found as surely as before. Regions
-that are still too large in the last one are dealt into parts, and while they hold several components, each part is compared
-with each other part.
+the first `depth` minima share a region. In a region of a few documents all of them are candidates for each other. In a larger
+one the descent goes on: it is sorted by the further minima of its tree, and a document's candidates are its neighbours there, with
+which it has the longest common prefix, so depth adapts to the region. A pair at 0.75 shares a region in some tree but for one time in
+900,000. Where more than REGION documents meet, all of them go on to the next forest, which is deeper and has as many more trees
+as such a pair needs. Regions that are still too large in the last one are dealt into parts, and while
+they hold several components, each part is compared with each other part.
 
-In a region, neighbours in its order, and in small regions all, are compared by their signatures, and pairs that may reach the
-threshold become candidates. They are confirmed on the full sets of shingles. What is then left apart is looked at twice
-more in each region: first each document with the likest one of another component, then every pair of different components
-that may reach the threshold, the likest ones of each two components first, until none is left. So no pair that shares a region is lost unless it is connected already, and a group of copies
-costs a few confirmations for each member, not one for each pair. A pair at 0.75 shares a region in some tree but for one time in 900,000.
+The first look confirms, on the full sets of shingles, all candidates in small regions and each document's likeliest one in larger ones.
+The last look goes through the regions that hold several components with the full sets at hand: each document is compared
+with those of other components that may reach the threshold by their signatures, the likeliest first, until none is left. So no
+pair that shares a region is lost unless it is connected already, and a group of copies costs a few confirmations for
+each member, not one for each pair.
 
-Equal sequences of words are one node from the start. Rows that share a doc_id count as one document.
+Equal sequences of words are one node from the start. Rows that share a doc_id are one document: it has the links of all its texts.
 
 Defined cases: a text without words has no shingles and is linked with nothing; a null doc_id is linked with nothing and kept,
-with a null component; an empty table gives an empty result; other columns are carried, whatever their names.
+with a null component; rows that repeat are answered one by one; an empty table gives an empty result; other columns are carried, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +43,10 @@ FORESTS = ((4, 36), (7, 100), (11, 320))
 REGION = 2048
 #: Regions up to this size are compared at once, larger ones by neighbours first.
 SMALL = 12
-#: Equal minima that a pair at the threshold has but for one time in 30,000 (192 on average, 4 deviations).
-AGREE = 164
-#: The last look confirms one pair for each two components of a region, then so many times more as long as some are left.
-MORE = 16
+#: Equal minima that a pair at the threshold has but for one time in ten million (192 on average, 5.2 deviations).
+AGREE = 156
+#: Minima of a tree's order that a region is sorted by.
+PATH = 16
 #: Hash buckets of ids by which texts are left out early.
 BUCKETS = 1 << 20
 
@@ -96,17 +100,20 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> list:
     return [signed(d1), signed(d2), n.astype(np.int64), [x.tobytes() for x in sig]]
 
 
-def _orders(depth: int, trees: int) -> np.ndarray:
-    """The minima by which each tree is sorted, as far as its depth."""
-    rng = np.random.RandomState(1_000 * depth + trees)
-    return np.array([rng.permutation(HASHES)[:depth] for _ in range(trees)])
+@lru_cache(maxsize=1)
+def _orders(forests: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The minima by which each tree is sorted, those of the first forest first."""
+    rng = np.random.RandomState(1_000)
+    return np.array([rng.permutation(HASHES)[:PATH] for _ in range(sum(trees for _, trees in forests))])
 
 
-def _trees(sigs: DataFrame, depth: int, trees: int) -> DataFrame:
-    """key, id, tree: the region of each document (id, sig) in each tree."""
-    orders = _orders(depth, trees)
+def _trees(sigs: DataFrame, level: int, forests: tuple[tuple[int, int], ...]) -> DataFrame:
+    """key, id, tree: the region of each document (id, sig) in each tree of a forest."""
+    depth, trees = forests[level]
+    first = sum(n for _, n in forests[:level])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders(forests)[first : first + trees, :depth]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -114,11 +121,11 @@ def _trees(sigs: DataFrame, depth: int, trees: int) -> DataFrame:
                 ids = column(part, "id", pa.int64()).to_numpy()
                 keys = np.empty((trees, len(ids)), np.uint64)
                 for t, order in enumerate(orders):
-                    k = np.full(len(ids), t + 1, np.uint64)
+                    k = np.full(len(ids), first + t + 1, np.uint64)
                     for i in order:
                         k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
                     keys[t] = k
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.tile(ids, trees)), pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(ids)))], names=["key", "id", "tree"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys.ravel())), pa.array(np.tile(ids, trees)), pa.array(np.repeat(np.arange(first, first + trees, dtype=np.int32), len(ids)))], names=["key", "id", "tree"])
         release()
 
     return sigs.select("id", "sig").mapInArrow(run, "key long, id long, tree int")
@@ -129,22 +136,21 @@ def _matrix(arr: pa.Array) -> np.ndarray:
     return np.frombuffer(arr.buffers()[2], np.uint8, len(arr) * HASHES, offset).reshape(len(arr), HASHES)
 
 
-def _regions(sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """key, m, id, tree: the regions with 2 to REGION documents, and their number m. tree is -1 unless all regions of the first
-    forest are among them. And key, m, id, leader: the regions of the last forest with more documents, if there are any."""
+def _regions(sigs: DataFrame, forests: tuple[tuple[int, int], ...]) -> tuple[DataFrame, DataFrame | None, bool]:
+    """key, m, id, tree: the regions with 2 to REGION documents, and their number m. The regions of the last forest with more
+    documents, if there are any. And whether all regions are of the first forest."""
     out, nodes = [], sigs
-    for level, (depth, trees) in enumerate(FORESTS):
-        keys = _trees(nodes, depth, trees)
+    for level in range(len(forests)):
+        keys = _trees(nodes, level, forests)
         crowded = written(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1"), "sizes")
         rows = written(keys.join(crowded, "key"), "regions")
         large = rows.where(f"m > {REGION}")
-        whole = level == 0 and large.isEmpty()
-        out.append(rows.where(f"m <= {REGION}").select("key", "m", "id", F.col("tree") if whole else F.lit(-1).alias("tree")))
-        if whole or large.isEmpty():
-            return _union(out), None
-        if level + 1 < len(FORESTS):
+        out.append(rows.where(f"m <= {REGION}").select("key", "m", "id", "tree"))
+        if large.isEmpty():
+            return _union(out), None, level == 0
+        if level + 1 < len(forests):
             nodes = written(sigs.join(large.select("id").distinct(), "id"), "crowded")
-    return _union(out), large.select("key", "m", "id", "leader")
+    return _union(out), large, False
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -163,16 +169,16 @@ def _parts() -> tuple[Column, Column]:
 def _dealt(large: DataFrame) -> DataFrame:
     """The parts of large regions, each with the region's first document, for the first look: it links most copies cheaply."""
     parts, own = _parts()
-    mine = large.where("id <> leader").select(F.xxhash64("key", own).alias("key"), "id")
-    first = large.where("id = leader").select("key", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    return mine.unionByName(first.select(F.xxhash64("key", "part").alias("key"), "id")).select("key", F.lit(REGION).cast("long").alias("m"), "id", F.lit(-1).alias("tree"))
+    mine = large.where("id <> leader").select(F.xxhash64("key", own).alias("key"), "id", "tree")
+    first = large.where("id = leader").select("key", F.col("leader").alias("id"), "tree", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return mine.unionByName(first.select(F.xxhash64("key", "part").alias("key"), "id", "tree")).select("key", F.lit(REGION).cast("long").alias("m"), "id", "tree")
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
     """Each two parts of large regions (key, m, id, component) as a region: all pairs of documents meet in one."""
     parts, own = _parts()
     met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).where("own <> other")
-    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", F.lit(-1).alias("tree"), "component")
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "tree", "component")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -186,9 +192,9 @@ def _split(labelled: DataFrame) -> DataFrame:
 
 
 def _by_region(rows: DataFrame) -> DataFrame:
-    """rows, each region whole in one partition. The partitions are dealt by a hash of the key and not by the key itself: Spark
+    """rows (key, id), each region whole in one partition. The partitions are dealt by a hash of the key and not by the key itself: Spark
     drops a repartition by what a join below it has dealt by, and may then split that join's partitions."""
-    return rows.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "sig")
+    return rows.repartition(F.xxhash64("key", F.lit(1))).sortWithinPartitions("key", "id")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,96 +239,107 @@ def _chosen(pairs: DataFrame) -> DataFrame:
     return written(pairs.where(f"same > {HASHES}").select("a", "b").unionByName(best).distinct(), "pairs")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _groups(batches):
-        key, m = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "m"))
-        ids, n, sketch = _sketch(batch)
-        a, b, agree = [], [], []
-        for lag in range(1, SMALL):
-            i = np.flatnonzero((key[lag:] == key[:-lag]) & ((m[lag:] <= SMALL) | (lag == 1)))
-            i = i[_may_link(n[i], n[i + lag])]
-            for at in range(0, len(i), 8192):
-                j = i[at : at + 8192]
-                same = (sketch[j] == sketch[j + lag]).sum(axis=1)
-                j, same = j[same >= AGREE], same[same >= AGREE]
-                a.append(ids[j])
-                b.append(ids[j + lag])
-                agree.append(np.where(m[j] <= SMALL, HASHES + 1, same))
-        yield _pair_batch(a, b, agree)
-    release()
-
-
-def _likest(code: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray, most: int) -> np.ndarray:
-    """Of each code the places of the pairs that agree most, `most` of them."""
-    order = np.lexsort((b, a, -same, code))
-    start = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    return order[rank < most]
-
-
-def _apart(best: bool, most: int = 1 << 62) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components in each region: of each document the likest one (best), or the `most` likest that may reach
-    the threshold of each two components. A pair of a document with itself says that there are more. The largest component of a
-    region is not compared with itself."""
-
-    orders = _orders(*FORESTS[0])
+def _paths(sketch: np.ndarray, tree: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The minima of each document in the order of its tree."""
+    return np.take_along_axis(sketch, orders[tree], axis=1)
+
+
+def _sorted_in(key: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """The order by key, then path."""
+    parts = np.ascontiguousarray(path).view(">u8")
+    return np.lexsort([*(parts[:, i] for i in range(parts.shape[1] - 1, -1, -1)), key])
+
+
+def _neighbours(forests: tuple[tuple[int, int], ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The candidates of the first look: all pairs of small regions, marked, and in larger ones neighbours in the tree's order, of
+    which a document takes the one on the side with the longer common prefix, or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders(forests)
         for batch in _groups(batches):
-            key, component, tree = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "component", "tree"))
+            key, m = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "m"))
             ids, n, sketch = _sketch(batch)
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            path = _paths(sketch, column(batch, "tree", pa.int32()).to_numpy(), orders)
+            order = _sorted_in(key, path)
+            key, m, ids, n, sketch, path = (x[order] for x in (key, m, ids, n, sketch, path))
+            common = np.where(key[1:] == key[:-1], np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1), -1)
+            side = np.concatenate([[-1], common, [-1]])
+            longest = np.maximum(side[:-1], side[1:])  # of each document with a neighbour
             a, b, agree = [], [], []
+            for lag in range(1, SMALL):
+                here = key[lag:] == key[:-lag]
+                if lag == 1:
+                    here &= (m[1:] <= SMALL) | (common == longest[1:]) | (common == longest[:-1])
+                else:
+                    here &= m[lag:] <= SMALL
+                i = np.flatnonzero(here)
+                i = i[_may_link(n[i], n[i + lag])]
+                for at in range(0, len(i), 8192):
+                    j = i[at : at + 8192]
+                    same = (sketch[j] == sketch[j + lag]).sum(axis=1)
+                    j, same = j[same >= AGREE], same[same >= AGREE]
+                    a.append(ids[j])
+                    b.append(ids[j + lag])
+                    agree.append(np.where(m[j] <= SMALL, HASHES + 1, same))
+            yield _pair_batch(a, b, agree)
+        release()
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
+def _apart(forests: tuple[tuple[int, int], ...], whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between different components of each region, found on the full sets; none is left when they are followed. whole: all
+    regions are of the first forest, so a pair that has met in an earlier tree is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders(forests)[:, : forests[0][0]]
+        for batch in _groups(batches):
+            key, component = (column(batch, c, pa.int64()).to_numpy() for c in ("key", "component"))
+            tree, sets = column(batch, "tree", pa.int32()).to_numpy(), column(batch, "shingles", pa.binary())
+            ids, n, sketch = _sketch(batch)
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            out: list[tuple[int, int]] = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                names, inverse, many = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
+                names, of, many = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     continue
-                order = np.argsort(inverse == np.argmax(many), kind="stable")  # the largest component last
-                few = (hi - lo) - int(many.max())
-                x, y, of, who = sketch[lo:hi][order], n[lo:hi][order], inverse[order], ids[lo:hi][order]
-                left: list[tuple[np.ndarray, ...]] = []
-                for at in range(0, few, 16):
-                    end = min(at + 16, few)
-                    ok = (of[at:end, None] != of[None]) & _may_link(y[at:end, None], y[None])
-                    if not best:
-                        ok &= np.arange(len(x))[None] > np.arange(at, end)[:, None]
-                    i, j = np.nonzero(ok)
-                    same = (x[i + at] == x[j]).sum(axis=1) if len(i) else np.zeros(0, np.int64)
-                    i, j, same = (v[same >= AGREE] for v in (i, j, same))
-                    for order_of in orders[: max(0, tree[lo])] if not best and len(i) else ():  # found in an earlier tree
-                        new = (x[i + at][:, order_of] != x[j][:, order_of]).any(axis=1)
-                        i, j, same = i[new], j[new], same[new]
-                    if best:
-                        top = np.lexsort((who[j], -same, i))
-                        top = top[np.append(True, i[top][1:] != i[top][:-1])] if len(top) else top
-                        i, j, same = i[top], j[top], same[top]
-                    left.append((i + at, j, same))
-                i, j, same = (np.concatenate(v) for v in zip(*left, strict=True))
-                if not best and len(i):
-                    code = np.minimum(of[i], of[j]) * len(names) + np.maximum(of[i], of[j])
-                    top = _likest(code, who[i], who[j], same, most)
-                    if len(top) < len(i):
-                        a.append(who[:1])
-                        b.append(who[:1])
-                        agree.append(np.zeros(1, np.int64))
-                    i, j, same = i[top], j[top], np.full(len(top), HASHES + 1)
-                a.append(who[i])
-                b.append(who[j])
-                agree.append(same)
-            yield _pair_batch(a, b, agree)
+                x, y = sketch[lo:hi], n[lo:hi]
+                held = [np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in range(lo, hi)]
+                order = np.argsort(of == np.argmax(many), kind="stable")  # the largest component last: it isn't compared with itself
+                for at in range((hi - lo) - int(many.max())):
+                    i, j = int(order[at]), order[at + 1 :]
+                    j = j[(of[j] != of[i]) & _may_link(y[i], y[j])]
+                    same = (x[i] == x[j]).sum(axis=1)
+                    j, same = j[same >= AGREE], same[same >= AGREE]
+                    if whole and len(j):
+                        earlier = orders[: tree[lo]]
+                        new = ~(x[i][earlier][None] == x[j][:, earlier]).all(axis=2).any(axis=1)
+                        j, same = j[new], same[new]
+                    for k in j[np.argsort(-same, kind="stable")].tolist():
+                        if of[i] != of[k] and _linked(held[i], held[k]):
+                            out.append((int(ids[lo + i]), int(ids[lo + k])))
+                            of[of == of[k]] = of[i]
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
         release()
 
     return run
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles: the sorted distinct shingles of the documents with these ids, as 64-bit hashes.
 
     Before texts are shuffled to the ids, those whose id falls into none of the ids' BUCKETS are left out: that list is
     broadcast, and has at most BUCKETS rows however many ids there are."""
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket)
-    likely = texts.join(F.broadcast(ids.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+    likely = rows.select("id", "text").withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
     wanted = likely.select("id", "text").join(ids, "id")
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list:
@@ -330,63 +347,73 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         ends = np.cumsum(n)
         return [[g[e - k : e].tobytes() for k, e in zip(n, ends, strict=True)]]
 
-    return per_document(wanted, [("shingles", "binary")], kernel, ("id",))
+    return per_document(wanted, [("shingles", "binary")], kernel, ("id",)).dropDuplicates(["id"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs, ids), "sets")
+    sets = written(_sets(rows, ids), "sets")
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            ok = [_linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in both)) for both in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
         release()
 
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+_FIELDS = [("d1", "long"), ("d2", "long"), ("n", "long"), ("sig", "binary")]
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, id, text of each row: id is doc_id, but for documents with several texts, where each text has its own. And whether there are any."""
+    rows = docs.select("doc_id", F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    often = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo <> hi")
+    often = written(often.select("doc_id"), "often")
+    if often.isEmpty():
+        return rows, False
+    own = rows.join(often, "doc_id", "left_semi").withColumn("id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return written(rows.join(often, "doc_id", "left_anti").unionByName(own), "named"), True
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
-    fields = [("d1", "long"), ("d2", "long"), ("n", "long"), ("sig", "binary")]
-    made = written(per_document(docs, fields, signatures), "signatures")
+    forests = FORESTS
+    rows, several = _named(docs)
+    made = written(per_document(rows, _FIELDS, signatures, ("doc_id", "id")), "signatures")
     known = made.where("doc_id IS NOT NULL AND n > 0")
-    first = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    thin = made.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2"], "left")
-    sigs = known.join(first.where("id IS NOT NULL"), ["d1", "d2"]).where("doc_id = id").select("id", "n", "sig").dropDuplicates(["id"])
+    first = known.groupBy("d1", "d2").agg(F.min("id").alias("node"))
+    thin = made.select("doc_id", "id", "d1", "d2", "n").join(first, ["d1", "d2"], "left")
+    sigs = known.join(first, ["d1", "d2"]).where("id = node").select("id", "n", "sig").dropDuplicates(["id"])
     sigs = written(sigs, "nodes")
-    rows, large = _regions(sigs)
-    first_look = rows if large is None else rows.unionByName(_dealt(large))
-    near = _by_region(first_look.join(sigs, "id").select("key", "m", "id", "n", "sig")).mapInArrow(_neighbours, _PAIR)
-    pairs = _chosen(near)
-    found = components(written(_confirmed(docs, pairs), "links"))
-
-    most = 0  # at first, each document's likest
-    while True:
-        apart = _split(_labelled(rows.where(f"m > {SMALL}").select("key", "id", "tree"), found))
-        if large is not None:
-            apart = apart.unionByName(_split(_in_blocks(_split(_labelled(large.select("key", "m", "id"), found)))))
-        again = _by_region(apart.join(sigs, "id").select("key", "id", "tree", "n", "sig", "component")).mapInArrow(_apart(not most, most), _PAIR)
-        seen = written(again, "looked")
-        more = written(_chosen(seen).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            new = written(_confirmed(docs, more), "links")
-            if not new.isEmpty():
-                found = _joined_up(found, new)
-        if most and seen.where("a = b").isEmpty():
-            break
-        most = max(1, most * MORE)
-    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    return thin.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    regions, large, whole = _regions(sigs, forests)
+    first_look = regions if large is None else regions.unionByName(_dealt(large))
+    near = _by_region(first_look.join(sigs, "id").select("key", "m", "id", "tree", "n", "sig")).mapInArrow(_neighbours(forests), _PAIR)
+    links = _confirmed(rows, _chosen(near))
+    if several:  # a document's texts belong together
+        texts = thin.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
+        links = links.unionByName(texts.select("a", F.explode("all").alias("b")).where("a <> b"))
+    found = components(written(links, "links"))
+
+    apart = _split(_labelled(regions.where(f"m > {SMALL}").select("key", "id", "tree"), found))
+    if large is not None:
+        apart = apart.unionByName(_split(_in_blocks(_split(_labelled(large.select("key", "m", "id", "tree"), found)))))
+    apart = written(apart, "apart")
+    full = sigs.join(_sets(rows, apart.select("id").distinct()), "id")
+    again = _by_region(apart.join(full, "id").select("key", "id", "tree", "component", "n", "sig", "shingles")).mapInArrow(_apart(forests, whole), "a long, b long")
+    more = written(again.distinct(), "links")
+    if not more.isEmpty():
+        found = _joined_up(found, more)
+    label = F.coalesce("component", "node")
+    if several:
+        least = thin.join(found, thin["node"] == found["id"], "left").groupBy(label.alias("component")).agg(F.min("doc_id").alias("least"))
+        found = written(thin.select("node").where("node IS NOT NULL").distinct().join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", label).join(least, "component").select(F.col("node").alias("id"), F.col("least").alias("component")), "components")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, label).otherwise(F.col("doc_id"))
+    done = thin.drop("id").join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _joined_up(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -404,10 +431,14 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id. Its repeated rows, if any, become one."""
+    """One document of each component: the one with the smallest doc_id. Its rows with the same text become one."""
     gone = classes(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    packed = carried(docs)
-    return restored(packed.join(gone, "doc_id", "left_anti"), docs.columns)
+    left = carried(docs).join(gone, "doc_id", "left_anti")
+    often = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    if not often.isEmpty():
+        once = left.join(often, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.first("_row").alias("_row"))
+        left = left.join(often, "doc_id", "left_anti").unionByName(once)
+    return restored(left, docs.columns)
 
 
 ORACLE_SQL = r"""

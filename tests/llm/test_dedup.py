@@ -82,30 +82,79 @@ def test_near_dedup_compares_all_parts_of_large_regions(spark, monkeypatch):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == near_by_brute_force(rows)
 
 
-def _apart_pairs(agree, components, *args):
-    """The pairs that a look finds in one region in which rows 2 k and 2 k + 1 agree in agree[k] minima."""
+def test_near_dedup_of_documents_with_several_texts(spark):
+    """A doc_id is one document with the links of all its texts; rows that repeat stay rows."""
+    import random
+
+    r = random.Random(12)
+    a, b, c = ([f"w{r.randint(0, 9999)}" for _ in range(80)] for _ in range(3))
+    rows = [(1, a), (1, b), (2, [*a, "more"]), (3, [*b, "more"]), (4, c), (4, c), (5, [*c, "more"]), (6, []), (6, c[:40])]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(7, ""), (7, "one two"), (-8, "one two")]
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == near_by_brute_force(rows)
+
+
+def test_near_dedup_stage_leaves_repeated_rows_once(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r"), (3, "s t"), (None, "q r")]
+    out = N.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b c d e f g"), (3, "q r"), (3, "s t"), (None, "q r")], key=str)
+
+
+def test_regions_are_sorted_by_the_order_of_their_tree():
+    import numpy as np
+
+    r = np.random.RandomState(5)
+    sig, tree, key = r.randint(0, 3, (500, N.HASHES)).astype(np.uint8), r.randint(0, 136, 500), r.randint(0, 9, 500)
+    orders = N._orders(N.FORESTS)
+    path = N._paths(sig, tree, orders)
+    assert all((path[i] == sig[i, orders[tree[i]]]).all() for i in range(500))
+    order = N._sorted_in(key, path)
+    rows = [(int(key[i]), path[i].tobytes()) for i in order]
+    assert rows == sorted(rows)
+
+
+def _agreeing(agree, shared):
+    """A batch of one region: rows 2 k and 2 k + 1 agree in agree[k] minima, and have shared[k] of 100 shingles in common."""
     import numpy as np
     import pyarrow as pa
 
-    sig = np.random.RandomState(3).randint(0, 256, (len(components), N.HASHES)).astype(np.uint8)
+    m = 2 * len(agree)
+    sig = np.random.RandomState(3).randint(0, 256, (m, N.HASHES)).astype(np.uint8)
+    sets = [np.arange(1000 * i, 1000 * i + 100, dtype=np.uint64) for i in range(m)]
     for k, n in enumerate(agree):
         sig[2 * k + 1] = sig[2 * k] + 1
         sig[2 * k + 1, :n] = sig[2 * k, :n]
-    m = len(components)
-    batch = pa.table({"key": [5] * m, "id": list(range(1, m + 1)), "tree": [0] * m, "n": [100] * m, "sig": [x.tobytes() for x in sig], "component": components}).to_batches()[0]
-    return [(a, b) for out in N._apart(*args)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        sets[2 * k + 1] = np.sort(np.append(sets[2 * k][: shared[k]], sets[2 * k + 1][shared[k] :]))
+    columns = {"key": [5] * m, "id": list(range(1, m + 1)), "tree": pa.array([0] * m, pa.int32()), "n": [100] * m, "component": list(range(1, m + 1))}
+    return pa.table(columns | {"sig": [x.tobytes() for x in sig], "shingles": [x.tobytes() for x in sets]}).to_batches()[0]
 
 
-def test_last_look_finds_what_may_reach_the_threshold():
-    """166 minima are over AGREE."""
-    assert _apart_pairs([166], list(range(1, 15)), False) == [(1, 2)]
+def test_last_look_finds_what_reaches_the_threshold():
+    """86 of 100 in common is a similarity of 0.754, 85 one of 0.739."""
+    out = list(N._apart(N.FORESTS, True)(iter([_agreeing([N.AGREE, 250, 200, N.AGREE - 1], [86, 85, 100, 100])])))
+    assert [(a, b) for x in out for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)] == [(1, 2), (5, 6)]
 
 
-def test_last_look_says_if_it_leaves_pairs():
-    two = [1, 2] * 7
-    assert set(_apart_pairs([180, 190], two, False)) == {(1, 2), (3, 4)}
-    some = _apart_pairs([180, 190], two, False, 1)
-    assert (3, 4) in some and (1, 2) not in some and any(a == b for a, b in some)
+def test_near_dedup_recall_of_borderline_pairs(spark):
+    """Chains of texts whose neighbours are at 0.75 to 0.8, beside others at 0.65 to 0.74: every link counts, no other one."""
+    import random
+
+    r = random.Random(21)
+    rows = []
+    for i in range(120):
+        base = [f"w{r.randint(0, 99_999)}" for _ in range(r.randint(40, 200))]
+        rows.append((3 * i, base))
+        for k in (1, 2):
+            v, n = list(rows[-1][1]), len(base)
+            edits = max(1, round(n * r.uniform(0.02, 0.055)))
+            for e in range(edits):
+                v[(e * n) // edits + r.randrange(max(1, n // edits - 4))] = f"x{r.randint(0, 99_999)}"
+            rows.append((3 * i + k, v))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = near_by_brute_force(rows)
+    assert 60 < sum(not kept for *_, kept in want) < 200
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == want
 
 
 def test_near_dedup_stage_keeps_columns_and_one_of_each_group(spark, docs, empty):
