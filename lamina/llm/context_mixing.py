@@ -2,18 +2,19 @@
 
 A text is the bytes of its lower-cased words, each closed by a space, then an end sign. Each byte is coded as a few binary
 choices. For each choice one predictor for each order in ORDERS looks up counts of zeros and ones under a hash of the last bytes,
-across words; another does so under the word so far; the last one follows what came next where another training text had the
-same SEED words. Their log odds are added with weights, which are gated by the longest context that has seen anything, by how long the last
-predictor has been right, and by how much each predictor has seen. An adaptive map refines the sum for each choice. The
-probability of every byte comes from this mixture; -log2 of the text's, over its bytes, is its bits per byte.
+across words; another does so under the word so far (its last REACH bytes), one knows the byte before, and the last one follows what came
+next where another training text had the same SEED words. Their log odds are added with weights, which are gated by what the longest contexts
+have seen and by how long the follower has been right, and by how much each predictor has seen. An adaptive map refines the sum
+for each choice. The probability of every byte comes from this mixture; -log2 of the text's, over its bytes, is its bits per byte.
 
 Learning covers all training texts. Counts are summed over tasks in tables of fixed size. The weights and the map are learnt
-online, window by window, in each task, from predictions that leave the byte at hand out of the counts, and are averaged over
-tasks by how often each was used. Scoring doesn't change them, so a score doesn't depend on which texts share a task.
+online, step by step, in each task, from predictions that leave the byte at hand out of the counts, and are averaged over
+tasks by how often each was used. Scoring doesn't change them, so a score doesn't depend on which texts share a task. Bytes that
+have all their contexts in common are predicted once in a block of texts.
 
 Words' counts and runs of words that training texts share grow with the input and are never sent whole: each block of texts
-lists its distinct words and runs, these are summed by a shuffle, and each block gets its own back. So no key has more rows than there
-are blocks, and every step is the same at any size.
+lists its distinct words and runs, packed by ranges of hashes; each range is summed by a task, and each block gets its own back. So no key has
+more entries than there are blocks, and every step is the same at any size.
 
 Defined cases: a null or empty text has one token, its end; a null doc_id belongs to the training rows; without training rows
 all counts are 0 and each choice is even; rows that repeat count and are scored one by one, and are not foretold from rows with their own doc_id;
@@ -29,35 +30,31 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import documents, written
+from .store import documents, drop, new_path, written
 from .text import Words, blocks, column, grams_by_doc, release
 
-ORDERS = (2, 3, 4, 6)
+ORDERS, REACH = (2, 3, 4, 6), 7
 #: Slots of the tables of ORDERS, and of the word so far, as powers of two.
 SLOTS = (18, 20, 21, 21, 21)
-#: Bytes of text in a block, and for each task that counts.
-BLOCK, TALLY = 4 << 20, 40 << 20
+#: Bytes of text in a block, for each range of hashes, and for each task that counts.
+BLOCK, RANGE, TALLY = 4 << 20, 32 << 20, 40 << 20
 #: Words of a run that may be followed, and one run in so many that is looked up.
 SEED, EVERY = 6, 16
-#: Bytes that are handled together, and of these the different ones that are predicted at once.
-WINDOW, STEP = 1 << 21, 1 << 14
-_ID = "coalesce(doc_id, 9223372036854775807)"
+#: Different bytes that are predicted at once.
+STEP = 1 << 14
+_ID = "coalesce(doc_id, 9223372036854775806)"
 HELD_OUT = "coalesce(pmod(crc32(CAST(doc_id AS STRING)), 7) = 2, false)"
 
 _SPACE, _END = 32, 10
 _TABLES = len(SLOTS)
-#: Bytes before a window that its contexts may reach.
-_HALO, _PREFIX, _PART = 40, 24, 1 << 15
+_PART = 1 << 15
 _AT = np.append(0, np.cumsum([1 << s for s in SLOTS]))
 _RUNS = np.array([1] * 4 + [2] * 12 + [3] * 16 + [4])  # 1 + how long the follower has been right, in four steps
 _DELTA, _BINS, _GATES, _CONF = 0.4, 64, 45, 8
-_rng = np.random.RandomState(9_091)
-_MUL = (_rng.randint(0, 2**31, max(ORDERS) + 1).astype(np.uint32) << 1) | np.uint32(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: A slot holds its counts of zeros and ones as one of 256 states: up to EXACT choices exactly, more as one of LEVELS log odds and a size.
 EXACT, LEVELS, SIZES = 13, 50, (20, 50, 200)
@@ -108,7 +105,7 @@ _SOMES = 3 * _SOME
 
 
 class Code:
-    """A prefix code of bytes for each byte before them, by their counts: the inner nodes on the way to each byte, and the turns taken there."""
+    """A prefix code of bytes for each byte before them (0 at first), by their counts: the inner nodes on the way to each byte, and the turns taken there."""
 
     def __init__(self, counts: np.ndarray):
         """counts: of each byte after each byte."""
@@ -150,32 +147,34 @@ class Code:
         return self._toward[row, node % 256]
 
 
-def contexts(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the contexts of the bytes lo to hi of a block's stream, and the byte before each one (the end sign at first)."""
-    hashes, before = [np.empty(hi - lo, np.uint32) for _ in SLOTS], np.empty(hi - lo, np.uint8)
-    for start in range(lo, hi, _PART):
-        stop = min(start + _PART, hi)
-        a = max(0, start - _HALO)
-        x, skip, own = body[a:stop], start - a, slice(start - lo, stop - lo)
-        begins = offsets[np.searchsorted(offsets, a - max(ORDERS), "right") : np.searchsorted(offsets, stop)] - a
-        begins = np.append(-a, begins) if a < max(ORDERS) else begins
-        wide, h, p = x.astype(np.uint32), np.zeros(len(x), np.uint32), np.empty(len(x), np.uint32)
-        for k in range(1, max(ORDERS) + 1):
-            early = (begins[:, None] + np.arange(k)).ravel()
-            p[k:] = wide[: max(0, len(x) - k)]
-            p[early[(early >= 0) & (early < len(x))]] = 0
-            p += np.uint32(k)
-            h ^= p
-            h *= _MUL[k]
-            h ^= h >> np.uint32(15)
-            if k in ORDERS:
-                hashes[ORDERS.index(k)][own] = h[skip:]
-        begins = begins[(begins >= 0) & (begins < len(x))]
-        hashes[-1][own] = _word_so_far(x, begins)[skip:]
-        last = np.append(np.uint8(_END), x[:-1])
-        last[begins] = _END
-        before[own] = last[skip:]
-    return hashes, before
+def contexts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte with the REACH bytes before it in its text (0 before its beginning), as a number; the byte is the highest one."""
+    wide = np.zeros(len(body) + REACH, np.uint8)
+    wide[REACH:] = body
+    out = np.ndarray(len(body), "<u8", wide, strides=(1,)).copy()
+    for j in range(REACH):
+        at = offsets[:-1] + j
+        out[at[at < len(body)]] &= np.uint64((1 << 64) - (1 << 8 * (REACH - j)))
+    return out
+
+
+def hashes(key: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the contexts in SLOTS."""
+    before = key & np.uint64((1 << 56) - 1)
+    spoken, size = np.ones(len(key), bool), np.zeros(len(key), np.int64)
+    for j in range(REACH):
+        byte = (before >> np.uint64(8 * (REACH - 1 - j))) & np.uint64(255)
+        spoken &= (byte != _SPACE) & (byte != 0)
+        size += spoken
+    some = [(before >> np.uint64(8 * (REACH - k))) * np.uint64(2) + np.uint64(k) for k in ORDERS]
+    some.append((before & np.array([(1 << 56) - (1 << 8 * (REACH - n)) for n in range(REACH + 1)], np.uint64)[size]) * np.uint64(2) + np.uint64(1))
+    out = []
+    for x in some:
+        x = x * _MUL
+        x ^= x >> np.uint64(29)
+        x *= _MIX
+        out.append((x >> np.uint64(32)).astype(np.uint32))
+    return out
 
 
 def _slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -188,28 +187,21 @@ def _slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Bytes:
-    """The bytes lo to hi of a block's stream with their contexts. Bytes that are alike in all that predicts them are kept once,
-    many times over; they come in the order of a hash."""
-
-    def __init__(self, code: Code, body: np.ndarray, told: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
-        hashes, before = contexts(body, offsets, lo, hi)
-        self.code, n = code, hi - lo
-        row = code.own[before] * np.int32(256) + body[lo:hi]
-        run = _run(body, told, lo, hi)
-        key, order = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    """The bytes of a block's stream with their contexts. Bytes that are alike in all that predicts them are kept once, many
+    times over; they come in the order of a hash."""
+
+    def __init__(self, code: Code, body: np.ndarray, told: np.ndarray, offsets: np.ndarray):
+        key, n = contexts(body, offsets), len(body)
+        run = _run(body, told)
+        self.code, order = code, np.empty(n, np.uint64)
         low = np.uint64((1 << n.bit_length()) - 1)
         for a in range(0, n, _PART):
             part = slice(a, min(a + _PART, n))
-            k = hashes[-2][part].astype(np.uint64)
-            k <<= np.uint64(32)
-            k |= hashes[-1][part]
-            k *= np.uint64(0x9E3779B97F4A7C15)
+            k = key[part] * _MUL
             k ^= k >> np.uint64(32)
-            k += row[part].astype(np.uint64)
             if run is not None:
-                k += (run[part].astype(np.uint64) << np.uint64(40)) + (told[lo:hi][part].astype(np.uint64) << np.uint64(32))
-            k *= np.uint64(0xD6E8FEB86659FD93)
-            key[part] = k
+                k += (run[part].astype(np.uint64) << np.uint64(8)) | told[part]
+            k *= _MIX
             k &= ~low
             k |= np.arange(a, part.stop, dtype=np.uint64)
             order[part] = k
@@ -218,11 +210,16 @@ class Bytes:
         self._order = order.view(np.int64)
         key = key[self._order]
         self._new = np.append(True, key[1:] != key[:-1])
+        if run is not None:
+            both = ((run << 8) | told)[self._order]
+            self._new[1:] |= both[1:] != both[:-1]
         first = np.flatnonzero(self._new)
-        one = self._order[first]
         self.many = np.diff(np.append(first, n))
-        self.hashes, self.row = [h[one] for h in hashes], row[one]
-        self.told, self.run = (None, None) if run is None else (told[lo:hi][one], run[one])
+        key = key[first]
+        self.hashes = hashes(key)
+        self.own = code.own[(key >> np.uint64(48)) & np.uint64(255)] * np.int32(256)
+        self.row = self.own + (key >> np.uint64(56)).astype(np.int32)
+        self.told, self.run = (None, None) if run is None else ((both[first] & 255).astype(np.int32), both[first] >> 8)
 
     def __len__(self) -> int:
         return len(self.row)
@@ -256,20 +253,19 @@ class Choices:
             self.follow, self.run = np.zeros(len(step), np.float32), np.zeros(len(step), np.int64)
             some = np.flatnonzero(np.repeat(x.run[lo:hi] > 0, n))
             of = np.repeat(np.arange(lo, hi), n)[some]
-            self.follow[some] = code.toward((x.row[of] & ~255) + x.told[of], self.node[some])
+            self.follow[some] = code.toward(x.own[of] + x.told[of], self.node[some])
             self.run[some] = np.where(self.follow[some] != 0, x.run[of], 0)
 
 
-def _run(body: np.ndarray, told: np.ndarray, lo: int, hi: int) -> np.ndarray | None:
+def _run(body: np.ndarray, told: np.ndarray) -> np.ndarray | None:
     """For each byte that is foretold how long the follower has been right before, in steps from 1 on; else 0. None if none is."""
-    if not told[lo:hi].any():
+    if not told.any():
         return None
-    a = max(0, lo - _HALO)
-    x, t, count = body[a:hi], told[a:hi], hi - a
-    wrong = np.maximum.accumulate(np.where((t == x) & (t > 0), -1, np.arange(count)))
-    right = np.zeros(count, np.int64)
-    right[1:] = np.arange(count - 1) - wrong[:-1]
-    return np.where(t > 0, _RUNS[np.minimum(right, len(_RUNS) - 1)], 0)[lo - a :]
+    count = len(body)
+    wrong = np.maximum.accumulate(np.where((told == body) & (told > 0), np.int32(-1), np.arange(count, dtype=np.int32)))
+    right = np.zeros(count, np.int32)
+    right[1:] = np.arange(count - 1, dtype=np.int32) - wrong[:-1]
+    return np.where(told > 0, _RUNS[np.minimum(right, len(_RUNS) - 1)], 0).astype(np.int32)
 
 
 def tally(x: Bytes, counts: np.ndarray) -> None:
@@ -281,35 +277,6 @@ def tally(x: Bytes, counts: np.ndarray) -> None:
         np.add.at(part, s.astype(np.int64) * 2 + c.turn, many)
 
 
-def _word_so_far(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A hash of the bytes since the last space or beginning of a text, at each byte; one value from _PREFIX bytes on."""
-    count = len(x)
-    start = np.zeros(count, bool)
-    start[begins] = True
-    start[1:] |= x[:-1] == _SPACE
-    start = np.flatnonzero(start)
-    size = np.diff(np.concatenate([[0], start, [count]]))
-    begin = np.repeat(np.append(0, start), size)
-    power, inverse = _powers(count)
-    sums = np.zeros(count, np.uint64)
-    np.cumsum((x[:-1].astype(np.uint64) + np.uint64(1)) * power[: count - 1], out=sums[1:])
-    h = (sums - sums[begin]) * inverse[begin]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    out = (h >> np.uint64(32)).astype(np.uint32)
-    out[np.arange(count) - begin >= _PREFIX] = 0x5BD1E995
-    return out
-
-
-_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _made or len(_made[0][0]) < count:
-        _made[0] = tuple(np.cumprod(np.append(np.uint64(1), np.full(count, base, np.uint64))) for base in (_BASE, _INVERSE))
-    return _made[0]
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x.clip(-30, 30)))
 
@@ -443,9 +410,9 @@ def windows(size: int, step: int) -> Iterator[tuple[int, int]]:
 
 def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, place (in the block) and hash of the runs of SEED words whose hash says so: one in EVERY."""
-    place, g, n = grams_by_doc(h.view(np.uint64), first, SEED)
+    place, g, n = grams_by_doc(h, first, SEED)
     ok = np.flatnonzero(g % np.uint64(EVERY) == 0)
-    return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok].view(np.int64)
+    return np.repeat(np.arange(len(n)), n)[ok], place[ok], g[ok]
 
 
 def stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,132 +428,214 @@ def stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, offsets, at
 
 
-def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+_END_HASH = int(Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes()[0])
+_NONE = np.iinfo(np.int64).max
+_ROW = {"kind": "int", "block": "long", "range": "int", "size": "binary", "held": "binary", "id": "binary", "body": "binary", "told": "binary", "h": "binary", "x": "binary", "y": "binary", "z": "binary"}
+#: Kinds of rows: a block's words and runs, the block itself, what followed runs, and which of that a block asks for.
+_WORDS, _RUNS_OF, _TEXTS, _SOURCES, _WANTED = range(5)
 
 
-def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary array one after another, and their sizes; none of its nulls."""
-    offsets = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1 + arr.offset)[arr.offset :].astype(np.int64)
-    raw = arr.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+def _schema(own: str) -> str:
+    return f"{', '.join(f'{k} {t}' for k, t in _ROW.items())}, doc_id array<{own}>"
 
 
-def _blocked(docs: DataFrame) -> DataFrame:
-    """block, doc_id, held_out, id and text of each row; a block is a stretch of a partition with about BLOCK bytes."""
-    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _rows(ids: pa.DataType, **values) -> pa.RecordBatch:
+    """One packed row; arrays go as their bytes."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    row = [pa.array([v.tobytes() if isinstance(v := values.get(k), np.ndarray) else v], kinds[t]) for k, t in _ROW.items()]
+    ids_ = values.get("doc_id")
+    lists = pa.ListArray.from_arrays(pa.array([0, len(ids_)], pa.int32()), ids_) if ids_ is not None else pa.nulls(1, pa.list_(ids))
+    return pa.RecordBatch.from_arrays([*row, lists], names=[*_ROW, "doc_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, total = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            size = np.diff(np.frombuffer(batch.column(3).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(3).offset)[batch.column(3).offset :]).astype(np.int64)
-            before = total + np.cumsum(size) - size
-            total += int(size.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(first + before // BLOCK), *batch.columns], names=["block", *batch.schema.names])
-        release()
 
-    return written(marked.mapInArrow(run, f"block long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, id long, text string"), "texts")
+class _Row:
+    """A packed row, as it comes back."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self._batch, self._i = batch, i
+
+    def number(self, name: str) -> int:
+        return self._batch.column(self._batch.schema.names.index(name))[self._i].as_py()
 
+    def array(self, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(self._batch.column(self._batch.schema.names.index(name))[self._i].as_buffer(), kind)
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The batches, cut where a new block begins."""
+    def ids(self) -> pa.Array:
+        return self._batch.column(self._batch.schema.names.index("doc_id"))[self._i].values
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[_Row]:
     for batch in batches:
-        of = column(batch, "block", pa.int64()).to_numpy()
-        cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(of[lo]), batch.slice(lo, hi - lo)
+        for i in range(batch.num_rows):
+            yield _Row(batch, i)
+
+
+def _grouped(rows: Iterator[_Row], name: str) -> Iterator[tuple[int, list[_Row]]]:
+    """The rows of each value of a column, by which they are sorted."""
+    now, held = None, []
+    for row in rows:
+        value = row.number(name)
+        if held and value != now:
+            yield now, held
+            held = []
+        now = value
+        held.append(row)
+    if held:
+        yield now, held
+
+
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes()), np.uint8)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.tobytes()), np.uint8)
+
+
+def _told(body: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """What is foretold, as it is stored: 1 where it is right."""
+    return _squeezed(np.where(told == body, np.uint8(1), np.where(told == 1, np.uint8(0), told)) * (told > 0))
+
+
+class Pack:
+    """A block of texts: sizes, which are held out, ids, streams and what is foretold."""
+
+    def __init__(self, row: _Row):
+        self.size, self.held = row.array("size", np.int64), row.array("held", np.bool_)
+        self.body = _spread(row.array("body", np.uint8))
+        self.offsets = np.append(0, np.cumsum(self.size))
+
+    def foretold(self, row: _Row) -> np.ndarray:
+        told = _spread(row.array("told", np.uint8))
+        return np.where(told == 1, self.body, told)
+
+
+def _cuts(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of hashes begins and ends in sorted hashes."""
+    return np.append(np.searchsorted(h, np.array([i * 2**64 // ranges for i in range(ranges)], np.uint64)), len(h))
+
 
+def _by_range(h: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    cuts = _cuts(h, ranges)
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield i, slice(int(cuts[i]), int(cuts[i + 1]))
 
-_END_HASH = int(Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes().view(np.int64)[0])
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(h, return_inverse=True)
 
-def _words(texts: DataFrame) -> DataFrame:
-    """block, h, c, new: the distinct words of each block, and the end, their counts in all training texts, and one row of each that these have with new = 1."""
+
+class _Block:
+    """Gathers the texts of a block."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes = number, 0
+        self.ids: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.runs: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: pa.Array, held: np.ndarray, key: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        w = Words(data, offsets, lower=True)
+        h, doc = w.hashes(), w.doc()
+        body, ends, _ = stream(w)
+        words, back = _distinct(h)
+        self.words.append((words, np.bincount(back, ~held[doc], len(words))))
+        self.words.append((np.array([_END_HASH], np.uint64), np.array([(~held).sum()])))
+        doc, _, a = anchors(h, w.first)
+        self.runs.append((a, np.where(held[doc], _NONE, key[doc]), key[doc]))
+        self.ids.append(ids)
+        self.parts.append((np.diff(ends), held, key, body))
+        self.bytes += len(data)
+
+    def rows(self, ranges: int) -> Iterator[pa.RecordBatch]:
+        kind = self.ids[0].type
+        size, held, key, body = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        yield _rows(kind, kind=_TEXTS, block=self.number, range=0, size=size.astype(np.int64), held=held, id=key, body=_squeezed(body), doc_id=pa.concat_arrays(self.ids))
+        h, n = (np.concatenate(x) for x in zip(*self.words, strict=True))
+        h, back = _distinct(h)
+        n = np.bincount(back, n, len(h)).astype(np.int64)
+        for i, part in _by_range(h, ranges):
+            yield _rows(kind, kind=_WORDS, block=self.number, range=i, h=h[part], x=n[part])
+        a, least, own = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+        a, back = _distinct(a)
+        taught = least != _NONE
+        x, y = np.full(len(a), _NONE), np.full(len(a), -_NONE)
+        np.minimum.at(x, back, least)
+        np.maximum.at(y, back[taught], least[taught])
+        of = np.unique(np.stack([back, own], 1), axis=0)[:, 0] if len(a) else back
+        texts = np.bincount(of, minlength=len(a)).astype(np.int64)
+        for i, part in _by_range(a, ranges):
+            yield _rows(kind, kind=_RUNS_OF, block=self.number, range=i, h=a[part], x=x[part], y=y[part], z=texts[part])
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """df, written by kind and read back."""
+    df.write.partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _packed(docs: DataFrame, ranges: int, path: str) -> DataFrame:
+    """The blocks of docs with their distinct words and runs, as packed rows."""
+    own = docs.schema["doc_id"].dataType.simpleString()
+    marked = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.expr(_ID).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def out() -> pa.RecordBatch:
-            h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            h, back = np.unique(h, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), now)), pa.array(h), pa.array(np.bincount(back, c, len(h)).astype(np.int64))], names=["block", "h", "n"])
-
-        for block, batch in _by_block(batches):
-            if now != block and parts:
-                yield out()
-            now = block
-            held = column(batch, "held_out", pa.bool_()).to_numpy(zero_copy_only=False)
+        block = _Block(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            held, key = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                w = Words(data, offsets, lower=True)
-                h, back = np.unique(w.hashes().view(np.int64), return_inverse=True)
-                parts.append((h, np.bincount(back, ~held[lo:hi][w.doc()], len(h))))
-                parts.append((np.array([_END_HASH]), np.array([(~held[lo:hi]).sum()])))
-        if parts:
-            yield out()
+                if block.bytes and block.bytes + len(data) > BLOCK:
+                    yield from block.rows(ranges)
+                    block = _Block(block.number + 1)
+                block.add(batch.column(0).slice(lo, hi - lo), held[lo:hi], key[lo:hi], data, offsets)
+        if block.parts:
+            yield from block.rows(ranges)
         release()
 
-    seen = texts.select("block", "held_out", "text").mapInArrow(run, "block long, h long, n long")
-    own = Window.partitionBy("h")
-    number = F.row_number().over(own.orderBy("block"))
-    total = F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return seen.select("block", "h", total.alias("c"), ((number == 1) & (total > 0)).cast("int").alias("new"))
+    return _kept(marked.mapInArrow(run, _schema(own)), path)
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """block, a, first, second: for each of a block's runs of words that training texts share with others, what came next in those with
-    the least and with the greatest id, up to the next run that is looked up."""
+def _sorted_by(df: DataFrame, name: str) -> DataFrame:
+    return df.repartition(name).sortWithinPartitions(name, "kind", "block")
+
+
+def _summed(packed: DataFrame) -> DataFrame:
+    """For each block and range: the counts of its words in all training texts (x), with how many words are listed nowhere before (y);
+    and of its runs that a training text shares with another text (h) the least and greatest ids of training texts (x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def out() -> pa.RecordBatch:
-            a, of = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
-            taught = np.concatenate([p[2] for p in parts])
-            told = pa.concat_arrays([p[3] for p in parts])
-            parts.clear()
-            order = np.lexsort((np.where(taught, of, np.iinfo(np.int64).max), ~taught, a))
-            a, of, taught = a[order], of[order], taught[order]
-            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            last = np.append(first[1:], len(a)) - 1
-            some = np.add.reduceat(taught, first)
-            high = np.where(some > 0, first + some - 1, last)
-            rows = np.add.reduceat(np.append(True, (a[1:] != a[:-1]) | (of[1:] != of[:-1])), first)
-            two = some > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(first), now)), pa.array(a[first]), pa.array(rows.astype(np.int64)), pa.array(of[first], mask=~taught[first]), told.take(pa.array(order[first], mask=~taught[first])), pa.array(of[high], mask=~two), told.take(pa.array(order[high], mask=~two))],
-                names=["block", "a", "texts", "i", "x", "j", "y"],
-            )
-
-        for block, batch in _by_block(batches):
-            if now != block and parts:
-                yield out()
-            now = block
-            held, ids = column(batch, "held_out", pa.bool_()).to_numpy(zero_copy_only=False), column(batch, "id", pa.int64()).to_numpy()
-            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                w = Words(data, offsets, lower=True)
-                doc, place, a = anchors(w.hashes().view(np.int64), w.first)
-                if not len(a):
+        kind = None
+        for number, rows in _grouped(_each(batches), "range"):
+            for what in (_WORDS, _RUNS_OF):
+                own = [r for r in rows if r.number("kind") == what]
+                if not own:
+                    continue
+                kind = own[0]._batch.schema.field("doc_id").type.value_type
+                h = [r.array("h", np.uint64) for r in own]
+                ends = np.append(0, np.cumsum([len(x) for x in h]))
+                h, back = _distinct(np.concatenate(h))
+                x = np.concatenate([r.array("x", np.int64) for r in own])
+                if what == _WORDS:
+                    c = np.zeros(len(h), np.int64)
+                    np.add.at(c, back, x)
+                    new = int((c > 0).sum())
+                    for r, a, b in zip(own, ends[:-1], ends[1:], strict=True):
+                        yield _rows(kind, kind=what, block=r.number("block"), range=number, x=c[back[a:b]], y=np.array([new]))
+                        new = 0
                     continue
-                body, ends, at = stream(w)
-                begin = _after(place, doc, w, ends, at)
-                stop = ends[doc + 1].copy()
-                stop[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], stop[:-1])
-                taught = ~held[lo:hi][doc]
-                n = np.where(taught, stop - begin, 0)
-                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                parts.append((a, ids[lo:hi][doc], taught, _binary(body[np.repeat(begin, n) + inside], n)))
-        if parts:
-            yield out()
+                least, most, texts = np.full(len(h), _NONE), np.full(len(h), -_NONE), np.zeros(len(h), np.int64)
+                np.minimum.at(least, back, x)
+                np.maximum.at(most, back, np.concatenate([r.array("y", np.int64) for r in own]))
+                np.add.at(texts, back, np.concatenate([r.array("z", np.int64) for r in own]))
+                shared = (texts > 1) & (least != _NONE)
+                for r, a, b in zip(own, ends[:-1], ends[1:], strict=True):
+                    at = back[a:b][shared[back[a:b]]]
+                    if len(at):
+                        yield _rows(kind, kind=what, block=r.number("block"), range=number, h=h[at], x=least[at], y=most[at])
         release()
 
-    seen = texts.select("block", "held_out", "id", "text").mapInArrow(run, "block long, a long, texts long, i long, x binary, j long, y binary")
-    own = Window.partitionBy("a")
-    least = F.min(F.when(F.col("i").isNotNull(), F.struct("i", "x"))).over(own)
-    most = F.max(F.when(F.col("i").isNotNull(), F.when(F.col("j").isNotNull(), F.struct(F.col("j").alias("i"), F.col("y").alias("x"))).otherwise(F.struct("i", "x")))).over(own)
-    all_ = seen.select("block", "a", F.sum("texts").over(own).alias("texts"), least.alias("first"), most.alias("second")).where("texts > 1 AND first IS NOT NULL")
-    return all_.select("block", "a", "first", F.when(F.expr("first.i < second.i"), F.col("second")).alias("second"))
+    return _sorted_by(packed.where(f"kind IN ({_WORDS}, {_RUNS_OF})"), "range").mapInArrow(run, packed.schema)
 
 
 def _after(place: np.ndarray, doc: np.ndarray, w: Words, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -595,164 +644,183 @@ def _after(place: np.ndarray, doc: np.ndarray, w: Words, ends: np.ndarray, at: n
     return np.where(following < w.first[doc + 1], np.append(at, 0)[following], ends[doc + 1] - 1)
 
 
-class Lookup:
-    """What a block gets back: counts of words, and what followed runs of words."""
-
-    def __init__(self) -> None:
-        self.words: list[pa.RecordBatch] = []
-        self.runs: list[pa.RecordBatch] = []
-        self.new, self._ready = 0, False
-
-    def ready(self) -> None:
-        if self._ready:
-            return
-        self._ready = True
-        h, c = (np.concatenate([column(b, name, pa.int64()).to_numpy() for b in self.words]) for name in ("h", "c"))
-        self.new = sum(int(column(b, "new", pa.int32()).to_numpy().sum()) for b in self.words)
-        self.h, at = np.unique(h, return_index=True)
-        self.c = c[at]
-        if self.runs:
-            whole = pa.Table.from_batches(self.runs).combine_chunks()
-            self.a, at = np.unique(whole.column("h").to_numpy(), return_index=True)
-            whole = whole.take(pa.array(at))
-            self.source, self.told = [], []
-            for i, x in (("i", "x"), ("j", "y")):
-                source, told = (whole.column(n).combine_chunks() for n in (i, x))
-                self.source.append((source.fill_null(0).to_numpy(), source.is_valid().to_numpy(zero_copy_only=False)))
-                data, n = _bytes(told.fill_null(b""))
-                self.told.append((data, np.append(0, np.cumsum(n))))
-        self.words, self.runs = [], [0] if self.runs else []
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        return self.c[np.searchsorted(self.h, h)]
-
-    def follow(self, w: Words, h: np.ndarray, ids: np.ndarray, body: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The byte that is foretold at each place of the stream, or 0. A run is followed until it is wrong; of several, the last one."""
-        told = np.zeros(len(body), np.uint8)
-        if not self.runs:
-            return told
-        doc, place, a = anchors(h, w.first)
-        row = np.searchsorted(self.a, a)
-        hit = np.flatnonzero(self.a[np.minimum(row, len(self.a) - 1)] == a)
-        doc, place, row = doc[hit], place[hit], row[hit]
-        own = self.source[0][0][row] == ids[doc]
-        begin = _after(place, doc, w, ends, at)
-        data = np.concatenate([x for x, _ in self.told])
-        first = np.where(own, self.told[1][1][row] + len(self.told[0][0]), self.told[0][1][row])
-        n = np.where(own, np.where(self.source[1][1][row] & (self.source[1][0][row] != ids[doc]), np.diff(self.told[1][1])[row], 0), np.diff(self.told[0][1])[row])
-        n = np.minimum(n, ends[doc + 1] - begin)
-        start = np.cumsum(n) - n
-        inside = np.arange(int(n.sum())) - np.repeat(start, n)
-        said, target = data[np.repeat(first, n) + inside], np.repeat(begin, n) + inside
-        wrong = np.cumsum(said != body[target])
-        before = wrong - (said != body[target])
-        alive = before == np.repeat(before[np.minimum(start, max(0, len(before) - 1))] if len(before) else start, n)
-        told[target[alive]] = said[alive]
-        return told
-
-
-_FIELDS = "n_tokens long, n_known long, logs double, new long, body binary, told binary"
-
-
-def _met(texts: DataFrame) -> DataFrame:
-    """doc_id, held_out and _FIELDS of each text: its tokens, its words' counts (logs: the sum of log10(c + 1)), stream and foretold bytes.
-    new: words that are counted here and in no other row, of the training texts' distinct ones."""
-    own = texts.schema["doc_id"].dataType.simpleString()
-    columns = {"kind": "int", "h": "long", "c": "long", "new": "int", "i": "long", "x": "binary", "j": "long", "y": "binary", "doc_id": own, "held_out": "boolean", "id": "long", "text": "string"}
-
-    def rows(df: DataFrame, kind: int, **given: str) -> DataFrame:
-        return df.select("block", *[F.lit(kind).alias(c) if c == "kind" else F.expr(given[c] if c in given else "NULL").cast(t).alias(c) for c, t in columns.items()])
-
-    words = rows(_words(texts), 0, h="h", c="c", new="new")
-    runs = rows(_runs(texts), 1, h="a", i="first.i", x="first.x", j="second.i", y="second.x")
-    whole = words.unionByName(runs).unionByName(rows(texts, 2, doc_id="doc_id", held_out="held_out", id="id", text="text"))
-    names = ["doc_id", "held_out", *(f.split()[0] for f in _FIELDS.split(", "))]
+def _gathered(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _met(packed: DataFrame, ranges: int, path: str) -> DataFrame:
+    """The blocks with what they get back: x has tokens, known words, the sum of log10(c + 1) and new words of each text, y and z the
+    shared runs (hash; document, end, which source); the sources of runs; and the runs that a block asks for."""
+    texts, back = packed.where(f"kind = {_TEXTS}"), _summed(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, look = None, Lookup()
-        for block, batch in _by_block(batches):
-            if block != now:
-                now, look = block, Lookup()
-            kind = column(batch, "kind", pa.int32()).to_numpy()
-            for k, some in ((0, look.words), (1, look.runs)):
-                a, b = np.searchsorted(kind, [k, k + 1])
-                if a < b:
-                    some.append(batch.slice(a, b - a))
-            batch = batch.slice(int(np.searchsorted(kind, 2)))
-            if not batch.num_rows:
+        for number, rows in _grouped(_each(batches), "block"):
+            words = [r for r in rows if r.number("kind") == _WORDS]
+            runs = [r for r in rows if r.number("kind") == _RUNS_OF]
+            (row,) = (r for r in rows if r.number("kind") == _TEXTS)
+            pack, ids, key = Pack(row), row.ids(), row.array("id", np.int64)
+            words.sort(key=lambda r: r.number("range"))
+            c, new = np.concatenate([r.array("x", np.int64) for r in words]), sum(int(r.array("y", np.int64)[0]) for r in words)
+            shared, least, most = (np.concatenate([r.array(f, t) for r in runs]) if runs else np.zeros(0, t) for f, t in (("h", np.uint64), ("x", np.int64), ("y", np.int64)))
+            order = np.argsort(shared)
+            shared, least, most = shared[order], least[order], most[order]
+            parts, n = [], len(pack.size)
+            for a, b in _pieces(pack.offsets):
+                offsets = pack.offsets[a : b + 1] - pack.offsets[a]
+                parts.append((a, b, Words(pack.body[pack.offsets[a] : pack.offsets[b]], offsets)))
+            hs = [w.hashes() for *_, w in parts]
+            h, at = _distinct(np.append(np.concatenate(hs), np.uint64(_END_HASH)))
+            assert len(h) == len(c), "a block's words are those it has listed"
+            c = c[at]
+            end, done = int(c[-1]), 0
+            stats = np.zeros((4, n))
+            found: list[tuple[np.ndarray, ...]] = []
+            for (a, b, w), h in zip(parts, hs, strict=True):
+                own, doc = c[done : done + len(h)], w.doc()
+                done += len(h)
+                stats[0, a:b] = w.counts + 1
+                stats[1, a:b] = np.bincount(doc, own > 0, b - a) + (end > 0)
+                stats[2, a:b] = np.bincount(doc, np.log10(own + 1.0), b - a) + np.log10(end + 1.0)
+                if len(shared):
+                    doc, place, run_ = anchors(h, w.first)
+                    k = np.searchsorted(shared, run_)
+                    hit = shared[np.minimum(k, len(shared) - 1)] == run_
+                    begin = _after(place, doc, w, pack.offsets[a : b + 1] - pack.offsets[a], w.starts) + pack.offsets[a]
+                    stop = pack.offsets[a + doc + 1].copy()
+                    stop[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], stop[:-1])
+                    found.append((k[hit], (a + doc)[hit], begin[hit], stop[hit]))
+            stats[3, 0] = new
+            k, doc, begin, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            own, taught = key[doc], ~pack.held[doc]
+            which = np.where(own == least[k], 1, 0)  # the greatest, for the text that is the least itself
+            use = (which == 0) | (most[k] > least[k])
+            yield _rows(ids.type, kind=_TEXTS, block=number, range=0, size=row.array("size", np.int64), held=pack.held, id=key, body=row.array("body", np.uint8), x=stats, y=(shared[k] * np.uint64(2) + which.astype(np.uint64))[use], z=np.stack([doc, begin], 1)[use].astype(np.int64), doc_id=ids)
+            for side, of in ((0, least), (1, most)):
+                mine = np.flatnonzero(taught & (own == of[k]) & ((side == 0) | (most[k] > least[k])))
+                mine = mine[np.unique(k[mine], return_index=True)[1]]
+                for i, part in _by_range(shared[k[mine]], ranges):
+                    m = mine[part]
+                    yield _rows(ids.type, kind=_SOURCES, block=number, range=i, h=shared[k[m]] * np.uint64(2) + np.uint64(side), x=(stop - begin)[m], body=_gathered(pack.body, begin[m], (stop - begin)[m]))
+            ask = np.unique(np.stack([k[use], which[use]], 1), axis=0)
+            for i, part in _by_range(shared[ask[:, 0]], ranges):
+                yield _rows(ids.type, kind=_WANTED, block=number, range=i, h=shared[ask[part, 0]] * np.uint64(2) + ask[part, 1].astype(np.uint64))
+        release()
+
+    return _kept(_sorted_by(texts.unionByName(back), "block").mapInArrow(run, packed.schema), path)
+
+
+def _pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about that many bytes."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _answers(met: DataFrame) -> DataFrame:
+    """For each block and range the bytes (body, of sizes x) that followed the runs (h) it asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _grouped(_each(batches), "range"):
+            sources, wanted = ([r for r in rows if r.number("kind") == k] for k in (_SOURCES, _WANTED))
+            if not sources or not wanted:
                 continue
-            look.ready()
-            ids = column(batch, "id", pa.int64()).to_numpy()
-            for lo, hi, data, offsets in blocks(column(batch, "text", pa.string())):
-                w = Words(data, offsets, lower=True)
-                h, n = w.hashes().view(np.int64), hi - lo
-                c, doc = look.count(h), w.doc()
-                end = int(look.count(np.array([_END_HASH]))[0])
-                logs = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(end + 1.0)
-                known = np.bincount(doc, c > 0, n).astype(np.int64) + (end > 0)
-                body, ends, at = stream(w)
-                told = look.follow(w, h, ids[lo:hi], body, ends, at)
-                new = np.zeros(n, np.int64)
-                new[0], look.new = look.new, 0
-                made = [pa.array(w.counts + 1), pa.array(known), pa.array(logs), pa.array(new), _binary(body, np.diff(ends)), _binary(told, np.diff(ends))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(x)).slice(lo, n) for x in ("doc_id", "held_out")), *made], names=names)
+            kind = sources[0]._batch.schema.field("doc_id").type.value_type
+            h, n, data = (np.concatenate([r.array(f, t) for r in sources]) for f, t in (("h", np.uint64), ("x", np.int64), ("body", np.uint8)))
+            first = np.cumsum(n) - n
+            h, one = np.unique(h, return_index=True)  # rows that share a doc_id: the first block's
+            for r in wanted:
+                ask = r.array("h", np.uint64)
+                at = np.searchsorted(h, ask)
+                hit = h[np.minimum(at, len(h) - 1)] == ask
+                at = one[at[hit]]
+                yield _rows(kind, kind=_WORDS, block=r.number("block"), range=number, h=ask[hit], x=n[at], body=_gathered(data, first[at], n[at]))
         release()
 
-    sorted_ = whole.repartition("block").sortWithinPartitions("block", "kind")
-    return written(sorted_.mapInArrow(run, f"doc_id {own}, held_out boolean, {_FIELDS}"), "streams")
+    return _sorted_by(met.where(f"kind IN ({_SOURCES}, {_WANTED})"), "range").mapInArrow(run, met.schema)
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches with WINDOW bytes of streams or little more, their bytes, foretold bytes (none, without the column) and offsets."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def follow(body: np.ndarray, offsets: np.ndarray, doc: np.ndarray, begin: np.ndarray, data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The byte that is foretold at each place of the stream, or 0: from begin on in a document the n bytes of data from first on, until one is
+    wrong; of several, the last one."""
+    told = np.zeros(len(body), np.uint8)
+    n = np.minimum(n, offsets[doc + 1] - begin)
+    start = np.cumsum(n) - n
+    said, target = _gathered(data, first, n), np.repeat(begin - start, n) + np.arange(int(n.sum()))
+    miss = said != body[target]
+    wrong = np.cumsum(miss)
+    alive = wrong - miss == np.repeat((wrong - miss)[np.minimum(start, max(0, len(wrong) - 1))] if len(wrong) else start, n)
+    told[target[alive]] = said[alive]
+    return told
 
-    def out() -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
-        body, n = (np.concatenate(x) for x in zip(*(_bytes(column(b, "body", pa.binary())) for b in held), strict=True))
-        told = np.concatenate([_bytes(column(b, "told", pa.binary()))[0] for b in held]) if "told" in held[0].schema.names else np.zeros(len(body), np.uint8)
-        return held, body, told, np.append(0, np.cumsum(n))
 
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += len(_bytes(column(batch, "body", pa.binary()))[0])
-        if size >= WINDOW:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
+def _foretold(met: DataFrame) -> DataFrame:
+    """The blocks, with what is foretold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _grouped(_each(batches), "block"):
+            answers = [r for r in rows if r.number("kind") == _WORDS]
+            (row,) = (r for r in rows if r.number("kind") == _TEXTS)
+            pack, told = Pack(row), None
+            if answers:
+                h, n, data = (np.concatenate([r.array(f, t) for r in answers]) for f, t in (("h", np.uint64), ("x", np.int64), ("body", np.uint8)))
+                order = np.argsort(h)
+                first = (np.cumsum(n) - n)[order]
+                h, n = h[order], n[order]
+                ask, (doc, begin) = row.array("y", np.uint64), row.array("z", np.int64).reshape(-1, 2).T
+                at = np.searchsorted(h, ask)
+                hit = np.flatnonzero(h[np.minimum(at, len(h) - 1)] == ask)
+                told = follow(pack.body, pack.offsets, doc[hit], begin[hit], data, first[at[hit]], n[at[hit]])
+            told = _told(pack.body, told) if told is not None else _squeezed(np.zeros(len(pack.body), np.uint8))
+            yield _rows(row.ids().type, kind=_TEXTS, block=number, range=0, size=pack.size, held=pack.held, body=row.array("body", np.uint8), told=told, x=row.array("x", np.float64), doc_id=row.ids())
+        release()
+
+    return written(_sorted_by(met.where(f"kind = {_TEXTS}").unionByName(_answers(met)), "block").mapInArrow(run, met.schema), "streams")
+
+
+def _streams(batches: Iterator[pa.RecordBatch], taught: bool = False) -> Iterator[tuple[_Row, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block's row, bytes, foretold bytes and offsets; taught: of the training texts."""
+    for row in _each(batches):
+        pack = Pack(row)
+        body, told, offsets = pack.body, pack.foretold(row), pack.offsets
+        if taught and pack.held.any():
+            keep = np.repeat(~pack.held, pack.size)
+            body, told, offsets = body[keep], told[keep], np.append(0, np.cumsum(pack.size[~pack.held]))
+        if len(body) or not taught:
+            yield row, body, told, offsets
 
 
 _CHUNK = 1 << 16
 
 
-def _packed(counts: np.ndarray) -> bytes:
+def _planed(counts: np.ndarray) -> bytes:
     """32-bit numbers, compressed by planes of bytes."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _unplaned(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def learn(taught: DataFrame, size: int) -> Mixer:
-    """The mixer, from streams (body, told) of size bytes. Only tables of fixed size come to the driver."""
-    spark = taught.sparkSession
+def learn(streams: DataFrame, size: int) -> Mixer:
+    """The mixer, from the training texts of packed rows with size bytes. Only tables of fixed size come to the driver."""
+    spark = streams.sparkSession
+    taught = streams.select("size", "held", "body", "told")
     counts = np.zeros(65536)
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(65536, np.int64)
-        for batch in batches:
-            body, sizes = _bytes(batch.column(0))
+        for _, body, _, offsets in _streams(batches, True):
             pair = body.astype(np.int32)
             pair[1:] += body[:-1].astype(np.int32) << 8
-            pair[(np.cumsum(sizes) - sizes)[sizes > 0]] = body[(np.cumsum(sizes) - sizes)[sizes > 0]].astype(np.int32) + (_END << 8)
+            pair[offsets[:-1]] = body[offsets[:-1]]
             n += np.bincount(pair, minlength=65536)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["b", "n"])
 
-    for r in taught.select("body").mapInArrow(histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+    for r in taught.mapInArrow(histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         counts[r.b] = r.n
     code = Code(counts.reshape(256, 256))
     weights, refine = _start()
@@ -762,39 +830,37 @@ def learn(taught: DataFrame, size: int) -> Mixer:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(2 * _AT[-1], np.int32)
-        for _, body, told, offsets in _streams(batches):
-            for lo, hi in windows(len(body), WINDOW):
-                tally(Bytes(code, body, told, offsets, lo, hi), sums)
+        for _, body, told, offsets in _streams(batches, True):
+            tally(Bytes(code, body, np.zeros_like(told), offsets), sums)
         both = sums.reshape(-1, 2 * _CHUNK)
         for i in np.flatnonzero(both.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([_packed(both[i])], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([_planed(both[i])], pa.binary())], names=["chunk", "counts"])
         release()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] = total.get(chunk, 0) + _unpacked(blob.as_py()).astype(np.int64)
+                total[chunk] = total.get(chunk, 0) + _unplaned(blob.as_py()).astype(np.int64)
         for chunk, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([states(x[::2], x[1::2]).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk long, counts binary"
-    parts = taught.select("body").coalesce(max(1, -(-size // TALLY))).mapInArrow(counted, schema)
+    parts = taught.coalesce(max(1, -(-size // TALLY))).mapInArrow(counted, schema)
     for r in parts.repartition("chunk").mapInArrow(summed, schema).toLocalIterator():
         table[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
     sent = spark.sparkContext.broadcast(table)
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Learner(Mixer(code, sent.value, weights, refine))
-        for _, body, told, offsets in _streams(batches):
-            for lo, hi in windows(len(body), WINDOW):
-                for c in Bytes(code, body, told, offsets, lo, hi).choices():
-                    own.see(c)
+        for _, body, told, offsets in _streams(batches, True):
+            for c in Bytes(code, body, told, offsets).choices():
+                own.see(c)
         k = np.arange(_SIZE + len(own.seen))
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.append(own.mixer.weights * own.used, own.ones)), pa.array(np.append(own.used, own.seen))], names=["k", "x", "n"])
         release()
 
-    learnt = taught.select("body", "told").mapInArrow(online, "k long, x double, n double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    learnt = taught.mapInArrow(online, "k long, x double, n double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     x, n = np.zeros(_SIZE + refine.size), np.zeros(_SIZE + refine.size)
     for r in learnt.collect():
         x[r.k], n[r.k] = r.x, r.n
@@ -806,31 +872,41 @@ def learn(taught: DataFrame, size: int) -> Mixer:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of each row of docs, learnt from those that aren't held out."""
     spark = docs.sparkSession
-    met = _met(_blocked(docs))
-    r = met.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("total"), F.sum("new").alias("distinct"), F.sum(F.when(~F.col("held_out"), F.octet_length("body").cast("long"))).alias("size")).first()
-    total, distinct, size = (int(x or 0) for x in (r.total, r.distinct, r["size"]))
-    mixer = learn(met.where("NOT held_out").select("body", "told"), size)
-    sent = spark.sparkContext.broadcast(mixer)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    total_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    ranges = max(1, -(-int(total_bytes) // RANGE))
+    paths = [new_path(spark, name) for name in ("blocks", "met")]
+    packed = _packed(docs, ranges, paths[0])
+    met = _met(packed, ranges, paths[1])
+    drop(spark, paths[0])
+    streams = _foretold(met)
+    drop(spark, paths[1])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(3, np.int64)
+        for row in _each(batches):
+            held, size, stats = row.array("held", np.bool_), row.array("size", np.int64), row.array("x", np.float64).reshape(4, -1)
+            out += [int(stats[0][~held].sum()), int(stats[3].sum()), int(size[~held].sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in out], names=["total", "new", "size"])
+
+    r = streams.select("held", "size", "x").mapInArrow(sums, "total long, new long, size long").agg(F.sum("total").alias("total"), F.sum("new").alias("new"), F.sum("size").alias("size")).first()
+    total, distinct, size = (int(x or 0) for x in (r.total, r.new, r["size"]))
+    sent = spark.sparkContext.broadcast(learn(streams, size))
+    own = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {own}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for held, body, told, offsets in _streams(batches):
-            sums = np.zeros(len(offsets) - 1)
-            doc = np.repeat(np.arange(len(sums)), np.diff(offsets))
-            for lo, hi in windows(len(body), WINDOW):
-                x = Bytes(m.code, body, told, offsets, lo, hi)
-                sums[doc[lo] : doc[hi - 1] + 1] += np.bincount(doc[lo:hi] - doc[lo], x.spread(m.log10(x)))
-            done = 0
-            for batch in held:
-                tokens, logs = column(batch, "n_tokens", pa.int64()).to_numpy(), column(batch, "logs", pa.float64()).to_numpy()
-                base, own = logs - tokens * np.log10(total + distinct + 1.0), slice(done, done + batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(base), pa.array(sums[own]), pa.array(np.diff(offsets)[own])], names=names)
-                done += batch.num_rows
+        for row, body, told, offsets in _streams(batches):
+            x = Bytes(m.code, body, told, offsets)
+            stats = row.array("x", np.float64).reshape(4, -1)
+            base = stats[2] - stats[0] * np.log10(total + distinct + 1.0)
+            p = np.add.reduceat(x.spread(m.log10(x)), offsets[:-1])
+            made = [pa.array(stats[0].astype(np.int64)), pa.array(stats[1].astype(np.int64)), pa.array(base), pa.array(p), pa.array(np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays([row.ids(), pa.array(row.array("held", np.bool_)), *made], names=names)
         release()
 
-    return met.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "body", "told").mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
+    return streams.select("size", "held", "body", "told", "x", "doc_id").mapInArrow(run, schema).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,18 +177,14 @@ def way(code, before, byte):
 
 def plain_slots(code, body, i):
     """Node, turn and slots of each choice of byte i of one document's stream."""
-    hashes, h = [], 0
-    for k in range(1, max(C.ORDERS) + 1):
-        p = body[i - k] if i >= k else 0
-        h = ((h ^ (p + k)) * int(C._MUL[k])) & 0xFFFFFFFF
-        h ^= h >> 15
-        if k in C.ORDERS:
-            hashes.append(h)
-    word = body[max(body.rfind(b" ", 0, i) + 1, 0) : i]
-    v = sum((b + 1) * C._BASE**j for j, b in enumerate(word)) % 2**64
-    v = ((v ^ v >> 29) * 0xD6E8FEB86659FD93) % 2**64
-    hashes.append(0x5BD1E995 if len(word) >= C._PREFIX else v >> 32)
-    for node, turn in way(code, body[i - 1] if i else 10, body[i]):
+    before = bytes([0] * C.REACH + list(body[:i]))[-C.REACH :]
+    word = before[max(before.rfind(b" "), before.rfind(b"\0")) + 1 :]
+    seen = [(int.from_bytes(before[-k:], "little") * 2 + k) for k in C.ORDERS] + [int.from_bytes(bytes(C.REACH - len(word)) + word, "little") * 2 + 1]
+    hashes = []
+    for v in seen:
+        v = v * int(C._MUL) % 2**64
+        hashes.append((v ^ v >> 29) * int(C._MIX) % 2**64 >> 32)
+    for node, turn in way(code, before[-1], body[i]):
         yield node, turn, [((h + node * 0x85EBCA6B & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits) for h, bits in zip(hashes, C.SLOTS, strict=True)]
 
 
@@ -200,7 +196,7 @@ def plain_log10(m, body, told):
         run = (1 if right < 4 else 2 if right < 16 else 3 if right < 32 else 4) if told[i] else 0
         total = 0.0
         for node, turn, slots in plain_slots(m.code, body, i):
-            follow = next((2 * t - 1 for n, t in way(m.code, body[i - 1] if i else 10, told[i]) if n == node), 0) if told[i] else 0
+            follow = next((2 * t - 1 for n, t in way(m.code, body[i - 1] if i else 0, told[i]) if n == node), 0) if told[i] else 0
             r = run if follow else 0
             seen = [int(m.table[C._AT[k] + s]) for k, s in enumerate(slots)]
             gate = (r * 3 + min(2, int(math.log2(C._COUNT[seen[-2]] + 1)))) * 3 + min(2, int(math.log2(C._COUNT[seen[-1]] + 1)))
@@ -231,10 +227,13 @@ def test_states_keep_small_counts_and_nearly_keep_large_ones():
 
 def toy(spark, texts, told=None):
     """Streams of texts, and the mixer that is learnt from them."""
+    import pyarrow as pa
+
     streams = [stream_of(t) for t in texts]
-    told = told or [bytes(len(x)) for x in streams]
-    frame = spark.createDataFrame([(bytearray(s), bytearray(t)) for s, t in zip(streams, told, strict=True)], "body binary, told binary")
-    return streams, C.learn(frame.coalesce(1), 1)
+    body, offsets = packed(streams)
+    said = np.frombuffer(b"".join(told), np.uint8) if told else np.zeros(len(body), np.uint8)
+    row = C._rows(pa.int64(), kind=C._TEXTS, block=0, range=0, size=np.diff(offsets), held=np.zeros(len(texts), bool), body=C._squeezed(body), told=C._told(body, said), doc_id=pa.array(range(len(texts))))
+    return streams, C.learn(spark.createDataFrame(pa.Table.from_batches([row])), 1)
 
 
 def packed(parts):
@@ -252,12 +251,12 @@ def test_every_byte_comes_from_the_mixer(spark, monkeypatch):
     assert (m.table[[C._AT[k] + s for k, s in places]] == want).all() and np.count_nonzero(m.table) == len(places)
     (body, offsets), (follow, _) = packed(streams), packed(told)
     want = np.concatenate([plain_log10(m, s, t) for s, t in zip(streams, told, strict=True)])
-    for size, step, part in ((len(body), 1 << 14, 1 << 15), (101, 37, 64)):
+    for step, part in ((1 << 14, 1 << 15), (37, 64)):
         monkeypatch.setattr(C, "_PART", part)
-        windows = [C.Bytes(m.code, body, follow, offsets, lo, hi) for lo, hi in C.windows(len(body), size)]
-        got = np.concatenate([x.spread(m.log10(x, step)) for x in windows])
+        x = C.Bytes(m.code, body, follow, offsets)
+        got = x.spread(m.log10(x, step))
         assert got == pytest.approx(want, rel=2e-2, abs=2e-2) and got.sum() == pytest.approx(want.sum(), rel=1e-4)
-        assert sum(x.many.sum() for x in windows) == len(body)
+        assert x.many.sum() == len(body)
 
 
 def test_bytes_have_a_distribution(spark):
@@ -269,7 +268,8 @@ def test_bytes_have_a_distribution(spark):
             body = np.frombuffer(before + bytes([b]), np.uint8)
             told = np.zeros(len(body), np.uint8)
             told[-1] = said
-            total += 10 ** float(m.log10(C.Bytes(m.code, body, told, np.array([0, len(body)]), len(before), len(body)))[0])
+            x = C.Bytes(m.code, body, told, np.array([0, len(body)]))
+            total += 10 ** float(x.spread(m.log10(x))[-1])
         assert total == pytest.approx(1.0, abs=2e-3)
 
 
@@ -277,7 +277,7 @@ def test_learning_lowers_the_cost(spark):
     streams, m = toy(spark, _texts())
     body, offsets = packed(streams)
     start = C.Mixer(m.code, m.table, *C._start())
-    c = C.Choices(C.Bytes(m.code, body, np.zeros(len(body), np.uint8), offsets, 0, len(body)), 0, 1 << 20)
+    c = C.Choices(C.Bytes(m.code, body, np.zeros(len(body), np.uint8), offsets), 0, 1 << 20)
 
     def cost(x):
         p = C.squash(x.mixed(c, True, *x.ready())[0])
@@ -315,9 +315,62 @@ def test_continuations_go_on_to_the_next_run(spark):
     assert place[gap + 1] - place[gap] > 64 + C.SEED
     text = " ".join(w[place[gap] : place[gap + 1]])
     taught = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
-    met = C._met(C._blocked(spark.createDataFrame([(i, text) for i in taught], "doc_id long, text string"))).collect()
     run = len(" ".join(text.split()[: C.SEED])) + 1
-    assert all(bytes(r.told) == b"\0" * run + bytes(r.body)[run:] for r in met) and len(met) == 2
+    for ids in (taught, [taught[0], None], [None, taught[0]]):
+        streams = streams_of(spark, [(i, text) for i in ids])
+        assert [told for _, told in streams] == [b"\0" * run + body[run:] for body, _ in streams] and len(streams) == 2
+    assert all(told == bytes(len(body)) for body, told in streams_of(spark, [(taught[0], text)] * 2))
+
+
+def streams_of(spark, rows):
+    """Stream and foretold bytes of each row."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        streams = C._foretold(C._met(C._packed(docs, 3, f"file://{d}/a"), 3, f"file://{d}/b")).toArrow()
+    out = []
+    for _, body, told, offsets in C._streams(iter(streams.to_batches())):
+        out += [(body[a:b].tobytes(), told[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
+def foretold_by_brute_force(rows):
+    """What each stream is foretold: from each run of SEED words that is looked up on, what came next in the least other training text."""
+    streams = [stream_of(t) for _, t in rows]
+    found, places = {}, []
+    for n, ((i, _), s) in enumerate(zip(rows, streams, strict=True)):
+        w = s[:-1].split()
+        starts = [0]
+        for x in w:
+            starts.append(starts[-1] + len(x) + 1)
+        words = C.Words(np.frombuffer(s, np.uint8), np.array([0, len(s)]))
+        at = list(zip(*C.anchors(words.hashes(), words.first)[1:], strict=True))
+        ends = [starts[p + C.SEED] for p, _ in at]
+        places.append(list(zip([a for _, a in at], ends, strict=True)))
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for k, (a, end) in enumerate(places[n]):
+                found.setdefault(int(a), []).append((i, k, s[end : ends[k + 1] if k + 1 < len(ends) else len(s)]))
+    out = []
+    for (i, _), s, own in zip(rows, streams, places, strict=True):
+        told = bytearray(len(s))
+        for a, end in own:
+            known = sorted(found.get(int(a), []))
+            source = next((x for x in (known[:1] + [next(y for y in known if y[0] == known[-1][0])] if known else []) if x[0] != i), None)
+            for k, b in enumerate(source[2][: len(s) - end] if source else b""):
+                told[end + k] = b
+                if s[end + k] != b:
+                    break
+        out.append((s, bytes(told)))
+    return out
+
+
+def test_what_is_foretold_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 4000)
+    texts = _texts()
+    rows = [(i, f"{t} {texts[(i * 7) % 50]}") for i, t in enumerate(texts[:90])] + [(400 + i, " ".join(texts[i : i + 3])) for i in range(20)] + [(600, ""), (601, "a b")]
+    want = foretold_by_brute_force(rows)
+    assert sorted(streams_of(spark, rows)) == sorted(want) and sum(any(told) for _, told in want) > 80
 
 
 def test_a_text_over_a_block_is_scored_whole(spark):
