@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .store import documents, drop, new_path, written
 from .text import Words, blocks, column, grams_by_doc, release
 
-ORDERS, REACH = (2, 3, 4, 6), 7
+ORDERS, REACH = (2, 3, 4, 5), 7
 #: Slots of the tables of ORDERS, and of the word so far, as powers of two.
 SLOTS = (18, 20, 21, 21, 21)
 #: Bytes of text in a block, for each range of hashes, and for each task that counts.
-BLOCK, RANGE, TALLY = 4 << 20, 32 << 20, 40 << 20
+BLOCK, RANGE, TALLY = 6 << 20, 32 << 20, 40 << 20
 #: Words of a run that may be followed, and one run in so many that is looked up.
 SEED, EVERY = 6, 16
 #: Different bytes that are predicted at once.
@@ -54,6 +54,7 @@ _PART = 1 << 15
 _AT = np.append(0, np.cumsum([1 << s for s in SLOTS]))
 _RUNS = np.array([1] * 4 + [2] * 12 + [3] * 16 + [4])  # 1 + how long the follower has been right, in four steps
 _DELTA, _BINS, _GATES, _CONF = 0.4, 64, 45, 8
+_KEEP = np.array([(1 << 64) - (1 << 8 * (REACH - max(k, max(ORDERS)))) for k in range(REACH + 1)], np.uint64)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: A slot holds its counts of zeros and ones as one of 256 states: up to EXACT choices exactly, more as one of LEVELS log odds and a size.
@@ -148,10 +149,15 @@ class Code:
 
 
 def contexts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the REACH bytes before it in its text (0 before its beginning), as a number; the byte is the highest one."""
+    """Each byte with what its contexts look at, as a number whose highest byte it is: the last bytes before it in its text, as many as the
+    largest of ORDERS, and further ones, REACH at most, as far as they are of the same word; 0 elsewhere."""
     wide = np.zeros(len(body) + REACH, np.uint8)
     wide[REACH:] = body
     out = np.ndarray(len(body), "<u8", wide, strides=(1,)).copy()
+    at = np.arange(len(body), dtype=np.int32)
+    space = np.maximum.accumulate(np.where(body == _SPACE, at, np.int32(-1)))
+    at[1:] -= space[:-1] + 1  # how many bytes since the last space
+    out &= _KEEP[np.minimum(at, REACH)]
     for j in range(REACH):
         at = offsets[:-1] + j
         out[at[at < len(body)]] &= np.uint64((1 << 64) - (1 << 8 * (REACH - j)))
@@ -359,7 +365,7 @@ def _start() -> tuple[np.ndarray, np.ndarray]:
     w = Weights(flat)
     for gate in range(_GATES):
         run, order, word = gate // 9, gate // 3 % 3, gate % 3
-        share = np.array([0.1, 0.15, 0.3, 0.3 if order else 0.0, 0.3 if word else 0.0])
+        share = np.array([*[0.4 / (_TABLES - 2)] * (_TABLES - 2), 0.3 if order else 0.0, 0.3 if word else 0.0])
         w.tables[:, gate] = share[:, None]
         w.own[gate] = 0.1
         w.follow[gate] = (0, 1.5, 2.5, 3.5, 4.5)[run]
@@ -431,8 +437,8 @@ def stream(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _END_HASH = int(Words(np.array([_END], np.uint8), np.array([0, 1]), is_word=np.ones(256, bool)).hashes()[0])
 _NONE = np.iinfo(np.int64).max
 _ROW = {"kind": "int", "block": "long", "range": "int", "size": "binary", "held": "binary", "id": "binary", "body": "binary", "told": "binary", "h": "binary", "x": "binary", "y": "binary", "z": "binary"}
-#: Kinds of rows: a block's words and runs, the block itself, what followed runs, and which of that a block asks for.
-_WORDS, _RUNS_OF, _TEXTS, _SOURCES, _WANTED = range(5)
+#: Kinds of rows: a block's words and runs, the block itself, what followed runs, which of that a block asks for, and its figures.
+_WORDS, _RUNS_OF, _TEXTS, _SOURCES, _WANTED, _FIGURES = range(6)
 
 
 def _schema(own: str) -> str:
@@ -440,14 +446,31 @@ def _schema(own: str) -> str:
 
 
 def _rows(ids: pa.DataType, **values) -> pa.RecordBatch:
-    """One packed row; arrays go as their bytes."""
+    """One packed row; arrays go as bytes, those of numbers compressed (hashes, which are sorted, as differences)."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    row = [pa.array([v.tobytes() if isinstance(v := values.get(k), np.ndarray) else v], kinds[t]) for k, t in _ROW.items()]
+    row = [pa.array([_written(k, v) if isinstance(v := values.get(k), np.ndarray) else v], kinds[t]) for k, t in _ROW.items()]
     ids_ = values.get("doc_id")
     lists = pa.ListArray.from_arrays(pa.array([0, len(ids_)], pa.int32()), ids_) if ids_ is not None else pa.nulls(1, pa.list_(ids))
     return pa.RecordBatch.from_arrays([*row, lists], names=[*_ROW, "doc_id"])
 
 
+def _written(name: str, x: np.ndarray) -> bytes:
+    if x.dtype.itemsize != 8:
+        return x.tobytes()
+    x = x.ravel()
+    return _planed(np.diff(x, prepend=x.dtype.type(0)) if name == "h" else x)
+
+
+def _planed(x: np.ndarray) -> bytes:
+    """Numbers, compressed by planes of bytes."""
+    return _squeezed(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def _unplaned(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class _Row:
     """A packed row, as it comes back."""
 
@@ -458,7 +481,11 @@ class _Row:
         return self._batch.column(self._batch.schema.names.index(name))[self._i].as_py()
 
     def array(self, name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(self._batch.column(self._batch.schema.names.index(name))[self._i].as_buffer(), kind)
+        blob = self._batch.column(self._batch.schema.names.index(name))[self._i].as_buffer()
+        if np.dtype(kind).itemsize != 8:
+            return np.frombuffer(blob, kind)
+        x = _unplaned(blob, kind)
+        return np.cumsum(x, dtype=kind) if name == "h" else x
 
     def ids(self) -> pa.Array:
         return self._batch.column(self._batch.schema.names.index("doc_id"))[self._i].values
@@ -649,8 +676,8 @@ def _gathered(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _met(packed: DataFrame, ranges: int, path: str) -> DataFrame:
-    """The blocks with what they get back: x has tokens, known words, the sum of log10(c + 1) and new words of each text, y and z the
-    shared runs (hash; document, end, which source); the sources of runs; and the runs that a block asks for."""
+    """Figures of each block: x has tokens, known words, the sum of log10(c + 1) and new words of each text, y and z the shared runs (hash and
+    which source; document and end); the sources of runs; and the runs that a block asks for."""
     texts, back = packed.where(f"kind = {_TEXTS}"), _summed(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -694,7 +721,7 @@ def _met(packed: DataFrame, ranges: int, path: str) -> DataFrame:
             own, taught = key[doc], ~pack.held[doc]
             which = np.where(own == least[k], 1, 0)  # the greatest, for the text that is the least itself
             use = (which == 0) | (most[k] > least[k])
-            yield _rows(ids.type, kind=_TEXTS, block=number, range=0, size=row.array("size", np.int64), held=pack.held, id=key, body=row.array("body", np.uint8), x=stats, y=(shared[k] * np.uint64(2) + which.astype(np.uint64))[use], z=np.stack([doc, begin], 1)[use].astype(np.int64), doc_id=ids)
+            yield _rows(ids.type, kind=_FIGURES, block=number, range=0, x=stats, y=(shared[k] * np.uint64(2) + which.astype(np.uint64))[use], z=np.stack([doc, begin], 1)[use].astype(np.int64))
             for side, of in ((0, least), (1, most)):
                 mine = np.flatnonzero(taught & (own == of[k]) & ((side == 0) | (most[k] > least[k])))
                 mine = mine[np.unique(k[mine], return_index=True)[1]]
@@ -755,28 +782,29 @@ def follow(body: np.ndarray, offsets: np.ndarray, doc: np.ndarray, begin: np.nda
     return told
 
 
-def _foretold(met: DataFrame) -> DataFrame:
-    """The blocks, with what is foretold."""
+def _foretold(packed: DataFrame, met: DataFrame) -> DataFrame:
+    """The blocks with their figures and what is foretold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _grouped(_each(batches), "block"):
             answers = [r for r in rows if r.number("kind") == _WORDS]
             (row,) = (r for r in rows if r.number("kind") == _TEXTS)
+            (figures,) = (r for r in rows if r.number("kind") == _FIGURES)
             pack, told = Pack(row), None
             if answers:
                 h, n, data = (np.concatenate([r.array(f, t) for r in answers]) for f, t in (("h", np.uint64), ("x", np.int64), ("body", np.uint8)))
                 order = np.argsort(h)
                 first = (np.cumsum(n) - n)[order]
                 h, n = h[order], n[order]
-                ask, (doc, begin) = row.array("y", np.uint64), row.array("z", np.int64).reshape(-1, 2).T
+                ask, (doc, begin) = figures.array("y", np.uint64), figures.array("z", np.int64).reshape(-1, 2).T
                 at = np.searchsorted(h, ask)
                 hit = np.flatnonzero(h[np.minimum(at, len(h) - 1)] == ask)
                 told = follow(pack.body, pack.offsets, doc[hit], begin[hit], data, first[at[hit]], n[at[hit]])
             told = _told(pack.body, told) if told is not None else _squeezed(np.zeros(len(pack.body), np.uint8))
-            yield _rows(row.ids().type, kind=_TEXTS, block=number, range=0, size=pack.size, held=pack.held, body=row.array("body", np.uint8), told=told, x=row.array("x", np.float64), doc_id=row.ids())
+            yield _rows(row.ids().type, kind=_TEXTS, block=number, range=0, size=pack.size, held=pack.held, body=row.array("body", np.uint8), told=told, x=figures.array("x", np.float64), doc_id=row.ids())
         release()
 
-    return written(_sorted_by(met.where(f"kind = {_TEXTS}").unionByName(_answers(met)), "block").mapInArrow(run, met.schema), "streams")
+    return written(_sorted_by(packed.where(f"kind = {_TEXTS}").unionByName(met.where(f"kind = {_FIGURES}")).unionByName(_answers(met)), "block").mapInArrow(run, met.schema), "streams")
 
 
 def _streams(batches: Iterator[pa.RecordBatch], taught: bool = False) -> Iterator[tuple[_Row, np.ndarray, np.ndarray, np.ndarray]]:
@@ -794,16 +822,6 @@ def _streams(batches: Iterator[pa.RecordBatch], taught: bool = False) -> Iterato
 _CHUNK = 1 << 16
 
 
-def _planed(counts: np.ndarray) -> bytes:
-    """32-bit numbers, compressed by planes of bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unplaned(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
-
-
 def learn(streams: DataFrame, size: int) -> Mixer:
     """The mixer, from the training texts of packed rows with size bytes. Only tables of fixed size come to the driver."""
     spark = streams.sparkSession
@@ -841,7 +859,7 @@ def learn(streams: DataFrame, size: int) -> Mixer:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] = total.get(chunk, 0) + _unplaned(blob.as_py()).astype(np.int64)
+                total[chunk] = total.get(chunk, 0) + _unplaned(blob.as_py(), np.int32).astype(np.int64)
         for chunk, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([states(x[::2], x[1::2]).tobytes()], pa.binary())], names=["chunk", "counts"])
 
@@ -877,9 +895,11 @@ def score(docs: DataFrame) -> DataFrame:
     paths = [new_path(spark, name) for name in ("blocks", "met")]
     packed = _packed(docs, ranges, paths[0])
     met = _met(packed, ranges, paths[1])
-    drop(spark, paths[0])
-    streams = _foretold(met)
-    drop(spark, paths[1])
+    for kind in (_WORDS, _RUNS_OF):
+        drop(spark, f"{paths[0]}/kind={kind}")
+    streams = _foretold(packed, met)
+    for path in paths:
+        drop(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(3, np.int64)

@@ -328,7 +328,8 @@ def streams_of(spark, rows):
 
     with tempfile.TemporaryDirectory() as d:
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        streams = C._foretold(C._met(C._packed(docs, 3, f"file://{d}/a"), 3, f"file://{d}/b")).toArrow()
+        blocks = C._packed(docs, 3, f"file://{d}/a")
+        streams = C._foretold(blocks, C._met(blocks, 3, f"file://{d}/b")).toArrow()
     out = []
     for _, body, told, offsets in C._streams(iter(streams.to_batches())):
         out += [(body[a:b].tobytes(), told[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
