@@ -14,15 +14,24 @@ RAG, KNN, HIERARCHY = 0, 1, 2
 BLOCK = 2048
 
 
-def unit_zscored(vectors: DataFrame, column: str, keys: tuple[str, ...], id_col: str) -> DataFrame:
-    """Vectors z-scored by component within keys, then scaled to length 1 (a zero vector stays)."""
+def zscored_vectors(vectors: DataFrame, column: str, keys: tuple[str, ...], id_col: str, out: str = "z") -> DataFrame:
+    """vectors and out: the column z-scored by component within keys; 0 where a component is no number."""
     long = vectors.select(*keys, id_col, F.posexplode(column).alias("i", "v"))
     stats = long.groupBy(*keys, "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.stddev_pop(F.col("v").cast("double")).alias("s"))
-    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("stats"))
+    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_stats"))
     joined = vectors.join(packed, list(keys)) if keys else vectors.crossJoin(packed)  # packed is one row for each key
-    z = F.zip_with(F.col(column), F.col("stats"), lambda v, t: (v.cast("double") - t["m"]) / (t["s"] + 1e-6))
-    scored = joined.withColumn("z", z).withColumn("size", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)))
-    return scored.withColumn("unit", F.transform("z", lambda v: v / F.greatest(F.col("size"), F.lit(1e-12)))).drop("stats", "z", "size")
+
+    def z(v: Column, t: Column) -> Column:
+        score = (v.cast("double") - t["m"]) / (t["s"] + 1e-6)
+        return F.when(score.isNull() | F.isnan(score), 0.0).otherwise(score)
+
+    return joined.withColumn(out, F.zip_with(F.col(column), F.col("_stats"), z)).drop("_stats")
+
+
+def unit_zscored(vectors: DataFrame, column: str, keys: tuple[str, ...], id_col: str) -> DataFrame:
+    """Vectors z-scored by component within keys, then scaled to length 1 (a zero vector stays)."""
+    scored = zscored_vectors(vectors, column, keys, id_col).withColumn("size", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)))
+    return scored.withColumn("unit", F.transform("z", lambda v: v / F.greatest(F.col("size"), F.lit(1e-12)))).drop("z", "size")
 
 
 def knn(vectors: DataFrame, k: int, id_col: str = "id", column: str = "unit", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,7 +50,7 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", column: str = "unit", ke
 
     def nearest(table: pa.Table) -> pa.Table:
         side, ids = (table.column(c).to_numpy() for c in ("side", "id"))
-        v = np.array(table.column("v").to_pylist(), np.float64)
+        v = pa.concat_arrays([x.flatten() for x in table.column("v").chunks]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         b = b[np.argsort(ids[b], kind="stable")]
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -89,17 +98,32 @@ def attributes(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ()) -
     """The eight attributes of edges: offsets from source to target and their length, whether both are in one slice, faces in
     contact, also by the smaller region's size, and the distance of the nodes' features.
 
-    nodes: keys, node, px, py, pz, n_voxels, features (an array)."""
-    src = nodes.select(*keys, F.col("node").alias("src"), *[F.col(c).alias(f"s_{c}") for c in ("px", "py", "pz", "n_voxels", "features")])
-    dst = nodes.select(*keys, F.col("node").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in ("px", "py", "pz", "n_voxels", "features")])
+    nodes: keys, node, px, py, pz, n_voxels, and the z-scored features as arrays: `features` among nodes of their scale, and
+    `across` among all nodes, for edges of the hierarchy."""
+    cells = ("px", "py", "pz", "n_voxels", "features", "across")
+    nodes = nodes if "across" in nodes.columns else nodes.withColumn("across", F.col("features"))
+    src = nodes.select(*keys, F.col("node").alias("src"), *[F.col(c).alias(f"s_{c}") for c in cells])
+    dst = nodes.select(*keys, F.col("node").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in cells])
     both = edges.join(src, [*keys, "src"]).join(dst, [*keys, "dst"])
     dx, dy, dz = (F.col(f"d_p{a}") - F.col(f"s_p{a}") for a in "xyz")
     contact = F.when(F.col("edge_type") == RAG, F.col("contact")).otherwise(0)
     ratio = contact / F.greatest(F.lit(1), F.least("s_n_voxels", "d_n_voxels"))
-    fdist = F.sqrt(F.aggregate(F.zip_with("s_features", "d_features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+    fdist = F.when(F.col("edge_type") == HIERARCHY, _apart("s_across", "d_across")).otherwise(_apart("s_features", "d_features"))
     return both.select(*keys, "src", "dst", "edge_type", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), F.sqrt(dx * dx + dy * dy + dz * dz).alias("dist"), (F.abs(dz) < 1e-6).cast("int").alias("same_z"), contact.alias("contact"), ratio.alias("contact_ratio"), fdist.alias("fdist"))
 
 
+def _apart(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def refreshed(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """edges (keys, src, dst, ...) with fdist anew, from the features (an array) of changed nodes, z-scored over all nodes of a graph."""
+    z = zscored_vectors(nodes.select(*keys, "node", "features"), "features", keys, "node")
+    src, dst = (z.select(*keys, F.col("node").alias(c), F.col("z").alias(f"_{c}")) for c in ("src", "dst"))
+    both = edges.drop("fdist").join(src, [*keys, "src"]).join(dst, [*keys, "dst"])
+    return both.withColumn("fdist", _apart("_src", "_dst")).drop("_src", "_dst")
+
+
 def weighted_degree(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, src, dst, w: the symmetric weights of a multigraph. Repeated edges add up; of both directions the larger counts."""
     one = edges.groupBy(*keys, "src", "dst").agg(F.count("*").cast("double").alias("w"))

@@ -1,6 +1,7 @@
 """Relational operators over voxels (view_key, z, y, x, q): scaling, masks, statistics, gradients, textures, regions.
 
-A view is a key, so any number of views are processed in one job. A label of null means that a voxel is in no region.
+A view is a key, so any number of views are processed in one job. A label of null means that a voxel is in no region. What isn't
+tissue has no row and is 0; how large a volume is stands in the columns nz, ny and nx, or follows from its last voxels.
 """
 
 from __future__ import annotations
@@ -69,20 +70,33 @@ def distribution(value: str, prefix: str = "") -> list[Column]:
     ]
 
 
+SIZE = ("nz", "ny", "nx")
+
+
+def sized(voxels: DataFrame) -> DataFrame:
+    """voxels with the size of their volume; where it isn't given, up to the last voxel along each axis."""
+    if set(SIZE) <= set(voxels.columns):
+        return voxels
+    return voxels.join(voxels.groupBy("view_key").agg(*[(F.max(a) + 1).cast("int").alias(f"n{a}") for a in "zyx"]), "view_key")
+
+
 def gradient(voxels: DataFrame, value: str = "q", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), out: str = "gradient") -> DataFrame:
-    """The size of the gradient: central differences, one-sided where a neighbour is missing, 0 along an axis without any."""
+    """The size of the gradient over the whole volume, in which a place without a voxel is 0: central differences, one-sided at the
+    volume's first and last place along an axis, 0 along an axis of one place.
+"""
+    had = voxels.columns
+    v = sized(voxels)
     total: Column | None = None
     for axis, step in zip("zyx", spacing, strict=True):
-        others = [a for a in "zyx" if a != axis]
-        w = Window.partitionBy("view_key", *others).orderBy(axis)
-        at, v = F.col(axis), F.col(value)
-        after = F.when(F.lead(axis).over(w) == at + 1, F.lead(value).over(w))
-        before = F.when(F.lag(axis).over(w) == at - 1, F.lag(value).over(w))
-        voxels = voxels.withColumn(f"_a{axis}", after).withColumn(f"_b{axis}", before)
-        after, before = F.col(f"_a{axis}"), F.col(f"_b{axis}")
-        d = F.when(after.isNotNull() & before.isNotNull(), (after - before) / (2 * step)).when(after.isNotNull(), (after - v) / step).when(before.isNotNull(), (v - before) / step).otherwise(0.0)
+        w = Window.partitionBy("view_key", *[a for a in "zyx" if a != axis]).orderBy(axis)
+        at, n = F.col(axis), F.col(f"n{axis}")
+        after = F.when(F.lead(axis).over(w) == at + 1, F.lead(value).over(w)).when(at + 1 < n, 0.0)
+        before = F.when(F.lag(axis).over(w) == at - 1, F.lag(value).over(w)).when(at > 0, 0.0)
+        v = v.withColumn(f"_a{axis}", after).withColumn(f"_b{axis}", before)
+        after, before, own = F.col(f"_a{axis}"), F.col(f"_b{axis}"), F.col(value)
+        d = F.when(after.isNotNull() & before.isNotNull(), (after - before) / (2 * step)).when(after.isNotNull(), (after - own) / step).when(before.isNotNull(), (own - before) / step).otherwise(0.0)
         total = d * d if total is None else total + d * d
-    return voxels.withColumn(out, F.sqrt(total)).drop(*[f"_{s}{a}" for s in "ab" for a in "zyx"])
+    return v.withColumn(out, F.sqrt(total)).select(*had, out)
 
 
 def shape(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -92,17 +106,18 @@ def shape(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def location(rows: DataFrame, keys: tuple[str, ...], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Centroids, their distance in mm from the view's, and their place in the volume from 0 to 1.
+    """Centroids, their distance in mm from the centroid of the view's regions (of a scale, if keys has one), and their place in the volume
+    from 0 to 1.
 
     The view's figures come from the regions' sums, so voxels are read once and only regions are shuffled again."""
+    rows = sized(rows)
     sums = [F.sum(a).alias(f"_s{a}") for a in "zyx"]
-    tops = [F.max(a).alias(f"_m{a}") for a in "zyx"]
-    each = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *sums, *tops)
-    first = each.where("scale = 0") if "scale" in keys else each
-    whole = first.groupBy("view_key").agg(*[(F.sum(f"_s{a}") / F.sum("_n")).alias(f"_w{a}") for a in "zyx"], *[F.max(f"_m{a}").alias(f"_t{a}") for a in "zyx"])
+    each = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *sums, *[F.max(n).alias(n) for n in SIZE])
+    of = [k for k in ("view_key", "scale") if k in keys]
+    whole = each.groupBy(*of).agg(*[(F.sum(f"_s{a}") / F.sum("_n")).alias(f"_w{a}") for a in "zyx"])
     c = {a: F.col(f"_s{a}") / F.col("_n") for a in "zyx"}
     square = sum((((c[a] - F.col(f"_w{a}")) * s) ** 2 for a, s in zip("zyx", spacing, strict=True)), F.lit(0.0))
-    return each.join(whole, "view_key").select(*keys, *[c[a].alias(f"c{a}") for a in "zyx"], F.sqrt(square).alias("dist_mm"), *[(c[a] / F.greatest(F.lit(1), F.col(f"_t{a}"))).alias(f"norm_{a}") for a in "zyx"])
+    return each.join(whole, of).select(*keys, *[c[a].alias(f"c{a}") for a in "zyx"], F.sqrt(square).alias("dist_mm"), *[(c[a] / F.greatest(F.lit(1), F.col(f"n{a}") - 1)).alias(f"norm_{a}") for a in "zyx"])
 
 
 def glcm(voxels: DataFrame, boxes: DataFrame, keys: tuple[str, ...], value: str = "scaled", levels: int = 64, least: int = 16) -> DataFrame:

@@ -7,33 +7,22 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import edges, quality, raster
-from ..operators.segment import supervoxels
+from ..operators import edges, embeddings, quality, raster
 from ..sources.config import DEFAULTS
 from ..store import written
 
 KEYS = ("view_key",)
 
 
-def segmented(voxels: DataFrame, targets: tuple[int, int, int], config: dict[str, Any] = DEFAULTS, iterations: int = 8) -> DataFrame:
-    """voxels with dense labels at three scales."""
-    out = voxels
-    for name, n in zip(raster.SCALES, targets, strict=True):
-        k = supervoxels(voxels, n, iterations, config["slic"]["compactness"], tuple(config["spacing_mm"]))
-        dense = raster.dense_labels(k, "k", out=name).select("view_key", *"zyx", name)
-        out = out.join(dense, ["view_key", *"zyx"], "left")
-    return out
-
-
 def nodes(labelled: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """A row for each region: node (its number in the graph, scale by scale), its statistics, shape, place and texture."""
     key = ("view_key", "scale", "label")
-    scaled = raster.minmax_scaled(raster.gradient(labelled, "q", spacing), "q")
+    scaled = raster.gradient(raster.sized(labelled), "q", spacing)  # volumes are scaled to 0..1 already
     rows = raster.regions(scaled)
     stats = rows.groupBy(*key).agg(*raster.distribution("q"), F.avg("gradient").alias("grad_mean"), F.stddev_pop("gradient").alias("grad_std"), F.max("gradient").alias("grad_max"), F.percentile("gradient", F.lit(0.9)).alias("grad_p90"))
     shape = raster.shape(rows, key)
     place = raster.location(rows, key, spacing)
-    texture = raster.glcm(scaled, shape, key)
+    texture = raster.glcm(scaled, shape, key, "q")
     whole = stats.join(shape, list(key)).join(place, list(key)).join(texture, list(key))
     sizes = scale_sizes(whole)
     offset = F.when(F.col("scale") == 0, 0).when(F.col("scale") == 1, F.col("k_fine")).otherwise(F.col("k_fine") + F.col("k_med"))
@@ -51,12 +40,18 @@ FEATURES = (
 )
 
 
-def built(labelled: DataFrame, config: dict[str, Any] = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges with attributes, verdicts) of the graphs of labelled voxels (dense labels at three scales)."""
+def built(labelled: DataFrame, config: dict[str, Any] = DEFAULTS, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges with attributes, verdicts) of the graphs of labelled voxels (dense labels at three scales).
+
+    given: view_key, scale, label, vector: vectors of regions, made elsewhere, which are projected and stand beside their features."""
     spacing = tuple(config["spacing_mm"])
     n = written(nodes(labelled, spacing), "graph-nodes")
-    vectors = n.withColumn("features", F.array(*[F.col(c).cast("double") for c in FEATURES]))
-    unit = edges.unit_zscored(vectors, "features", ("view_key", "scale"), "node")
+    vectors = n.withColumn("_raw", F.array(*[F.col(c).cast("double") for c in FEATURES]))
+    if given is not None:
+        vectors = embeddings.beside(vectors, given, config["embed"]["dims"])
+    vectors = edges.zscored_vectors(vectors, "_raw", ("view_key", "scale"), "node", "features")
+    vectors = written(edges.zscored_vectors(vectors, "_raw", KEYS, "node", "across"), "graph-vectors")
+    unit = edges.unit_zscored(vectors.select("view_key", "scale", "node", "_raw"), "_raw", ("view_key", "scale"), "node")
     parts: list[tuple[DataFrame, int]] = []
     offsets = n.groupBy("view_key").agg(F.max("k_fine").alias("k_fine"), F.max("k_med").alias("k_med"), F.max("k_coarse").alias("k_coarse"))
     starts = (F.lit(0), F.col("k_fine"), F.col("k_fine") + F.col("k_med"))
@@ -69,11 +64,14 @@ def built(labelled: DataFrame, config: dict[str, Any] = DEFAULTS) -> tuple[DataF
         of = raster.parents(labelled, raster.SCALES[i], raster.SCALES[i + 1]).join(offsets, "view_key")
         parts.append((edges.hierarchy(of, starts[i], starts[i + 1], KEYS), edges.HIERARCHY))
     e = written(edges.assembled(parts, KEYS), "graph-edges")
-    placed = vectors.select("view_key", "node", (F.col("cx") * spacing[2]).alias("px"), (F.col("cy") * spacing[1]).alias("py"), (F.col("cz") * spacing[0]).alias("pz"), "n_voxels", "features")
+    placed = vectors.select("view_key", "node", (F.col("cx") * spacing[2]).alias("px"), (F.col("cy") * spacing[1]).alias("py"), (F.col("cz") * spacing[0]).alias("pz"), "n_voxels", "features", "across")
     attributes = edges.attributes(e, placed, KEYS)
     structure = e.where(f"edge_type <> {edges.KNN}")
-    covered = labelled.groupBy("view_key").agg((F.count_if(F.col("lab_fine").isNotNull()) / F.count("*")).alias("tissue_coverage"))
-    verdict = quality.metrics(n.select("view_key", "node"), structure, KEYS).join(quality.audit(e, offsets, KEYS), "view_key").join(covered, "view_key")
+    labels = F.coalesce(*raster.SCALES)
+    covered = labelled.groupBy("view_key").agg((F.count_if(labels.isNotNull()) / F.count("*")).alias("tissue_coverage"))
+    sizes = vectors.groupBy("view_key").agg(*[F.count_if(F.col("scale") == i).alias(f"K_{c}") for i, c in enumerate(("fine", "med", "coarse"))], F.count("*").alias("K_total"), F.max(F.size("_raw")).alias("features_per_node"))
+    sizes = sizes.withColumn("used_embed", F.lit(int(given is not None))).join(e.groupBy("view_key").agg(F.count("*").alias("E_edges")), "view_key", "left").fillna(0, ["E_edges"])
+    verdict = quality.metrics(n.select("view_key", "node"), structure, KEYS).join(quality.audit(e, offsets, KEYS), "view_key").join(covered, "view_key").join(sizes, "view_key")
     limits = config["qc"]
     reason = quality.gate(limits["min_tissue_coverage"], limits["min_lcc_frac"], limits["min_avg_degree"])
     return n, attributes, verdict.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "ok").otherwise(F.concat(F.lit("reject:"), F.col("reason"))))
@@ -81,5 +79,5 @@ def built(labelled: DataFrame, config: dict[str, Any] = DEFAULTS) -> tuple[DataF
 
 def variants(views: DataFrame, config: dict[str, Any] = DEFAULTS) -> DataFrame:
     """A row for each variant of each view: clean 0, then augmix, diffusion and adversarial from 1 on."""
-    kinds = [("clean", 0), *((k, i) for k in ("augmix", "diffusion", "adversarial") for i in range(1, config[k]["n"] + 1))]
+    kinds = [("clean", 0), *((k, i) for k in ("augmix", "diffusion", "adversarial") for i in range(1, config[k]["n_per_view"] + 1))]
     return views.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("aug_kind"), F.lit(i).alias("aug_idx")) for k, i in kinds])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import numpy as np
@@ -16,40 +17,55 @@ from ..operators import edges, kernels
 from ..operators.raster import SCALES
 from ..sources import metadata as M
 from ..sources.config import DEFAULTS
-from ..sources.tiff import slices_of
+from ..sources.tiff import slices_at
 from ..store import written
 from . import conversion, graphs
 
-LABELLED = "view_key string, z int, y int, x int, q double, lab_fine long, lab_med long, lab_coarse long"
+LABELLED = "view_key string, z int, y int, x int, nz int, ny int, nx int, q double, lab_fine long, lab_med long, lab_coarse long"
+#: Endings of sources that the decoder at hand reads, and of those that need one.
+ENDINGS = (*M.DICOM_ENDINGS, ".tif", ".tiff")
 #: Features that an adversary leaves alone.
 PROTECTED = ("n_voxels", "compactness", "elongation", "dist_mm", "norm_z", "norm_y", "norm_x", "scale_code")
 
 
-def convert(spark: SparkSession, splits: list[tuple[str, str, str, str]], folder: str, mode: str = "cancer", compression: str = "zlib", overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Writes the volumes of all splits (name, labels CSV, paths CSV, root); (counters of each split, failures)."""
-    if len({s[0] for s in splits}) < len(splits):
+def convert(spark: SparkSession, splits: list[tuple[str, str, str, str]], folder: str, mode: str = "cancer", compression: str = "zlib", overwrite: bool = False, smart_update: bool = True, endings: tuple[str, ...] = ENDINGS) -> tuple[DataFrame, DataFrame]:
+    """Writes the volumes of all splits (name, labels CSV, paths CSV, root); (counters of each split, failures in the order of the views).
+
+    A volume that is there already is skipped, with smart_update only if it is no older than its sources."""
+    names = [_sanitised(s[0]) for s in splits]
+    if len(set(names)) < len(splits):
         raise ValueError("names of splits must differ")
     plans, contents = [], []
-    for name, labels, paths, root in splits:
+    for name, (_, labels, paths, root) in zip(names, splits, strict=True):
         views = M.labels(M.read_csv(spark, labels)).withColumn("split", F.lit(name))
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         of = M.path_map(M.read_csv(spark, paths), F.monotonically_increasing_id())
         base = root if ":" in root else f"file:{root.rstrip('/')}"
-        plans.append(conversion.resolved(conversion.planned(views, of, mode), base, files.select("path")).select(*conversion.FAILURE, "source", "target"))
+        views = views.withColumn("_order", F.monotonically_increasing_id())
+        plans.append(conversion.resolved(conversion.planned(views, of, mode), base, files.select("path"), endings).select(*conversion.FAILURE, "sources", "target", F.struct(F.lit(len(plans)), "_order").alias("_order")))
         contents.append(files)
     plan, files = M.union_ledgers(*plans), M.union_ledgers(*contents)
     if not overwrite:
-        made = _listing(spark, folder).select(F.col("path"), F.col("modificationTime").alias("made"))
-        target = F.concat(F.lit(f"file:{folder.rstrip('/')}/"), "target")
-        newest = files.select(F.col("path").alias("source"), F.col("modificationTime").alias("newest"))
-        plan = plan.join(newest, "source", "left").join(made.withColumnRenamed("path", "_t"), target == F.col("_t"), "left")
-        fresh = F.col("made") >= F.col("newest") - F.expr("INTERVAL 1 MILLISECOND")
-        plan = plan.withColumn("reason", F.when((F.col("reason") == "") & F.coalesce(fresh, F.lit(False)), "skip").otherwise(F.col("reason")))
+        key = ("target",)
+        made = _listing(spark, folder).select(F.col("path").alias("_at"), F.col("modificationTime").alias("modified"))
+        ready = plan.where("reason = ''").select("target", F.explode("sources").alias("path"))
+        sources = ready.join(files.select("path", F.col("modificationTime").alias("modified")), "path").select("target", "modified")
+        at = F.concat(F.lit(folder.rstrip("/") if ":" in folder else f"file:{folder.rstrip('/')}"), F.lit("/"), "target")
+        outputs = plan.select("target").distinct().join(made, at == F.col("_at")).select("target", "modified")
+        fresh = outputs.select("target") if not smart_update else outputs.select("target").join(M.outdated(sources, outputs, key), list(key), "left_anti")
+        plan = plan.join(fresh.distinct().withColumn("_fresh", F.lit(True)), list(key), "left")
+        plan = plan.withColumn("reason", F.when((F.col("reason") == "") & F.col("_fresh"), "skip").otherwise(F.col("reason"))).drop("_fresh")
     plan = written(plan, "plan")
     done = written(conversion.written_volumes(plan, files, folder, compression=compression), "done")
-    rest = plan.where("reason <> ''").select(*conversion.FAILURE).unionByName(done)
+    order = plan.groupBy(*conversion.FAILURE[:4]).agg(F.min("_order").alias("_order"))
+    rest = plan.where("reason <> ''").select(*conversion.FAILURE, "_order").unionByName(done.join(order, list(conversion.FAILURE[:4])))
     status = F.when(F.col("reason") == "", "written").when(F.col("reason") == "skip", "skipped").otherwise("failed")
-    return conversion.counters(rest.withColumn("status", status)), rest.where("reason NOT IN ('', 'skip')").distinct()
+    failed = rest.where("reason NOT IN ('', 'skip')")
+    return conversion.counters(rest.withColumn("status", status)), M.distinct_failures(failed, "_order")
+
+
+def _sanitised(name: str) -> str:
+    return re.sub(r"[^A-Za-z0-9_.-]+", "_", name.strip()) or "split"
 
 
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,12 +115,13 @@ def labelled_voxels(slices: DataFrame, plan: DataFrame, config: dict[str, Any] =
             vol = kernels.augmix(vol, seed, c["severity"], c["width"], c["depth"], c["alpha"], c["m"]) * mask
         elif kind == "diffusion":
             c = config["diffusion"]
-            vol = kernels.diffusion(vol, seed, c["sigma"], c["denoiser"], c["h"]) * mask
+            vol = kernels.diffusion(vol, seed, c["sigma"], c["denoiser"], c["nlmeans_h"]) * mask
         at = np.argwhere(mask)
         smooth = kernels.blurred(vol, slic["sigma"])
         labels = [kernels.slic(smooth, mask, k, slic["compactness"], spacing)[mask] for k in targets(len(at))]
         cells = {"view_key": pa.array([name] * len(at), pa.string())}
         cells |= {a: pa.array(at[:, i].astype(np.int32)) for i, a in enumerate("zyx")}
+        cells |= {f"n{a}": pa.array([n] * len(at), pa.int32()) for a, n in zip("zyx", vol.shape, strict=True)}
         cells["q"] = pa.array(vol[mask].astype(np.float64))
         cells |= {n: pa.array(v, pa.int64(), mask=v < 0) for n, v in zip(SCALES, labels, strict=True)}
         return pa.table(cells)
@@ -112,9 +129,11 @@ def labelled_voxels(slices: DataFrame, plan: DataFrame, config: dict[str, Any] =
     return work.groupBy("name").applyInArrow(run, LABELLED)
 
 
-def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str, Any] = DEFAULTS, wanted: DataFrame | None = None) -> DataFrame:
+def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str, Any] = DEFAULTS, wanted: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Builds the graphs of a manifest: nodes, edges, voxels and graphs are Parquet tables under out, and what happened is added to
-    its ledger, which is returned. Graphs that are there already are skipped; rejected ones leave only a row in the ledger."""
+    its ledger, which is returned. Graphs that are there already are skipped; rejected ones leave only a row in the ledger. vectors (view_key,
+    scale, label, vector) are given to the nodes of graphs, unless the configuration turns them off."""
+    vectors = vectors if config["embed"]["enabled"] else None
     views = M.of_patients(manifest, wanted) if wanted is not None else manifest
     rows = written(resolved_views(views, config), "views")
     plan = planned_variants(rows, config).withColumn("path", F.when(F.col("Raw_path").contains(":"), F.col("Raw_path")).otherwise(F.concat(F.lit("file:"), "Raw_path")))
@@ -125,27 +144,26 @@ def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str,
     except AnalysisException:  # the first run
         skipped = plan.where("false")
     plan = written(plan, "plan")
-    folders = [r[0] for r in plan.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]  # one for each folder of volumes
     ledger = rows.where("problem <> ''").select(F.concat_ws("__", "PatientID", "View").alias("view_key"), F.concat(F.lit("reject:"), "problem").alias("status"))
     ledger = ledger.unionByName(skipped.select(F.col("name").alias("view_key"), F.lit("skip_exists").alias("status")))
-    if folders:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(folders).join(plan.select("path").distinct(), "path", "left_semi")
-        slices = written(slices_of(files), "slices")
+    if not plan.isEmpty():
+        slices = written(slices_at(plan.select("path").distinct().repartition(F.xxhash64("path"))), "slices")
         bad = slices.where("reason <> ''").select(F.col("view_key").alias("path"), "reason").join(plan, "path").select(F.col("name").alias("view_key"), F.col("reason").alias("status"))
         base = plan.where("aug_kind <> 'adversarial'")
         voxels = written(labelled_voxels(slices.where("reason = ''"), base, config), "voxels")
-        nodes, attributes, verdict = graphs.built(voxels, config)
+        nodes, attributes, verdict = graphs.built(voxels, config, vectors)
         verdict = written(verdict, "verdicts")
         ok = verdict.where("status = 'ok'")
         keep = ok.select("view_key")
         attributes = attributes.join(keep, "view_key", "left_semi")
         nodes = nodes.join(keep, "view_key", "left_semi")
-        turned = _adversaries(plan, nodes, attributes, config)
+        turned, pushed = _adversaries(plan, nodes, attributes, config)
         nodes.write.mode("append").parquet(f"{out}/nodes")
         attributes.write.mode("append").parquet(f"{out}/edges")
         voxels.join(keep, "view_key", "left_semi").write.mode("append").parquet(f"{out}/voxels")
         if turned is not None:
             turned.write.mode("append").parquet(f"{out}/adversarial")
+            pushed.write.mode("append").parquet(f"{out}/adversarial_edges")
         about = plan.select(F.col("name").alias("view_key"), "PatientID", "View", "label", "aug_kind", "aug_idx", "seed", F.lit(json.dumps(config)).alias("config"))
         ok.join(about, "view_key").write.mode("append").parquet(f"{out}/graphs")
         ledger = M.union_ledgers(ledger, bad, verdict)
@@ -153,13 +171,19 @@ def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str,
     return M.read_ledger(spark, f"{out}/ledger")
 
 
-def _adversaries(plan: DataFrame, nodes: DataFrame, attributes: DataFrame, config: dict[str, Any]) -> DataFrame | None:
-    """Features of the adversarial variants, from those of the clean graphs; their topology and verdict are the clean graph's."""
+def _adversaries(plan: DataFrame, nodes: DataFrame, attributes: DataFrame, config: dict[str, Any]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Features and edges of the adversarial variants, from those of the clean graphs: topology and verdict are the clean graph's, the
+    distances of features are taken anew."""
     c = config["adversarial"]
-    if not c["n"]:
-        return None
+    if not c["n_per_view"]:
+        return None, None
     clean = plan.where("aug_kind = 'clean'").select(F.col("name").alias("view_key"), "PatientID", "View")
     names = [n for n in graphs.FEATURES if n not in PROTECTED]
-    pushed = edges.adversarial(nodes.join(clean, "view_key", "left_semi").select("view_key", "node", *names), attributes.join(clean, "view_key", "left_semi").select("view_key", "src", "dst"), names, c["eps"], c["steps"], c["norm"], ("view_key",))
+    own, linked = (df.join(clean, "view_key", "left_semi") for df in (nodes, attributes))
+    pushed = edges.adversarial(own.select("view_key", "node", *names), linked.select("view_key", "src", "dst"), names, c["eps"], c["steps"], c["norm"], ("view_key",))
+    pushed = written(pushed, "pushed")
+    whole = pushed.join(own.select("view_key", "node", *[n for n in graphs.FEATURES if n in PROTECTED]), ["view_key", "node"])
+    features = F.array(*[F.col(n).cast("double") for n in graphs.FEATURES]).alias("features")
+    anew = edges.refreshed(linked, whole.select("view_key", "node", features), ("view_key",))
     variants = plan.where("aug_kind = 'adversarial'").select(F.col("name").alias("variant"), "PatientID", "View")
-    return pushed.join(clean, "view_key").join(variants, ["PatientID", "View"]).drop("PatientID", "View")
+    return tuple(df.join(clean, "view_key").join(variants, ["PatientID", "View"]).drop("PatientID", "View") for df in (pushed, anew))

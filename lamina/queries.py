@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels as L
 from .operators import edges as E
+from .operators import embeddings as V
 from .operators import quality as Q
 from .operators import raster as R
 from .operators import segment as S
@@ -113,46 +114,53 @@ def node_intensity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.regions(labelled(spark, sf_dir)).groupBy(*KEY).agg(*R.distribution("q")))
 
 
+#: Slices, rows and columns of the stand-in volumes.
+DEPTH = 7
+
+
+def sized(v: DataFrame) -> DataFrame:
+    return v.withColumns({n: F.lit(k) for n, k in zip(R.SIZE, (DEPTH, SIDE, SIDE), strict=True)})
+
+
 def _sql_gradient() -> str:
     parts = []
-    for a in "zyx":
+    for a, n in zip("zyx", (DEPTH, SIDE, SIDE), strict=True):
         rest = ", ".join(x for x in "zyx" if x != a)
         w = f"OVER (PARTITION BY view_key, {rest} ORDER BY {a})"
-        parts.append(f"CASE WHEN lead({a}) {w} = {a} + 1 THEN lead(q) {w} END AS n{a}, CASE WHEN lag({a}) {w} = {a} - 1 THEN lag(q) {w} END AS p{a}")
-    d = " + ".join(f"pow(CASE WHEN n{a} IS NOT NULL AND p{a} IS NOT NULL THEN (n{a} - p{a}) / 2 WHEN n{a} IS NOT NULL THEN n{a} - q WHEN p{a} IS NOT NULL THEN q - p{a} ELSE 0 END, 2)" for a in "zyx")
-    return f"near AS (SELECT *, {', '.join(parts)} FROM lab), grad AS (SELECT *, sqrt({d}) AS g FROM near)"
+        parts.append(f"CASE WHEN lead({a}) {w} = {a} + 1 THEN lead(q) {w} WHEN {a} < {n - 1} THEN 0 END AS n{a}, CASE WHEN lag({a}) {w} = {a} - 1 THEN lag(q) {w} WHEN {a} > 0 THEN 0 END AS p{a}")
+    d = " + ".join(f"pow(CASE WHEN n{a} IS NOT NULL AND p{a} IS NOT NULL THEN (n{a} - p{a}) / 2 WHEN n{a} IS NOT NULL THEN n{a} - q ELSE q - p{a} END, 2)" for a in "zyx")
+    scales = " UNION ALL ".join(f"SELECT view_key, {i} AS scale, {name} AS label, g FROM grad" for i, name in enumerate(R.SCALES))
+    return f"near AS (SELECT *, {', '.join(parts)} FROM lab), grad AS (SELECT *, sqrt({d}) AS g FROM near), each AS ({scales})"
 
 
-@query(f"WITH {LAB}, {_sql_gradient()} SELECT view_key, lab_med AS label, round(avg(g), 6) AS grad_mean, round(stddev_pop(g), 6) AS grad_std, round(max(g), 6) AS grad_max, round(quantile_cont(g, 0.9), 6) AS grad_p90 FROM grad GROUP BY 1, 2")
+@query(f"WITH {LAB}, {_sql_gradient()} SELECT view_key, scale, label, round(avg(g), 6) AS grad_mean, round(stddev_pop(g), 6) AS grad_std, round(max(g), 6) AS grad_max, round(quantile_cont(g, 0.9), 6) AS grad_p90 FROM each GROUP BY 1, 2, 3")
 def node_gradient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = R.gradient(labelled(spark, sf_dir))
-    return rounded(g.groupBy("view_key", F.col("lab_med").alias("label")).agg(F.avg("gradient").alias("grad_mean"), F.stddev_pop("gradient").alias("grad_std"), F.max("gradient").alias("grad_max"), F.percentile("gradient", F.lit(0.9)).alias("grad_p90")))
+    g = R.regions(R.gradient(sized(labelled(spark, sf_dir))))
+    return rounded(g.groupBy(*KEY).agg(F.avg("gradient").alias("grad_mean"), F.stddev_pop("gradient").alias("grad_std"), F.max("gradient").alias("grad_max"), F.percentile("gradient", F.lit(0.9)).alias("grad_p90")))
 
 
 @query(f"""WITH {REG}, b AS (SELECT view_key, scale, label, count(*) AS n, max(z) - min(z) + 1 AS dz, max(y) - min(y) + 1 AS dy, max(x) - min(x) + 1 AS dx, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM reg GROUP BY 1, 2, 3),
-t AS (SELECT view_key, avg(z) AS wz, avg(y) AS wy, avg(x) AS wx, greatest(1, max(z)) AS mz, greatest(1, max(y)) AS my, greatest(1, max(x)) AS mx FROM lab GROUP BY 1)
+t AS (SELECT view_key, scale, avg(z) AS wz, avg(y) AS wy, avg(x) AS wx FROM reg GROUP BY 1, 2)
 SELECT view_key, scale, label, n AS n_voxels, round(n / (dz * dy * dx), 6) AS compactness, round(greatest(dz, dy, dx) / least(dz, dy, dx), 6) AS elongation,
-  round(sqrt((cz - wz) ** 2 + (cy - wy) ** 2 + (cx - wx) ** 2), 6) AS dist_mm, round(cz / mz, 6) AS norm_z, round(cy / my, 6) AS norm_y, round(cx / mx, 6) AS norm_x FROM b JOIN t USING (view_key)""")
+  round(sqrt((cz - wz) ** 2 + (cy - wy) ** 2 + (cx - wx) ** 2), 6) AS dist_mm, round(cz / {DEPTH - 1}, 6) AS norm_z, round(cy / {SIDE - 1}, 6) AS norm_y, round(cx / {SIDE - 1}, 6) AS norm_x FROM b JOIN t USING (view_key, scale)""")
 def node_shape_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.regions(labelled(spark, sf_dir))
+    rows = R.regions(sized(labelled(spark, sf_dir)))
     both = R.shape(rows, KEY).join(R.location(rows, KEY), list(KEY))
     return rounded(both.select(*KEY, "n_voxels", "compactness", "elongation", "dist_mm", "norm_z", "norm_y", "norm_x"))
 
 
-@query(f"""WITH {LAB}, r AS (SELECT view_key, min(q) AS lo, max(q) AS hi FROM lab GROUP BY 1),
-s AS (SELECT lab.*, CASE WHEN hi > lo THEN (q - lo) / (hi - lo) ELSE 0 END AS v FROM lab JOIN r USING (view_key)),
-b AS (SELECT view_key, lab_coarse AS label, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY 1, 2),
-p AS (SELECT view_key, label, z0, z1, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM b) WHERE (y1 - y0 + 1) * (x1 - x0 + 1) >= 16),
-f AS (SELECT p.view_key, label, p.y, p.x, CAST(floor(coalesce(max(v), 0) * 63) AS INT) AS i FROM p LEFT JOIN s ON s.view_key = p.view_key AND s.y = p.y AND s.x = p.x AND s.z BETWEEN z0 AND z1 GROUP BY 1, 2, 3, 4),
-e AS (SELECT a.view_key, a.label, a.i, b.i AS j FROM f a JOIN f b ON a.view_key = b.view_key AND a.label = b.label AND a.y = b.y AND b.x = a.x + 1),
-c AS (SELECT view_key, label, i, j, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT view_key, label, j, i FROM e) GROUP BY 1, 2, 3, 4),
-t AS (SELECT view_key, label, sum(n) AS t, sum(n * (i - j) ** 2) AS c, sum(n / (1 + (i - j) ** 2)) AS h, sum(n * n) AS e, sum(n * i) AS si, sum(n * i * i) AS sii, sum(n * i * j) AS sij FROM c GROUP BY 1, 2)
-SELECT view_key, label, round(coalesce(c / t, 0), 6) AS contrast, round(coalesce(h / t, 0), 6) AS homogeneity, round(coalesce(sqrt(e) / t, 0), 6) AS energy,
-  round(coalesce(CASE WHEN sii / t - (si / t) ** 2 < 1e-12 THEN 1 ELSE (sij / t - (si / t) ** 2) / (sii / t - (si / t) ** 2) END, 0), 6) AS correlation FROM b LEFT JOIN t USING (view_key, label)""")
+@query(f"""WITH {REG}, s AS (SELECT *, q / 50 AS v FROM lab),
+b AS (SELECT view_key, scale, label, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM reg GROUP BY 1, 2, 3),
+p AS (SELECT view_key, scale, label, z0, z1, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM b) WHERE (y1 - y0 + 1) * (x1 - x0 + 1) >= 16),
+f AS (SELECT p.view_key, scale, label, p.y, p.x, CAST(floor(least(1, greatest(0, coalesce(max(v), 0))) * 63) AS INT) AS i FROM p LEFT JOIN s ON s.view_key = p.view_key AND s.y = p.y AND s.x = p.x AND s.z BETWEEN z0 AND z1 GROUP BY 1, 2, 3, 4, 5),
+e AS (SELECT a.view_key, a.scale, a.label, a.i, b.i AS j FROM f a JOIN f b ON a.view_key = b.view_key AND a.scale = b.scale AND a.label = b.label AND a.y = b.y AND b.x = a.x + 1),
+c AS (SELECT view_key, scale, label, i, j, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT view_key, scale, label, j, i FROM e) GROUP BY 1, 2, 3, 4, 5),
+t AS (SELECT view_key, scale, label, sum(n) AS t, sum(n * (i - j) ** 2) AS c, sum(n / (1 + (i - j) ** 2)) AS h, sum(n * n) AS e, sum(n * i) AS si, sum(n * i * i) AS sii, sum(n * i * j) AS sij FROM c GROUP BY 1, 2, 3)
+SELECT view_key, scale, label, round(coalesce(c / t, 0), 6) AS contrast, round(coalesce(h / t, 0), 6) AS homogeneity, round(coalesce(sqrt(e) / t, 0), 6) AS energy,
+  round(coalesce(CASE WHEN sii / t - (si / t) ** 2 < 1e-12 THEN 1 ELSE (sij / t - (si / t) ** 2) / (sii / t - (si / t) ** 2) END, 0), 6) AS correlation FROM b LEFT JOIN t USING (view_key, scale, label)""")
 def glcm_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.minmax_scaled(labelled(spark, sf_dir), "q")
-    keys = ("view_key", "label")
-    return rounded(R.glcm(v, R.bounds(v.withColumn("label", F.col("lab_coarse")), keys), keys))
+    v = labelled(spark, sf_dir).withColumn("scaled", F.col("q") / 50)
+    return rounded(R.glcm(v, R.bounds(R.regions(v), KEY), KEY))
 
 
 @query(f"""WITH {VOX}, h AS (SELECT view_key, z, CAST(floor(q) AS INT) AS level, count(*) AS n FROM vox GROUP BY 1, 2, 3),
@@ -232,9 +240,18 @@ def parent_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.parents(labelled(spark, sf_dir), "lab_fine", "lab_med")
 
 
-@query(f"WITH {LAB}, {_PARENT} SELECT view_key, child AS src, parent + 1000 AS dst FROM p UNION ALL SELECT view_key, parent + 1000, child FROM p")
+#: Parents are numbered after a view's children.
+_AFTER = "o AS (SELECT view_key, max(lab_fine) + 1 AS k FROM lab GROUP BY 1)"
+
+
+@query(f"WITH {LAB}, {_PARENT}, {_AFTER} SELECT view_key, child AS src, parent + k AS dst FROM p JOIN o USING (view_key) UNION ALL SELECT view_key, parent + k, child FROM p JOIN o USING (view_key)")
 def hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.hierarchy(R.parents(labelled(spark, sf_dir), "lab_fine", "lab_med"), F.lit(0).cast("long"), F.lit(1000).cast("long"), G.KEYS)
+    return _hierarchy(labelled(spark, sf_dir))
+
+
+def _hierarchy(v: DataFrame) -> DataFrame:
+    sizes = v.groupBy("view_key").agg((F.max("lab_fine") + 1).alias("k"))
+    return E.hierarchy(R.parents(v, "lab_fine", "lab_med").join(sizes, "view_key"), F.lit(0).cast("long"), F.col("k"), G.KEYS)
 
 
 def _knn_sql(k: int) -> str:
@@ -259,22 +276,33 @@ def knn_edges_med(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(spark, sf_dir, 3)
 
 
-@query(f"""WITH {LAB}, {_faces('lab_med')}, n AS (SELECT view_key, lab_med AS node, count(*) AS n, avg(x) AS px, avg(y) AS py, avg(z) AS pz, avg(q) AS f1, stddev_pop(q) AS f2 FROM lab GROUP BY 1, 2)
-SELECT view_key, src, dst, 0 AS edge_type, round(b.px - a.px, 6) AS dx, round(b.py - a.py, 6) AS dy, round(b.pz - a.pz, 6) AS dz, round(sqrt((b.px - a.px) ** 2 + (b.py - a.py) ** 2 + (b.pz - a.pz) ** 2), 6) AS dist,
-  CAST(abs(b.pz - a.pz) < 1e-6 AS INT) AS same_z, contact, round(contact / greatest(1, least(a.n, b.n)), 6) AS contact_ratio, round(sqrt((b.f1 - a.f1) ** 2 + (b.f2 - a.f2) ** 2), 6) AS fdist
-FROM rag JOIN n a USING (view_key) JOIN n b USING (view_key) WHERE a.node = src AND b.node = dst""")
+@query(f"""WITH {LAB}, {_faces('lab_fine')}, {_PARENT}, {_AFTER},
+n AS (SELECT view_key, 0 AS scale, lab_fine AS node, count(*) AS n, avg(x) AS px, avg(y) AS py, avg(z) AS pz, avg(q) AS f1, max(q) AS f2 FROM lab GROUP BY 1, 3
+  UNION ALL SELECT view_key, 1, lab_med + any_value(k), count(*), avg(x), avg(y), avg(z), avg(q), max(q) FROM lab JOIN o USING (view_key) GROUP BY view_key, lab_med),
+z AS (SELECT *, {', '.join(f'({f} - avg({f}) OVER {w}) / (stddev_pop({f}) OVER {w} + 1e-6) AS {c}{f}' for f in ('f1', 'f2') for c, w in (('s', '(PARTITION BY view_key, scale)'), ('a', '(PARTITION BY view_key)')))} FROM n),
+e AS (SELECT view_key, src, dst, contact, 0 AS edge_type FROM rag UNION ALL SELECT view_key, child, parent + k, 0, 2 FROM p JOIN o USING (view_key) UNION ALL SELECT view_key, parent + k, child, 0, 2 FROM p JOIN o USING (view_key))
+SELECT view_key, src, dst, edge_type, round(b.px - a.px, 6) AS dx, round(b.py - a.py, 6) AS dy, round(b.pz - a.pz, 6) AS dz, round(sqrt((b.px - a.px) ** 2 + (b.py - a.py) ** 2 + (b.pz - a.pz) ** 2), 6) AS dist,
+  CAST(abs(b.pz - a.pz) < 1e-6 AS INT) AS same_z, contact, round(contact / greatest(1, least(a.n, b.n)), 6) AS contact_ratio,
+  round(CASE WHEN edge_type = 2 THEN sqrt((b.af1 - a.af1) ** 2 + (b.af2 - a.af2) ** 2) ELSE sqrt((b.sf1 - a.sf1) ** 2 + (b.sf2 - a.sf2) ** 2) END, 6) AS fdist
+FROM e JOIN z a USING (view_key) JOIN z b USING (view_key) WHERE a.node = src AND b.node = dst""")
 def edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of contacts between fine regions, and of the hierarchy; distances are of z-scores, by scale and over all nodes."""
     v = labelled(spark, sf_dir)
-    nodes = v.groupBy("view_key", F.col("lab_med").alias("node")).agg(F.count("*").alias("n_voxels"), *[F.avg(a).alias(f"p{a}") for a in "xyz"], F.array(F.avg("q"), F.stddev_pop("q")).alias("features"))
-    return rounded(E.attributes(E.assembled([(R.contacts(v, "lab_med"), E.RAG)], G.KEYS), nodes, G.KEYS)).replace(-0.0, 0.0)
-
-
-@query(f"""WITH {LAB}, {_faces('lab_fine')}, {_PARENT} SELECT view_key, src, dst, contact, 0 AS edge_type FROM rag
-UNION ALL SELECT view_key, child, parent + 1000, 0, 2 FROM p UNION ALL SELECT view_key, parent + 1000, child, 0, 2 FROM p""")
+    start = v.groupBy("view_key").agg((F.max("lab_fine") + 1).alias("k"))
+    figures = [F.count("*").alias("n_voxels"), *[F.avg(a).alias(f"p{a}") for a in "xyz"], F.array(F.avg("q"), F.max("q")).alias("raw")]
+    fine = v.groupBy("view_key", F.lit(0).alias("scale"), F.col("lab_fine").alias("node")).agg(*figures)
+    med = v.join(start, "view_key").groupBy("view_key", F.lit(1).alias("scale"), (F.col("lab_med") + F.col("k")).alias("node")).agg(*figures)
+    nodes = E.zscored_vectors(fine.unionByName(med), "raw", ("view_key", "scale"), "node", "features")
+    nodes = E.zscored_vectors(nodes, "raw", G.KEYS, "node", "across")
+    e = E.assembled([(R.contacts(v, "lab_fine"), E.RAG), (_hierarchy(v), E.HIERARCHY)], G.KEYS)
+    return rounded(E.attributes(e, nodes, G.KEYS)).replace(-0.0, 0.0)
+
+
+@query(f"""WITH {LAB}, {_faces('lab_fine')}, {_PARENT}, {_AFTER} SELECT view_key, src, dst, contact, 0 AS edge_type FROM rag
+UNION ALL SELECT view_key, child, parent + k, 0, 2 FROM p JOIN o USING (view_key) UNION ALL SELECT view_key, parent + k, child, 0, 2 FROM p JOIN o USING (view_key)""")
 def assemble_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = labelled(spark, sf_dir)
-    h = E.hierarchy(R.parents(v, "lab_fine", "lab_med"), F.lit(0).cast("long"), F.lit(1000).cast("long"), G.KEYS)
-    return E.assembled([(R.contacts(v, "lab_fine"), E.RAG), (h, E.HIERARCHY)], G.KEYS)
+    return E.assembled([(R.contacts(v, "lab_fine"), E.RAG), (_hierarchy(v), E.HIERARCHY)], G.KEYS)
 
 
 @query("SELECT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem UNION SELECT l_suppkey + 1000000, l_partkey FROM lineitem")
@@ -291,7 +319,8 @@ def edge_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).distinct()
 
 
-_SPARSE = "SELECT vec_id AS a, vec_id * 7 % (SELECT count(*) FROM embeddings) AS b FROM embeddings WHERE label < 4"
+#: Every vector is linked with the half of its number, if that is odd: chains that double.
+_SPARSE = "SELECT vec_id AS a, CASE WHEN vec_id // 2 % 2 = 1 THEN vec_id // 2 ELSE vec_id END AS b FROM embeddings"
 
 
 @query(f"WITH RECURSIVE e AS ({_SPARSE}), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM d UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b) SELECT a AS id, min(b) AS component FROM r GROUP BY 1")
@@ -300,8 +329,8 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.where("label < 4").crossJoin(e.agg(F.count("*").alias("n"))).select(F.col("vec_id").alias("a"), (F.col("vec_id") * 7 % F.col("n")).alias("b"))
+    i, half = F.col("vec_id"), F.expr("vec_id div 2")
+    return table(spark, sf_dir, "embeddings").select(i.alias("a"), F.when(half % 2 == 1, half).otherwise(i).alias("b"))
 
 
 @query(f"""WITH RECURSIVE {LAB}, {_faces('lab_med')}, n AS (SELECT view_key, count(DISTINCT lab_med) AS n FROM lab GROUP BY 1), e AS (SELECT view_key, count(*) AS e FROM rag GROUP BY 1),
@@ -460,8 +489,8 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS split, o_orderstatus AS reason, row_number() OVER (ORDER BY min(o_orderkey)) AS place FROM orders GROUP BY 1, 2")
 def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.col("o_orderstatus").alias("reason"), "o_orderkey")
-    distinct = rows.groupBy("split", "reason").agg(F.min("o_orderkey").alias("first"))
-    return distinct.select("split", "reason", F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))  # few rows: distinct reasons
+    once = M.distinct_failures(rows, "o_orderkey").withColumn("_at", F.monotonically_increasing_id())
+    return once.select("split", "reason", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))  # few rows: distinct reasons
 
 
 @query("SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS made FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE made IS NULL OR made < o_orderdate + INTERVAL 30 DAY")
@@ -498,6 +527,49 @@ def adversarial_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.adversarial(x, knn(spark, sf_dir, 3), ["f1", "f2"])).replace(-0.0, 0.0)
 
 
+def _refreshed_sql(steps: int, eps: float) -> str:
+    moved = _step_sql(steps, eps).replace("SELECT node, round(f1 * (s1 + 1e-6) + m1, 6) AS f1, round(f2 * (s2 + 1e-6) + m2, 6) AS f2", "SELECT node, f1 * (s1 + 1e-6) + m1 AS f1, f2 * (s2 + 1e-6) + m2 AS f2").removeprefix("WITH ")
+    head, _, tail = moved.rpartition(" SELECT node")
+    z = ", ".join(f"(f{c} - avg(f{c}) OVER ()) / (stddev_pop(f{c}) OVER () + 1e-6) AS f{c}" for c in (1, 2))
+    return f"WITH {head}, moved AS (SELECT node{tail}), again AS (SELECT node, {z} FROM moved) SELECT src, dst, round(sqrt((b.f1 - a.f1) ** 2 + (b.f2 - a.f2) ** 2), 5) AS fdist FROM knn JOIN again a ON a.node = src JOIN again b ON b.node = dst"
+
+
+@query(_refreshed_sql(3, 0.5))
+def adversarial_fdist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding")[0].cast("double").alias("f1"), F.col("embedding")[1].cast("double").alias("f2"))
+    e = knn(spark, sf_dir, 3)
+    pushed = E.adversarial(x, e, ["f1", "f2"]).select("node", F.array("f1", "f2").alias("features"))
+    return rounded(E.refreshed(e, pushed), 5)
+
+
+_DIMS, _COMPONENTS = 8, 64
+
+
+def _projection_sql() -> str:
+    rows = ", ".join(f"({i}, [{', '.join(f'{v!r}::DOUBLE' for v in d)}])" for i, d in enumerate(V.projection(_COMPONENTS, _DIMS)))
+    return f"WITH d(i, d) AS (VALUES {rows}) SELECT vec_id, string_agg(CAST(CAST(round(list_dot_product(CAST(embedding AS DOUBLE[]), d) * 1000000, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS micro FROM embeddings, d GROUP BY 1"
+
+
+@query(_projection_sql())
+def embedding_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given vectors along fixed orthonormal directions, in millionths."""
+    p = V.projected(table(spark, sf_dir, "embeddings"), "embedding", _DIMS, _COMPONENTS)
+    return p.select("vec_id", F.concat_ws(",", F.transform("projected", lambda v: F.round(v * 1000000).cast("long").cast("string"))).alias("micro"))
+
+
+@query(f"""WITH {REG}, c AS (SELECT view_key, scale, label, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM reg GROUP BY 1, 2, 3), g AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings)
+SELECT view_key, scale, label, round(v, 6) AS v FROM c LEFT JOIN g ON id = CAST(round_even(cz, 0) AS INT) * 16 + least(3, CAST(floor(cy * 4 / {SIDE}) AS INT)) * 4 + least(3, CAST(floor(cx * 4 / {SIDE}) AS INT))""")
+def embedding_at_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of 4 x 4 vectors over each slice, the same for each view, sampled where regions have their centroids."""
+    rows = sized(labelled(spark, sf_dir))
+    regions = R.regions(rows)
+    i = F.col("vec_id")
+    cells = table(spark, sf_dir, "embeddings").where(i < DEPTH * 16).select(F.expr("vec_id div 16").cast("int").alias("z"), F.expr("vec_id div 4 % 4").cast("int").alias("row"), (i % 4).cast("int").alias("col"), F.col("embedding").alias("vector"))
+    grid = rows.select("view_key", "z").distinct().join(cells, "z")
+    nodes = R.location(regions, KEY).withColumns({n: F.lit(k) for n, k in zip(R.SIZE, (DEPTH, SIDE, SIDE), strict=True)})
+    return V.at_centroids(nodes, grid, (4, 4)).select(*KEY, F.round(F.col("vector")[0].cast("double"), 6).alias("v"))
+
+
 @query("SELECT event_id, round(greatest(-65500, least(65500, value * 1000 - 100000)), 6) AS clipped FROM events")
 def fp16_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(L.half_clip(F.col("value") * 1000 - 100000), 6).alias("clipped"))

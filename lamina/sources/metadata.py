@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABEL_COLUMNS = ("PatientID", "StudyUID", "View")
@@ -13,7 +13,7 @@ PATH_ALIASES = {
     "PatientID": ("PatientID", "patient_id"),
     "StudyUID": ("StudyUID", "StudyInstanceUID", "study_uid"),
     "View": ("View",),
-    "path": ("descriptive_path", "path", "file_path", "filepath"),
+    "path": ("descriptive_path", "DescriptivePath", "path", "file_path", "filepath"),
 }
 
 
@@ -89,16 +89,36 @@ def largest(rows: DataFrame, group: str, member: str) -> DataFrame:
     return counts.groupBy(group).agg(F.min_by(member, F.struct(-F.col("n"), F.col(member))).alias(member), F.max("n").alias("n"))
 
 
-def candidates(root: str, patient: Column, path: Column) -> Column:
-    """The places where a source may be: an absolute path, or the path under three nestings of a root."""
-    nested = F.array(F.concat(F.lit(f"{root}/"), path), F.concat(F.lit(f"{root}/"), patient, F.lit("/"), path), F.concat(F.lit(f"{root}/"), patient, F.lit("/"), patient, F.lit("/"), path))
-    return F.when(path.startswith("/"), F.array(path)).otherwise(nested)
+#: The folder that a root may have above its patients, and the endings of files with pixels.
+DATASET_FOLDER = "Breast-Cancer-Screening-DBT"
+DICOM_ENDINGS = (".dcm", ".dicom", ".dcmdecoded", ".dicomdecoded")
 
 
-def first_existing(rows: DataFrame, places: str, files: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """key, source: of each row the first of its places that is a file (files: path)."""
-    each = rows.select(*key, F.posexplode(places).alias("at", "path"))
-    return each.join(files.select("path").distinct(), "path").groupBy(*key).agg(F.min_by("path", "at").alias("source"))
+def candidates(root: str, patient: Column, path: Column, folder: str = DATASET_FOLDER) -> Column:
+    """The places where a source may be, as a listing has them: an absolute path, or the path under a root, under its folder, or there
+    under its patient's."""
+    path, scheme = F.rtrim(path, F.lit("/")), root.split(":")[0] if ":" in root else "file"
+    nested = F.array(*[F.concat(F.lit(f"{root}/"), *parts) for parts in ((path,), (F.lit(f"{folder}/"), path), (F.lit(f"{folder}/"), patient, F.lit("/"), path))])
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.array(path)).when(path.startswith("/"), F.array(F.concat(F.lit(f"{scheme}:"), path))).otherwise(nested)
+
+
+def found_sources(rows: DataFrame, places: str, files: DataFrame, key: tuple[str, ...], endings: tuple[str, ...] = DICOM_ENDINGS) -> DataFrame:
+    """key, sources: of each row the files of the first of its places that is there: itself, or those of the largest series in a folder,
+    by name. Rows without any are left out.
+
+    files: path, and series if files of one folder may belong to several ones (null: to none, if others have one)."""
+    files = files if "series" in files.columns else files.withColumn("series", F.lit(None).cast("string"))
+    above = F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), i -> substring_index(path, '/', i))")
+    there = files.select("path").unionByName(files.select(F.explode(above).alias("path"))).distinct()
+    each = rows.select(*key, F.posexplode(places).alias("at", "path")).join(there, "path")
+    first = each.groupBy(*key).agg(F.min_by("path", "at").alias("path"))
+    fit = F.lower("path").rlike(f"({'|'.join(e.replace('.', '[.]') for e in endings)})$")
+    inside = files.withColumn("folder", F.expr("substring_index(path, '/', size(split(path, '/')) - 1)")).where(F.col("series").isNotNull() | fit)
+    named = inside.where("series IS NOT NULL").select("folder", "series")
+    chosen = inside.join(largest(named, "folder", "series").select("folder", F.col("series").alias("_largest")), "folder", "left").where("_largest IS NULL OR _largest = series")
+    lists = chosen.groupBy(F.col("folder").alias("path")).agg(F.array_sort(F.collect_list("path")).alias("sources"))
+    single = files.where(fit).select("path", F.array("path").alias("sources"))
+    return first.join(lists.unionByName(single), "path").select(*key, "sources")
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -114,15 +134,23 @@ def outdated(sources: DataFrame, outputs: DataFrame, key: tuple[str, ...], toler
     return newest.join(made, list(key), "left").where(old).select(*key)
 
 
-def distinct_failures(rows: DataFrame, order: Column) -> DataFrame:
-    """Each row once, in the order of its first occurrence."""
-    names = rows.columns
+def distinct_failures(rows: DataFrame, order: str) -> DataFrame:
+    """Each row (without the column it is ordered by) once, in the order of its first occurrence."""
+    names = [c for c in rows.columns if c != order]
     return rows.groupBy(*names).agg(F.min(order).alias("_first")).orderBy("_first").select(*names)
 
 
 def write_failures(rows: DataFrame, path: str) -> None:
-    """One tab-separated file with a header, also if there are no failures."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    """One tab-separated file with a header, also if there are no failures. The rows pass the driver one by one."""
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    with_ = to.getFileSystem(conf).create(to, True)
+    try:
+        for cells in ([rows.columns], rows.toLocalIterator()):
+            for row in cells:
+                with_.write(bytearray(("\t".join("" if c is None else " ".join(str(c).split()) for c in row) + "\n").encode()))
+    finally:
+        with_.close()
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
@@ -141,7 +169,9 @@ def union_ledgers(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def first_by(rows: DataFrame, key: tuple[str, ...], order: list[Column]) -> DataFrame:
-    """The first whole row of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def matched(views: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows before and after a filter by patients, and how many of the wanted patients have rows."""
+    kept = of_patients(views, wanted).select(F.trim("PatientID").alias("PatientID"))
+    before, after = views.agg(F.count("*").alias("rows_before")), kept.agg(F.count("*").alias("rows_after"), F.countDistinct("PatientID").alias("patients_matched"))
+    asked = wanted.agg(F.countDistinct("PatientID").alias("patients_requested"))
+    return before.join(after).join(asked)  # one row each

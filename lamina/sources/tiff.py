@@ -5,14 +5,16 @@ files(): each file is written whole under another name and then renamed, so a ta
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -100,22 +102,72 @@ def scaled(vol: np.ndarray) -> np.ndarray:
     return ((vol - lo) / (hi - lo)).astype(np.float32) if hi > lo else np.zeros_like(vol, np.float32)
 
 
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """The slices of several images, one after another, cut to the least height and width."""
+    slices = [s for p in parts for s in (p if p.ndim == 3 else p[None])]
+    h, w = min(s.shape[0] for s in slices), min(s.shape[1] for s in slices)
+    return np.stack([s[:h, :w] for s in slices])
+
+
+_BAD = (ValueError, KeyError, IndexError, OSError, struct.error, zlib.error)
+_SLICES = "view_key string, z int, h int, w int, px binary, reason string"
+
+
+def _as_rows(key: str, volume: Callable[[], np.ndarray]) -> pa.RecordBatch:
+    try:
+        vol = scaled(volume())
+        rows = [[key] * len(vol), list(range(len(vol))), [vol.shape[1]] * len(vol), [vol.shape[2]] * len(vol), [s.tobytes() for s in vol], [""] * len(vol)]
+    except _BAD as e:
+        rows = [[key], [None], [None], [None], [None], [f"conversion_error:{type(e).__name__}:{e}"]]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=[f.split()[0] for f in _SLICES.split(", ")])
+
+
 def slices_of(files: DataFrame, view: str = "path") -> DataFrame:
     """view_key, z, h, w, px, reason: the slices of each file of a binaryFile table (or any with path and content). A file that
     can't be read is a row with a reason and no pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["view_key", "z", "h", "w", "px", "reason"]
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    vol = scaled(oriented(decode(data.as_py())))
-                    rows = [[key] * len(vol), list(range(len(vol))), [vol.shape[1]] * len(vol), [vol.shape[2]] * len(vol), [s.tobytes() for s in vol], [""] * len(vol)]
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
-                    rows = [[key], [None], [None], [None], [None], [f"conversion_error:{type(e).__name__}:{e}"]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=names)
-
-    return files.select(view, "content").mapInArrow(run, "view_key string, z int, h int, w int, px binary, reason string")
+                yield _as_rows(key, lambda data=data: oriented(decode(data.as_py())))
+
+    return files.select(view, "content").mapInArrow(run, _SLICES)
+
+
+def slices_at(paths: DataFrame, view: str = "path") -> DataFrame:
+    """slices_of() the volumes at these paths, which the executors open themselves: a file, or a folder whose images, in the order of their
+    names, are one volume (those that can't be read are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key in b.column(0).to_pylist():
+                yield _as_rows(key, lambda key=key: _opened(key))
+
+    return paths.select(view).mapInArrow(run, _SLICES)
+
+
+def _opened(path: str) -> np.ndarray:
+    local = path.startswith(("file:", "/"))
+    fs, at = (pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else pa.fs.FileSystem.from_uri(path)
+
+    def read(name: str) -> np.ndarray:
+        with fs.open_input_file(name) as f:
+            return oriented(decode(f.read()))
+
+    info = fs.get_file_info(at)
+    if info.type == pa.fs.FileType.NotFound:
+        raise FileNotFoundError(at)
+    if info.type == pa.fs.FileType.File:
+        return read(at)
+    parts = []
+    for x in sorted(fs.get_file_info(pa.fs.FileSelector(at)), key=lambda x: x.base_name):
+        if x.type == pa.fs.FileType.File and x.base_name.lower().endswith((".tif", ".tiff")):
+            with contextlib.suppress(*_BAD):
+                parts.append(read(x.path))
+    if not parts:
+        raise ValueError("no image in the folder can be read")
+    return stacked(parts)
 
 
 def write_atomic(path: str, vol: np.ndarray, compression: str = "zlib", modified: float | None = None) -> None:

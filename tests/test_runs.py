@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
@@ -19,7 +21,7 @@ def breast(seed: int) -> np.ndarray:
 
 @pytest.fixture
 def small() -> dict:
-    over = {"spacing_mm": [1.0, 1.0, 1.0], "least_tissue": 20, "clahe_clip": 0.1, "slic": {"lin_scales_mm": [3.0, 5.0, 9.0], "K_min": [4, 3, 2], "K_max": [200, 60, 20]}, "knn": {"k_fine": 3, "k_med": 2}, "augmix": {"n": 1}, "diffusion": {"n": 1, "denoiser": "none"}}
+    over = {"spacing_mm": [1.0, 1.0, 1.0], "least_tissue": 20, "clahe_clip": 0.1, "slic": {"lin_scales_mm": [3.0, 5.0, 9.0], "K_min": [4, 3, 2], "K_max": [200, 60, 20]}, "knn": {"k_fine": 3, "k_med": 2}, "augmix": {"n_per_view": 1}, "diffusion": {"n_per_view": 1, "denoiser": "none"}}
     return C.overlaid(C.DEFAULTS, over)
 
 
@@ -40,6 +42,12 @@ def test_a_manifest_becomes_graphs_once(spark, tmp_path, small):
     assert {r.view_key for r in nodes.select("view_key").distinct().collect()} == clean
     assert edges.join(nodes.select("view_key", nodes.node.alias("src")), ["view_key", "src"], "left_anti").isEmpty()
     assert {r.variant for r in spark.read.parquet(f"{out}/adversarial").select("variant").distinct().collect()} == {f"P{i}__LCC__lbl{1 - i}__adversarial1" for i in range(2)}
+    summary = {r.view_key: r for r in spark.read.parquet(f"{out}/ledger").where("status = 'ok'").collect()}
+    one = summary["P0__LCC__lbl1__clean0"]
+    assert one.K_total == one.K_fine + one.K_med + one.K_coarse == nodes.where("view_key = 'P0__LCC__lbl1__clean0'").count() and one.used_embed == 0
+    assert one.E_edges == edges.where("view_key = 'P0__LCC__lbl1__clean0'").count() and one.features_per_node == 24
+    pushed, plain = spark.read.parquet(f"{out}/adversarial_edges"), edges.where("view_key LIKE '%clean0'")
+    assert pushed.count() == plain.count() and pushed.join(plain.withColumnRenamed("fdist", "before"), ["view_key", "src", "dst", "edge_type"]).where("abs(fdist - before) > 1e-6").count() > 0
     n = nodes.count()
     again = run.build(spark, manifest, out, small, wanted)
     assert again.where("status = 'skip_exists'").count() == len(clean) and spark.read.parquet(f"{out}/nodes").count() == n
@@ -57,7 +65,24 @@ def test_conversion_runs_once(spark, tmp_path):
     counts, _ = run.convert(spark, splits, str(tmp_path / "out"))
     assert tuple(counts.first())[1:] == (2, 0, 1, 1)
     with pytest.raises(ValueError, match="must differ"):
-        run.convert(spark, splits * 2, str(tmp_path / "out"))
+        run.convert(spark, [(name, *splits[0][1:]) for name in ("tr ain", "tr_ain")], str(tmp_path / "out"))
+    os.utime(tmp_path / "out/P1/P1_S1_LCC_lbl1.tif", (1, 1))
+    for smart, n in ((False, 0), (True, 1)):
+        counts, _ = run.convert(spark, [("tr ain", *splits[0][1:])], str(tmp_path / "out"), smart_update=smart)
+        assert (counts.first()["split"], counts.first().written) == ("tr_ain", n)
+
+
+def test_given_vectors_stand_beside_features(spark, tmp_path, small):
+    tiff.write_atomic(str(tmp_path / "0.tif"), breast(0))
+    manifest = spark.createDataFrame([("P0", "LCC", f"{tmp_path}/0.tif", "1")], "PatientID string, View string, Raw_path string, GraphLabel string")
+    for kind in ("augmix", "diffusion", "adversarial"):
+        small[kind]["n_per_view"] = 0
+    small["embed"]["dims"] = 3
+    vectors = spark.createDataFrame([("P0__LCC__lbl1__clean0", 0, i, [float(i), 1.0, 2.0, 0.5]) for i in range(5)], "view_key string, scale int, label long, vector array<double>")
+    for enabled, n in ((True, 27), (False, 24)):
+        small["embed"]["enabled"] = enabled
+        row = run.build(spark, manifest, str(tmp_path / f"out{n}"), small, vectors=vectors).first()
+        assert (row.status, row.features_per_node, row.used_embed) == ("ok", n, int(enabled))
 
 
 def test_commands(spark, tmp_path, capsys):
