@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model, trained on trusted text.
 
-The model's signs are the bytes of a text, after ORDER - 1 start signs; its longest grams have ORDER bytes. Counts of all trusted
-texts are summed in shards; continuation counts, totals of contexts and the interpolation from order to order are joins of these
+The model's signs are the bytes of a text, after ORDER - 1 start signs; its longest grams have ORDER signs. Counts of all trusted
+texts are summed in shards; continuation counts (of grams that begin with a start sign, which nothing else can precede, plain counts), totals of contexts and the interpolation from order to order are joins of these
 sharded tables, each on a gram or its context. One trusted document in ASIDE isn't learnt from but sets the limits: a document's
 perplexity is per byte, and it is kept if that is at most the QUANTILE of its language's documents set aside (of all of them, for
 languages without any).
@@ -34,20 +34,24 @@ MODEL_ROWS, BROADCAST_IDS = 6_000_000, 2_000_000
 GATHERED = 2_000_000
 
 
+#: Bits of a sign in a gram: 0 is the start sign, a byte is one more than itself.
+BITS = 9
+
+
 def _mask(k: int) -> int:
-    return (1 << 8 * k) - 1
+    return (1 << BITS * k) - 1
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The gram of ORDER bytes that ends at each byte of a block, as a number; start signs are 0."""
-    out = data.astype(np.int64)
+    """The gram of ORDER signs that ends at each byte of a block, as a number."""
+    out = data.astype(np.int64) + 1
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     whole = out.copy()
     for k in range(1, ORDER):
         before = np.zeros(len(data), np.int64)
         before[k:] = out[:-k]
         before[place < k] = 0
-        whole |= before << (8 * k)
+        whole |= before << (BITS * k)
     return whole
 
 
@@ -92,11 +96,13 @@ def train(trusted: DataFrame) -> DataFrame:
     counts = written(trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # in how many ways a gram goes on to the left
-        orders[k] = written(orders[k + 1].groupBy(F.expr(f"g & {_mask(k)}").alias("g")).agg(F.count("*").alias("c")), "grams")
+        left = orders[k + 1].select(F.expr(f"g & {_mask(k)}").alias("g"), "c").groupBy("g").agg(F.count("*").alias("ways"), F.sum("c").alias("times"))
+        begins = F.shiftright("g", BITS * (k - 1)) == 0
+        orders[k] = written(left.select("g", F.when(begins, F.col("times")).otherwise(F.col("ways")).alias("c")), "grams")
     lower: DataFrame | None = None
     out = []
     for k in range(1, ORDER + 1):
-        d = orders[k].withColumn("d", _discount(orders[k])).withColumn("h", F.shiftright("g", 8))
+        d = orders[k].withColumn("d", _discount(orders[k])).withColumn("h", F.shiftright("g", BITS))
         contexts = d.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("rest"))
         p = d.join(contexts, "h").withColumn("suffix", F.expr(f"g & {_mask(k - 1)}"))
         if lower is None:
@@ -124,7 +130,7 @@ class Model:
         out, hit = self.tables["p", k].get(g)
         if not hit.all():
             miss, back = np.unique(g[~hit], return_inverse=True)
-            rest, _ = self.tables["b", k].get(miss >> 8)
+            rest, _ = self.tables["b", k].get(miss >> BITS)
             out[~hit] = (rest + self.ln(miss & _mask(k - 1), k - 1))[back]
         return out
 
@@ -169,7 +175,7 @@ def _joined(docs: DataFrame, model: DataFrame, keep: tuple[str, ...]) -> DataFra
         b = model.where(f"kind = 'b' AND k = {k}").select(F.col("g").alias("h"), F.col("v").alias("b"))
         tried = left.join(p, "g", "left")
         done.append(tried.where("p IS NOT NULL").select("_key", (F.col("n") * (F.col("ln") + F.col("p"))).alias("x")))
-        missed = tried.where("p IS NULL").withColumn("h", F.shiftright("g", 8)).join(b, "h", "left")
+        missed = tried.where("p IS NULL").withColumn("h", F.shiftright("g", BITS)).join(b, "h", "left")
         left = missed.select("_key", F.expr(f"g & {_mask(k - 1)}").alias("g"), "n", (F.col("ln") + F.coalesce("b", F.lit(0.0))).alias("ln"))
     done.append(left.select("_key", (F.col("n") * (F.col("ln") - float(np.log(SIGNS)))).alias("x")))
     whole = done[0]

@@ -1,6 +1,7 @@
 """Licence scans: parts of texts are compared with licence templates by the Dice coefficient over their word bigrams.
 
-The parts of a text are its lines, its paragraphs and the whole of it. Both sides are normalised: ASCII letters are lower-cased
+The parts of a text are its lines, its sentences, its paragraphs (between lines without a letter or digit, so that of a comment they are
+found, too) and the whole of it. Both sides are normalised: ASCII letters are lower-cased
 and all but ASCII letters and digits separates words. For sets of bigrams A and B, Dice is 2 |A & B| / (|A| + |B|), so a template
 of size s can reach t only with parts of sizes from s t / (2 - t) to s (2 - t) / t. The admissible (size, template) rows are a
 small fixed table, and an equi-join on the size prunes the candidates before any bigram is compared. Before that, parts without any of a few words, of which each match needs one, are left out.
@@ -100,12 +101,16 @@ def signals(threshold: float = THRESHOLD) -> list[str]:
         chosen.append(min(gains, key=lambda w: (-min(len(w), 7), -gains[w], w)))  # long words are rare in other texts
 
 
-def parts(docs: DataFrame) -> DataFrame:
-    """doc_id, bigrams: the distinct bigrams of each part that has some."""
+#: What stands between paragraphs and between sentences.
+_PARAGRAPH, _SENTENCE = r"\n[^A-Za-z0-9\n]*\n", r"[.!?][ \t\r\n\f\x0B]+"
+
+
+def parts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, bigrams: the distinct bigrams of each part that has some and may reach the threshold."""
     text = F.col("text").cast("string")
-    signal = " OR ".join(f"contains(lower({{0}}), '{w}')" for w in signals())
+    signal = " OR ".join(f"contains(lower({{0}}), '{w}')" for w in signals(threshold))
     likely = docs.where(F.expr(signal.format("CAST(text AS STRING)")))
-    units = likely.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(text), F.split(text, "\n\\s*\n"), F.split(text, "\n")))).alias("part")).where(F.expr(signal.format("part")))
+    units = likely.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(text), *[F.split(text, by) for by in (_PARAGRAPH, _SENTENCE, "\n")]))).alias("part")).where(F.expr(signal.format("part")))
     words = "split(trim(BOTH ' ' FROM lower(regexp_replace(part, '[^A-Za-z0-9]+', ' '))), ' ')"
     # The words are bound to a variable first: written out in the inner function they would be split anew for each bigram.
     pairs = f"transform(array({words}), w -> array_distinct(transform(sequence(0, greatest(size(w) - 2, 0)), i -> concat(w[i], ' ', get(w, i + 1)))))[0]"
@@ -117,7 +122,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     rows = [(size, name, grams) for name, t in TEMPLATES for grams in [template_bigrams(t)] for size in size_bounds(len(grams), threshold)]
     admissible = spark.createDataFrame(rows, "size int, licence string, template array<string>")
-    sized = parts(docs).withColumn("size", F.size("bigrams"))
+    sized = parts(docs, threshold).withColumn("size", F.size("bigrams"))
     dice = F.expr("2D * size(array_intersect(bigrams, template)) / (size + size(template))")
     best = F.expr("min_by(struct(licence, dice), struct(-dice, licence))")
     likely = sized.join(F.broadcast(admissible), "size").withColumn("dice", dice).where(F.col("dice") >= threshold)
@@ -133,7 +138,7 @@ def _sql() -> str:
     values = ", ".join(f"('{name}', [{', '.join(chr(39) + g + chr(39) for g in template_bigrams(t))}])" for name, t in TEMPLATES)
     return rf"""
 WITH t(licence, template) AS (VALUES {values}),
-u AS (SELECT DISTINCT doc_id, unnest(list_concat([text], string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r\n\f\x0B]*\n'))) AS part FROM documents WHERE text IS NOT NULL),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat([text], string_split(text, chr(10)), regexp_split_to_array(text, '{_PARAGRAPH}'), regexp_split_to_array(text, '{_SENTENCE}'))) AS part FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, regexp_extract_all(translate(part, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') AS w FROM u),
 b AS (SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w WHERE len(w) > 1),
 d AS (SELECT doc_id, g, licence, 2.0::DOUBLE * len(list_intersect(g, template)) / (len(g) + len(template)) AS dice FROM b JOIN t ON len(g) BETWEEN ceil(len(template) * {THRESHOLD / (2 - THRESHOLD)} - 1e-9) AND floor(len(template) * {(2 - THRESHOLD) / THRESHOLD} + 1e-9)),

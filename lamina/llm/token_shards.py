@@ -9,7 +9,7 @@ the input is partitioned, and a task that is repeated writes the same bytes.
 A record is doc_id (8 bytes), place (4), number of ids (4) and LENGTH ids of 2 bytes, padded; all little-endian. Slot s of a
 shard that starts at slot b is at byte (s - b) * STRIDE, so a reader can go on anywhere.
 
-Defined cases: a null or empty text has no sequence; a null doc_id counts as one more than the largest, and is stored as -1;
+Defined cases: a null or empty text has no sequence; a null doc_id counts as one more than the largest, and is stored so;
 rows that share a doc_id follow each other, in the order of their ids; an empty table gives an empty result; other
 columns are not read.
 """
@@ -26,7 +26,7 @@ import pyarrow.fs
 import public_tokenizers
 import tiktoken
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import VOCABULARY, read_ranks
@@ -78,6 +78,7 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
     spark = docs.sparkSession
     lo, hi, most, total = _size(docs)
     size = (hi - lo + 2) * most
+    none = hi + 1 if hi < 2**63 - 1 else lo - 1  # no document has it
     shards = max(1, -(-total // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
                     continue
                 rows = np.zeros(n, _SENT)
                 r = rows["record"]
-                r["doc_id"], r["place"], r["n"] = -1 if d is None else d, np.arange(n), LENGTH
+                r["doc_id"], r["place"], r["n"] = none if d is None else d, np.arange(n), LENGTH
                 r["n"][-1] = len(ids) - LENGTH * (n - 1)
                 flat = np.full(n * LENGTH, pad, np.uint16)
                 flat[: len(ids)] = ids
@@ -136,19 +137,16 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
             r = r[order]
             store(folder, shard_name(shard), np.ascontiguousarray(r).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_id"], mask=r["doc_id"] == -1 if lo > -1 else None), pa.array(r["place"].astype(np.int64)), pa.array(r["n"].astype(np.int64)), pa.array(np.full(len(r), shard, np.int32)), pa.array(np.arange(len(r), dtype=np.int64))],
+                [pa.array(r["doc_id"], mask=r["doc_id"] == none), pa.array(r["place"].astype(np.int64)), pa.array(r["n"].astype(np.int64)), pa.array(np.full(len(r), shard, np.int32)), pa.array(np.arange(len(r), dtype=np.int64))],
                 names=["doc_id", "place", "n_tokens", "shard", "rank"],
             )
 
     sent = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, "shard int, blob binary")
     ledger = written(sent.repartitionById(shards, F.col("shard")).mapInArrow(write, "doc_id long, place long, n_tokens long, shard int, rank long"), "ledger")
-    counts = {r.shard: r.n for r in ledger.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
-    firsts, first = [], 0
-    for s in range(shards):
-        firsts.append((s, first))
-        first += counts.get(s, 0)
-    base = spark.createDataFrame(firsts, "shard int, first long")
-    return ledger.join(F.broadcast(base), "shard").select("doc_id", "place", "n_tokens", (F.col("first") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * STRIDE).alias("offset"))
+    counts = ledger.groupBy("shard").agg(F.count("*").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    base = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return ledger.join(base, "shard").select("doc_id", "place", "n_tokens", (F.col("first") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * STRIDE).alias("offset"))
 
 
 def _tie(ids: np.ndarray) -> np.ndarray:

@@ -4,11 +4,12 @@ Texts are lower-cased (ASCII) and seen as bytes, white space being one sign. Fea
 occur in a text. For each, the ratio r = log((a + n1) / (a + N1)) - log((a + n0) / (a + N0)) of its document counts in toxic and
 other texts scales its value; the FEATURES with the strongest association (chi squared) get weights by logistic regression.
 
-The classifier is fitted on at most TRAIN_ROWS labelled rows, those with the least hash of their doc_id; scoring reads
-every whole text and moves no data but the model, which has at most FEATURES weights.
+The classifier is fitted on at most TRAIN_ROWS labelled documents, those with the least hash of their doc_id; scoring reads
+every whole text and moves no data but the model, which has at most FEATURES weights. More features fit the sample and not the rest: see the
+README's figures.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; rows whose label or doc_id is null
-don't teach; several labels of one doc_id count as toxic if one does; without labels of both kinds every score is the smoothed
+don't teach, nor do labels without a document; several labels of one doc_id count as toxic if one does; of several texts of one doc_id the least one teaches; without labels of both kinds every score is the smoothed
 share of toxic rows; an empty table gives an empty result; other columns are not read.
 """
 
@@ -110,12 +111,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps: i
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_features: int = FEATURES) -> Model:
-    """labels: doc_id, toxic. Only the rows of docs with a label are read further than their ids."""
+    """labels: doc_id, toxic. Only the rows of docs with a label are read further than their ids, and each document teaches once."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("CAST(toxic AS INT)")).alias("toxic"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     few = spark.createDataFrame([(r.doc_id, int(r.toxic > 0)) for r in rows], "doc_id long, toxic int")
-    taught = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    taught = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")  # few has max_rows rows at most
+    taught = taught.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int32)

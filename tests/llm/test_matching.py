@@ -104,3 +104,39 @@ def test_licences_in_lines_paragraphs_and_texts(spark, docs, empty):
     got = {(r.doc_id, r.licence) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "GPL-3.0")} <= got and not {i for i, _ in got} & {5, 6, 7, 8}
     assert L.scan(empty).count() == L.scan(docs).count() == 0
+
+
+def dice_by_brute_force(rows, threshold):
+    import re
+
+    out = set()
+    for i, t in rows:
+        for part in [t, *t.split("\n"), *re.split(r"\n[^A-Za-z0-9\n]*\n", t), *re.split(r"[.!?]\s+", t)]:
+            a = set(L.template_bigrams(part))
+            found = sorted((-2 * len(a & set(b)) / (len(a) + len(b)), name) for name, x in L.TEMPLATES for b in [L.template_bigrams(x)] if a)
+            if found and -found[0][0] >= threshold:
+                out.add((i, found[0][1]))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8])
+def test_licences_by_brute_force(spark, threshold):
+    """Other thresholds, sentences, notices in comments, and parts that are equally like two templates."""
+    gpl = next(t for n, t in L.TEMPLATES if n == "GPL-3.0")
+    rows = [
+        (1, "Released under the MIT License. See the LICENSE file for details."), (2, "This project is released under the MIT License, see LICENSE."),
+        (3, "# " + gpl.replace("\n", "\n# ") + "\n#\n# You should have received a copy.\nimport os"), (4, "Released under the License."), (5, "Some words. Distributed under the ISC License! More words"),
+        (6, "a text that has nothing to do with it"), (7, "provided that the following conditions are met"),
+    ]
+    got = {(r.doc_id, r.licence) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    assert got == dice_by_brute_force(rows, threshold) and (1, "MIT") in got and (3, "GPL-3.0") in got
+
+
+def test_decontamination_query_answers_repeated_items_and_rows(spark, table_dir):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item), (2, item), (2, item)], "item_id long, text string")
+    long = "x " * 600_000 + item + " y" * 10  # over BLOCK_BYTES
+    table = spark.createDataFrame([(5, f"a {item} b"), (5, f"a {item} b"), (6, "nothing"), (None, item), (7, long)], "doc_id long, text string")
+    rows = D.op1_decontamination(spark, table_dir(documents=table, benchmark=bench)).collect()
+    assert sorted((str(r.doc_id), r.item_id) for r in rows) == sorted([("5", 1), ("5", 2), ("5", 2)] * 2 + [("None", 1), ("None", 2), ("None", 2), ("7", 1), ("7", 2), ("7", 2)])
+    assert [(r.start, r.end) for r in rows if r.doc_id == 7][0] == (1_200_000, 1_200_000 + len(item))

@@ -51,6 +51,38 @@ def test_toxicity_without_labels_is_the_prior(labelled):
         assert len(scores) == 1 and scores.pop() <= 0.5
 
 
+def test_toxicity_learns_from_labelled_documents_only(spark, labelled):
+    """Labels without documents don't count for the bound or the prior, and rows that repeat teach once."""
+    docs, labels = labelled
+    few = labels.where("doc_id < 200").union(spark.createDataFrame([(i, 0, 1) for i in range(5000, 9000)], labels.schema))
+    one, two = (X.train(d, l, 210) for d, l in ((docs, labels.where("doc_id < 200")), (docs.union(docs.where("doc_id < 50")), few)))
+    assert len(one.grams) and (one.grams == two.grams).all() and one.weights == pytest.approx(two.weights) and one.intercept == pytest.approx(two.intercept)
+
+
+def test_toxicity_query_by_brute_force(spark, labelled, table_dir):
+    """Each score from the features of the whole text, by sets; a third of the ids is held out, and the verdict is the score's."""
+    docs, labels = labelled
+    folder = table_dir(documents=docs.union(docs.where("doc_id < 9")), labels=labels)
+    rows = X.op2_toxicity(spark, folder).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    taught = spark.createDataFrame([r for r in labels.collect() if not held(r.doc_id)], labels.schema)
+    m = X.train(docs, taught)
+    weight = dict(zip(m.grams.tolist(), m.weights.tolist(), strict=True))
+
+    def score(text):
+        s = bytes(32 if b in (9, 10, 11, 12, 13, 32) else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        grams = set()
+        for n in X.ORDERS:
+            for i in range(len(s) - n + 1):
+                h = sum(int(X._TABLES[k][s[i + k]]) for k in range(n)) & 0xFFFFFFFF
+                grams.add(((h ^ h >> 15) * (0x9E3779B1 + 2 * n) & 0xFFFFFFFF) >> (32 - X.BITS))
+        return 1 / (1 + math.exp(-(sum(weight.get(g, 0.0) for g in grams) + m.intercept)))
+
+    want = sorted((str(r.doc_id), held(r.doc_id), round(score(r.text), 6)) for r in docs.union(docs.where("doc_id < 9")).collect())
+    assert sorted((str(r.doc_id), r.held_out, round(r.score, 6)) for r in rows) == want
+    assert all(r.predicted == (r.score >= 0.3) for r in rows) and {r.predicted for r in rows} == {0, 1}
+
+
 def test_features_are_those_of_each_text():
     import pyarrow as pa
 
@@ -69,13 +101,16 @@ def test_features_are_those_of_each_text():
 
 
 def kneser_ney(texts, order):
-    """The model by the book, with dictionaries."""
+    """The model by the book, with dictionaries; -1 is the start sign."""
     counts = [collections.Counter() for _ in range(order + 1)]
     for t in texts:
-        b = b"\0" * (order - 1) + t.encode()
+        b = (-1,) * (order - 1) + tuple(t.encode())
         counts[order].update(b[i : i + order] for i in range(len(t.encode())))
     for k in range(order - 1, 0, -1):
         counts[k].update(g[1:] for g in counts[k + 1])
+        for g in counts[k]:
+            if g[0] == -1:
+                counts[k][g] = sum(c for h, c in counts[k + 1].items() if h[1:] == g)
     discount = [None]
     for k in range(1, order + 1):
         n = collections.Counter(counts[k].values())
@@ -105,13 +140,14 @@ def kneser_ney(texts, order):
 
 def test_kneser_ney_by_the_book(spark, labelled):
     docs, _ = labelled
-    taught = [r.text for r in docs.where("doc_id < 100").collect()]
-    model = K.train(docs.where("doc_id < 100"))
+    own = docs.where("doc_id < 100").select("text").union(spark.createDataFrame([("\0\0kato",), ("ri\0",)], "text string"))
+    taught = [r.text for r in own.collect()]
+    model = K.train(own)
     p = kneser_ney(taught, K.ORDER)
     probe = docs.where("doc_id > 290 OR doc_id IS NULL")
     for most in (K.MODEL_ROWS, 0):  # the table sent whole, and joined
         for r in K.perplexity(probe.select("doc_id", "text"), model, ("doc_id", "text"), most).collect():
-            b = b"\0" * (K.ORDER - 1) + (r.text or "").encode()
+            b = (-1,) * (K.ORDER - 1) + tuple((r.text or "").encode())
             want = sum(math.log(p(b[i : i + K.ORDER])) for i in range(len(b) - K.ORDER + 1))
             assert r.n_bytes == len((r.text or "").encode()) and r.ln_p == pytest.approx(want, rel=1e-4, abs=1e-4)
 
@@ -126,6 +162,16 @@ def test_quality_keeps_clean_text_and_drops_junk(labelled, empty):
     assert K.judged(empty, labels).count() == 0
 
 
+def test_quality_query(labelled, table_dir, spark):
+    """On whole tables with a repeated row; the limit is a quantile of the trusted documents set aside."""
+    docs, labels = labelled
+    rows = K.op4_quality_classifier(spark, table_dir(documents=docs.union(docs.where("doc_id = 7")), labels=labels)).collect()
+    assert len(rows) == docs.count() + 1 and len([r for r in rows if r.doc_id == 7]) == 2
+    assert all(r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) for r in rows)
+    aside = sorted(r.perplexity for r in rows if r.doc_id is not None and r.doc_id < 300 and r.lang == "en" and zlib.crc32(str(r.doc_id).encode()) % K.ASIDE == 0)
+    assert {r.threshold for r in rows if r.lang == "en"} == {aside[math.ceil(K.QUANTILE * len(aside)) - 1]}
+
+
 def base_by_brute_force(docs):
     lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     rows = [(r.doc_id, [*re.findall(WORD, (r.text or "").translate(lower)), None]) for r in docs.collect()]

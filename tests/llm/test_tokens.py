@@ -54,7 +54,8 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, shard_bytes):
     rows = sorted(ledger.collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
     records = list(T.read(folder, ledger))
-    assert [(None if r["doc_id"] == -1 else int(r["doc_id"]), int(r["place"]), int(r["n"])) for r in records] == [(r.doc_id, r.place, r.n_tokens) for r in rows]
+    none = max(r.doc_id or 0 for r in rows) + 1
+    assert [(None if r["doc_id"] == none else int(r["doc_id"]), int(r["place"]), int(r["n"])) for r in records] == [(r.doc_id, r.place, r.n_tokens) for r in rows]
     assert [x.tobytes() for x in T.read(folder, ledger, 5)] == [x.tobytes() for x in records[5:]]
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.place, records[r.slot]["ids"][: r.n_tokens].tolist()) for r in rows)
     want = []
@@ -78,3 +79,32 @@ def test_huge_ids_are_hashed(spark):
 def test_pretokens_cover_the_text():
     text = "It's  all\n\n here, 123!"
     assert "".join(CODEC.split(text)) == text and re.match("It", text)
+
+
+def test_null_and_negative_ids_are_told_apart(spark):
+    df = spark.createDataFrame([(-1, "a b"), (None, "c d"), (-2, "e")], "doc_id long, text string")
+    rows = T.materialise(df, store.new_path(spark, "test-shards")).collect()
+    assert sorted((str(r.doc_id), r.slot < 3) for r in rows) == [("-1", True), ("-2", True), ("None", True)]
+
+
+def test_queries_on_whole_tables(spark, table_dir, docs):
+    """op3 lists every sequence once; op9's hashes are of the library's ids and of the text."""
+    import hashlib
+
+    folder = table_dir(documents=docs)
+    want = []
+    for d in docs.collect():
+        text = d.text or ""
+        ids = np.array(REFERENCE.encode_ordinary(text), "<u4").tobytes()
+        want.append((str(d.doc_id), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in B.op9_byte_bpe(spark, folder).collect()) == sorted(want)
+    rows = T.op3_token_shards(spark, folder).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    places = sorted((i, k) for i, n, *_ in want for k in range(-(-n // T.LENGTH)))
+    assert sorted((str(r.doc_id), r.place) for r in rows) == places
+
+
+def test_a_text_over_a_block_is_encoded_whole(spark):
+    text = "word and more. " * 90_000  # over BLOCK_BYTES
+    r = B.stage(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), "").first()
+    assert r.n_tokens == len(REFERENCE.encode_ordinary(text))
