@@ -80,14 +80,19 @@ def sized(voxels: DataFrame) -> DataFrame:
     return voxels.join(voxels.groupBy("view_key").agg(*[(F.max(a) + 1).cast("int").alias(f"n{a}") for a in "zyx"]), "view_key")
 
 
+def by_slice(voxels: DataFrame, keys: tuple[str, ...] = VIEW) -> DataFrame:
+    """voxels, dealt by slices: windows along y and along x need no further shuffle then, and only the one along z does."""
+    return voxels.repartition(*keys, "z")
+
+
 def gradient(voxels: DataFrame, value: str = "q", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), out: str = "gradient") -> DataFrame:
     """The size of the gradient over the whole volume, in which a place without a voxel is 0: central differences, one-sided at the
     volume's first and last place along an axis, 0 along an axis of one place.
 """
     had = voxels.columns
-    v = sized(voxels)
+    v = by_slice(sized(voxels))
     total: Column | None = None
-    for axis, step in zip("zyx", spacing, strict=True):
+    for axis, step in zip("yxz", (spacing[1], spacing[2], spacing[0]), strict=True):
         w = Window.partitionBy("view_key", *[a for a in "zyx" if a != axis]).orderBy(axis)
         at, n = F.col(axis), F.col(f"n{axis}")
         after = F.when(F.lead(axis).over(w) == at + 1, F.lead(value).over(w)).when(at + 1 < n, 0.0)
@@ -169,7 +174,8 @@ def otsu(df: DataFrame, level: Column, keys: tuple[str, ...], out: str = "thresh
 def contacts(voxels: DataFrame, label: str, keys: tuple[str, ...] = VIEW) -> DataFrame:
     """Regions that touch (6 neighbours), both ways: src, dst, contact (touching faces). Each face is counted by its lower voxel."""
     label_ = F.col(label).cast("long")
-    for axis in "zyx":
+    voxels = by_slice(voxels.select(*keys, *"zyx", label), keys)
+    for axis in "yxz":
         w = Window.partitionBy(*keys, *[a for a in "zyx" if a != axis]).orderBy(axis)
         voxels = voxels.withColumn(f"_n{axis}", F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(label).over(w)).cast("long"))
     faces = voxels.select(*keys, label_.alias("a"), F.explode(F.array(*[f"_n{a}" for a in "zyx"])).alias("b")).where("a <> b")
