@@ -408,11 +408,14 @@ def classes(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = _joined_up(found, more)
     label = F.coalesce("component", "node")
-    if several:
-        least = thin.join(found, thin["node"] == found["id"], "left").groupBy(label.alias("component")).agg(F.min("doc_id").alias("least"))
-        found = written(thin.select("node").where("node IS NOT NULL").distinct().join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", label).join(least, "component").select(F.col("node").alias("id"), F.col("least").alias("component")), "components")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") > 0, label).otherwise(F.col("doc_id"))
-    done = thin.drop("id").join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    found = found.withColumnRenamed("id", "node")
+    at = thin.drop("id").join(found, "node", "left").withColumn("component", label)
+    if several:  # all rows of a document, also those without words, are where its texts are
+        least = at.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+        own = at.join(least, "component").groupBy("doc_id").agg(F.min("least").alias("component"))
+        at = at.drop("component").join(own, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    done = at.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

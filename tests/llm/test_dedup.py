@@ -153,7 +153,7 @@ def test_near_dedup_recall_of_borderline_pairs(spark):
     rows = [(i, " ".join(t)) for i, t in rows]
     got = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = near_by_brute_force(rows)
-    assert 60 < sum(not kept for *_, kept in want) < 200
+    assert 40 < sum(not kept for *_, kept in want) < 200
     assert sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got), key=str) == want
 
 
@@ -225,3 +225,22 @@ def test_rules_policies_and_ablation(spark, docs, empty):
     out = Q.stage(spark, docs, "")
     assert out.schema.simpleString() == docs.schema.simpleString()
     assert out.count() == sum(r.failed_bits & Q.mask(Q.POLICIES[Q.CURRENT]) == 0 for r in rows) > 0
+
+
+def test_texts_over_a_block_are_handled_whole(spark):
+    """A text over BLOCK_BYTES, a near copy of it, and one that repeats a passage from its end."""
+    import random
+
+    from lamina.llm.text import BLOCK_BYTES
+
+    r = random.Random(13)
+    w = [f"w{r.randint(0, 10**6)}" for _ in range(160_000)]
+    assert len(" ".join(w)) > BLOCK_BYTES
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "other"])), (3, " ".join(["x", *w[-120:-20], "y"])), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in N.classes(docs).collect()), key=str)
+    assert got == near_by_brute_force(rows) and got[1][2] == 1
+    gone = S.remove(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("h")).collect()
+    assert sorted(map(tuple, gone), key=str) == substrings_by_brute_force(rows, S.LENGTH)
+    book = {x.doc_id: (x.n_words, x.n_repeat_words) for x in Q.ledger(docs).collect()}
+    assert book[1] == (160_000, 0) and book[4] == (2, 0)
