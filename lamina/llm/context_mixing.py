@@ -40,7 +40,7 @@ ORDERS, REACH = (2, 3, 4, 5), 7
 #: Slots of the tables of ORDERS, and of the word so far, as powers of two.
 SLOTS = (18, 20, 21, 21, 21)
 #: Bytes of text in a block, for each range of hashes, and for each task that counts.
-BLOCK, RANGE, TALLY = 6 << 20, 32 << 20, 40 << 20
+BLOCK, RANGE, TALLY = 5 << 20, 32 << 20, 40 << 20
 #: Words of a run that may be followed, and one run in so many that is looked up.
 SEED, EVERY = 6, 16
 #: Different bytes that are predicted at once.
@@ -213,7 +213,8 @@ class Bytes:
             order[part] = k
         order.sort()
         order &= low
-        self._order = order.view(np.int64)
+        self._order = order.astype(np.int32)
+        del order
         key = key[self._order]
         self._new = np.append(True, key[1:] != key[:-1])
         if run is not None:
@@ -819,7 +820,8 @@ def _streams(batches: Iterator[pa.RecordBatch], taught: bool = False) -> Iterato
             yield row, body, told, offsets
 
 
-_CHUNK = 1 << 16
+#: Slots whose counts go together.
+_CHUNK = 1 << 14
 
 
 def learn(streams: DataFrame, size: int) -> Mixer:
