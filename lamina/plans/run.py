@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from typing import Any
 
 import numpy as np
@@ -147,12 +148,16 @@ def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str,
     ledger = rows.where("problem <> ''").select(F.concat_ws("__", "PatientID", "View").alias("view_key"), F.concat(F.lit("reject:"), "problem").alias("status"))
     ledger = ledger.unionByName(skipped.select(F.col("name").alias("view_key"), F.lit("skip_exists").alias("status")))
     if not plan.isEmpty():
+        clock = [time.monotonic()]
         slices = written(slices_at(plan.select("path").distinct().repartition(F.xxhash64("path"))), "slices")
+        clock.append(time.monotonic())
         bad = slices.where("reason <> ''").select(F.col("view_key").alias("path"), "reason").join(plan, "path").select(F.col("name").alias("view_key"), F.col("reason").alias("status"))
         base = plan.where("aug_kind <> 'adversarial'")
         voxels = written(labelled_voxels(slices.where("reason = ''"), base, config), "voxels")
+        clock.append(time.monotonic())
         nodes, attributes, verdict = graphs.built(voxels, config, vectors)
         verdict = written(verdict, "verdicts")
+        clock.append(time.monotonic())
         ok = verdict.where("status = 'ok'")
         keep = ok.select("view_key")
         attributes = attributes.join(keep, "view_key", "left_semi")
@@ -166,7 +171,9 @@ def build(spark: SparkSession, manifest: DataFrame, out: str, config: dict[str,
             pushed.write.mode("append").parquet(f"{out}/adversarial_edges")
         about = plan.select(F.col("name").alias("view_key"), "PatientID", "View", "label", "aug_kind", "aug_idx", "seed", F.lit(json.dumps(config)).alias("config"))
         ok.join(about, "view_key").write.mode("append").parquet(f"{out}/graphs")
-        ledger = M.union_ledgers(ledger, bad, verdict)
+        clock.append(time.monotonic())
+        took = {f"t_{what}": F.lit(round(b - a, 3)) for what, a, b in zip(("load", "segment", "graph", "save"), clock, clock[1:], strict=False)}
+        ledger = M.union_ledgers(ledger, bad, verdict.withColumns(took))  # seconds of the whole job's steps
     M.append_ledger(written(ledger, "ledger"), f"{out}/ledger")
     return M.read_ledger(spark, f"{out}/ledger")
 

@@ -222,7 +222,16 @@ def slic_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.supervoxels(voxels(spark, sf_dir), 60, iterations=1).drop("q")
 
 
-@query()
+def _slic_sql(iterations: int) -> str:
+    """All updates, one after another; tables are named by their step."""
+    steps, now = "", "c"
+    for i in range(iterations):
+        steps += f", {_assign(now, _NEAR, f'a{i}').replace(' AS (', ' AS MATERIALIZED (', 1)}, {_UPDATE.replace('u AS (', f'u{i} AS MATERIALIZED (', 1).replace('FROM c LEFT JOIN a ON', f'FROM {now} c LEFT JOIN a{i} a ON')}"
+        now = f"u{i}"
+    return f"WITH {VOX}, {_GRID}{steps}, {_assign(now, _NEAR, 'last')}, d AS (SELECT view_key, q, dense_rank() OVER (PARTITION BY view_key ORDER BY k) - 1 AS dense FROM last) SELECT view_key, CAST(dense AS INT) AS dense, count(*) AS n_voxels, round(avg(q), 6) AS mean_q FROM d GROUP BY 1, 2"
+
+
+@query(_slic_sql(8))
 def slic_supervoxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_labels(S.supervoxels(voxels(spark, sf_dir), 60), "k").groupBy("view_key", "dense").agg(F.count("*").alias("n_voxels"), F.round(F.avg("q"), 6).alias("mean_q"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -21,4 +22,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "lamina").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(f.name)
+    atexit.register(lambda: Path(f.name).unlink(missing_ok=True))  # executors fetch it from here as long as the session lives
     _shipped.add(spark.sparkContext.applicationId)

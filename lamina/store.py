@@ -12,10 +12,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this process."""
+    """spark.checkpoint.dir; where it is unset and all tasks run in this process, as in tests, a folder of its own."""
     sc = spark.sparkContext
     set_ = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_ = "file://" + tempfile.mkdtemp(prefix="lamina-")
         sc.setCheckpointDir(set_)
     return set_.rstrip("/")

@@ -46,6 +46,7 @@ def test_a_manifest_becomes_graphs_once(spark, tmp_path, small):
     one = summary["P0__LCC__lbl1__clean0"]
     assert one.K_total == one.K_fine + one.K_med + one.K_coarse == nodes.where("view_key = 'P0__LCC__lbl1__clean0'").count() and one.used_embed == 0
     assert one.E_edges == edges.where("view_key = 'P0__LCC__lbl1__clean0'").count() and one.features_per_node == 24
+    assert min(one.t_load, one.t_segment, one.t_graph, one.t_save) >= 0
     pushed, plain = spark.read.parquet(f"{out}/adversarial_edges"), edges.where("view_key LIKE '%clean0'")
     assert pushed.count() == plain.count() and pushed.join(plain.withColumnRenamed("fdist", "before"), ["view_key", "src", "dst", "edge_type"]).where("abs(fdist - before) > 1e-6").count() > 0
     n = nodes.count()
