@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .store import documents, drop, new_path, written
 from .text import Words, blocks, column, grams_by_doc, release
 
-ORDERS, REACH = (2, 3, 4, 5), 7
+ORDERS, REACH = (2, 4, 5), 7
 #: Slots of the tables of ORDERS, and of the word so far, as powers of two.
-SLOTS = (18, 20, 21, 21, 21)
+SLOTS = (18, 21, 21, 21)
 #: Bytes of text in a block, for each range of hashes, and for each task that counts.
-BLOCK, RANGE, TALLY = 5 << 20, 32 << 20, 40 << 20
+BLOCK, RANGE, TALLY = 6 << 20, 32 << 20, 40 << 20
 #: Words of a run that may be followed, and one run in so many that is looked up.
 SEED, EVERY = 6, 16
 #: Different bytes that are predicted at once.
