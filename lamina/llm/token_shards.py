@@ -17,19 +17,17 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import public_tokenizers
-import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import VOCABULARY, read_ranks
+from .byte_bpe import VOCABULARY
+from .encoder import encoder
 from .store import documents, new_path, written
 from .text import column, mix
 
@@ -61,11 +59,6 @@ def permute(x: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _encoding(vocabulary: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(vocabulary)), special_tokens={})
-
-
 def _size(docs: DataFrame) -> tuple[int, int, int, int]:
     """Least and largest doc_id, most sequences of a text (a byte is a token at most), bytes of all texts."""
     n = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -82,12 +75,25 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
     shards = max(1, -(-total // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = _encoding(vocabulary)
-        pad, pack = use.n_vocab, zstandard.ZstdCompressor(level=1)
-        held: list[np.ndarray] = []
+        codec = encoder(vocabulary)
+        pad, pack = codec.use.n_vocab, zstandard.ZstdCompressor(level=1)
+        held: list[tuple[int | None, np.ndarray]] = []
 
         def hand_on() -> pa.RecordBatch:
-            rows = np.concatenate(held)
+            """What is held, as records. Their numbers are permuted all at once: a text has a few only, and each call costs as much as many."""
+            n = np.array([-(-len(ids) // LENGTH) for _, ids in held])
+            first = np.cumsum(n) - n
+            base = [(hi + 1 if d is None else d) - lo for d, _ in held]
+            place = np.arange(n.sum(), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
+            rows = np.zeros(len(place), _SENT)
+            rows["at"] = _numbers(base, n, place, most, size, key)
+            r = rows["record"]
+            r["doc_id"], r["place"], r["n"] = np.repeat([none if d is None else d for d, _ in held], n), place, LENGTH
+            r["n"][first + n - 1] = [len(ids) - LENGTH * (k - 1) for (_, ids), k in zip(held, n.tolist(), strict=True)]
+            flat = np.full(len(rows) * LENGTH, pad, np.uint16)
+            for at, (_, ids) in zip((first * LENGTH).tolist(), held, strict=True):
+                flat[at : at + len(ids)] = ids
+            r["ids"] = flat.reshape(-1, LENGTH)
             held.clear()
             shard = _shard(rows["at"], size, shards)
             order = np.argsort(shard, kind="stable")
@@ -98,26 +104,12 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
 
         n_held = 0
         for batch in batches:
-            text = column(batch, "text", pa.string())
-            for i, d in enumerate(column(batch, "doc_id", pa.int64()).to_pylist()):
-                ids = use.encode_to_numpy(text[i].as_py(), disallowed_special=())
-                n = -(-len(ids) // LENGTH)
-                if not n:
+            ids_of = codec.encode(column(batch, "text", pa.string()))
+            for d, ids in zip(column(batch, "doc_id", pa.int64()).to_pylist(), ids_of, strict=True):
+                if not len(ids):
                     continue
-                rows = np.zeros(n, _SENT)
-                r = rows["record"]
-                r["doc_id"], r["place"], r["n"] = none if d is None else d, np.arange(n), LENGTH
-                r["n"][-1] = len(ids) - LENGTH * (n - 1)
-                flat = np.full(n * LENGTH, pad, np.uint16)
-                flat[: len(ids)] = ids
-                r["ids"] = flat.reshape(n, LENGTH)
-                base = (hi + 1 if d is None else d) - lo
-                if size < _LARGEST:
-                    rows["at"] = permute(np.uint64(base * most) + np.arange(n, dtype=np.uint64), size, key)
-                else:
-                    rows["at"] = permute(mix(mix(np.full(n, base % 2**64, np.uint64)) + np.arange(n, dtype=np.uint64)) >> np.uint64(2), _LARGEST, key)
-                held.append(rows)
-                n_held += n
+                held.append((d, ids))
+                n_held += -(-len(ids) // LENGTH)
                 if n_held >= HELD:
                     yield hand_on()
                     n_held = 0
@@ -149,6 +141,13 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY, vocabulary: str =
     return ledger.join(base, "shard").select("doc_id", "place", "n_tokens", (F.col("first") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * STRIDE).alias("offset"))
 
 
+def _numbers(base: list[int], n: np.ndarray, place: np.ndarray, most: int, size: int, key: int) -> np.ndarray:
+    """The permuted numbers of sequences: base has one entry for each text, n how many sequences it has, place one for each of them."""
+    if size < _LARGEST:
+        return permute(np.repeat(np.array([b * most for b in base], np.uint64), n) + place, size, key)
+    return permute(mix(mix(np.repeat(np.array([b % 2**64 for b in base], np.uint64), n)) + place) >> np.uint64(2), _LARGEST, key)
+
+
 def _tie(ids: np.ndarray) -> np.ndarray:
     """Tells records with equal numbers apart by their ids."""
     factors = mix(np.arange(1, LENGTH + 1, dtype=np.uint64))

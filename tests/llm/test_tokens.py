@@ -4,12 +4,15 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lamina.llm import byte_bpe as B, store, token_shards as T
+from lamina.llm import byte_bpe as B, encoder as E, store, token_shards as T
+from lamina.llm.text import mix
 
 CODEC = B.codec(public_tokenizers.path(B.VOCABULARY), public_tokenizers.PATTERN)
 REFERENCE = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.ranks, special_tokens={})
@@ -23,6 +26,42 @@ def test_ids_are_those_of_the_library(text):
     assert CODEC.decode(ids) == text.encode()
 
 
+ODD = ["'s", "'re", "don't", " ", "  ", "\n", "\r\n", "\t", "\0", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u3000", "\ufeff", "\u200b", "a", " the", "word", "é", "ß", "×", "÷", "ª", "µ", "½", "²", "٣", "Ж", "界", "🙂", "e\u0301", "1", "23", ",", "...", "«", "—", "longer than what is remembered".replace(" ", "")]
+#: Any two bytes of these join, so ids differ wherever texts are cut at other places than the pattern's.
+_USED = sorted({b for x in ODD for b in x.encode()})
+SHARP = {bytes([b]): b for b in range(256)} | {bytes([a, b]): 256 + i * len(_USED) + k for i, a in enumerate(_USED) for k, b in enumerate(_USED)}
+#: Tables and blocks of the usual size, and so small ones that chunks share slots and texts are cut.
+ENCODERS = [(E.Encoder(ranks), E.Encoder(ranks, slots=8, limit=16)) for ranks in (CODEC.ranks, SHARP)]
+
+
+@pytest.mark.parametrize("pair", ENCODERS)
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD) | st.characters(exclude_categories=["Cs"]), max_size=30).map("".join), max_size=6))
+def test_ids_of_many_texts_are_those_of_the_library(pair, texts):
+    want = [pair[0].use.encode_ordinary(t) for t in texts]
+    for codec in pair:
+        assert [x.tolist() for x in codec.encode(pa.array(texts, pa.string()))] == want
+        assert [x.tolist() for x in codec.encode(pa.array(["x", *texts], pa.string()).slice(1))] == want
+
+
+def test_a_failure_of_the_library_leaves_nothing_behind(monkeypatch):
+    codec = E.Encoder(CODEC.ranks)
+    with monkeypatch.context() as m:
+        m.setattr(tiktoken.Encoding, "encode_to_numpy", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            list(codec.encode(pa.array(["some words"])))
+    assert [x.tolist() for x in codec.encode(pa.array(["some words"]))] == [REFERENCE.encode_ordinary("some words")]
+
+
+def test_the_library_gets_only_what_is_not_remembered(monkeypatch):
+    codec, given = E.Encoder(CODEC.ranks), []
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", lambda use, text, *, f=tiktoken.Encoding.encode_to_numpy, **more: given.append(text) or f(use, text, **more))
+    texts = [" ".join(f"word{i % 50}, aiêux" for i in range(20_000)), "\n".join(["    word one. "] * 500)] * 2
+    assert [x.tolist() for x in codec.encode(pa.array(texts))] == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert sum(map(len, given)) < 2000
+    assert all(len(x) <= E.BLOCK_BYTES for x in E.pieces(np.frombuffer(texts[0].encode() * 8, np.uint8), E.BLOCK_BYTES))
+
+
 def test_the_hash_is_minimal_perfect_and_knows_strangers():
     assert sorted(CODEC.hash.place(k) for k in CODEC.ranks) == list(range(len(CODEC.ranks)))
     assert CODEC.hash.place(b"no such token, surely") == -1
@@ -81,6 +120,36 @@ def test_pretokens_cover_the_text():
     assert "".join(CODEC.split(text)) == text and re.match("It", text)
 
 
+@pytest.mark.parametrize("ids", [[7, None, 3, -4], [2**62, None, 3, -(2**62)]])
+def test_numbers_are_permuted_by_block(spark, monkeypatch, ids):
+    """One call of the permutation for all texts of a block, and the number that each sequence gets by itself."""
+    texts = ["one two " * 900, "", None, "a", "é" * 2000]
+    rows = [(d, t) for d in ids for t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    steps, mapped = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, f, *a: steps.append(f) or mapped(df, f, *a))
+    T.materialise(df, store.new_path(spark, "test-shards"), shard_bytes=1 << 30)
+    calls, permute = [], T.permute
+    monkeypatch.setattr(T, "permute", lambda x, *a: calls.append(len(x)) or permute(x, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    (out,) = steps[0](iter([batch]))
+    got = np.frombuffer(zstandard.ZstdDecompressor().decompress(out.column(1)[0].as_py()), T._SENT)
+    assert calls == [len(got)]
+    lo, hi = min(d for d in ids if d is not None), max(d for d in ids if d is not None)
+    most = -(-max(len((t or "").encode()) for t in texts) // T.LENGTH)
+    size = (hi - lo + 2) * most
+    for r in got:
+        base = int(r["record"]["doc_id"]) - lo  # a null id is stored as hi + 1
+        place = np.array([r["record"]["place"]], np.uint64)
+        if size < T._LARGEST:
+            assert r["at"] == permute(np.uint64(base * most) + place, size)[0]
+        else:
+            assert r["at"] == permute(mix(mix(np.array([base], np.uint64)) + place) >> np.uint64(2), T._LARGEST)[0]
+    lengths = [len(REFERENCE.encode_ordinary(t or "")) for _, t in rows]
+    want = sorted((k, min(T.LENGTH, n - k * T.LENGTH)) for n in lengths for k in range(-(-n // T.LENGTH)))
+    assert sorted((int(r["record"]["place"]), int(r["record"]["n"])) for r in got) == want
+
+
 def test_null_and_negative_ids_are_told_apart(spark):
     df = spark.createDataFrame([(-1, "a b"), (None, "c d"), (-2, "e")], "doc_id long, text string")
     rows = T.materialise(df, store.new_path(spark, "test-shards")).collect()
