@@ -305,6 +305,54 @@ def test_every_byte_comes_from_the_mixer(spark, monkeypatch):
         assert x.many.sum() == len(body)
 
 
+def test_contexts_are_those_of_each_byte(monkeypatch):
+    """Across parts and short texts, beside bytes of 0, and how many bytes before are of the same word."""
+    streams = [b"\n", b"a \n", b"\n", b"\n", b"ab\0cdefgh\0i jklmnopqrstu v \n", b"\0 \0\0 x \n", *(stream_of(t) for t in _texts()[:5]), b"abcdefghij \n", b"k \n"]
+    body, offsets = packed(streams)
+    want = []
+    for s in streams:
+        for i in range(len(s)):
+            before = bytes([0] * C.REACH + list(s[:i]))[-C.REACH :]
+            size = C.REACH - 1 - max(before.rfind(b" "), before.rfind(b"\0"))
+            kept = before[-max(size, *C.ORDERS) :]
+            want.append((int.from_bytes(bytes(C.REACH - len(kept)) + kept + s[i : i + 1], "little"), size))
+    for part in (1 << 15, 64, 1):
+        monkeypatch.setattr(C, "_PART", part)
+        got = list(C.contexts(body, offsets))
+        assert [a for a, *_ in got] == list(range(0, len(body), part))
+        assert [(int(k), int(n)) for _, key, size in got for k, n in zip(key, size, strict=True)] == want
+
+
+def test_bytes_that_nothing_is_foretold_have_windows_of_their_own(spark):
+    """They come first, so their windows look for no follower, and counting holds no more than a window's choices."""
+    texts = _texts()[:60]
+    streams, m = toy(spark, texts)
+    told = [bytes(b if 20 < i < 90 and n % 3 == 0 else 0 for i, b in enumerate(s)) for n, s in enumerate(streams)]
+    (body, offsets), (follow, _) = packed(streams), packed(told)
+    x = C.Bytes(m.code, body, follow, offsets)
+    silent = int((x.run == 0).sum())
+    assert 0 < silent < len(x) and not x.run[:silent].any() and x.run[silent:].all() and x.many[silent:].sum() == (follow > 0).sum()
+    assert [c.run is None for c in x.choices(100)] == [lo + 100 <= silent or not x.run[lo : lo + 100].any() for lo in range(0, len(x), 100)]
+    assert sorted(x.spread(x.run.astype(float))[follow > 0]) == sorted(x.run[silent:].repeat(x.many[silent:]))
+
+
+def test_counting_holds_a_window_at_a_time(spark, monkeypatch):
+    streams, m = toy(spark, _texts()[:60])
+    body, offsets = packed(streams)
+    made, whole = [], C.Choices
+
+    def seen(x, lo, hi):
+        made.append(hi - lo)
+        return whole(x, lo, hi)
+
+    x = C.Bytes(m.code, body, np.zeros_like(body), offsets)
+    monkeypatch.setattr(C, "STEP", 50)
+    monkeypatch.setattr(C, "Choices", seen)
+    counts = np.zeros(2 * C._AT[-1], np.int32)
+    C.tally(x, counts)
+    assert max(made) <= 50 and sum(made) == len(x) and counts.sum() == len(C.SLOTS) * (m.code.length[x.row] * x.many).sum()
+
+
 def test_bytes_have_a_distribution(spark):
     """Whatever came before and is foretold, the probabilities of all bytes add up to one."""
     _, m = toy(spark, _texts()[:40])
