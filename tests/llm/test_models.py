@@ -306,7 +306,7 @@ def test_every_byte_comes_from_the_mixer(spark, monkeypatch):
 
 
 def test_contexts_are_those_of_each_byte(monkeypatch):
-    """Across parts and short texts, beside bytes of 0, and how many bytes before are of the same word."""
+    """Across parts and short texts, beside bytes of 0; which bytes before are of the same word; and hashes give them back."""
     streams = [b"\n", b"a \n", b"\n", b"\n", b"ab\0cdefgh\0i jklmnopqrstu v \n", b"\0 \0\0 x \n", *(stream_of(t) for t in _texts()[:5]), b"abcdefghij \n", b"k \n"]
     body, offsets = packed(streams)
     want = []
@@ -315,12 +315,15 @@ def test_contexts_are_those_of_each_byte(monkeypatch):
             before = bytes([0] * C.REACH + list(s[:i]))[-C.REACH :]
             size = C.REACH - 1 - max(before.rfind(b" "), before.rfind(b"\0"))
             kept = before[-max(size, *C.ORDERS) :]
-            want.append((int.from_bytes(bytes(C.REACH - len(kept)) + kept + s[i : i + 1], "little"), size))
+            want.append((int.from_bytes(bytes(C.REACH - len(kept)) + kept + s[i : i + 1], "little"), before[C.REACH - size :]))
     for part in (1 << 15, 64, 1):
         monkeypatch.setattr(C, "_PART", part)
         got = list(C.contexts(body, offsets))
-        assert [a for a, *_ in got] == list(range(0, len(body), part))
-        assert [(int(k), int(n)) for _, key, size in got for k, n in zip(key, size, strict=True)] == want
+        assert [a for a, _ in got] == list(range(0, len(body), part))
+        key = np.concatenate([x for _, x in got])
+        word = C.spoken(key & np.uint64((1 << 56) - 1))
+        assert [(int(k), int(x).to_bytes(7, "little").lstrip(b"\0")) for k, x in zip(key, word, strict=True)] == want
+        assert (C._unmixed(C._mixed(key.copy())) == key).all()
 
 
 def test_bytes_that_nothing_is_foretold_have_windows_of_their_own(spark):
@@ -334,6 +337,17 @@ def test_bytes_that_nothing_is_foretold_have_windows_of_their_own(spark):
     assert 0 < silent < len(x) and not x.run[:silent].any() and x.run[silent:].all() and x.many[silent:].sum() == (follow > 0).sum()
     assert [c.run is None for c in x.choices(100)] == [lo + 100 <= silent or not x.run[lo : lo + 100].any() for lo in range(0, len(x), 100)]
     assert sorted(x.spread(x.run.astype(float))[follow > 0]) == sorted(x.run[silent:].repeat(x.many[silent:]))
+    y = C.Bytes(m.code, body, follow, offsets, back=False)
+    kinds = [sorted(zip(z.row.tolist(), z.many.tolist(), z.told.tolist(), z.run.tolist(), *(h.tolist() for h in z.hashes), strict=True)) for z in (x, y)]
+    assert kinds[0] == kinds[1]
+
+
+def test_distinct_hashes_that_differ_in_low_bits_only():
+    r = np.random.default_rng(1)
+    some = r.integers(0, 1 << 64, 50, dtype=np.uint64)
+    for h in (r.choice(some, 500), r.choice(np.append(some, some[:9] ^ np.uint64(1)), 500), some[:1], some[:0]):
+        for got, want in zip(C._distinct(h), np.unique(h, return_inverse=True), strict=True):
+            assert (got == want).all()
 
 
 def test_counting_holds_a_window_at_a_time(spark, monkeypatch):
