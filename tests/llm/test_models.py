@@ -350,6 +350,15 @@ def test_distinct_hashes_that_differ_in_low_bits_only():
             assert (got == want).all()
 
 
+def test_pairs_of_bytes_are_those_of_each_text(monkeypatch):
+    streams = [b"\n", b"\n", b"a \n", b"\xff\xff \n", *(stream_of(t) for t in _texts()[:3]), b"\n"]
+    want = collections.Counter(p for s in streams for p in zip(b"\0" + s, s))
+    for part in (1 << 15, 7, 1):
+        monkeypatch.setattr(C, "_PART", part)
+        got = C._pairs(*packed(streams))
+        assert got.sum() == sum(want.values()) and all(got[a * 256 + b] == n for (a, b), n in want.items())
+
+
 def test_counting_holds_a_window_at_a_time(spark, monkeypatch):
     streams, m = toy(spark, _texts()[:60])
     body, offsets = packed(streams)
