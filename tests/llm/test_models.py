@@ -337,6 +337,10 @@ def test_bytes_that_nothing_is_foretold_have_windows_of_their_own(spark):
     assert 0 < silent < len(x) and not x.run[:silent].any() and x.run[silent:].all() and x.many[silent:].sum() == (follow > 0).sum()
     assert [c.run is None for c in x.choices(100)] == [lo + 100 <= silent or not x.run[lo : lo + 100].any() for lo in range(0, len(x), 100)]
     assert sorted(x.spread(x.run.astype(float))[follow > 0]) == sorted(x.run[silent:].repeat(x.many[silent:]))
+    turns = [(c.run is not None, len(c.before)) for c in x.dealt(20)]
+    assert sum(n for run, n in turns if run) <= len(x) - silent and sum(n for _, n in turns) == len(x)
+    half = [run for run, _ in turns[: len(turns) // 2]]
+    assert abs(2 * sum(half) - sum(run for run, _ in turns)) <= 2
     y = C.Bytes(m.code, body, follow, offsets, back=False)
     kinds = [sorted(zip(z.row.tolist(), z.many.tolist(), z.told.tolist(), z.run.tolist(), *(h.tolist() for h in z.hashes), strict=True)) for z in (x, y)]
     assert kinds[0] == kinds[1]
